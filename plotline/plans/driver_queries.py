@@ -218,7 +218,7 @@ def drop_incomplete(spark, d):
 @query("binarize", """
 WITH d AS (SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS size_n FROM part),
 f AS (SELECT p_partkey, coalesce(size_n, (SELECT avg(size_n) FROM d)) AS s FROM d)
-SELECT p_partkey, round(s, 6) AS size_filled, CASE WHEN s > 25.0 THEN 1.0 ELSE 0.0 END AS size_bin FROM f""")
+SELECT p_partkey, round(s, 6) AS size_filled, CAST(CASE WHEN s > 25 THEN 1 ELSE 0 END AS DOUBLE) AS size_bin FROM f""")
 def binarize(spark, d):
     df = _t(spark, d, "part").select(
         "p_partkey", F.expr("CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END").alias("size_n"))
@@ -561,9 +561,8 @@ WITH c AS (SELECT p_type AS v, count(*) AS n FROM part GROUP BY 1),
 r AS (SELECT v, row_number() OVER (ORDER BY n DESC, v ASC) - 1 AS idx FROM c),
 j AS (SELECT p_partkey, idx FROM part JOIN r ON p_type = v)
 SELECT p_partkey,
-       CASE WHEN idx = 0 THEN 1.0 ELSE 0.0 END AS t_0, CASE WHEN idx = 1 THEN 1.0 ELSE 0.0 END AS t_1,
-       CASE WHEN idx = 2 THEN 1.0 ELSE 0.0 END AS t_2, CASE WHEN idx = 3 THEN 1.0 ELSE 0.0 END AS t_3,
-       CASE WHEN idx = 4 THEN 1.0 ELSE 0.0 END AS t_4
+       (idx = 0)::INTEGER::DOUBLE AS t_0, (idx = 1)::INTEGER::DOUBLE AS t_1, (idx = 2)::INTEGER::DOUBLE AS t_2,
+       (idx = 3)::INTEGER::DOUBLE AS t_3, (idx = 4)::INTEGER::DOUBLE AS t_4
 FROM j""")
 def one_hot(spark, d):
     part = _t(spark, d, "part").select("p_partkey", "p_type")
@@ -609,7 +608,7 @@ def multi_hot_fixed(spark, d):
 @query("activity_level", """
 WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
 SELECT o_orderkey, o.o_custkey,
-       CASE WHEN n < 2 THEN 0.0 WHEN n < 5 THEN 1.0 WHEN n < 8 THEN 2.0 WHEN n < 16 THEN 3.0 ELSE 4.0 END
+       CAST(CASE WHEN n < 2 THEN 0 WHEN n < 5 THEN 1 WHEN n < 8 THEN 2 WHEN n < 16 THEN 3 ELSE 4 END AS DOUBLE)
          AS o_custkey_level
 FROM orders o JOIN c ON o.o_custkey = c.o_custkey""")
 def activity_level(spark, d):

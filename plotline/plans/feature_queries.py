@@ -1 +1,221 @@
-"""Queries for the composite listing plans (filled in below)."""
+"""Queries for the composite listing plans: N12 cleaning (training and
+serving halves) and the M9 feature vector, on listing-shaped rows derived
+from orders ⋈ customer ⋈ nation.
+
+Finished orders (status 'F') play the labelled history the statistics and
+encoders are fitted on; the other orders are the new listings to serve.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.joins import broadcast_if_small
+from ..schema import ListingColumns
+from ..sources import read_table
+from .driver_queries import _DISTRICT_TEXT, _PRICE_TEXT, _TIER_TEXT, _WARD_TEXT, _f1_sql, query
+from .listing import clean_listings, fit_features
+
+# listing field → expression over orders ⋈ customer ⋈ nation (same text in Spark and DuckDB,
+# except that Spark spells string_split as split)
+RAW_LISTING = {
+    "MaTin": "CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE CAST(o_orderkey AS STRING) END",
+    "NgayDangBan": "CASE WHEN o_orderkey % 31 = 0 THEN '--' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END",
+    "TongGia": "CASE WHEN o_orderkey % 37 = 0 THEN '--' ELSE " + _PRICE_TEXT["price_text"] + " END",
+    "Gia/m2": _PRICE_TEXT["ppm_text"],
+    "DienTich": "CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE concat(CAST(o_orderkey % 300 + 20 AS STRING), ' m²') END",
+    "DienTichDat": "concat(CAST(o_orderkey % 500 + 30 AS STRING), ' m²')",
+    "ChieuDai": "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE concat(CAST(o_orderkey % 20 + 3 AS STRING), ' m') END",
+    "ChieuRong": "CASE WHEN o_orderkey % 9 = 0 THEN '--' ELSE concat(CAST(o_orderkey % 8 + 2 AS STRING), '.5 m') END",
+    "ChieuSau": "'1 m'",
+    "DuongVao": "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE concat(CAST(o_orderkey % 12 AS STRING), ' m') END",
+    "NamXayDung": """CASE o_orderkey % 5 WHEN 0 THEN NULL
+        WHEN 1 THEN concat(CAST(1995 + o_orderkey % 25 AS STRING), '.0')
+        ELSE CAST(1995 + o_custkey % 25 AS STRING) END""",
+    "Id_NguoiDangban": "CAST(o_custkey AS STRING)",
+    "LoaiBDS": "o_orderpriority",
+    "Tinh": "n_name",
+    "Huyen": _DISTRICT_TEXT,
+    "Xa": "CASE WHEN c_custkey % 6 = 0 THEN '--' ELSE " + _WARD_TEXT + " END",
+    "PhongNgu": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey % 5 AS STRING) END",
+    "PhongTam": "CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE CAST(o_orderkey % 3 AS STRING) END",
+    "SoTang": "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_orderkey % 4 + 1 AS STRING) END",
+    "Huong": "CASE WHEN o_orderkey % 3 = 0 THEN '--' ELSE c_mktsegment END",
+    "TienIchToaNha": """CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE string_split(concat(lower(c_mktsegment), ' gym.',
+        CASE WHEN o_orderkey % 2 = 0 THEN ' pool' ELSE '' END, CASE WHEN o_orderkey % 4 = 0 THEN ' pool.' ELSE '' END), ' ') END""",
+}
+_STRING_FIELDS = [k for k in RAW_LISTING if k != "TienIchToaNha"]
+_FLOATS = ["TongGia", "Gia/m2", "DienTich", "ChieuDai", "ChieuRong", "DuongVao"]
+_CATEGORICAL_FILL = {"PhongNgu": "0", "PhongTam": "0", "SoTang": "1"}
+_CATEGORICALS = ["Id_NguoiDangban", "LoaiBDS", "Tinh", "Xa", "Huyen", "Huong", "PhongNgu", "PhongTam", "SoTang"]
+
+
+def _q(name: str) -> str:
+    return '"' + name + '"'
+
+
+def raw_listings(spark, d) -> DataFrame:
+    """Listing-shaped raw rows (strings with units, sentinels, nulls, arrays)."""
+    orders = read_table(spark, d, "orders")
+    cust = read_table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    nation = broadcast_if_small(read_table(spark, d, "nation").select("n_nationkey", "n_name"), 10_000)
+    j = (orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+         .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
+    return j.select("o_orderstatus", *[F.expr(e.replace("string_split(", "split(")).alias(k)
+                                       for k, e in RAW_LISTING.items()])
+
+
+def _raw_sql() -> str:
+    cols = ",\n    ".join(f"{e} AS {_q(k)}" for k, e in RAW_LISTING.items())
+    return (f"SELECT o_orderstatus,\n    {cols}\nFROM orders JOIN customer ON o_custkey = c_custkey "
+            f"JOIN nation ON c_nationkey = n_nationkey")
+
+
+def _blank(c: str) -> str:
+    return f"CASE WHEN {c} IN ('--', '') THEN NULL ELSE {c} END"
+
+
+def _num_sql(c: str, n: int) -> str:
+    x = _blank(c)
+    return f"try_cast(CASE WHEN length({x}) > {n} THEN left({x}, length({x}) - {n}) ELSE '' END AS DOUBLE)"
+
+
+def _prepared_sql() -> str:
+    """N2 → F1–F4 → N6 (area from land area) as one SELECT over `raw`."""
+    sel = ["o_orderstatus"]
+    for k in _STRING_FIELDS:
+        if k == "TongGia":
+            e = _f1_sql(_blank(_q(k)))
+        elif k == "Gia/m2":
+            e = _f1_sql(_blank(_q(k)), "/m²")
+        elif k == "DienTich":
+            e = f"coalesce({_num_sql(_q('DienTich'), 3)}, {_num_sql(_q('DienTichDat'), 3)})"
+        elif k == "DienTichDat":
+            continue
+        elif k in ("ChieuDai", "ChieuRong", "DuongVao"):
+            e = _num_sql(_q(k), 2)
+        elif k == "ChieuSau":
+            continue
+        elif k == "NamXayDung":
+            e = f"try_cast(floor(try_cast({_blank(_q(k))} AS DOUBLE)) AS INTEGER)"
+        else:
+            e = _blank(_q(k))
+        sel.append(f"{e} AS {_q(k)}")
+    sel.append('"TienIchToaNha"')
+    return "SELECT " + ",\n       ".join(sel) + " FROM raw"
+
+
+def _clean_sql(train: bool) -> str:
+    means = ["ChieuDai", "ChieuRong", "DuongVao", "DienTich"]
+    stat_cols = ", ".join(f"avg({_q(m)}) AS m_{m}" for m in means)
+    filled = ["o_orderstatus"]
+    for k in ["MaTin", "NgayDangBan", "TongGia", "Gia/m2"]:
+        filled.append(_q(k))
+    for m in means:
+        filled.append(f"coalesce({_q(m)}, (SELECT m_{m} FROM st)) AS {_q(m)}")
+    filled.append('coalesce("NamXayDung", (SELECT y FROM md)) AS "NamXayDung"')
+    for k in _CATEGORICALS:
+        filled.append(f"coalesce({_q(k)}, '{_CATEGORICAL_FILL.get(k, 'Unknowns')}') AS {_q(k)}")
+    filled.append('coalesce("TienIchToaNha", []) AS "TienIchToaNha"')
+    out = ['"MaTin"', '"NgayDangBan"']
+    out += [f"CAST(CAST({_q(f)} AS FLOAT) AS DOUBLE) AS {_q(f.replace('/', '_'))}" for f in _FLOATS]
+    out += ['"NamXayDung"'] + [_q(k) for k in _CATEGORICALS]
+    out.append('len("TienIchToaNha")::BIGINT AS n_amenities')
+    where = '"MaTin" IS NOT NULL AND "NgayDangBan" IS NOT NULL'
+    if train:
+        where += ' AND CAST("TongGia" AS FLOAT) IS NOT NULL'
+    part = "o_orderstatus = 'F'" if train else "o_orderstatus <> 'F'"
+    return f"""WITH raw AS ({_raw_sql()}),
+prep AS ({_prepared_sql()}),
+tr AS (SELECT * FROM prep WHERE o_orderstatus = 'F'),
+st AS (SELECT {stat_cols} FROM tr),
+md AS (SELECT "NamXayDung" AS y FROM tr WHERE "NamXayDung" IS NOT NULL
+       GROUP BY "NamXayDung" ORDER BY count(*) DESC, "NamXayDung" ASC LIMIT 1),
+filled AS (SELECT {", ".join(filled)} FROM prep WHERE {part})
+SELECT {", ".join(out)} FROM filled WHERE {where}"""
+
+
+def _clean_output(df: DataFrame) -> DataFrame:
+    cols = [F.col("MaTin"), F.col("NgayDangBan")]
+    cols += [F.col(f"`{f}`").cast("double").alias(f.replace("/", "_")) for f in _FLOATS]
+    cols += [F.col("NamXayDung")] + [F.col(k) for k in _CATEGORICALS]
+    cols.append(F.size("TienIchToaNha").cast("bigint").alias("n_amenities"))
+    return df.select(*cols)
+
+
+def _cleaned(spark, d):
+    raw = raw_listings(spark, d)
+    train = raw.where(F.col("o_orderstatus") == "F").drop("o_orderstatus")
+    serve = raw.where(F.col("o_orderstatus") != "F").drop("o_orderstatus")
+    return clean_listings(train, serve, ListingColumns())
+
+
+@query("clean_listing", _clean_sql(train=True))
+def clean_listing(spark, d):
+    clean_train, _serve, _stats = _cleaned(spark, d)
+    return _clean_output(clean_train)
+
+
+@query("clean_listing_serving", _clean_sql(train=False))
+def clean_listing_serving(spark, d):
+    _train, clean_serve, _stats = _cleaned(spark, d)
+    return _clean_output(clean_serve)
+
+
+def tier_lookup(spark, d) -> DataFrame:
+    """Province → tier text lookup derived from nation ⋈ region (region 4 left out)."""
+    nation = read_table(spark, d, "nation")
+    region = read_table(spark, d, "region").where(F.col("r_regionkey") != 4)
+    return nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_name").alias("Tinh"), F.expr(_TIER_TEXT).alias("PhanLoaiTinh"))
+
+
+# vector slots of the fitted plan on the driver tables (checked against slot_names())
+_FEATURE_WORDS = ("automobile", "building", "furniture", "gym", "household", "machinery", "pool")
+
+
+def _features_sql() -> str:
+    clean = _clean_sql(train=False).replace(
+        'SELECT "MaTin", "NgayDangBan"', 'SELECT "MaTin", "NgayDangBan", "TienIchToaNha"', 1)
+    train_clean = _clean_sql(train=True).replace(
+        'SELECT "MaTin", "NgayDangBan"', 'SELECT "MaTin", "NgayDangBan", "TienIchToaNha"', 1)
+    idx_cols = ["LoaiBDS", "Huong", "PhongNgu", "PhongTam", "SoTang"]
+    ranks = ",\n".join(
+        f"""r_{c} AS (SELECT v, CAST(row_number() OVER (ORDER BY n DESC, v ASC) - 1 AS DOUBLE) AS idx
+          FROM (SELECT {_q(c)} AS v, count(*) AS n FROM tr GROUP BY 1))""" for c in idx_cols)
+    joins = " ".join(f"JOIN r_{c} ON s.{_q(c)} = r_{c}.v" for c in idx_cols)
+    words = ",\n       ".join(
+        f"len(list_filter(list_transform(s.\"TienIchToaNha\", lambda x: replace(x, '.', '')), lambda x: x = '{w}'))"
+        f"::DOUBLE AS \"f_TienIchToaNha_{w}\"" for w in _FEATURE_WORDS)
+    return f"""WITH tr AS ({train_clean}),
+sv AS ({clean}),
+lv AS (SELECT "Id_NguoiDangban" AS k, count(*) AS n FROM tr GROUP BY 1),
+tiers AS (SELECT n_name AS t, {_TIER_TEXT} AS tier FROM nation JOIN region ON n_regionkey = r_regionkey
+          WHERE r_regionkey <> 4),
+{ranks}
+SELECT s."MaTin",
+       coalesce(CASE WHEN lv.n < 2 THEN 0 WHEN lv.n < 5 THEN 1 WHEN lv.n < 8 THEN 2
+                     WHEN lv.n < 16 THEN 3 WHEN lv.n IS NOT NULL THEN 4 END, 0)::DOUBLE AS "f_Id_NguoiDangban_level",
+       coalesce(CASE WHEN contains(tier, 'Đặc biệt') THEN 4 WHEN contains(tier, 'III') THEN 3
+            WHEN contains(tier, 'II') THEN 2 WHEN contains(tier, 'I') THEN 1 END::DOUBLE, 'NaN'::DOUBLE) AS "f_Tinh_idx",
+       coalesce(CASE WHEN contains(lower(s."Huyen"), 'tp') THEN 3 WHEN contains(lower(s."Huyen"), 'quận') THEN 3
+            WHEN contains(lower(s."Huyen"), 'thị xã') THEN 2 WHEN contains(lower(s."Huyen"), 'huyện') THEN 1 END::DOUBLE,
+            'NaN'::DOUBLE) AS "f_Huyen_idx",
+       coalesce(CASE WHEN contains(lower(s."Xa"), 'phường') THEN 3 WHEN contains(lower(s."Xa"), 'thị trấn') THEN 2
+            WHEN contains(lower(s."Xa"), 'xã') THEN 1 END::DOUBLE, 'NaN'::DOUBLE) AS "f_Xa_idx",
+       {", ".join(f'r_{c}.idx AS "f_{c}_idx"' for c in idx_cols)},
+       {words}
+FROM sv s LEFT JOIN lv ON s."Id_NguoiDangban" = lv.k LEFT JOIN tiers ON s."Tinh" = tiers.t {joins}"""
+
+
+@query("feature_vectors", _features_sql())
+def feature_vectors(spark, d):
+    from pyspark.ml.functions import vector_to_array
+    clean_train, clean_serve, _stats = _cleaned(spark, d)
+    fitted = fit_features(clean_train, ListingColumns(), tier_lookup(spark, d), handle_invalid="keep",
+                          index_invalid="skip")
+    out = fitted.transform(clean_serve)
+    arr = vector_to_array("features")
+    names = fitted.slot_names()
+    return out.select("MaTin", *[arr[i].alias(f"f_{n}") for i, n in enumerate(names)])
