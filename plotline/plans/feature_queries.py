@@ -57,9 +57,15 @@ def _q(name: str) -> str:
 
 def raw_listings(spark, d) -> DataFrame:
     """Listing-shaped raw rows (strings with units, sentinels, nulls, arrays)."""
-    orders = read_table(spark, d, "orders")
-    cust = read_table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = broadcast_if_small(read_table(spark, d, "nation").select("n_nationkey", "n_name"), 10_000)
+    return raw_listings_from(read_table(spark, d, "orders"), read_table(spark, d, "customer"),
+                             read_table(spark, d, "nation"))
+
+
+def raw_listings_from(orders: DataFrame, customers: DataFrame, nations: DataFrame) -> DataFrame:
+    """As ``raw_listings`` over given frames; ``orders`` may be a stream
+    (stream-static joins with the customer and nation tables)."""
+    cust = customers.select("c_custkey", "c_nationkey", "c_mktsegment")
+    nation = broadcast_if_small(nations.select("n_nationkey", "n_name"), 10_000)
     j = (orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
          .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
     return j.select("o_orderstatus", *[F.expr(e.replace("string_split(", "split(")).alias(k)

@@ -8,7 +8,7 @@ training set, a scoring batch or a stream alike.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -46,7 +46,7 @@ class FittedFeatures:
     vocab: E.MultiHotVocab
     handle_invalid: str = "keep"
     output_col: str = "features"
-    parts: list = field(default_factory=list)
+    fill_missing: float | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         """M6 → M7 → M1 → M5 → M8 on any batch or stream of clean listings."""
@@ -63,6 +63,8 @@ class FittedFeatures:
             out = self.indexer.transform(out).drop(*self.index_cols)
         idx_cols = [f"{x}_idx" for x in self.index_cols]
         out = E.multi_hot_vectors(out, self.vocab, output_col="features_ohe")
+        if self.fill_missing is not None:  # an unmatched ordinal becomes an explicit level
+            out = out.fillna(float(self.fill_missing), subset=adm_inputs)
         parts = []
         if adm_inputs:
             out = E.assemble(out, adm_inputs, "features_adm", self.handle_invalid).drop(*adm_inputs)
@@ -96,7 +98,7 @@ def _persist_small(df: DataFrame) -> DataFrame:
 
 def fit_features(train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFrame | None = None,
                  handle_invalid: str = "keep", index_invalid: str = "skip",
-                 output_col: str = "features") -> FittedFeatures:
+                 output_col: str = "features", fill_missing: float | None = None) -> FittedFeatures:
     """Fit M6 levels, M1 indices and M3 vocabularies on clean training rows."""
     present = set(train.columns)
     levels = level_col = None
@@ -107,7 +109,8 @@ def fit_features(train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFr
     indexer = E.fit_label_indexer(train, index_cols, handle_invalid=index_invalid) if index_cols else None
     arrays = [a for a in cols.arrays if a in present]
     vocab = E.fit_multi_hot(train, arrays) if arrays else E.MultiHotVocab({})
-    return FittedFeatures(cols, levels, level_col, tiers, indexer, index_cols, vocab, handle_invalid, output_col)
+    return FittedFeatures(cols, levels, level_col, tiers, indexer, index_cols, vocab, handle_invalid, output_col,
+                          fill_missing)
 
 
 def quote_all(names) -> list[str]:
@@ -115,5 +118,8 @@ def quote_all(names) -> list[str]:
 
 
 def label_log(df: DataFrame, label_col: str, out_col: str = "label") -> DataFrame:
-    """Model label: natural log of the price (back-transformed by M17)."""
-    return df.withColumn(out_col, F.log(F.col(quote(label_col)).cast("double")))
+    """Model label: natural log of the price (back-transformed by M17).
+
+    Only rows with a positive price can be training rows (log of 0 is undefined)."""
+    price = F.col(quote(label_col)).cast("double")
+    return df.where(price > 0).withColumn(out_col, F.log(price))
