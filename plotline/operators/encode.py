@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordinal_by_keywords
 from ..functions._util import quote
-from .joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from .joins import broadcast_if_small
 
 # --- fixed values ----------------------------------------------------------
 # seller activity bins: [0,2) [2,5) [5,8) [8,16) [16,inf)
@@ -146,6 +146,25 @@ def multi_hot_vectors(df: DataFrame, vocab: MultiHotVocab, suffix: str = "_ohe",
     return out
 
 
+def values_long(df: DataFrame, id_col: str, col: str, value_col: str = "value") -> DataFrame:
+    """F18 + F8: one row per (id, normalised value); a null or empty array
+    keeps its row with a null value (``explode_outer``)."""
+    arr = F.transform(F.col(quote(col)), lambda x: F.regexp_replace(x, r"\.", ""))
+    return df.select(id_col, F.explode_outer(arr).alias(value_col))
+
+
+def value_crosstab(df: DataFrame, id_col: str, col: str, vocab: Sequence[str] | None = None) -> DataFrame:
+    """A4: contingency table id × value (counts), one column per value.
+
+    Built as ``groupBy(id).pivot(value, vocab)``; with the vocabulary given
+    there is no extra job to discover the pivot values.  Null values are not
+    a column.  For encoding prefer ``multi_hot_columns`` (no shuffle).
+    """
+    long = values_long(df, id_col, col).where(F.col("value").isNotNull())
+    pivoted = long.groupBy(id_col).pivot("value", list(vocab) if vocab is not None else None).count()
+    return pivoted.fillna(0)
+
+
 # --- M6: seller activity level ---------------------------------------------
 
 def fit_activity_levels(df: DataFrame, key: str, splits=ACTIVITY_SPLITS,
@@ -162,16 +181,23 @@ def fit_activity_levels(df: DataFrame, key: str, splits=ACTIVITY_SPLITS,
 
 
 def apply_activity_levels(df: DataFrame, levels: DataFrame, key: str, keep_input: bool = False,
-                          how: str = "inner", max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                          default_level: float | None = None) -> DataFrame:
+                          how: str = "inner", default_level: float | None = None,
+                          max_broadcast_rows: int | None = None) -> DataFrame:
     """M6 transform / J2: attach levels by key.
 
     Training uses ``how='inner'`` (rows with a null key drop out, as in the
     source); serving uses ``how='left'`` with ``default_level`` for unseen keys.
-    The level table is broadcast only when its size is within the bound.
+
+    The level table is derived (one row per key), so by default no row count
+    is taken up front — that would run its aggregation twice.  Adaptive
+    execution sizes the materialised shuffle and turns the join into a
+    broadcast when it is small, or splits the hot key's partition (skew join)
+    when it is not.  Pass ``max_broadcast_rows`` when ``levels`` is already
+    materialised (e.g. checkpointed) and cheap to count.
     """
     level_col = [c for c in levels.columns if c != key][0]
-    out = df.join(broadcast_if_small(levels, max_broadcast_rows), key, how)
+    side = broadcast_if_small(levels, max_broadcast_rows) if max_broadcast_rows else levels
+    out = df.join(side, key, how)
     if default_level is not None:
         out = out.withColumn(level_col, F.coalesce(F.col(level_col), F.lit(float(default_level))))
     return out if keep_input else out.drop(key)

@@ -157,9 +157,14 @@ def last_page(html_col: str = "html", item_pattern: str = _PAGE_ITEM) -> Column:
     return F.when(F.size(items) >= 2, F.element_at(items, -2)).try_cast("int")
 
 
-def _zip2(a: Column, b: Column, na: str, nb: str) -> Column:
-    """Pair two same-position arrays into an array of structs (na, nb)."""
-    return F.transform(a, lambda x, i: F.struct(x.alias(na), F.try_element_at(b, i + 1).alias(nb)))
+def _paired(df: DataFrame, id_col: str, a: Column, b: Column, na: str, nb: str) -> DataFrame:
+    """(id, array<struct<na, nb>>) pairing two same-position arrays.
+
+    Each array is computed once per row as a named column and zipped without
+    a lambda, so no regular expression is re-run per element.
+    """
+    return (df.select(id_col, a.alias(na), b.alias(nb))
+            .select(id_col, F.arrays_zip(F.col(na), F.col(nb)).alias("pairs")))
 
 
 def detail_pairs(df: DataFrame, id_col: str, html_col: str = "html", block: str = _DETAIL_BLOCK,
@@ -172,16 +177,18 @@ def detail_pairs(df: DataFrame, id_col: str, html_col: str = "html", block: str
     array expression inside that row: no shuffle.
     """
     area = _extract(as_col(html_col), block)
-    keys = F.regexp_extract_all(area, F.lit(key_pattern), 1)
-    vals = F.regexp_extract_all(area, F.lit(value_pattern), 1)
-    kv = F.transform(_zip2(keys, vals, "k", "v"),
-                     lambda x: F.struct(attribute_name(html_unescape(x["k"])).alias("key"),
-                                        squash_whitespace(html_unescape(x["v"])).alias("value")))
-    last = F.filter(kv, lambda x, i: ~F.exists(F.slice(kv, i + 2, F.size(kv)),
-                                               lambda y: y["key"] == x["key"]))
+    pairs = _paired(df, id_col, F.regexp_extract_all(area, F.lit(key_pattern), 1),
+                    F.regexp_extract_all(area, F.lit(value_pattern), 1), "k", "v")
+    kv = pairs.select(id_col, F.transform("pairs", lambda x: F.struct(
+        attribute_name(html_unescape(x["k"])).alias("key"),
+        squash_whitespace(html_unescape(x["v"])).alias("value"))).alias("kv"))
+    keys = F.transform("kv", lambda x: x["key"])
+    last = kv.select(id_col, "kv", keys.alias("keys")).select(
+        id_col, F.filter("kv", lambda x, i: ~F.array_contains(F.slice("keys", i + 2, F.size("keys")), x["key"]))
+        .alias("kv"))
     if removed:
-        last = F.filter(last, lambda x: ~x["key"].isin(*removed))
-    return (df.select(id_col, F.posexplode(last).alias("pos", "kv"))
+        last = last.select(id_col, F.filter("kv", lambda x: ~x["key"].isin(*removed)).alias("kv"))
+    return (last.select(id_col, F.posexplode("kv").alias("pos", "kv"))
             .select(id_col, F.col("pos").cast("bigint").alias("pos"), "kv.key", "kv.value"))
 
 
@@ -199,7 +206,8 @@ def amenity_groups(df: DataFrame, id_col: str, html_col: str = "html", skip_head
     heads = F.regexp_extract_all(area, F.lit(_UTIL_HEAD), 1)
     heads = F.slice(heads, skip_heads + 1, F.greatest(F.size(heads) - skip_heads, F.lit(0)))
     lists = F.regexp_extract_all(area, F.lit(_UTIL_LIST), 1)
-    out = df.select(id_col, F.explode(_zip2(heads, lists, "h", "l")).alias("g"))
+    out = (_paired(df, id_col, heads, lists, "h", "l").select(id_col, F.explode("pairs").alias("g"))
+           .where(F.col("g.h").isNotNull()))
     items = F.transform(F.regexp_extract_all(F.coalesce(F.col("g.l"), F.lit("")), F.lit(_SPAN_ITEM), 1),
                         lambda x: squash_whitespace(html_unescape(x)))
     return out.select(id_col, attribute_name(html_unescape(F.col("g.h"))).alias("group"), items.alias("items"))
@@ -210,6 +218,6 @@ def nav_links(df: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
     html = as_col(html_col)
     hrefs = F.regexp_extract_all(html, F.lit(GENERIC_NAV_LINK), 1)
     texts = F.regexp_extract_all(html, F.lit(GENERIC_NAV_LINK), 2)
-    return (df.select(id_col, F.posexplode(_zip2(hrefs, texts, "href", "text")).alias("pos", "a"))
+    return (_paired(df, id_col, hrefs, texts, "href", "text").select(id_col, F.posexplode("pairs").alias("pos", "a"))
             .select(id_col, F.col("pos").cast("bigint").alias("pos"), F.col("a.href").alias("href"),
                     html_unescape(F.col("a.text")).alias("text")))

@@ -605,6 +605,27 @@ def multi_hot_fixed(spark, d):
     return E.multi_hot_columns(_part_words(spark, d), "w", list(_FIXED_WORDS), prefix="w_")
 
 
+@query("word_rows", f"""
+WITH d AS (SELECT p_partkey, {_WORDS_EXPR} AS w FROM part)
+SELECT p_partkey, unnest(CASE WHEN w IS NULL OR len(w) = 0 THEN [NULL::VARCHAR]
+                              ELSE list_transform(w, lambda x: replace(x, '.', '')) END) AS value
+FROM d""")
+def word_rows(spark, d):
+    return E.values_long(_part_words(spark, d), "p_partkey", "w")
+
+
+def _crosstab_sql(words) -> str:
+    cols = ", ".join(f"count(*) FILTER (WHERE v = '{w}')::BIGINT AS \"{w}\"" for w in words)
+    return (f"WITH d AS (SELECT p_partkey, {_WORDS_EXPR} AS w FROM part), "
+            f"l AS (SELECT p_partkey, unnest(list_transform(w, lambda x: replace(x, '.', ''))) AS v FROM d) "
+            f"SELECT p_partkey, {cols} FROM l WHERE v IS NOT NULL GROUP BY p_partkey")
+
+
+@query("word_crosstab", _crosstab_sql(_PART_WORDS))
+def word_crosstab(spark, d):
+    return E.value_crosstab(_part_words(spark, d), "p_partkey", "w", list(_PART_WORDS))
+
+
 @query("activity_level", """
 WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
 SELECT o_orderkey, o.o_custkey,

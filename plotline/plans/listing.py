@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions._util import quote
 from ..operators import clean as C
 from ..operators import encode as E
+from ..operators.joins import DEFAULT_BROADCAST_ROWS
 from ..schema import DEFAULT, ListingColumns
 
 __all__ = ["FittedFeatures", "clean_listings", "fit_features"]
@@ -47,6 +48,7 @@ class FittedFeatures:
     handle_invalid: str = "keep"
     output_col: str = "features"
     fill_missing: float | None = None
+    level_broadcast_rows: int | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         """M6 → M7 → M1 → M5 → M8 on any batch or stream of clean listings."""
@@ -55,7 +57,7 @@ class FittedFeatures:
         adm_inputs = []
         if self.levels is not None:
             out = E.apply_activity_levels(out, self.levels, c.seller, keep_input=False, how="left",
-                                          default_level=0.0)
+                                          default_level=0.0, max_broadcast_rows=self.level_broadcast_rows)
             adm_inputs.append(self.level_col)
         out = E.administrative_ordinals(out, self.tiers, c.province, c.district, c.ward)
         adm_inputs += [f"{a}_idx" for a in (c.province, c.district, c.ward) if f"{a}_idx" in out.columns]
@@ -88,12 +90,13 @@ class FittedFeatures:
         return names
 
 
-def _persist_small(df: DataFrame) -> DataFrame:
+def _persist_small(df: DataFrame) -> tuple[DataFrame, bool]:
     """Cut the lineage of a fitted lookup table so serving never re-reads the
-    training data: reliable checkpoint into the session's shared folder."""
+    training data: reliable checkpoint into the session's shared folder.
+    Returns (table, whether it is materialised)."""
     if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint(eager=True)
-    return df
+        return df.checkpoint(eager=True), True
+    return df, False
 
 
 def fit_features(train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFrame | None = None,
@@ -102,15 +105,16 @@ def fit_features(train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFr
     """Fit M6 levels, M1 indices and M3 vocabularies on clean training rows."""
     present = set(train.columns)
     levels = level_col = None
+    materialised = False
     if cols.seller in present:
         level_col = f"{cols.seller}_level"
-        levels = _persist_small(E.fit_activity_levels(train, cols.seller, level_col=level_col))
+        levels, materialised = _persist_small(E.fit_activity_levels(train, cols.seller, level_col=level_col))
     index_cols = [x for x in cols.indexed_categoricals if x in present]
     indexer = E.fit_label_indexer(train, index_cols, handle_invalid=index_invalid) if index_cols else None
     arrays = [a for a in cols.arrays if a in present]
     vocab = E.fit_multi_hot(train, arrays) if arrays else E.MultiHotVocab({})
     return FittedFeatures(cols, levels, level_col, tiers, indexer, index_cols, vocab, handle_invalid, output_col,
-                          fill_missing)
+                          fill_missing, DEFAULT_BROADCAST_ROWS if levels is not None and materialised else None)
 
 
 def quote_all(names) -> list[str]:

@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions._util import quote
 from ..operators import clean as C
+from ..operators.select import pick_rows
 from ..operators.evaluate import predict_back_transformed
 from ..plans.driver_queries import query
 from ..plans.listing import FittedFeatures
@@ -34,6 +36,18 @@ def score_frame(raw: DataFrame, stats: C.ImputeStats, fitted: FittedFeatures, mo
     return scored.select(*keep, F.exp("prediction").alias("prediction"))
 
 
+def predicted_vs_actual(raw: DataFrame, stats: C.ImputeStats, fitted: FittedFeatures, model,
+                        cols: ListingColumns = DEFAULT, keys=None) -> DataFrame:
+    """Chosen listings (``keys`` = list or DataFrame of identifiers) or
+    typed-in rows → (identifier, actual price, predicted price) in millions."""
+    if keys is not None:
+        raw = pick_rows(raw, cols.identifier, keys)
+    clean, _ = C.clean_raw(raw, cols, is_train=False, stats=stats)
+    scored = model.transform(fitted.transform(clean))
+    return scored.select(cols.identifier, F.col(quote(cols.label)).cast("double").alias("actual"),
+                         F.exp("prediction").alias("predicted"))
+
+
 def start_scoring(spark: SparkSession, source: str, schema, to_raw: Callable[[DataFrame], DataFrame],
                   stats: C.ImputeStats, fitted: FittedFeatures, model, sink: str, checkpoint: str,
                   cols: ListingColumns = DEFAULT, fmt: str = "parquet", glob: str | None = None,
@@ -62,16 +76,10 @@ def scratch_paths(spark: SparkSession, name: str) -> tuple[str, str]:
 @query("stream_score", None)
 def stream_score(spark: SparkSession, d: str) -> DataFrame:
     """Fit on finished orders, then stream the open orders through the scorer."""
-    from ..operators.models import fit_regressor
-    from ..plans.feature_queries import _cleaned, raw_listings_from, tier_lookup
-    from ..plans.listing import fit_features, label_log
+    from ..plans.feature_queries import raw_listings_from
     from ..sources import read_table
 
-    cols = ListingColumns()
-    clean_train, _serve, stats = _cleaned(spark, d)
-    fitted = fit_features(clean_train, cols, tier_lookup(spark, d), index_invalid="keep", fill_missing=0.0)
-    train = label_log(fitted.transform(clean_train), cols.label)
-    model = fit_regressor("linear", train, "features", "label")
+    cols, stats, fitted, model = _fit_listing_model(spark, d)
 
     orders_schema = read_table(spark, d, "orders").schema
     customers = read_table(spark, d, "customer")
@@ -88,4 +96,29 @@ def stream_score(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(sink)
 
 
-__all__ = ["predict_back_transformed", "scratch_paths", "score_frame", "start_scoring"]
+def _fit_listing_model(spark: SparkSession, d: str):
+    """Fit imputation, features and a log-price linear model on finished orders."""
+    from ..operators.models import fit_regressor
+    from ..plans.feature_queries import _cleaned, tier_lookup
+    from ..plans.listing import fit_features, label_log
+
+    cols = ListingColumns()
+    clean_train, _serve, stats = _cleaned(spark, d)
+    fitted = fit_features(clean_train, cols, tier_lookup(spark, d), index_invalid="keep", fill_missing=0.0)
+    model = fit_regressor("linear", label_log(fitted.transform(clean_train), cols.label), "features", "label")
+    return cols, stats, fitted, model
+
+
+@query("batch_score", None)
+def batch_score(spark: SparkSession, d: str) -> DataFrame:
+    """M21 over a whole table: every open order scored, actual vs predicted."""
+    from ..plans.feature_queries import raw_listings
+
+    cols, stats, fitted, model = _fit_listing_model(spark, d)
+    raw = raw_listings(spark, d)
+    serve = raw.where(F.col("o_orderstatus") != "F").drop("o_orderstatus")
+    return predicted_vs_actual(serve, stats, fitted, model, cols)
+
+
+__all__ = ["batch_score", "predict_back_transformed", "predicted_vs_actual", "scratch_paths", "score_frame",
+           "start_scoring"]

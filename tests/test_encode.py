@@ -96,3 +96,11 @@ def test_feature_plan_fit_once_serve_later(spark):
     def norm(rows):
         return sorted(repr([None if x != x else x for x in r.a]) for r in rows)
     assert norm(again) == norm(arrs)                                  # fit then transform is stable
+
+
+def test_values_long_and_crosstab(spark):
+    df = spark.createDataFrame([(1, ["a.", "b", "a"]), (2, None), (3, [])], "k int, arr array<string>")
+    long = sorted((r.k, r.value) for r in E.values_long(df, "k", "arr").collect())
+    assert long == [(1, "a"), (1, "a"), (1, "b"), (2, None), (3, None)]   # explode_outer keeps empty rows
+    ct = {r.k: (r.a, r.b, r.z) for r in E.value_crosstab(df, "k", "arr", ["a", "b", "z"]).collect()}
+    assert ct == {1: (2, 1, 0)}

@@ -77,3 +77,22 @@ def test_batch_and_stream_scores_agree(spark, tmp_dir):
     assert sorted((r.MaTin, round(r.prediction, 9)) for r in batch) == \
         sorted((r.MaTin, round(r.prediction, 9)) for r in stream)
     assert len(stream) == 6
+
+
+def test_predicted_vs_actual_for_selected_and_typed_rows(spark):
+    from plotline.schema import raw_listing_schema
+    from plotline.sources import json_records_to_df
+    cols = ListingColumns()
+    clean, stats = C.clean_raw(listing_df(spark), cols, is_train=True)
+    fitted = fit_features(clean, cols, spark.createDataFrame(TIERS, TIER_SCHEMA), index_invalid="keep",
+                          fill_missing=0.0)
+    model = fit_regressor("linear", label_log(fitted.transform(clean), cols.label), "features", "label")
+    chosen = SC.predicted_vs_actual(listing_df(spark), stats, fitted, model, cols, keys=["1001", "1007"])
+    rows = {r.MaTin: r for r in chosen.collect()}
+    assert sorted(rows) == ["1001", "1007"] and rows["1001"].actual == pytest.approx(5200.0)
+    assert all(r.predicted > 0 for r in rows.values())
+    typed = json_records_to_df(spark, [{"MaTin": "x1", "NgayDangBan": "02/07/2022", "TongGia": None,
+                                        "DienTich": "60 m²", "Tinh": "Tỉnh Một", "PhongNgu": "2"}],
+                               raw_listing_schema(cols))
+    one = SC.predicted_vs_actual(typed, stats, fitted, model, cols).collect()
+    assert len(one) == 1 and one[0].actual is None and one[0].predicted > 0
