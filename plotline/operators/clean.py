@@ -201,7 +201,10 @@ def clean_raw(df: DataFrame, cols: ListingColumns = DEFAULT, is_train: bool = Tr
     prepared = prepare_for_imputation(df, cols)
     if stats is None:
         stats = fit_imputer(prepared, cols)
-    filled = apply_imputer(prepared, stats)
-    out = type_cast(filled, cols)
-    out = drop_records(out, cols, is_train)
-    return out, stats
+    return finish_clean(prepared, stats, cols, is_train), stats
+
+
+def finish_clean(prepared: DataFrame, stats: ImputeStats, cols: ListingColumns = DEFAULT,
+                 is_train: bool = True) -> DataFrame:
+    """The part of N12 after statistics exist: impute → cast → drop."""
+    return drop_records(type_cast(apply_imputer(prepared, stats), cols), cols, is_train)

@@ -44,10 +44,20 @@ MAX_VOCAB = 1_000_000
 
 def fit_label_indexer(df: DataFrame, cols: Sequence[str], suffix: str = "_idx",
                       handle_invalid: str = "skip") -> PipelineModel:
-    """M1: index each column by descending frequency (ties alphabetical)."""
-    stages = [StringIndexer(inputCol=c, outputCol=c + suffix, handleInvalid=handle_invalid,
-                            stringOrderType="frequencyDesc") for c in cols]
-    return Pipeline(stages=stages).fit(df)
+    """M1: index each column by descending frequency (ties alphabetical).
+
+    One multi-column indexer counts the labels of every column in a single
+    pass over the data (not one scan per column).  Returned as a one-stage
+    ``PipelineModel`` so it persists and loads like any fitted pipeline.
+    """
+    stage = StringIndexer(inputCols=list(cols), outputCols=[c + suffix for c in cols],
+                          handleInvalid=handle_invalid, stringOrderType="frequencyDesc")
+    return Pipeline(stages=[stage]).fit(df)
+
+
+def index_labels(model: PipelineModel, col_position: int = 0) -> list[str]:
+    """Fitted labels of one indexed column, most frequent first."""
+    return list(model.stages[0].labelsArray[col_position])
 
 
 def fit_one_hot(df: DataFrame, input_cols: Sequence[str], output_cols: Sequence[str] | None = None,

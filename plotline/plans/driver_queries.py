@@ -569,7 +569,7 @@ def one_hot(spark, d):
     indexer = E.fit_label_indexer(part, ["p_type"])
     idx = indexer.transform(part)
     ohe = E.fit_one_hot(idx, ["p_type_idx"], ["p_type_ohe"]).transform(idx)
-    width = len(indexer.stages[0].labels) - 1
+    width = len(E.index_labels(indexer)) - 1
     return E.vector_columns(ohe.select("p_partkey", "p_type_ohe"), "p_type_ohe", [f"t_{i}" for i in range(width)])
 
 

@@ -15,7 +15,7 @@ from ..operators.joins import broadcast_if_small
 from ..schema import ListingColumns
 from ..sources import read_table
 from .driver_queries import _DISTRICT_TEXT, _PRICE_TEXT, _TIER_TEXT, _WARD_TEXT, _f1_sql, query
-from .listing import clean_listings, fit_features
+from .listing import ListingFit, clean_listings
 
 # listing field → expression over orders ⋈ customer ⋈ nation (same text in Spark and DuckDB,
 # except that Spark spells string_split as split)
@@ -218,10 +218,12 @@ FROM sv s LEFT JOIN lv ON s."Id_NguoiDangban" = lv.k LEFT JOIN tiers ON s."Tinh"
 @query("feature_vectors", _features_sql())
 def feature_vectors(spark, d):
     from pyspark.ml.functions import vector_to_array
-    clean_train, clean_serve, _stats = _cleaned(spark, d)
-    fitted = fit_features(clean_train, ListingColumns(), tier_lookup(spark, d), handle_invalid="keep",
-                          index_invalid="skip")
-    out = fitted.transform(clean_serve)
+    raw = raw_listings(spark, d)
+    train = raw.where(F.col("o_orderstatus") == "F").drop("o_orderstatus")
+    serve = raw.where(F.col("o_orderstatus") != "F").drop("o_orderstatus")
+    with ListingFit(train, ListingColumns(), tier_lookup(spark, d), handle_invalid="keep",
+                    index_invalid="skip") as fit:
+        out = fit.fitted.transform(fit.clean(serve))
+        names = fit.fitted.slot_names()
     arr = vector_to_array("features")
-    names = fitted.slot_names()
     return out.select("MaTin", *[arr[i].alias(f"f_{n}") for i, n in enumerate(names)])

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from ..operators import encode as E
 from ..operators.joins import DEFAULT_BROADCAST_ROWS
 from ..schema import DEFAULT, ListingColumns
 
-__all__ = ["FittedFeatures", "clean_listings", "fit_features"]
+__all__ = ["FittedFeatures", "ListingFit", "clean_listings", "fit_features", "label_log"]
 
 
 def clean_listings(train: DataFrame, serve: DataFrame | None = None, cols: ListingColumns = DEFAULT):
@@ -117,6 +118,42 @@ def fit_features(train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFr
                           fill_missing, DEFAULT_BROADCAST_ROWS if levels is not None and materialised else None)
 
 
+class ListingFit:
+    """Fit everything a listing model needs, computing the training rows once.
+
+    ``with ListingFit(raw_train, cols, tiers) as fit:`` persists the prepared
+    training rows (memory, spilling to disk) for the duration of the block,
+    so imputation statistics, activity levels, label indices, vocabularies
+    and any model fitted inside the block read them from the cache instead of
+    re-deriving them from the sources; the cache is released on exit.
+    Executor loss only drops cached blocks, which Spark recomputes.
+    """
+
+    def __init__(self, raw_train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFrame | None = None,
+                 **feature_opts):
+        self.cols = cols
+        self.prepared = C.prepare_for_imputation(raw_train, cols)
+        self.tiers = tiers
+        self.feature_opts = feature_opts
+        self.stats: C.ImputeStats | None = None
+        self.fitted: FittedFeatures | None = None
+        self.clean_train: DataFrame | None = None
+
+    def __enter__(self) -> "ListingFit":
+        self.prepared.persist(StorageLevel.MEMORY_AND_DISK)
+        self.stats = C.fit_imputer(self.prepared, self.cols)
+        self.clean_train = C.finish_clean(self.prepared, self.stats, self.cols, is_train=True)
+        self.fitted = fit_features(self.clean_train, self.cols, self.tiers, **self.feature_opts)
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.prepared.unpersist()
+
+    def clean(self, raw: DataFrame, is_train: bool = False) -> DataFrame:
+        """Clean any other batch or stream with the fitted statistics."""
+        return C.clean_raw(raw, self.cols, is_train=is_train, stats=self.stats)[0]
+
+
 def quote_all(names) -> list[str]:
     return [quote(n) for n in names]
 

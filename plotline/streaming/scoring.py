@@ -99,14 +99,16 @@ def stream_score(spark: SparkSession, d: str) -> DataFrame:
 def _fit_listing_model(spark: SparkSession, d: str):
     """Fit imputation, features and a log-price linear model on finished orders."""
     from ..operators.models import fit_regressor
-    from ..plans.feature_queries import _cleaned, tier_lookup
-    from ..plans.listing import fit_features, label_log
+    from ..plans.feature_queries import raw_listings, tier_lookup
+    from ..plans.listing import ListingFit, label_log
 
     cols = ListingColumns()
-    clean_train, _serve, stats = _cleaned(spark, d)
-    fitted = fit_features(clean_train, cols, tier_lookup(spark, d), index_invalid="keep", fill_missing=0.0)
-    model = fit_regressor("linear", label_log(fitted.transform(clean_train), cols.label), "features", "label")
-    return cols, stats, fitted, model
+    raw = raw_listings(spark, d)
+    train = raw.where(F.col("o_orderstatus") == "F").drop("o_orderstatus")
+    with ListingFit(train, cols, tier_lookup(spark, d), index_invalid="keep", fill_missing=0.0) as fit:
+        data = label_log(fit.fitted.transform(fit.clean_train), cols.label)
+        model = fit_regressor("linear", data, "features", "label")
+    return cols, fit.stats, fit.fitted, model
 
 
 @query("batch_score", None)

@@ -14,7 +14,7 @@ from tests.listing_fixtures import TIER_SCHEMA, TIERS, listing, listing_df
 def test_label_index_frequency_then_alpha_and_skip(spark):
     train = spark.createDataFrame([("b",), ("a",), ("b",), ("c",), ("a",), ("d",)], "v string")
     m = E.fit_label_indexer(train, ["v"])
-    assert list(m.stages[0].labels) == ["a", "b", "c", "d"]     # ties alphabetical
+    assert E.index_labels(m) == ["a", "b", "c", "d"]             # ties alphabetical
     new = spark.createDataFrame([("b",), ("zz",), (None,)], "v string")
     out = m.transform(new).collect()
     assert [r.v_idx for r in out] == [1.0]                        # unseen and null rows skipped (G10)
