@@ -179,13 +179,16 @@ def detail_pairs(df: DataFrame, id_col: str, html_col: str = "html", block: str
     area = _extract(as_col(html_col), block)
     pairs = _paired(df, id_col, F.regexp_extract_all(area, F.lit(key_pattern), 1),
                     F.regexp_extract_all(area, F.lit(value_pattern), 1), "k", "v")
-    kv = pairs.select(id_col, F.transform("pairs", lambda x: F.struct(
-        attribute_name(html_unescape(x["k"])).alias("key"),
-        squash_whitespace(html_unescape(x["v"])).alias("value"))).alias("kv"))
-    keys = F.transform("kv", lambda x: x["key"])
-    last = kv.select(id_col, "kv", keys.alias("keys")).select(
-        id_col, F.filter("kv", lambda x, i: ~F.array_contains(F.slice("keys", i + 2, F.size("keys")), x["key"]))
-        .alias("kv"))
+    # (key, pos, value) per pair, sorted by key then page position: the last
+    # value of a key is the element whose successor has another key.  Sort
+    # twice instead of comparing every pair with every later one: O(n log n).
+    kv = pairs.select(id_col, F.array_sort(F.transform("pairs", lambda x, i: F.struct(
+        attribute_name(html_unescape(x["k"])).alias("key"), i.alias("pos"),
+        squash_whitespace(html_unescape(x["v"])).alias("value")))).alias("kv"))
+    last = kv.select(id_col, F.array_sort(F.transform(
+        F.filter("kv", lambda x, i: (i == F.size("kv") - 1)
+                 | ~F.try_element_at("kv", i + 2)["key"].eqNullSafe(x["key"])),
+        lambda x: F.struct(x["pos"].alias("pos"), x["key"].alias("key"), x["value"].alias("value")))).alias("kv"))
     if removed:
         last = last.select(id_col, F.filter("kv", lambda x: ~x["key"].isin(*removed)).alias("kv"))
     return (last.select(id_col, F.posexplode("kv").alias("pos", "kv"))
