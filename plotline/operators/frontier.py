@@ -8,6 +8,8 @@ one plan: slice → only-new filter → join outcomes → extract → merge.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,15 +50,16 @@ def slice_rows(df: DataFrame, order_cols, from_idx: int = 0, to_idx: int | None
     """Rows ``from_idx <= i < to_idx`` of ``df`` ordered by ``order_cols``.
 
     The default (0, None) is the whole table and costs nothing.  Otherwise the
-    ordinal comes from a range-partitioned sort plus ``zipWithIndex`` (one
-    small job counting rows per partition) — never a global window that would
-    pull every row into one partition.
+    ordinal is a distributed sequence attached in the JVM after a
+    range-partitioned sort (one small job counts rows per partition; rows
+    never pass through Python) — never a global window that would pull every
+    row into one partition.  ``order_cols`` should be unique so the order is
+    total.
     """
     if from_idx <= 0 and to_idx is None:
         return df
-    ordered = df.orderBy(*order_cols)
-    schema = T.StructType(df.schema.fields + [T.StructField("__i", T.LongType(), False)])
-    indexed = ordered.rdd.zipWithIndex().map(lambda ri: (*ri[0], ri[1])).toDF(schema)
+    os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
+    indexed = df.orderBy(*order_cols).pandas_api().to_spark(index_col="__i")
     cond = F.col("__i") >= F.lit(from_idx)
     if to_idx is not None:
         cond = cond & (F.col("__i") < F.lit(to_idx))
