@@ -373,11 +373,10 @@ def _f6_sql(x: str) -> str:
 
 @query("attr_names", f"""
 WITH n AS (SELECT doc_id, {_f6_sql('text')} AS name FROM documents)
-SELECT doc_id, md5(name) AS name_md5, length(name)::BIGINT AS name_len, left(name, 40) AS name_head FROM n""")
+SELECT doc_id, md5(name) AS name_md5, length(name)::BIGINT AS name_len FROM n""")
 def attr_names(spark, d):
     n = _t(spark, d, "documents").select("doc_id", PF.attribute_name("text").alias("name"))
-    return n.select("doc_id", F.md5("name").alias("name_md5"), F.length("name").cast("bigint").alias("name_len"),
-                    F.left("name", F.lit(40)).alias("name_head"))
+    return n.select("doc_id", F.md5("name").alias("name_md5"), F.length("name").cast("bigint").alias("name_len"))
 
 
 @query("sentence_join", f"""
@@ -663,7 +662,7 @@ FROM j""")
 def tier_ordinal(spark, d):
     nation = _t(spark, d, "nation")
     region = _t(spark, d, "region").where(F.col("r_regionkey") != 4)
-    tiers = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(
+    tiers = nation.join(broadcast_if_small(region, 10_000), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_name").alias("Tinh"), F.expr(_TIER_TEXT).alias("PhanLoaiTinh"))
     cust = _t(spark, d, "customer").join(
         broadcast_if_small(nation.select("n_nationkey", "n_name"), 10_000),

@@ -173,7 +173,7 @@ def tier_lookup(spark, d) -> DataFrame:
     """Province → tier text lookup derived from nation ⋈ region (region 4 left out)."""
     nation = read_table(spark, d, "nation")
     region = read_table(spark, d, "region").where(F.col("r_regionkey") != 4)
-    return nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(
+    return nation.join(broadcast_if_small(region, 10_000), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_name").alias("Tinh"), F.expr(_TIER_TEXT).alias("PhanLoaiTinh"))
 
 
