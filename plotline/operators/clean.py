@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -200,7 +201,12 @@ def clean_raw(df: DataFrame, cols: ListingColumns = DEFAULT, is_train: bool = Tr
     """
     prepared = prepare_for_imputation(df, cols)
     if stats is None:
-        stats = fit_imputer(prepared, cols)
+        # two fit jobs (means, mode) read the prepared rows: compute them once
+        prepared.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            stats = fit_imputer(prepared, cols)
+        finally:
+            prepared.unpersist()
     return finish_clean(prepared, stats, cols, is_train), stats
 
 

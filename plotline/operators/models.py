@@ -10,6 +10,8 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, Isotonic
                                    LinearRegression, RandomForestRegressor)
 from pyspark.sql import DataFrame
 
+from .partitioning import spread_for_iteration
+
 # --- fixed values: hyper-parameters of the saved models --------------------
 # random forest: 20 trees, depth 5, 32 bins
 # gradient-boosted trees: 20 iterations, step 0.1, depth 5
@@ -45,18 +47,6 @@ def make_regressor(kind: str, features_col: str = "features", label_col: str = "
     return est
 
 
-def spread_for_iteration(df: DataFrame) -> DataFrame:
-    """Give an iterative learner at least one partition per core.
-
-    Tree learners pass over their input once per tree level; an input that
-    arrives in fewer partitions than the cluster has cores (a few large row
-    groups) would leave cores idle for every pass.  Only then is the input
-    redistributed once; a large input is left exactly as it is.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
 def fit_regressor(kind: str, df: DataFrame, features_col: str = "features", label_col: str = "label",
                   prediction_col: str = "prediction", seed: int | None = 42, **params):
     """Fit a regressor; GBT checkpoints its lineage every 10 iterations in the

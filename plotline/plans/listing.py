@@ -19,6 +19,7 @@ from ..functions._util import quote
 from ..operators import clean as C
 from ..operators import encode as E
 from ..operators.joins import DEFAULT_BROADCAST_ROWS
+from ..operators.partitioning import spread_for_iteration
 from ..schema import DEFAULT, ListingColumns
 
 __all__ = ["FittedFeatures", "ListingFit", "clean_listings", "fit_features", "label_log"]
@@ -132,7 +133,7 @@ class ListingFit:
     def __init__(self, raw_train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFrame | None = None,
                  **feature_opts):
         self.cols = cols
-        self.prepared = C.prepare_for_imputation(raw_train, cols)
+        self.prepared = spread_for_iteration(C.prepare_for_imputation(raw_train, cols))
         self.tiers = tiers
         self.feature_opts = feature_opts
         self.stats: C.ImputeStats | None = None
