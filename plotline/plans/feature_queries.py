@@ -204,12 +204,12 @@ SELECT s."MaTin",
        coalesce(CASE WHEN lv.n < 2 THEN 0 WHEN lv.n < 5 THEN 1 WHEN lv.n < 8 THEN 2
                      WHEN lv.n < 16 THEN 3 WHEN lv.n IS NOT NULL THEN 4 END, 0)::DOUBLE AS "f_Id_NguoiDangban_level",
        coalesce(CASE WHEN contains(tier, 'Đặc biệt') THEN 4 WHEN contains(tier, 'III') THEN 3
-            WHEN contains(tier, 'II') THEN 2 WHEN contains(tier, 'I') THEN 1 END::DOUBLE, 'NaN'::DOUBLE) AS "f_Tinh_idx",
+            WHEN contains(tier, 'II') THEN 2 WHEN contains(tier, 'I') THEN 1 END::DOUBLE, 0.0::DOUBLE) AS "f_Tinh_idx",
        coalesce(CASE WHEN contains(lower(s."Huyen"), 'tp') THEN 3 WHEN contains(lower(s."Huyen"), 'quận') THEN 3
             WHEN contains(lower(s."Huyen"), 'thị xã') THEN 2 WHEN contains(lower(s."Huyen"), 'huyện') THEN 1 END::DOUBLE,
-            'NaN'::DOUBLE) AS "f_Huyen_idx",
+            0.0::DOUBLE) AS "f_Huyen_idx",
        coalesce(CASE WHEN contains(lower(s."Xa"), 'phường') THEN 3 WHEN contains(lower(s."Xa"), 'thị trấn') THEN 2
-            WHEN contains(lower(s."Xa"), 'xã') THEN 1 END::DOUBLE, 'NaN'::DOUBLE) AS "f_Xa_idx",
+            WHEN contains(lower(s."Xa"), 'xã') THEN 1 END::DOUBLE, 0.0::DOUBLE) AS "f_Xa_idx",
        {", ".join(f'r_{c}.idx AS "f_{c}_idx"' for c in idx_cols)},
        {words}
 FROM sv s LEFT JOIN lv ON s."Id_NguoiDangban" = lv.k LEFT JOIN tiers ON s."Tinh" = tiers.t {joins}"""
@@ -222,7 +222,7 @@ def feature_vectors(spark, d):
     train = raw.where(F.col("o_orderstatus") == "F").drop("o_orderstatus")
     serve = raw.where(F.col("o_orderstatus") != "F").drop("o_orderstatus")
     with ListingFit(train, ListingColumns(), tier_lookup(spark, d), handle_invalid="keep",
-                    index_invalid="skip") as fit:
+                    index_invalid="skip", fill_missing=0.0) as fit:
         out = fit.fitted.transform(fit.clean(serve))
         names = fit.fitted.slot_names()
     arr = vector_to_array("features")
