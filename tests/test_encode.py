@@ -104,3 +104,10 @@ def test_values_long_and_crosstab(spark):
     assert long == [(1, "a"), (1, "a"), (1, "b"), (2, None), (3, None)]   # explode_outer keeps empty rows
     ct = {r.k: (r.a, r.b, r.z) for r in E.value_crosstab(df, "k", "arr", ["a", "b", "z"]).collect()}
     assert ct == {1: (2, 1, 0)}
+
+
+def test_one_hot_explicit_inputs(spark):
+    """Only the listed index columns are one-hot encoded, never every `_idx` name."""
+    df = spark.createDataFrame([(0.0, 2.0), (1.0, 3.0)], "a_idx double, Tinh_idx double")
+    out = E.fit_one_hot(df, ["a_idx"]).transform(df)
+    assert "a_ohe" in out.columns and "Tinh_ohe" not in out.columns
