@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,18 +110,44 @@ def column_mode(df: DataFrame, col: str):
 
 
 def fit_imputer(df: DataFrame, cols: ListingColumns = DEFAULT) -> ImputeStats:
-    """Fit means (one aggregate job for all columns) and modes on ``df``.
-
-    ``df`` is expected after ``strip_units`` and ``area_fallback``.
+    """Fit means and modes on ``df`` with ONE scan.
+
+    ``df`` is expected after ``strip_units`` and ``area_fallback``.  Means are
+    decomposable, so a single grouped aggregate keyed by each mode column
+    (grouping sets, partially aggregated before the shuffle) yields per-value
+    row counts *and* per-value partial sums; the shuffled result has one row
+    per distinct mode value, not one per input row.  Means are then summed
+    from the groups of one grouping set, and each mode is a top-1 ordered take
+    over its groups (ties to the smallest value).
     """
     present = set(df.columns)
     mean_cols = [c for c in cols.mean_filled if c in present]
-    means = {}
-    if mean_cols:
+    mode_cols = [c for c in cols.mode_filled if c in present]
+    means, modes = {}, {}
+    if mode_cols:
+        n = len(mode_cols)
+        parts = [F.count(F.lit(1)).alias("__n"), F.grouping_id().alias("__gid")]
+        for i, c in enumerate(mean_cols):
+            parts += [F.sum(_q(c)).alias(f"__s{i}"), F.count(_q(c)).alias(f"__c{i}")]
+        groups = (df.groupingSets([[_q(m)] for m in mode_cols], *[_q(m) for m in mode_cols])
+                  .agg(*parts).persist())
+        try:
+            gid = {m: sum(1 << (n - 1 - j) for j in range(n) if j != k) for k, m in enumerate(mode_cols)}
+            if mean_cols:
+                row = (groups.where(F.col("__gid") == gid[mode_cols[0]])
+                       .agg(*[(F.sum(f"__s{i}") / F.sum(f"__c{i}")).alias(c) for i, c in enumerate(mean_cols)])
+                       .collect()[0])
+                means = {c: row[c] for c in mean_cols if row[c] is not None}
+            for m in mode_cols:
+                top = (groups.where((F.col("__gid") == gid[m]) & _q(m).isNotNull())
+                       .orderBy(F.desc("__n"), F.asc(_q(m))).limit(1).collect())
+                if top:
+                    modes[m] = top[0][m]
+        finally:
+            groups.unpersist()
+    elif mean_cols:
         row = df.agg(*[F.avg(_q(c)).alias(c) for c in mean_cols]).collect()[0]
         means = {c: row[c] for c in mean_cols if row[c] is not None}
-    modes = {c: column_mode(df, c) for c in cols.mode_filled if c in present}
-    modes = {c: v for c, v in modes.items() if v is not None}
     constants = {c: cols.default_category for c in cols.categoricals if c in present}
     constants.update({c: v for c, v in cols.constant_fills.items() if c in present})
     arrays = tuple(c for c in cols.arrays if c in present)
@@ -201,12 +226,7 @@ def clean_raw(df: DataFrame, cols: ListingColumns = DEFAULT, is_train: bool = Tr
     """
     prepared = prepare_for_imputation(df, cols)
     if stats is None:
-        # two fit jobs (means, mode) read the prepared rows: compute them once
-        prepared.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            stats = fit_imputer(prepared, cols)
-        finally:
-            prepared.unpersist()
+        stats = fit_imputer(prepared, cols)
     return finish_clean(prepared, stats, cols, is_train), stats
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import url_id
+from ..functions import page_url, url_id
 from . import pages as P
 
 # --- fixed values: frontier defaults and statuses --------------------------
@@ -41,6 +41,29 @@ def urls_to_frontier(df: DataFrame, url_col: str = "url", id_col: str | None = N
     )
 
 
+def page_range_urls(df: DataFrame, keys, base_col: str, last_col: str, first: int = 1,
+                    chunk: int = 10_000, page_col: str = "page", url_col: str = "url") -> DataFrame:
+    """F13 over a table: one ``base?page=n`` row per page ``first..last`` of every row.
+
+    A single row with a huge range (one site with a third of all pages) must
+    not be expanded by one task.  Ranges are first cut into chunks of at most
+    ``chunk`` pages; the chunk descriptors (few rows) are hash-distributed on
+    (key, chunk) and only then expanded, so every task emits at most about
+    ``chunk`` rows per descriptor it holds.
+    """
+    keys = list(keys)
+    last = F.col(last_col).cast("long")
+    n_chunks = F.floor((last - F.lit(first)) / F.lit(chunk)).cast("long") + F.lit(1)
+    desc = (df.where(last >= F.lit(first))
+            .select(*keys, base_col, last_col,
+                    F.explode(F.sequence(F.lit(0).cast("long"), n_chunks - 1)).alias("__chunk")))
+    desc = desc.repartition(*[F.col(k) for k in keys], F.col("__chunk"))
+    start = F.lit(first).cast("long") + F.col("__chunk") * F.lit(chunk)
+    end = F.least(start + F.lit(chunk - 1), F.col(last_col).cast("long"))
+    pages = desc.select(*keys, base_col, F.explode(F.sequence(start, end)).alias(page_col))
+    return pages.select(*keys, F.col(page_col), page_url(base_col, page_col).alias(url_col))
+
+
 def only_uncrawled(frontier: DataFrame, recrawl: bool = False) -> DataFrame:
     """Unless re-crawling, skip URLs already crawled."""
     return frontier if recrawl else frontier.where(F.col("crawled") == 0)

@@ -420,10 +420,10 @@ SELECT o_custkey AS c_custkey, page::BIGINT AS page,
 FROM p""")
 def page_urls(spark, d):
     n = _t(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    last = F.expr("CAST((n + 4) div 5 AS INT)")
-    p = n.select(F.col("o_custkey").alias("c_custkey"), F.explode(PF.page_numbers(F.lit(1), last)).alias("page"))
-    base = F.concat(F.lit("https://shop.example.com/c/"), F.col("c_custkey").cast("string"))
-    return p.select("c_custkey", F.col("page").cast("bigint").alias("page"), PF.page_url(base, "page").alias("url"))
+    sites = n.select(F.col("o_custkey").alias("c_custkey"),
+                     F.concat(F.lit("https://shop.example.com/c/"), F.col("o_custkey").cast("string")).alias("base"),
+                     F.expr("(n + 4) div 5").alias("last"))
+    return FR.page_range_urls(sites, ["c_custkey"], "base", "last")
 
 
 def _unescape_sql(x: str) -> str:

@@ -57,3 +57,12 @@ def test_crawl_pass(spark):
     assert got[URLS[2]].crawled == 0                          # not fetched: unchanged
     assert got[URLS[5]].crawlingDate is None                  # already crawled: skipped (recrawl=False)
     assert updated.count() == 6
+
+
+def test_page_range_urls_chunked(spark):
+    df = spark.createDataFrame([(1, "https://x.vn/a", 25), (2, "https://x.vn/b", 0), (3, "https://x.vn/c", 3)],
+                               "k long, base string, last long")
+    out = FR.page_range_urls(df, ["k"], "base", "last", chunk=10).collect()
+    pages = sorted((r.k, r.page) for r in out)
+    assert pages == [(1, p) for p in range(1, 26)] + [(3, p) for p in range(1, 4)]
+    assert {r.url for r in out if r.k == 3} == {f"https://x.vn/c?page={p}" for p in (1, 2, 3)}
