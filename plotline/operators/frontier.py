@@ -89,11 +89,24 @@ def slice_rows(df: DataFrame, order_cols, from_idx: int = 0, to_idx: int | None
     return indexed.where(cond).drop("__i")
 
 
+def latest_fetches(fetches: DataFrame, time_col: str = "fetched_at") -> DataFrame:
+    """The most recent attempt per URL (a fetch log may hold retries).
+
+    One aggregation keyed by url (partial aggregation first, so a URL retried
+    many times costs one row per map task); its output is already
+    partitioned by url for the joins that follow.
+    """
+    others = [c for c in fetches.columns if c != "url"]
+    latest = fetches.groupBy("url").agg(F.max_by(F.struct(*others), F.col(time_col)).alias("__f"))
+    return latest.select("url", *[F.col(f"__f.{c}").alias(c) for c in others])
+
+
 def apply_fetch_outcomes(batch: DataFrame, fetches: DataFrame, status_col: str = "status_code",
                          time_col: str = "fetched_at") -> DataFrame:
     """H8: every attempted URL becomes crawled; 200 stamps the crawl time,
     anything else marks the URL unavailable.  URLs without a fetch row are
-    left as they were."""
+    left as they were.  ``fetches`` must hold at most one row per URL (see
+    ``latest_fetches``)."""
     f = fetches.select("url", F.col(status_col).alias("__code"), F.col(time_col).alias("__at"))
     j = batch.join(f, "url", "inner")
     ok = F.col("__code") == F.lit(HTTP_OK)
@@ -133,11 +146,12 @@ def crawl_pass(frontier: DataFrame, fetched: DataFrame, recrawl: bool = False, f
                to_idx: int | None = None, order_cols=("id", "url")) -> tuple[DataFrame, DataFrame]:
     """H9: one crawl pass → (listing records, updated frontier).
 
-    ``fetched`` holds (url, status_code, fetched_at, html).  Records are the
-    H1 fields of every page fetched with status 200, tagged with the
-    frontier id.
+    ``fetched`` holds (url, status_code, fetched_at, html), possibly several
+    attempts per URL; the latest attempt decides.  Records are the H1 fields
+    of every page whose latest fetch returned 200, tagged with the frontier id.
     """
     batch = only_uncrawled(slice_rows(frontier, list(order_cols), from_idx, to_idx), recrawl)
+    fetched = latest_fetches(fetched)
     updates = apply_fetch_outcomes(batch, fetched)
     ok_pages = (fetched.where(F.col("status_code") == F.lit(HTTP_OK)).select("url", "html")
                 .join(batch.select("url", "id"), "url", "inner"))

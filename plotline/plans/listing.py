@@ -51,6 +51,7 @@ class FittedFeatures:
     output_col: str = "features"
     fill_missing: float | None = None
     level_broadcast_rows: int | None = None
+    adm_cols: tuple = ()
 
     def transform(self, df: DataFrame) -> DataFrame:
         """M6 → M7 → M1 → M5 → M8 on any batch or stream of clean listings."""
@@ -83,9 +84,8 @@ class FittedFeatures:
 
     def slot_names(self) -> list[str]:
         """Name of every vector slot, in assembly order."""
-        c = self.cols
         names = [self.level_col] if self.levels is not None else []
-        names += [f"{a}_idx" for a in (c.province, c.district, c.ward)]
+        names += [f"{a}_idx" for a in self.adm_cols]
         names += [f"{x}_idx" for x in self.index_cols]
         for col, words in self.vocab.vocab.items():
             names += [f"{col}_{w}" for w in words]
@@ -115,8 +115,11 @@ def fit_features(train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFr
     indexer = E.fit_label_indexer(train, index_cols, handle_invalid=index_invalid) if index_cols else None
     arrays = [a for a in cols.arrays if a in present]
     vocab = E.fit_multi_hot(train, arrays) if arrays else E.MultiHotVocab({})
+    adm_cols = tuple(a for a in (cols.province, cols.district, cols.ward)
+                     if a in present and (a != cols.province or tiers is not None))
     return FittedFeatures(cols, levels, level_col, tiers, indexer, index_cols, vocab, handle_invalid, output_col,
-                          fill_missing, DEFAULT_BROADCAST_ROWS if levels is not None and materialised else None)
+                          fill_missing, DEFAULT_BROADCAST_ROWS if levels is not None and materialised else None,
+                          adm_cols)
 
 
 class ListingFit:

@@ -66,3 +66,17 @@ def test_page_range_urls_chunked(spark):
     pages = sorted((r.k, r.page) for r in out)
     assert pages == [(1, p) for p in range(1, 26)] + [(3, p) for p in range(1, 4)]
     assert {r.url for r in out if r.k == 3} == {f"https://x.vn/c?page={p}" for p in (1, 2, 3)}
+
+
+def test_retried_fetches_use_latest_attempt(spark):
+    f = frontier(spark)
+    early, late = dt.datetime(2022, 7, 11, 9, 0), dt.datetime(2022, 7, 11, 10, 0)
+    fetched = spark.createDataFrame(
+        [(URLS[0], 500, early, None), (URLS[0], 200, late, LISTING_PAGE), (URLS[1], 200, early, LISTING_PAGE),
+         (URLS[1], 404, late, None)], "url string, status_code int, fetched_at timestamp, html string")
+    records, updated = FR.crawl_pass(f, fetched)
+    got = {r.url: r for r in updated.collect()}
+    assert updated.count() == 6                                   # no duplicated frontier rows
+    assert got[URLS[0]].status == "available" and got[URLS[0]].crawlingDate == late
+    assert got[URLS[1]].status == "unavailable"
+    assert [r.id for r in records.collect()] == [1657527800]
