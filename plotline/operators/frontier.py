@@ -49,7 +49,10 @@ def page_range_urls(df: DataFrame, keys, base_col: str, last_col: str, first: in
     not be expanded by one task.  Ranges are first cut into chunks of at most
     ``chunk`` pages; the chunk descriptors (few rows) are hash-distributed on
     (key, chunk) and only then expanded, so every task emits at most about
-    ``chunk`` rows per descriptor it holds.
+    ``chunk`` rows per descriptor it holds.  The redistribution names its
+    partition count (the session's shuffle parallelism): adaptive execution
+    would otherwise coalesce the tiny descriptor shuffle into one partition
+    and put the whole expansion back into one task.
     """
     keys = list(keys)
     last = F.col(last_col).cast("long")
@@ -57,7 +60,8 @@ def page_range_urls(df: DataFrame, keys, base_col: str, last_col: str, first: in
     desc = (df.where(last >= F.lit(first))
             .select(*keys, base_col, last_col,
                     F.explode(F.sequence(F.lit(0).cast("long"), n_chunks - 1)).alias("__chunk")))
-    desc = desc.repartition(*[F.col(k) for k in keys], F.col("__chunk"))
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    desc = desc.repartition(n_parts, *[F.col(k) for k in keys], F.col("__chunk"))
     start = F.lit(first).cast("long") + F.col("__chunk") * F.lit(chunk)
     end = F.least(start + F.lit(chunk - 1), F.col(last_col).cast("long"))
     pages = desc.select(*keys, base_col, F.explode(F.sequence(start, end)).alias(page_col))

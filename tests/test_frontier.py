@@ -80,3 +80,13 @@ def test_retried_fetches_use_latest_attempt(spark):
     assert got[URLS[0]].status == "available" and got[URLS[0]].crawlingDate == late
     assert got[URLS[1]].status == "unavailable"
     assert [r.id for r in records.collect()] == [1657527800]
+
+
+def test_huge_range_is_expanded_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(1, "https://x.vn/hot", 50_000), (2, "https://x.vn/cold", 2)],
+                               "k long, base string, last long")
+    out = FR.page_range_urls(df, ["k"], "base", "last", chunk=1_000)
+    per_task = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in per_task) == 50_002
+    assert len(per_task) > 1 and max(r["count"] for r in per_task) < 50_000

@@ -96,3 +96,21 @@ def test_predicted_vs_actual_for_selected_and_typed_rows(spark):
                                raw_listing_schema(cols))
     one = SC.predicted_vs_actual(typed, stats, fitted, model, cols).collect()
     assert len(one) == 1 and one[0].actual is None and one[0].predicted > 0
+
+
+def test_stream_restart_processes_only_new_files(spark, tmp_dir):
+    cols = ListingColumns()
+    clean, stats = C.clean_raw(listing_df(spark), cols, is_train=True)
+    fitted = fit_features(clean, cols, spark.createDataFrame(TIERS, TIER_SCHEMA), index_invalid="keep",
+                          fill_missing=0.0)
+    model = fit_regressor("linear", label_log(fitted.transform(clean), cols.label), "features", "label")
+    src, sink, ckpt = (os.path.join(tmp_dir, x) for x in ("in", "out", "ckpt"))
+    schema = listing_df(spark).schema
+    first = [listing(MaTin=f"a{i}") for i in range(3)]
+    listing_df(spark, first).write.mode("append").parquet(src)
+    SC.start_scoring(spark, src, schema, lambda d: d, stats, fitted, model, sink, ckpt).awaitTermination()
+    second = [listing(MaTin=f"b{i}") for i in range(2)]
+    listing_df(spark, second).write.mode("append").parquet(src)
+    SC.start_scoring(spark, src, schema, lambda d: d, stats, fitted, model, sink, ckpt).awaitTermination()
+    out = sorted(r.MaTin for r in spark.read.parquet(sink).collect())
+    assert out == ["a0", "a1", "a2", "b0", "b1"]                      # resumed, nothing scored twice
