@@ -116,12 +116,17 @@ def fit_multi_hot(df: DataFrame, cols: Sequence[str], max_vocab: int = MAX_VOCAB
 
 
 def multi_hot_columns(df: DataFrame, col: str, vocab: Sequence[str], prefix: str | None = None,
-                      keep_input: bool = False) -> DataFrame:
+                      keep_input: bool = False, max_wide: int = MAX_WIDE_VOCAB) -> DataFrame:
     """M3/M4 transform, wide form: one BIGINT count column per vocabulary word.
 
     Values outside the vocabulary are ignored; a word absent from a row is 0;
     a repeated value counts 2+.  No row id and no join: one projection.
+    Each column scans the row's array once, so the wide form is for small
+    vocabularies (``max_wide``); larger ones use ``multi_hot_vectors``, which
+    counts every value in one pass into a sparse vector.
     """
+    if len(vocab) > max_wide:
+        raise ValueError(f"{len(vocab)} values exceed the wide form ({max_wide}); use multi_hot_vectors")
     prefix = f"{col}_" if prefix is None else prefix
     norm = normalise_values(F.coalesce(F.col(quote(col)), F.array().cast("array<string>")))
     def equals(word):  # one-argument lambda: Spark reads a second argument as the index

@@ -23,9 +23,6 @@ STATUS_UNAVAILABLE = "unavailable"
 HTTP_OK = 200
 # ---------------------------------------------------------------------------
 
-FRONTIER_COLUMNS = ("url", "id", "crawled", "status", "crawlingDate")
-
-
 def urls_to_frontier(df: DataFrame, url_col: str = "url", id_col: str | None = None) -> DataFrame:
     """H7: URL list → frontier rows with defaults (not crawled, available, no date).
 

@@ -158,10 +158,6 @@ class ListingFit:
         return C.clean_raw(raw, self.cols, is_train=is_train, stats=self.stats)[0]
 
 
-def quote_all(names) -> list[str]:
-    return [quote(n) for n in names]
-
-
 def label_log(df: DataFrame, label_col: str, out_col: str = "label") -> DataFrame:
     """Model label: natural log of the price (back-transformed by M17).
 

@@ -93,3 +93,8 @@ def test_drop_incomplete(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (None, "b", 2.0), (3, None, 3.0)], "k int, d string, x double")
     out = C.drop_incomplete(df, ["k", "d"], ["x"])
     assert out.columns == ["k", "d"] and out.count() == 1
+
+
+def test_empty_arrays_for_null(spark):
+    df = spark.createDataFrame([(1, None), (2, ["a"])], "k int, arr array<string>")
+    assert [r.arr for r in C.empty_arrays_for_null(df, ["arr"]).orderBy("k").collect()] == [[], ["a"]]

@@ -111,3 +111,9 @@ def test_one_hot_explicit_inputs(spark):
     df = spark.createDataFrame([(0.0, 2.0), (1.0, 3.0)], "a_idx double, Tinh_idx double")
     out = E.fit_one_hot(df, ["a_idx"]).transform(df)
     assert "a_ohe" in out.columns and "Tinh_ohe" not in out.columns
+
+
+def test_wide_form_is_bounded(spark):
+    df = spark.createDataFrame([(1, ["a"])], "k int, arr array<string>")
+    with pytest.raises(ValueError):
+        E.multi_hot_columns(df, "arr", [f"w{i}" for i in range(300)])

@@ -114,3 +114,10 @@ def test_stream_restart_processes_only_new_files(spark, tmp_dir):
     SC.start_scoring(spark, src, schema, lambda d: d, stats, fitted, model, sink, ckpt).awaitTermination()
     out = sorted(r.MaTin for r in spark.read.parquet(sink).collect())
     assert out == ["a0", "a1", "a2", "b0", "b1"]                      # resumed, nothing scored twice
+
+
+def test_ranking_helpers(spark):
+    from plotline.operators import profile as PR
+    df = spark.createDataFrame([(0, 0.5), (1, 0.2), (2, 0.5), (3, 0.01)], "idx int, score double")
+    assert [r.idx for r in PR.top_n(df, "score", 3, "idx").collect()] == [0, 2, 1]
+    assert sorted(r.idx for r in PR.above_threshold(df, "score", 0.01).collect()) == [0, 1, 2]
