@@ -77,10 +77,27 @@ def vector_columns(df: DataFrame, vec_col: str, names: Sequence[str]) -> DataFra
 
 # --- M3 / M4 / M5: multi-hot counts of array values ------------------------
 
+# Control characters that do not occur in listing text: one joins the
+# elements of an array while their dots are stripped, the other stands in
+# for null elements until they are removed.
+_SEP = "\u0001"
+_NULL_MARK = "\u0002"
+
+
 def normalise_values(arr: Column) -> Column:
-    """F8 on every element, null elements removed (a null is not a category)."""
-    return F.filter(F.transform(arr, lambda x: F.regexp_replace(x, r"\.", "")),
-                    lambda x: x.isNotNull())
+    """F8 on every element, null elements removed (a null is not a category).
+
+    Written without array lambdas (join → one ``regexp_replace`` → split), so
+    it compiles into whole-stage code instead of being interpreted per element.
+    """
+    joined = F.regexp_replace(F.array_join(arr, _SEP, _NULL_MARK), r"\.", "")
+    return F.when(F.size(arr) > 0, F.array_remove(F.split(joined, _SEP, -1), F.lit(_NULL_MARK))
+                  ).otherwise(F.array().cast("array<string>"))
+
+
+def count_value(arr: Column, value: str) -> Column:
+    """Occurrences of ``value`` in an array (elements removed by ``array_remove``)."""
+    return F.size(arr) - F.size(F.array_remove(arr, F.lit(value)))
 
 
 @dataclass
@@ -99,13 +116,11 @@ def fit_multi_hot(df: DataFrame, cols: Sequence[str], max_vocab: int = MAX_VOCAB
     the de-duplicated pairs (map-side partial aggregation), and the result is
     checked against ``max_vocab`` before it reaches the driver.
     """
-    def tag(name):  # one-argument lambda: Spark reads a second argument as the index
-        return lambda x: F.struct(F.lit(name).alias("c"), x.alias("v"))
-
-    pairs = F.flatten(F.array(*[
-        F.transform(normalise_values(F.coalesce(F.col(quote(c)), F.array().cast("array<string>"))), tag(c))
-        for c in cols]))
-    distinct = df.select(F.explode(pairs).alias("p")).select("p.c", "p.v").distinct()
+    per_col = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("c"),
+                 normalise_values(F.coalesce(F.col(quote(c)), F.array().cast("array<string>"))).alias("vs"))
+        for c in cols])))
+    distinct = per_col.select("c", F.explode("vs").alias("v")).distinct()
     rows = distinct.limit(max_vocab + 1).collect()
     if len(rows) > max_vocab:
         raise ValueError(f"vocabulary larger than {max_vocab}; raise max_vocab or hash values")
@@ -129,10 +144,7 @@ def multi_hot_columns(df: DataFrame, col: str, vocab: Sequence[str], prefix: str
         raise ValueError(f"{len(vocab)} values exceed the wide form ({max_wide}); use multi_hot_vectors")
     prefix = f"{col}_" if prefix is None else prefix
     norm = normalise_values(F.coalesce(F.col(quote(col)), F.array().cast("array<string>")))
-    def equals(word):  # one-argument lambda: Spark reads a second argument as the index
-        return lambda x: x == F.lit(word)
-
-    outs = [F.size(F.filter(norm, equals(w))).cast("bigint").alias(prefix + w) for w in vocab]
+    outs = [count_value(norm, w).cast("bigint").alias(prefix + w) for w in vocab]
     kept = [F.col(quote(c)) for c in df.columns if keep_input or c != col]
     return df.select(*kept, *outs)
 
@@ -164,8 +176,8 @@ def multi_hot_vectors(df: DataFrame, vocab: MultiHotVocab, suffix: str = "_ohe",
 def values_long(df: DataFrame, id_col: str, col: str, value_col: str = "value") -> DataFrame:
     """F18 + F8: one row per (id, normalised value); a null or empty array
     keeps its row with a null value (``explode_outer``)."""
-    arr = F.transform(F.col(quote(col)), lambda x: F.regexp_replace(x, r"\.", ""))
-    return df.select(id_col, F.explode_outer(arr).alias(value_col))
+    exploded = df.select(id_col, F.explode_outer(F.col(quote(col))).alias(value_col))
+    return exploded.select(id_col, F.regexp_replace(value_col, r"\.", "").alias(value_col))
 
 
 def value_crosstab(df: DataFrame, id_col: str, col: str, vocab: Sequence[str] | None = None) -> DataFrame:
