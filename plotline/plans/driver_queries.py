@@ -466,6 +466,8 @@ def page_fields(spark, d):
 
 
 _NAV = '<a href="([^"]*)">([^<]*)</a>'
+_NAV_TEXT = '<a href="[^"]*">([^<]*)</a>'    # group 1: link text
+_NAV_HREF = '<a href="([^"]*)">[^<]*</a>'    # group 1: link target
 
 
 @query("page_links", f"""
@@ -485,7 +487,7 @@ def page_last(spark, d):
     pages = _t(spark, d, "pages").select("page_id", "html")
     items = F.regexp_extract_all("html", F.lit(_NAV), 2)
     return pages.select("page_id", F.size(items).cast("bigint").alias("n_items"),
-                        PG.last_page("html", _NAV.replace("([^\"]*)", "[^\"]*")).alias("last_page"))
+                        PG.last_page("html", _NAV_TEXT).alias("last_page"))
 
 
 @query("page_details", f"""
@@ -499,9 +501,8 @@ kept AS (SELECT * FROM last WHERE i0 = last_i AND key <> 'The')
 SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i0) - 1)::BIGINT AS pos, key, value FROM kept""")
 def page_details(spark, d):
     pages = _t(spark, d, "pages").select("page_id", "html")
-    return PG.detail_pairs(pages, "page_id", "html", block=r"(?s)(.*)",
-                           key_pattern=_NAV.replace('([^"]*)', '[^"]*'),
-                           value_pattern=_NAV.replace("([^<]*)", "[^<]*"), removed=("The",))
+    return PG.detail_pairs(pages, "page_id", "html", block=r"(?s)(.*)", key_pattern=_NAV_TEXT,
+                           value_pattern=_NAV_HREF, removed=("The",))
 
 
 # ---------------------------------------------------------------------------
@@ -574,7 +575,7 @@ def one_hot(spark, d):
 
 _WORDS_EXPR = ("CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE string_split(concat(p_name, CASE WHEN p_size > 40 "
                "THEN concat(' ', split_part(p_name, ' ', 2), '.') ELSE '' END), ' ') END")
-_WORDS_SPARK = _WORDS_EXPR.replace("string_split(", "split(")
+_WORDS_SPARK = _WORDS_EXPR.replace("string_split(", "split(")   # the one spelling that differs in Spark SQL
 # vocabulary of part-name words in the driver tables (checked by the fitted vocabulary)
 _PART_WORDS = ("anvil", "blue", "bolt", "cold", "gear", "gizmo", "hot", "large", "new", "old", "plate", "red",
                "ring", "rod", "small", "widget")
