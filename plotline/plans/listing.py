@@ -145,9 +145,13 @@ class ListingFit:
 
     def __enter__(self) -> "ListingFit":
         self.prepared.persist(StorageLevel.MEMORY_AND_DISK)
-        self.stats = C.fit_imputer(self.prepared, self.cols)
-        self.clean_train = C.finish_clean(self.prepared, self.stats, self.cols, is_train=True)
-        self.fitted = fit_features(self.clean_train, self.cols, self.tiers, **self.feature_opts)
+        try:
+            self.stats = C.fit_imputer(self.prepared, self.cols)
+            self.clean_train = C.finish_clean(self.prepared, self.stats, self.cols, is_train=True)
+            self.fitted = fit_features(self.clean_train, self.cols, self.tiers, **self.feature_opts)
+        except BaseException:
+            self.prepared.unpersist()
+            raise
         return self
 
     def __exit__(self, *exc) -> None:
