@@ -112,9 +112,8 @@ def fit_features(train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFr
         level_col = f"{cols.seller}_level"
         levels, materialised = _persist_small(E.fit_activity_levels(train, cols.seller, level_col=level_col))
     index_cols = [x for x in cols.indexed_categoricals if x in present]
-    indexer = E.fit_label_indexer(train, index_cols, handle_invalid=index_invalid) if index_cols else None
     arrays = [a for a in cols.arrays if a in present]
-    vocab = E.fit_multi_hot(train, arrays) if arrays else E.MultiHotVocab({})
+    indexer, vocab = E.fit_labels_and_vocab(train, index_cols, arrays, handle_invalid=index_invalid)
     adm_cols = tuple(a for a in (cols.province, cols.district, cols.ward)
                      if a in present and (a != cols.province or tiers is not None))
     return FittedFeatures(cols, levels, level_col, tiers, indexer, index_cols, vocab, handle_invalid, output_col,

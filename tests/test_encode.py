@@ -117,3 +117,13 @@ def test_wide_form_is_bounded(spark):
     df = spark.createDataFrame([(1, ["a"])], "k int, arr array<string>")
     with pytest.raises(ValueError):
         E.multi_hot_columns(df, "arr", [f"w{i}" for i in range(300)])
+
+
+def test_fused_labels_and_vocab_match_separate_fits(spark):
+    df = spark.createDataFrame([("b", ["x.", "y"]), ("a", None), ("b", ["y", None]), ("c", []), (None, ["z"])],
+                               "v string, arr array<string>")
+    indexer, vocab = E.fit_labels_and_vocab(df, ["v"], ["arr"], handle_invalid="keep")
+    assert E.index_labels(indexer) == E.index_labels(E.fit_label_indexer(df, ["v"]))
+    assert vocab.vocab == E.fit_multi_hot(df, ["arr"]).vocab
+    out = {r.v: r.v_idx for r in indexer.transform(df).collect()}
+    assert out == {"b": 0.0, "a": 1.0, "c": 2.0, None: 3.0}
