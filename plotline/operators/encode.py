@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordinal_by_keywords
 from ..functions._util import quote
-from .joins import broadcast_if_small
+from .joins import broadcast_if_small, materialise_table
 
 # --- fixed values ----------------------------------------------------------
 # seller activity bins: [0,2) [2,5) [5,8) [8,16) [16,inf)
@@ -232,16 +232,21 @@ def value_crosstab(df: DataFrame, id_col: str, col: str, vocab: Sequence[str] |
 # --- M6: seller activity level ---------------------------------------------
 
 def fit_activity_levels(df: DataFrame, key: str, splits=ACTIVITY_SPLITS,
-                        level_col: str | None = None) -> DataFrame:
+                        level_col: str | None = None, materialise: bool = True) -> DataFrame:
     """M6 fit: rows per key → bucket index.  Returns a (key, level) table.
 
     ``groupBy().count()`` is partially aggregated before the shuffle, so a
-    hot key costs one row per map task, not a hot partition.
+    hot key costs one row per map task, not a hot partition.  The table is
+    fitted state, so it is materialised (reliable checkpoint in the shared
+    folder): joining it back then reads a plain scan, which is what lets
+    adaptive execution split a hot key's partition on the fact side (its
+    skew-join rule does not apply when an aggregate sits under the join).
     """
     level_col = level_col or f"{key}_level"
     counts = df.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("__n"))
     b = Bucketizer(splits=list(splits), inputCol="__n", outputCol=level_col, handleInvalid="keep")
-    return b.transform(counts).drop("__n")
+    levels = b.transform(counts).drop("__n")
+    return materialise_table(levels) if materialise else levels
 
 
 def apply_activity_levels(df: DataFrame, levels: DataFrame, key: str, keep_input: bool = False,
@@ -252,12 +257,12 @@ def apply_activity_levels(df: DataFrame, levels: DataFrame, key: str, keep_input
     Training uses ``how='inner'`` (rows with a null key drop out, as in the
     source); serving uses ``how='left'`` with ``default_level`` for unseen keys.
 
-    The level table is derived (one row per key), so by default no row count
-    is taken up front — that would run its aggregation twice.  Adaptive
-    execution sizes the materialised shuffle and turns the join into a
-    broadcast when it is small, or splits the hot key's partition (skew join)
-    when it is not.  Pass ``max_broadcast_rows`` when ``levels`` is already
-    materialised (e.g. checkpointed) and cheap to count.
+    Without ``max_broadcast_rows`` no row count is taken and adaptive
+    execution decides: it turns the join into a broadcast when the measured
+    level table is small, or splits the hot key's partition (skew join) when
+    it is not.  ``fit_activity_levels`` materialises its table, so passing a
+    bound (a cheap count of the checkpoint) is safe for fitted levels; for an
+    unmaterialised table a count would run its aggregation twice.
     """
     level_col = [c for c in levels.columns if c != key][0]
     side = broadcast_if_small(levels, max_broadcast_rows) if max_broadcast_rows else levels

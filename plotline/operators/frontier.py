@@ -139,8 +139,13 @@ def merge_frontier(old: DataFrame, updates: DataFrame, key: str = "url") -> Data
 
 
 def new_urls(current: DataFrame, previous: DataFrame, key: str = "url") -> DataFrame:
-    """Rows of ``current`` whose key is absent from ``previous`` (anti join)."""
-    return current.join(previous.select(key).distinct(), key, "left_anti")
+    """Rows of ``current`` whose key is absent from ``previous`` (anti join).
+
+    No ``distinct`` on ``previous``: duplicates cannot change an anti join,
+    and keeping both sides plain shuffles lets adaptive execution split a
+    skewed key.
+    """
+    return current.join(previous.select(key), key, "left_anti")
 
 
 def crawl_pass(frontier: DataFrame, fetched: DataFrame, recrawl: bool = False, from_idx: int = 0,

@@ -21,6 +21,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= max_rows else df
 
 
+def materialise_table(df: DataFrame) -> DataFrame:
+    """Compute a derived table once and cut its lineage (reliable checkpoint
+    into the session's shared checkpoint folder)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def lookup_join(fact: DataFrame, dim: DataFrame, on, how: str = "left",
                 max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Fact ⟕ dimension, broadcasting the dimension when its size allows."""
@@ -30,8 +38,9 @@ def lookup_join(fact: DataFrame, dim: DataFrame, on, how: str = "left",
 def join_group_counts(df: DataFrame, key: str, count_col: str = "count") -> DataFrame:
     """Attach each row's group size (inner join, so null keys drop out).
 
-    Counting first collapses a hot key to one row before the join, so the
-    join itself never moves a whole hot group; AQE splits the skewed side.
+    Counting first collapses a hot key to one row (partial aggregation); the
+    counts are materialised so the join reads a scan on both sides, which
+    lets adaptive execution split the hot key's partition of ``df``.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(count_col))
+    counts = materialise_table(df.groupBy(key).agg(F.count(F.lit(1)).alias(count_col)))
     return df.join(counts, key, "inner")

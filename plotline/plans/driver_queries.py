@@ -28,7 +28,7 @@ from ..operators import frontier as FR
 from ..operators import pages as PG
 from ..operators import profile as PR
 from ..operators import select as S
-from ..operators.joins import broadcast_if_small
+from ..operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 from ..operators.models import fit_regressor
 from ..schema import ListingColumns
 from ..sources import read_table
@@ -634,8 +634,9 @@ SELECT o_orderkey, o.o_custkey,
 FROM orders o JOIN c ON o.o_custkey = c.o_custkey""")
 def activity_level(spark, d):
     orders = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
-    levels = E.fit_activity_levels(orders, "o_custkey")
-    return E.apply_activity_levels(orders, levels, "o_custkey", keep_input=True)
+    levels = E.fit_activity_levels(orders, "o_custkey")          # materialised fitted table
+    return E.apply_activity_levels(orders, levels, "o_custkey", keep_input=True,
+                                   max_broadcast_rows=DEFAULT_BROADCAST_ROWS)
 
 
 _TIER_TEXT = ("CASE r_regionkey WHEN 0 THEN 'Đặc biệt' WHEN 1 THEN 'loại I' WHEN 2 THEN 'loại II' "

@@ -92,32 +92,22 @@ class FittedFeatures:
         return names
 
 
-def _persist_small(df: DataFrame) -> tuple[DataFrame, bool]:
-    """Cut the lineage of a fitted lookup table so serving never re-reads the
-    training data: reliable checkpoint into the session's shared folder.
-    Returns (table, whether it is materialised)."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint(eager=True), True
-    return df, False
-
-
 def fit_features(train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFrame | None = None,
                  handle_invalid: str = "keep", index_invalid: str = "skip",
                  output_col: str = "features", fill_missing: float | None = None) -> FittedFeatures:
     """Fit M6 levels, M1 indices and M3 vocabularies on clean training rows."""
     present = set(train.columns)
     levels = level_col = None
-    materialised = False
     if cols.seller in present:
         level_col = f"{cols.seller}_level"
-        levels, materialised = _persist_small(E.fit_activity_levels(train, cols.seller, level_col=level_col))
+        levels = E.fit_activity_levels(train, cols.seller, level_col=level_col)   # materialised
     index_cols = [x for x in cols.indexed_categoricals if x in present]
     arrays = [a for a in cols.arrays if a in present]
     indexer, vocab = E.fit_labels_and_vocab(train, index_cols, arrays, handle_invalid=index_invalid)
     adm_cols = tuple(a for a in (cols.province, cols.district, cols.ward)
                      if a in present and (a != cols.province or tiers is not None))
     return FittedFeatures(cols, levels, level_col, tiers, indexer, index_cols, vocab, handle_invalid, output_col,
-                          fill_missing, DEFAULT_BROADCAST_ROWS if levels is not None and materialised else None,
+                          fill_missing, DEFAULT_BROADCAST_ROWS if levels is not None else None,
                           adm_cols)
 
 
