@@ -52,6 +52,7 @@ class FittedFeatures:
     fill_missing: float | None = None
     level_broadcast_rows: int | None = None
     adm_cols: tuple = ()
+    scaler: object = None          # fitted StandardScalerModel (M11) or None
 
     def transform(self, df: DataFrame) -> DataFrame:
         """M6 → M7 → M1 → M5 → M8 on any batch or stream of clean listings."""
@@ -79,8 +80,10 @@ class FittedFeatures:
             parts.append("features_idx")
         if self.vocab.width():
             parts.append("features_ohe")
-        out = E.assemble(out, parts, self.output_col, self.handle_invalid)
-        return out.drop(*parts)
+        out = E.assemble(out, parts, self.output_col, self.handle_invalid).drop(*parts)
+        if self.scaler is not None:
+            out = self.scaler.transform(out)
+        return out
 
     def slot_names(self) -> list[str]:
         """Name of every vector slot, in assembly order."""
@@ -94,8 +97,11 @@ class FittedFeatures:
 
 def fit_features(train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFrame | None = None,
                  handle_invalid: str = "keep", index_invalid: str = "skip",
-                 output_col: str = "features", fill_missing: float | None = None) -> FittedFeatures:
-    """Fit M6 levels, M1 indices and M3 vocabularies on clean training rows."""
+                 output_col: str = "features", fill_missing: float | None = None,
+                 standardize: bool = False, standardized_col: str = "standardized") -> FittedFeatures:
+    """Fit M6 levels, M1 indices and M3 vocabularies on clean training rows;
+    with ``standardize`` also an M11 scaler on the assembled vector (output
+    ``standardized_col``, divided by the sample standard deviation)."""
     present = set(train.columns)
     levels = level_col = None
     if cols.seller in present:
@@ -106,9 +112,12 @@ def fit_features(train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFr
     indexer, vocab = E.fit_labels_and_vocab(train, index_cols, arrays, handle_invalid=index_invalid)
     adm_cols = tuple(a for a in (cols.province, cols.district, cols.ward)
                      if a in present and (a != cols.province or tiers is not None))
-    return FittedFeatures(cols, levels, level_col, tiers, indexer, index_cols, vocab, handle_invalid, output_col,
-                          fill_missing, DEFAULT_BROADCAST_ROWS if levels is not None else None,
-                          adm_cols)
+    fitted = FittedFeatures(cols, levels, level_col, tiers, indexer, index_cols, vocab, handle_invalid,
+                            output_col, fill_missing, DEFAULT_BROADCAST_ROWS if levels is not None else None,
+                            adm_cols)
+    if standardize:
+        fitted.scaler = E.fit_standard_scaler(fitted.transform(train), output_col, standardized_col)
+    return fitted
 
 
 class ListingFit:

@@ -105,9 +105,10 @@ def _fit_listing_model(spark: SparkSession, d: str):
     cols = ListingColumns()
     raw = raw_listings(spark, d)
     train = raw.where(F.col("o_orderstatus") == "F").drop("o_orderstatus")
-    with ListingFit(train, cols, tier_lookup(spark, d), index_invalid="keep", fill_missing=0.0) as fit:
+    with ListingFit(train, cols, tier_lookup(spark, d), index_invalid="keep", fill_missing=0.0,
+                    standardize=True) as fit:
         data = label_log(fit.fitted.transform(fit.clean_train), cols.label)
-        model = fit_regressor("linear", data, "features", "label")
+        model = fit_regressor("linear", data, "standardized", "label")
     return cols, fit.stats, fit.fitted, model
 
 

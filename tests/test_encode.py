@@ -127,3 +127,15 @@ def test_fused_labels_and_vocab_match_separate_fits(spark):
     assert vocab.vocab == E.fit_multi_hot(df, ["arr"]).vocab
     out = {r.v: r.v_idx for r in indexer.transform(df).collect()}
     assert out == {"b": 0.0, "a": 1.0, "c": 2.0, None: 3.0}
+
+
+def test_feature_plan_with_standardization(spark):
+    cols = ListingColumns()
+    clean, _ = C.clean_raw(listing_df(spark), cols, is_train=True)
+    fitted = fit_features(clean, cols, spark.createDataFrame(TIERS, TIER_SCHEMA), index_invalid="keep",
+                          fill_missing=0.0, standardize=True)
+    out = fitted.transform(clean).select(vector_to_array("features").alias("f"),
+                                         vector_to_array("standardized").alias("s")).collect()
+    std = fitted.scaler.std.toArray()
+    for r in out:
+        assert all((s == pytest.approx(f / d) if d > 0 else s == 0.0) for f, s, d in zip(r.f, r.s, std))
