@@ -90,16 +90,18 @@ def slice_rows(df: DataFrame, order_cols, from_idx: int = 0, to_idx: int | None
     return indexed.where(cond).drop("__i")
 
 
-def latest_fetches(fetches: DataFrame, time_col: str = "fetched_at") -> DataFrame:
+def latest_fetches(fetches: DataFrame, time_col: str = "fetched_at", status_col: str = "status_code") -> DataFrame:
     """The most recent attempt per URL (a fetch log may hold retries).
 
     One aggregation keyed by url (partial aggregation first, so a URL retried
     many times costs one row per map task); its output is already
-    partitioned by url for the joins that follow.
+    partitioned by url for the join that follows.  Each column is its own
+    ``max_by`` over (time, status), so columns a consumer does not read (the
+    HTML, for a frontier update) are pruned before the shuffle.
     """
+    order = F.struct(F.col(time_col), F.col(status_col))
     others = [c for c in fetches.columns if c != "url"]
-    latest = fetches.groupBy("url").agg(F.max_by(F.struct(*others), F.col(time_col)).alias("__f"))
-    return latest.select("url", *[F.col(f"__f.{c}").alias(c) for c in others])
+    return fetches.groupBy("url").agg(*[F.max_by(F.col(c), order).alias(c) for c in others])
 
 
 def apply_fetch_outcomes(batch: DataFrame, fetches: DataFrame, status_col: str = "status_code",
@@ -153,13 +155,37 @@ def crawl_pass(frontier: DataFrame, fetched: DataFrame, recrawl: bool = False, f
     """H9: one crawl pass → (listing records, updated frontier).
 
     ``fetched`` holds (url, status_code, fetched_at, html), possibly several
-    attempts per URL; the latest attempt decides.  Records are the H1 fields
-    of every page whose latest fetch returned 200, tagged with the frontier id.
+    attempts per URL; the latest attempt decides.  The whole pass is ONE left
+    join of the frontier with the latest fetch per URL: a row is updated when
+    it is in the slice, not yet crawled (unless ``recrawl``) and was fetched
+    (the H8 rule, with the J4 never-overwrite-with-null merge); records are
+    the H1 fields of the rows so updated with status 200.  The frontier is
+    shuffled once instead of once per join.
     """
-    batch = only_uncrawled(slice_rows(frontier, list(order_cols), from_idx, to_idx), recrawl)
-    fetched = latest_fetches(fetched)
-    updates = apply_fetch_outcomes(batch, fetched)
-    ok_pages = (fetched.where(F.col("status_code") == F.lit(HTTP_OK)).select("url", "html")
-                .join(batch.select("url", "id"), "url", "inner"))
-    records = P.listing_fields(ok_pages, "html").drop("html", "url")
-    return records, merge_frontier(frontier, updates)
+    sliced = not (from_idx <= 0 and to_idx is None)
+    base = frontier
+    if sliced:
+        os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
+        base = frontier.orderBy(*order_cols).pandas_api().to_spark(index_col="__i")
+    latest = latest_fetches(fetched).select(
+        "url", F.col("status_code").alias("__code"), F.col("fetched_at").alias("__at"), F.col("html").alias("__html"))
+    j = base.join(latest, "url", "left")
+    eligible = F.col("__code").isNotNull()
+    if not recrawl:
+        eligible = eligible & (F.col("crawled") == 0)
+    if sliced:
+        in_slice = F.col("__i") >= F.lit(from_idx)
+        if to_idx is not None:
+            in_slice = in_slice & (F.col("__i") < F.lit(to_idx))
+        eligible = eligible & in_slice
+    ok = F.col("__code") == F.lit(HTTP_OK)
+    updated = j.select(*[
+        F.when(eligible, F.lit(1)).otherwise(F.col("crawled")).alias("crawled") if c == "crawled" else
+        F.when(eligible & ~ok, F.lit(STATUS_UNAVAILABLE)).otherwise(F.col("status")).alias("status")
+        if c == "status" else
+        F.when(eligible & ok, F.col("__at").cast(T.TimestampType())).otherwise(F.col("crawlingDate"))
+        .alias("crawlingDate") if c == "crawlingDate" else F.col(c)
+        for c in frontier.columns])
+    pages = j.where(eligible & ok).select("id", F.col("__html").alias("html"))
+    records = P.listing_fields(pages, "html").drop("html")
+    return records, updated

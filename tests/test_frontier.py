@@ -90,3 +90,14 @@ def test_huge_range_is_expanded_by_many_tasks(spark):
     per_task = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in per_task) == 50_002
     assert len(per_task) > 1 and max(r["count"] for r in per_task) < 50_000
+
+
+def test_crawl_pass_slice_updates_only_the_slice(spark):
+    f = frontier(spark)
+    at = dt.datetime(2022, 7, 11, 15, 0)
+    fetched = spark.createDataFrame([(u, 200, at, LISTING_PAGE) for u in URLS],
+                                    "url string, status_code int, fetched_at timestamp, html string")
+    records, updated = FR.crawl_pass(f, fetched, from_idx=1, to_idx=3)     # ordered by (id, url)
+    crawled = sorted(r.id % 100 for r in updated.where("crawled = 1").collect())
+    assert crawled == [1, 2] and updated.count() == 6
+    assert sorted(r.id % 100 for r in records.collect()) == [1, 2]
