@@ -220,13 +220,17 @@ def values_long(df: DataFrame, id_col: str, col: str, value_col: str = "value")
 def value_crosstab(df: DataFrame, id_col: str, col: str, vocab: Sequence[str] | None = None) -> DataFrame:
     """A4: contingency table id × value (counts), one column per value.
 
-    Built as ``groupBy(id).pivot(value, vocab)``; with the vocabulary given
-    there is no extra job to discover the pivot values.  Null values are not
-    a column.  For encoding prefer ``multi_hot_columns`` (no shuffle).
+    Each row's counts are computed in place (no explode), then summed per id
+    in ONE partially-aggregated shuffle — the same table as
+    ``groupBy(id).pivot(value).count()``, which needs two aggregations.  Ids
+    with no non-null value do not appear (as in a pivot); null is not a
+    column.  Without ``vocab`` the values are fitted first (one job).
     """
-    long = values_long(df, id_col, col).where(F.col("value").isNotNull())
-    pivoted = long.groupBy(id_col).pivot("value", list(vocab) if vocab is not None else None).count()
-    return pivoted.fillna(0)
+    if vocab is None:
+        vocab = fit_multi_hot(df, [col]).vocab[col]
+    norm = normalise_values(F.coalesce(F.col(quote(col)), F.array().cast("array<string>")))
+    rows = df.select(id_col, norm.alias("__vs")).where(F.size("__vs") > 0)
+    return rows.groupBy(id_col).agg(*[F.sum(count_value(F.col("__vs"), v)).cast("bigint").alias(v) for v in vocab])
 
 
 # --- M6: seller activity level ---------------------------------------------
