@@ -127,12 +127,16 @@ class ListingFit:
     training rows (memory, spilling to disk) for the duration of the block,
     so imputation statistics, activity levels, label indices, vocabularies
     and any model fitted inside the block read them from the cache instead of
-    re-deriving them from the sources; the cache is released on exit.
-    Executor loss only drops cached blocks, which Spark recomputes.
+    re-deriving them from the sources (each re-derivation repeats the fact ⋈
+    customer shuffle); the cache is released on exit.  ``storage_level``
+    may be ``DISK_ONLY`` for a training set larger than executor memory, or
+    ``None`` to recompute instead of caching.  Executor loss only drops
+    cached blocks, which Spark recomputes.
     """
 
     def __init__(self, raw_train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFrame | None = None,
-                 **feature_opts):
+                 storage_level: StorageLevel | None = StorageLevel.MEMORY_AND_DISK, **feature_opts):
+        self.storage_level = storage_level
         self.cols = cols
         self.prepared = spread_for_iteration(C.prepare_for_imputation(raw_train, cols))
         self.tiers = tiers
@@ -142,7 +146,8 @@ class ListingFit:
         self.clean_train: DataFrame | None = None
 
     def __enter__(self) -> "ListingFit":
-        self.prepared.persist(StorageLevel.MEMORY_AND_DISK)
+        if self.storage_level is not None:
+            self.prepared.persist(self.storage_level)
         try:
             self.stats = C.fit_imputer(self.prepared, self.cols)
             self.clean_train = C.finish_clean(self.prepared, self.stats, self.cols, is_train=True)
