@@ -28,11 +28,12 @@ from ..session import ensure_checkpoint_dir
 
 
 def score_frame(raw: DataFrame, stats: C.ImputeStats, fitted: FittedFeatures, model,
-                cols: ListingColumns = DEFAULT, keep=("MaTin",)) -> DataFrame:
-    """Clean → encode → score one DataFrame (batch or streaming)."""
+                cols: ListingColumns = DEFAULT, keep=None) -> DataFrame:
+    """Clean → encode → score one DataFrame (batch or streaming); keeps the
+    identifier (or the ``keep`` columns) and the price back-transformed from log space."""
     clean, _ = C.clean_raw(raw, cols, is_train=False, stats=stats)
-    feats = fitted.transform(clean)
-    scored = model.transform(feats)
+    scored = model.transform(fitted.transform(clean))
+    keep = [quote(c) for c in (keep or (cols.identifier,))]
     return scored.select(*keep, F.exp("prediction").alias("prediction"))
 
 
