@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions._util import quote
+from ..functions._util import as_col, quote
 from ..operators import clean as C
 from ..operators.select import pick_rows
 from ..operators.evaluate import predict_back_transformed
@@ -33,7 +33,7 @@ def score_frame(raw: DataFrame, stats: C.ImputeStats, fitted: FittedFeatures, mo
     identifier (or the ``keep`` columns) and the price back-transformed from log space."""
     clean, _ = C.clean_raw(raw, cols, is_train=False, stats=stats)
     scored = model.transform(fitted.transform(clean))
-    keep = [quote(c) for c in (keep or (cols.identifier,))]
+    keep = [as_col(c) for c in (keep if keep is not None else (cols.identifier,))]
     return scored.select(*keep, F.exp("prediction").alias("prediction"))
 
 
