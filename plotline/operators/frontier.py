@@ -90,17 +90,22 @@ def slice_rows(df: DataFrame, order_cols, from_idx: int = 0, to_idx: int | None
     return indexed.where(cond).drop("__i")
 
 
-def latest_fetches(fetches: DataFrame, time_col: str = "fetched_at", status_col: str = "status_code") -> DataFrame:
+def latest_fetches(fetches: DataFrame, time_col: str = "fetched_at", status_col: str = "status_code",
+                   body_col: str = "html") -> DataFrame:
     """The most recent attempt per URL (a fetch log may hold retries).
 
     One aggregation keyed by url (partial aggregation first, so a URL retried
     many times costs one row per map task); its output is already
     partitioned by url for the join that follows.  Each column is its own
-    ``max_by`` over (time, status), so columns a consumer does not read (the
-    HTML, for a frontier update) are pruned before the shuffle.
+    ``max_by``, so columns a consumer does not read (the page body, for a
+    frontier update) are pruned before the shuffle.  The ordering key is
+    (time, status, every other non-body column), so attempts can only tie
+    when they agree on everything but the body; the body is then taken from
+    one of those equivalent attempts.
     """
-    order = F.struct(F.col(time_col), F.col(status_col))
     others = [c for c in fetches.columns if c != "url"]
+    order = F.struct(F.col(time_col), F.col(status_col),
+                     *[F.col(c) for c in others if c not in (time_col, status_col, body_col)])
     return fetches.groupBy("url").agg(*[F.max_by(F.col(c), order).alias(c) for c in others])
 
 
@@ -168,9 +173,10 @@ def crawl_pass(frontier: DataFrame, fetched: DataFrame, recrawl: bool = False, f
         os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
         base = frontier.orderBy(*order_cols).pandas_api().to_spark(index_col="__i")
     latest = latest_fetches(fetched).select(
-        "url", F.col("status_code").alias("__code"), F.col("fetched_at").alias("__at"), F.col("html").alias("__html"))
+        "url", F.lit(True).alias("__fetched"), F.col("status_code").alias("__code"),
+        F.col("fetched_at").alias("__at"), F.col("html").alias("__html"))
     j = base.join(latest, "url", "left")
-    eligible = F.col("__code").isNotNull()
+    eligible = F.col("__fetched").isNotNull()          # any attempt counts, even one without a status
     if not recrawl:
         eligible = eligible & (F.col("crawled") == 0)
     if sliced:
@@ -178,13 +184,13 @@ def crawl_pass(frontier: DataFrame, fetched: DataFrame, recrawl: bool = False, f
         if to_idx is not None:
             in_slice = in_slice & (F.col("__i") < F.lit(to_idx))
         eligible = eligible & in_slice
-    ok = F.col("__code") == F.lit(HTTP_OK)
+    ok = F.coalesce(F.col("__code") == F.lit(HTTP_OK), F.lit(False))
     updated = j.select(*[
         F.when(eligible, F.lit(1)).otherwise(F.col("crawled")).alias("crawled") if c == "crawled" else
         F.when(eligible & ~ok, F.lit(STATUS_UNAVAILABLE)).otherwise(F.col("status")).alias("status")
         if c == "status" else
-        F.when(eligible & ok, F.col("__at").cast(T.TimestampType())).otherwise(F.col("crawlingDate"))
-        .alias("crawlingDate") if c == "crawlingDate" else F.col(c)
+        F.when(eligible & ok, F.coalesce(F.col("__at").cast(T.TimestampType()), F.col("crawlingDate")))
+        .otherwise(F.col("crawlingDate")).alias("crawlingDate") if c == "crawlingDate" else F.col(c)
         for c in frontier.columns])
     pages = j.where(eligible & ok).select("id", F.col("__html").alias("html"))
     records = P.listing_fields(pages, "html").drop("html")

@@ -48,11 +48,13 @@ def make_regressor(kind: str, features_col: str = "features", label_col: str = "
 
 
 def fit_regressor(kind: str, df: DataFrame, features_col: str = "features", label_col: str = "label",
-                  prediction_col: str = "prediction", seed: int | None = 42, **params):
+                  prediction_col: str = "prediction", seed: int | None = 42, spread: bool = False, **params):
     """Fit a regressor; GBT checkpoints its lineage every 10 iterations in the
-    session's checkpoint folder so a lost executor does not replay all rounds."""
+    session's checkpoint folder so a lost executor does not replay all rounds.
+    ``spread`` redistributes an under-partitioned scan-based input across the
+    cores first (see ``spread_for_iteration``)."""
     if kind == "gbt" and df.sparkSession.sparkContext.getCheckpointDir():
         params.setdefault("checkpointInterval", 10)
     est = make_regressor(kind, features_col, label_col, prediction_col, seed, **params)
     data = df.select(features_col, label_col)
-    return est.fit(spread_for_iteration(data) if kind in ("forest", "gbt", "tree") else data)
+    return est.fit(spread_for_iteration(data) if spread else data)

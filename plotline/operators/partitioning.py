@@ -10,9 +10,13 @@ def spread_for_iteration(df: DataFrame) -> DataFrame:
     partition per core.
 
     An input that arrives in fewer partitions than the cluster has cores (a
-    few large row groups, or a join that kept a one-partition side) would
-    leave cores idle on every pass.  Only then is it redistributed, once; a
-    large input is returned unchanged, so on a cluster this is a no-op.
+    few large row groups) would leave cores idle on every pass.  Only then is
+    it redistributed, once; a large input is returned unchanged, so on a
+    cluster this is a no-op.
+
+    Reading the partition count plans the input's RDD; for a plan with
+    shuffles, adaptive execution runs those shuffle stages to do so.  Use it
+    on scan-and-project inputs (as the model queries do), not after joins.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df

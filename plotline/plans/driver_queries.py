@@ -746,8 +746,8 @@ _TREE_FEATURES = ("l_quantity", "l_discount", "l_tax", "line_no")
 
 
 def _scored(spark, d, kind: str, features=_TREE_FEATURES) -> DataFrame:
-    data = _log_price_frame(spark, d, features)
-    model = fit_regressor(kind, data, "features", "label")
+    data = _log_price_frame(spark, d, features)              # scan + projections: cheap to inspect
+    model = fit_regressor(kind, data, "features", "label", spread=kind != "isotonic")
     scored = V.predict_back_transformed(model, data, "label", "prediction")
     return scored.select("l_orderkey", "l_linenumber", F.col("label").alias("price"), "prediction")
 
@@ -776,5 +776,5 @@ def isotonic(spark, d):
 def importance_topk(spark, d):
     data = _log_price_frame(spark, d, _TREE_FEATURES)
     slicer, table = V.select_features(data, "forest", "top", n_features=2, features_col="features",
-                                      label_col="label")
+                                      label_col="label", spread=True)
     return table.withColumn("selected", F.col("idx").isin(list(slicer.getIndices())))

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+
 from plotline.operators import frontier as FR
 from tests.pages_fixtures import LISTING_PAGE
 
@@ -101,3 +102,16 @@ def test_crawl_pass_slice_updates_only_the_slice(spark):
     crawled = sorted(r.id % 100 for r in updated.where("crawled = 1").collect())
     assert crawled == [1, 2] and updated.count() == 6
     assert sorted(r.id % 100 for r in records.collect()) == [1, 2]
+
+
+def test_attempt_without_status_and_missing_time(spark):
+    old = dt.datetime(2022, 7, 1, 8, 0)
+    f = (frontier(spark).withColumn("crawlingDate", F.when(F.col("url") == URLS[2], F.lit(old)))
+         .withColumn("crawled", F.lit(0)))
+    fetched = spark.createDataFrame(
+        [(URLS[0], None, dt.datetime(2022, 7, 11, 9, 0), None), (URLS[2], 200, None, LISTING_PAGE)],
+        "url string, status_code int, fetched_at timestamp, html string")
+    _, updated = FR.crawl_pass(f, fetched)
+    got = {r.url: r for r in updated.collect()}
+    assert got[URLS[0]].crawled == 1 and got[URLS[0]].status == "unavailable"   # an attempt, even without status
+    assert got[URLS[2]].crawled == 1 and got[URLS[2]].crawlingDate == old      # null time never overwrites
