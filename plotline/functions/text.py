@@ -55,8 +55,9 @@ def fold_accents(c) -> Column:
 
 
 def squash_whitespace(c) -> Column:
-    """any whitespace run → one space, trimmed."""
-    return F.trim(F.regexp_replace(as_col(c), r"\s+", " "))
+    """any whitespace run (no-break spaces included, as in Python's
+    ``str.split()``) → one space, trimmed."""
+    return F.trim(F.regexp_replace(as_col(c), r"[\s\u00a0]+", " "))
 
 
 def pre_clean(c) -> Column:

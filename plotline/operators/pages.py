@@ -39,21 +39,23 @@ REMOVED_DETAIL_KEYS = ("DienTichSuDung",)
 _DATE = r'(?s)class="text-gray text-100"[^>]*>\s*(.*?)\s*<'
 _SELLER_BLOCK = r'(?s)class="user-info-name"[^>]*>(.*?)</a>'
 _CRUMB_BLOCK = r'(?s)<ul class="crumb text-medium crumb-text"[^>]*>(.*?)</ul>'
-_SPAN_ITEM = r'(?s)<li[^>]*>.*?<span[^>]*>\s*(.*?)\s*</span>'
+_LI = r'(?s)<li[^>]*>(.*?)</li>'
+_SPAN_TEXT_IN_ITEM = r'(?s)<span[^>]*>\s*(.*?)\s*</span>'
 _PRICE_BLOCK = r'(?s)class="price-box"[^>]*>(.*?)</div>'
 _SPAN_TEXT = r'(?s)<span[^>]*>\s*(.*?)\s*</span>'
 _STATUS_BLOCK = r'(?s)class="product-status"[^>]*>\s*<div[^>]*>(.*?)</div>'
 _ADDRESS = r'(?s)class="product-title-price"[^>]*>\s*<div[^>]*>\s*<div[^>]*>\s*<span[^>]*>\s*(.*?)\s*</span>'
 _INFO_BLOCK = r'(?s)class="product-infomation"[^>]*>(.*?)</ul>'
-_INFO_ITEM = r'(?s)<li[^>]*>\s*<span[^>]*>\s*<i[^>]*>\s*(?:</i>)?\s*(.*?)\s*</span>'
+_INFO_IN_ITEM = r'(?s)<span[^>]*>\s*<i[^>]*>\s*(?:</i>)?\s*(.*?)\s*</span>'
 _DESC_BLOCK = r'(?s)id="content-tab-custom"[^>]*>(.*?)</div>'
 _DESC_ITEM = r'(?s)<(?:p|li)[^>]*>(.*?)</(?:p|li)>'
 _DETAIL_BLOCK = r'(?s)id="content-tab-info"[^>]*>(.*?)</ul>'
-_DETAIL_KEY = r'(?s)<li[^>]*>\s*<span[^>]*>\s*<span[^>]*>\s*(.*?)\s*</span>'
-_DETAIL_VALUE = r'(?s)<li[^>]*>\s*<span[^>]*>\s*<span[^>]*>.*?</span>\s*</span>\s*<span[^>]*>\s*(.*?)\s*</span>'
+_DETAIL_KEY = r'(?s)^\s*<span[^>]*>\s*<span[^>]*>\s*(.*?)\s*</span>'
+_DETAIL_VALUE = r'(?s)</span>\s*</span>\s*<span[^>]*>\s*(.*?)\s*</span>'
 _UTIL_AREA = r'(?s)class="tabs-product"[^>]*>(.*)$'
-_UTIL_HEAD = r'(?s)<h2[^>]*>\s*(.*?)\s*</h2>'
-_UTIL_LIST = r'(?s)<ul class="product-other-utilities"[^>]*>(.*?)</ul>'
+# a heading names the amenity list that directly follows it; headings without
+# such a list (description, information, anything after the tabs) are no group
+_UTIL_GROUP = r'(?s)<h2[^>]*>\s*([^<]*?)\s*</h2>\s*<ul class="product-other-utilities"[^>]*>(.*?)</ul>'
 _LISTING_LINK = r'(?s)<p class="name-product"[^>]*>\s*<a href="([^"]*)"'
 _PAGE_ITEM = r'(?s)class="page-item[^"]*"[^>]*>\s*(?:<[^>]+>\s*)*([^<]*?)\s*<'
 
@@ -83,6 +85,13 @@ def _items(html: Column, block: str, item: str) -> Column:
     return F.regexp_extract_all(_extract(html, block), F.lit(item), 1)
 
 
+def _item_values(html_block: Column, item_pattern: str) -> Column:
+    """Per ``<li>`` of a block, the first group of ``item_pattern`` inside that
+    item (``''`` when absent), so one irregular item never shifts the others."""
+    return F.transform(F.regexp_extract_all(html_block, F.lit(_LI), 1),
+                       lambda li: F.regexp_extract(li, item_pattern, 1))
+
+
 def extract_fields(df: DataFrame, html_col: str, fields: Mapping[str, str],
                    unescape: bool = True) -> DataFrame:
     """Generic H1: one column per (name → pattern, group 1); no match → null."""
@@ -119,10 +128,10 @@ def page_fields(df: DataFrame, html_col: str = "html") -> DataFrame:
 def listing_fields(df: DataFrame, html_col: str = "html") -> DataFrame:
     """H1: the listing record fields of a listing page (one row per page)."""
     html = as_col(html_col)
-    crumb = _items(html, _CRUMB_BLOCK, _SPAN_ITEM)
+    crumb = _item_values(_extract(html, _CRUMB_BLOCK), _SPAN_TEXT_IN_ITEM)
     prices = _items(html, _PRICE_BLOCK, _SPAN_TEXT)
     status = F.regexp_extract_all(_extract(html, _STATUS_BLOCK), F.lit(_SPAN_TEXT), 1)
-    info = _items(html, _INFO_BLOCK, _INFO_ITEM)
+    info = _item_values(_extract(html, _INFO_BLOCK), _INFO_IN_ITEM)
     seller = _extract(html, _SELLER_BLOCK)
 
     def at(arr: Column, i: int) -> Column:
@@ -169,7 +178,7 @@ def _paired(df: DataFrame, id_col: str, a: Column, b: Column, na: str, nb: str)
 
 def detail_pairs(df: DataFrame, id_col: str, html_col: str = "html", block: str = _DETAIL_BLOCK,
                  key_pattern: str = _DETAIL_KEY, value_pattern: str = _DETAIL_VALUE,
-                 removed=REMOVED_DETAIL_KEYS) -> DataFrame:
+                 removed=REMOVED_DETAIL_KEYS, per_item: bool = True) -> DataFrame:
     """H4: (id, pos, key, value) with keys normalised by F6 and values squashed.
 
     A key repeated on one page keeps its *last* value and ``removed`` keys are
@@ -177,8 +186,12 @@ def detail_pairs(df: DataFrame, id_col: str, html_col: str = "html", block: str
     array expression inside that row: no shuffle.
     """
     area = _extract(as_col(html_col), block)
-    pairs = _paired(df, id_col, F.regexp_extract_all(area, F.lit(key_pattern), 1),
-                    F.regexp_extract_all(area, F.lit(value_pattern), 1), "k", "v")
+    if per_item:   # key and value read inside the same <li>, so they cannot drift apart
+        keys, vals = _item_values(area, key_pattern), _item_values(area, value_pattern)
+    else:          # flat patterns over the whole block (each match carries both parts)
+        keys = F.regexp_extract_all(area, F.lit(key_pattern), 1)
+        vals = F.regexp_extract_all(area, F.lit(value_pattern), 1)
+    pairs = _paired(df, id_col, keys, vals, "k", "v")
     # (key, pos, value) per pair, sorted by key then page position: the last
     # value of a key is the element whose successor has another key.  Sort
     # twice instead of comparing every pair with every later one: O(n log n).
@@ -202,16 +215,15 @@ def details_map(df: DataFrame, id_col: str, html_col: str = "html") -> DataFrame
         F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("details"))
 
 
-def amenity_groups(df: DataFrame, id_col: str, html_col: str = "html", skip_heads: int = 2) -> DataFrame:
-    """H5: (id, group, items) — each heading from the third on names the
-    amenity list at the same position."""
+def amenity_groups(df: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
+    """H5: (id, group, items) — every heading of the amenity tabs that is
+    directly followed by an amenity list names that list; item texts are
+    read per ``<li>``."""
     area = _extract(as_col(html_col), _UTIL_AREA)
-    heads = F.regexp_extract_all(area, F.lit(_UTIL_HEAD), 1)
-    heads = F.slice(heads, skip_heads + 1, F.greatest(F.size(heads) - skip_heads, F.lit(0)))
-    lists = F.regexp_extract_all(area, F.lit(_UTIL_LIST), 1)
-    out = (_paired(df, id_col, heads, lists, "h", "l").select(id_col, F.explode("pairs").alias("g"))
-           .where(F.col("g.h").isNotNull()))
-    items = F.transform(F.regexp_extract_all(F.coalesce(F.col("g.l"), F.lit("")), F.lit(_SPAN_ITEM), 1),
+    heads = F.regexp_extract_all(area, F.lit(_UTIL_GROUP), 1)
+    lists = F.regexp_extract_all(area, F.lit(_UTIL_GROUP), 2)
+    out = _paired(df, id_col, heads, lists, "h", "l").select(id_col, F.explode("pairs").alias("g"))
+    items = F.transform(_item_values(F.col("g.l"), _SPAN_TEXT_IN_ITEM),
                         lambda x: squash_whitespace(html_unescape(x)))
     return out.select(id_col, attribute_name(html_unescape(F.col("g.h"))).alias("group"), items.alias("items"))
 

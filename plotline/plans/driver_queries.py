@@ -354,7 +354,7 @@ def _f5_sql(x: str) -> str:
 
 @query("text_preclean", f"""
 WITH d AS ({_DIRTY_DOCS_SQL}),
-c AS (SELECT doc_id, {_f5_sql('t')} AS pre, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS squashed FROM d)
+c AS (SELECT doc_id, {_f5_sql('t')} AS pre, trim(regexp_replace(t, '[\\s\\x{{00A0}}]+', ' ', 'g')) AS squashed FROM d)
 SELECT doc_id, md5(pre) AS pre_md5, length(pre)::BIGINT AS pre_len,
        md5(squashed) AS squashed_md5, length(squashed)::BIGINT AS squashed_len FROM c""")
 def text_preclean(spark, d):
@@ -367,7 +367,7 @@ def text_preclean(spark, d):
 
 def _f6_sql(x: str) -> str:
     folded = f"strip_accents(replace({x}, 'ß', 'ss'))"
-    words = f"string_split(trim(regexp_replace({folded}, '\\s+', ' ', 'g')), ' ')"
+    words = f"string_split(trim(regexp_replace({folded}, '[\\s\\x{{00A0}}]+', ' ', 'g')), ' ')"
     return f"array_to_string(list_transform({words}, lambda w: upper(w[1]) || lower(w[2:])), '')"
 
 
@@ -434,7 +434,7 @@ def _unescape_sql(x: str) -> str:
 
 
 def _squash_sql(x: str) -> str:
-    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({x}, '[\\s\\x{{00A0}}]+', ' ', 'g'))"
 
 
 def _field_sql(pattern: str) -> str:
@@ -502,7 +502,7 @@ SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i0) - 1)::BIGI
 def page_details(spark, d):
     pages = _t(spark, d, "pages").select("page_id", "html")
     return PG.detail_pairs(pages, "page_id", "html", block=r"(?s)(.*)", key_pattern=_NAV_TEXT,
-                           value_pattern=_NAV_HREF, removed=("The",))
+                           value_pattern=_NAV_HREF, removed=("The",), per_item=False)
 
 
 # ---------------------------------------------------------------------------

@@ -55,3 +55,17 @@ def test_generic_page_fields(spark):
     assert r.description == "Một. Hai. Ba 'c'."
     nav = PG.nav_links(pages(spark, html), "page_id").collect()
     assert [(r.pos, r.href, r.text) for r in nav] == [(0, "/a", "A")]
+
+
+def test_irregular_listing_markup(spark):
+    page = (LISTING_PAGE
+            .replace('<li><a href="/"><span>Trang chủ</span></a></li>',
+                     '<li><a href="/"><i class="icon-home"></i></a></li>')          # item without a span
+            .replace("<span>Tây   Bắc</span>", "<span>Tây&nbsp;Bắc&nbsp;</span>")    # no-break spaces
+            .replace("</body>", "<h2>Tin liên quan</h2><ul><li><span>x</span></li></ul></body>"))
+    r = PG.listing_fields(pages(spark, page), "html").collect()[0]
+    assert (r.LoaiBDS, r.Tinh, r.Huyen, r.Xa) == ("Nhà riêng", "TP. Trung Tâm", "Quận 3", "Phường 7")
+    got = {x.key: x.value for x in PG.detail_pairs(pages(spark, page), "page_id", "html").collect()}
+    assert got["HuongBanCong"] == "Tây Bắc"
+    groups = {x.group for x in PG.amenity_groups(pages(spark, page), "page_id").collect()}
+    assert groups == {"TienIchToaNha", "AnNinh"}                                       # no trailing heading
