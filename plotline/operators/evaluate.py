@@ -24,13 +24,15 @@ def regression_metrics(df: DataFrame, label_col: str, prediction_col: str = "pre
     the one-row result).  R² = 1 − SS_res / SS_tot with SS_tot = n·var_pop(y)."""
     y, p = F.col(label_col), F.col(prediction_col)
     err = y - p
-    agg = df.agg(F.count(F.lit(1)).alias("n"), F.sum(err * err).alias("ss_res"),
-                 F.sum(F.abs(err)).alias("sae"), F.var_pop(y).alias("var_y"))
+    pairs = df.where(y.isNotNull() & p.isNotNull())       # metrics over scored, labelled rows only
+    agg = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(err * err).alias("ss_res"),
+                    F.sum(F.abs(err)).alias("sae"), F.var_pop(y).alias("var_y"))
+    n = F.col("n").cast("double")
     return agg.select(
         F.col("n").cast("bigint").alias("n"),
-        F.sqrt(F.col("ss_res") / F.col("n")).alias("rmse"),
-        (F.col("sae") / F.col("n")).alias("mae"),
-        (F.lit(1.0) - F.col("ss_res") / (F.col("var_y") * F.col("n"))).alias("r2"),
+        F.sqrt(F.try_divide(F.col("ss_res"), n)).alias("rmse"),
+        F.try_divide(F.col("sae"), n).alias("mae"),
+        (F.lit(1.0) - F.try_divide(F.col("ss_res"), F.col("var_y") * n)).alias("r2"),
     )
 
 

@@ -5,20 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it is proven to hold at most this many rows.
+from ..functions._util import quote
+
+# A side is broadcast only when it is proven to hold at most this many rows
+# and at most this many bytes (serialised row size, measured).
 DEFAULT_BROADCAST_ROWS = 1_000_000
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows, else return it as is.
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                       max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` if it has at most ``max_rows`` rows and ``max_bytes``
+    bytes, else return it as is.
 
-    The check runs ``limit(max_rows + 1).count()``, which stops reading once
-    the bound is exceeded, so it stays cheap on a large table.  Above the
-    bound the join is left to Spark (sort-merge, or AQE's own runtime
-    broadcast conversion when the shuffled side turns out small).
+    One bounded job over ``limit(max_rows + 1)`` counts the rows and sums the
+    JSON-serialised size of each row (a fair proxy for the broadcast payload,
+    wide text columns included); it stops reading once the row bound is
+    exceeded.  Above either bound the join is left to Spark (sort-merge, or
+    AQE's own runtime broadcast conversion when the shuffled side turns out
+    small).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    row = F.struct(*[F.col(quote(c)) for c in df.columns])
+    stats = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                       F.sum(F.octet_length(F.to_json(row))).alias("b")).collect()[0]
+    small = stats["n"] <= max_rows and (stats["b"] or 0) <= max_bytes
+    return F.broadcast(df) if small else df
 
 
 def materialise_table(df: DataFrame) -> DataFrame:

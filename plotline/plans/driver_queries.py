@@ -66,7 +66,8 @@ def _orders_per_customer(spark, d) -> DataFrame:
     #customers rows instead of #orders rows.
     """
     per_cust = (_t(spark, d, "orders").groupBy("o_custkey")
-                .agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("price_sum")))
+                .agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("price_sum"),
+                     F.count("o_totalprice").alias("n_price")))
     cust = _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     return per_cust.join(cust, per_cust.o_custkey == cust.c_custkey, "inner")
 
@@ -96,7 +97,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey
 GROUP BY c_mktsegment""")
 def dash_avg(spark, d):
     j = _orders_per_customer(spark, d)
-    return j.groupBy("c_mktsegment").agg(F.round(F.sum("price_sum") / F.sum("n"), 2).alias("avg_price"))
+    return j.groupBy("c_mktsegment").agg(F.round(F.sum("price_sum") / F.sum("n_price"), 2).alias("avg_price"))
 
 
 @query("dash_share", """

@@ -48,8 +48,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is configured by the operator (a shared file
-    system); it is only created here when the session has none, which is the
-    case for local tests.
+    system) and missing configuration is an error: a folder on the driver's
+    local disk cannot hold checkpoints written by other machines.  Only a
+    local-mode session (tests) gets a temporary folder created here.
+    Checkpoint files are removed when their tables are garbage-collected only
+    if the cluster sets ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,6 +60,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (fitted tables and stream "
+                               "checkpoints are written there)")
         configured = tempfile.mkdtemp(prefix="plotline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

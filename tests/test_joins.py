@@ -34,3 +34,16 @@ def test_spread_only_when_under_partitioned(spark):
     many = spark.range(0, 100, 1, spark.sparkContext.defaultParallelism * 2)
     assert spread_for_iteration(many) is many
     assert sorted(r.id for r in spread.collect()) == list(range(100))
+
+
+def test_broadcast_bounded_in_bytes(spark):
+    from pyspark.sql import functions as F
+    fact = spark.range(0, 100).withColumnRenamed("id", "k")
+    wide = spark.range(0, 10).withColumnRenamed("id", "k").withColumn("body", F.repeat(F.lit("x"), 1000))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in _plan(fact.join(J.broadcast_if_small(wide, 100, max_bytes=1 << 20), "k"))
+        assert "BroadcastHashJoin" not in _plan(fact.join(J.broadcast_if_small(wide, 100, max_bytes=5_000), "k"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

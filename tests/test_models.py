@@ -121,3 +121,12 @@ def test_ranking_helpers(spark):
     df = spark.createDataFrame([(0, 0.5), (1, 0.2), (2, 0.5), (3, 0.01)], "idx int, score double")
     assert [r.idx for r in PR.top_n(df, "score", 3, "idx").collect()] == [0, 2, 1]
     assert sorted(r.idx for r in PR.above_threshold(df, "score", 0.01).collect()) == [0, 1, 2]
+
+
+def test_metrics_skip_unscored_rows_and_constant_labels(spark):
+    df = spark.createDataFrame([(1.0, 1.5), (2.0, 2.5), (None, 3.0), (4.0, None)], "y double, p double")
+    m = V.regression_metrics(df, "y", "p").collect()[0]
+    assert m.n == 2 and m.mae == pytest.approx(0.5) and m.rmse == pytest.approx(0.5)
+    const = spark.createDataFrame([(2.0, 1.0), (2.0, 3.0)], "y double, p double")
+    c = V.regression_metrics(const, "y", "p").collect()[0]
+    assert c.n == 2 and c.r2 is None                                   # zero variance: undefined, no error
