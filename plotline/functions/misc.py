@@ -15,8 +15,10 @@ DEFAULT_TZ = "Asia/Ho_Chi_Minh"
 
 
 def current_time(tz: str = DEFAULT_TZ) -> Column:
-    """wall-clock time in ``tz`` (evaluated once per query)."""
-    return F.from_utc_timestamp(F.current_timestamp(), tz)
+    """wall-clock time in ``tz`` as a zone-less timestamp (evaluated once
+    per query), whatever the session time zone is."""
+    local = F.current_timestamp().cast("timestamp_ntz")          # wall clock in the session zone
+    return F.convert_timezone(F.current_timezone(), F.lit(tz), local)
 
 
 def exp_back(c) -> Column:
@@ -41,5 +43,6 @@ def ordinal_by_keywords(c, rules: Sequence[tuple[str, int]], lower: bool = True)
 
 
 def money_text(c, scale: float = 1000.0) -> Column:
-    """number × scale, rounded to a whole number, with thousands separators."""
-    return F.format_number(F.round(as_col(c) * F.lit(scale)), 0)
+    """number × scale, rounded half-to-even to a whole number (as
+    Python's ``round``), with thousands separators."""
+    return F.format_number(F.bround(as_col(c) * F.lit(scale), 0), 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,20 +23,21 @@ SINGLE_CHAR_FOLDS = {"đ": "d", "Đ": "D", "ø": "o", "Ø": "O", "ł": "l", "Ł"
 # Code point blocks whose accented letters are folded by decomposition:
 # Latin-1 Supplement, Latin Extended-A/B, Latin Extended Additional (which
 # holds the Vietnamese letters with two marks).
-_FOLD_BLOCKS = ((0x00C0, 0x024F), (0x1E00, 0x1EFF))
+_FOLD_BLOCKS = ((0x00A0, 0x024F), (0x1E00, 0x1EFF))
 
 
 @lru_cache(maxsize=1)
 def accent_fold_map() -> tuple[str, str]:
-    """(from, to) strings for ``translate``: every letter whose canonical
-    decomposition is one ASCII letter plus combining marks maps to that letter."""
+    """(from, to) strings for ``translate``: every character whose
+    compatibility decomposition is one ASCII letter or digit plus combining
+    marks maps to that character (``é`` → ``e``, ``ſ`` → ``s``, ``²`` → ``2``)."""
     src, dst = [], []
     for lo, hi in _FOLD_BLOCKS:
         for cp in range(lo, hi + 1):
             ch = chr(cp)
-            base = "".join(x for x in unicodedata.normalize("NFD", ch)
+            base = "".join(x for x in unicodedata.normalize("NFKD", ch)
                            if not unicodedata.combining(x))
-            if base != ch and len(base) == 1 and base.isascii() and base.isalpha():
+            if base != ch and len(base) == 1 and base.isascii() and base.isalnum():
                 src.append(ch)
                 dst.append(base)
     for k, v in SINGLE_CHAR_FOLDS.items():
@@ -46,12 +48,13 @@ def accent_fold_map() -> tuple[str, str]:
 
 
 def fold_accents(c) -> Column:
-    """Accented letters → ASCII base letters (multi-letter folds first)."""
+    """Accented letters → ASCII base letters (multi-letter folds first);
+    combining marks of decomposed input are removed as well."""
     col = as_col(c)
     for k, v in MULTI_CHAR_FOLDS.items():
         col = F.replace(col, F.lit(k), F.lit(v))
     src, dst = accent_fold_map()
-    return F.translate(col, src, dst)
+    return F.regexp_replace(F.translate(col, src, dst), r"\p{M}+", "")
 
 
 def squash_whitespace(c) -> Column:
@@ -105,16 +108,40 @@ def split_lines(c) -> Column:
     return F.split(as_col(c), "\n")
 
 
-# HTML character references decoded in extracted text; ``&amp;`` last so an
-# escaped reference is not decoded twice.
-# --- fixed values: entity → character --------------------------------------
-HTML_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                 ("&nbsp;", NBSP), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-# ---------------------------------------------------------------------------
+# Named character references: the HTML 4 table of Python's standard library
+# (generated, not written out) plus ``apos``.
+_NAMED_REFS = {**{k: chr(v) for k, v in name2codepoint.items()}, "apos": "'"}
+
+
+@lru_cache(maxsize=1)
+def _named_ref_map() -> Column:
+    return F.create_map(*[x for k, v in sorted(_NAMED_REFS.items()) for x in (F.lit(k), F.lit(v))])
+
+
+def _code_unit_text(hex4: Column) -> Column:
+    """Four hex digits → the character with that UTF-16 code unit."""
+    return F.decode(F.unhex(F.lpad(hex4, 4, "0")), "UTF-16BE")
 
 
 def html_unescape(c) -> Column:
+    """Decode HTML character references: decimal and hexadecimal numeric ones
+    (basic multilingual plane) and every named one, ``&amp;`` last so an
+    escaped reference is not decoded twice.  Only text containing ``&`` does
+    any work; the rest passes through unchanged."""
     col = as_col(c)
-    for ent, ch in HTML_ENTITIES:
-        col = F.replace(col, F.lit(ent), F.lit(ch))
-    return col
+    dec = F.array_distinct(F.regexp_extract_all(col, F.lit(r"&#([0-9]{1,5});"), 1))
+    out = F.aggregate(dec, col, lambda acc, d: F.when(
+        d.cast("int") <= 0xFFFF,
+        F.replace(acc, F.concat(F.lit("&#"), d, F.lit(";")), _code_unit_text(F.hex(d.cast("int"))))
+    ).otherwise(acc))
+    hexes = F.array_distinct(F.regexp_extract_all(col, F.lit(r"&#[xX]([0-9a-fA-F]{1,4});"), 1))
+    out = F.aggregate(hexes, out, lambda acc, h: F.replace(
+        F.replace(acc, F.concat(F.lit("&#x"), h, F.lit(";")), _code_unit_text(h)),
+        F.concat(F.lit("&#X"), h, F.lit(";")), _code_unit_text(h)))
+    names = F.array_distinct(F.regexp_extract_all(col, F.lit(r"&([A-Za-z][A-Za-z0-9]*);"), 1))
+    ordered = F.concat(F.array_remove(names, F.lit("amp")),
+                       F.when(F.array_contains(names, "amp"), F.array(F.lit("amp")))
+                       .otherwise(F.array().cast("array<string>")))
+    out = F.aggregate(ordered, out, lambda acc, n: F.coalesce(
+        F.replace(acc, F.concat(F.lit("&"), n, F.lit(";")), F.try_element_at(_named_ref_map(), n)), acc))
+    return F.when(col.contains("&"), out).otherwise(col)

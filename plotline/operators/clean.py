@@ -159,7 +159,9 @@ def apply_imputer(df: DataFrame, stats: ImputeStats) -> DataFrame:
     rep: dict[str, Column] = {}
     types = {f.name: f.dataType for f in df.schema.fields}
     for c, v in stats.fill_values().items():
-        if c in types:
+        # a text constant fills text columns only (a numeric column is left
+        # as it is, like ``fillna`` does), so no cast can fail under ANSI
+        if c in types and not (isinstance(v, str) and not isinstance(types[c], T.StringType)):
             rep[c] = F.coalesce(_q(c), F.lit(v).cast(types[c]))
     for c in stats.arrays:
         if c in types:

@@ -139,7 +139,7 @@ def listing_fields(df: DataFrame, html_col: str = "html") -> DataFrame:
 
     fields = {
         "NgayDangBan": _nullif_empty(squash_whitespace(_extract(html, _DATE))),
-        "Id_NguoiDangban": _nullif_empty(F.regexp_extract(seller, r'href="[^"]*user/\s*([^"]*)"', 1)),
+        "Id_NguoiDangban": _nullif_empty(F.regexp_extract(seller, r'href="[^"]*?user/\s*([^"]*)"', 1)),
         "NguoiDangban": _nullif_empty(squash_whitespace(F.regexp_extract(seller, r"<a[^>]*>\s*(.*)$", 1))),
         "LoaiBDS": at(crumb, 2), "Tinh": at(crumb, 3), "Huyen": at(crumb, 4), "Xa": at(crumb, 5),
         "DiaChi": _nullif_empty(squash_whitespace(_extract(html, _ADDRESS))),

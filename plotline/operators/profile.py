@@ -14,7 +14,7 @@ def totals(df: DataFrame, price_col: str, scale: float = 1000.0) -> DataFrame:
     """Row count, mean price × scale (rounded) and its display text."""
     avg = F.avg(price_col)
     return df.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
-                  F.round(avg * F.lit(scale)).cast("bigint").alias("avg_price_scaled"),
+                  F.bround(avg * F.lit(scale), 0).cast("bigint").alias("avg_price_scaled"),
                   money_text(avg, scale).alias("avg_price_text"))
 
 

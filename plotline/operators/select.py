@@ -26,9 +26,10 @@ def where_equals(df: DataFrame, col: str, value) -> DataFrame:
 def sql_where_equals(df: DataFrame, view: str, col: str, value, columns: Sequence[str] = ("*",)) -> DataFrame:
     """The same filter written in SQL over a temp view."""
     df.createOrReplaceTempView(view)
-    lit = "'" + str(value).replace("'", "''") + "'" if isinstance(value, str) else str(value)
     cols = ", ".join(c if c == "*" else quote(c) for c in columns)
-    return df.sparkSession.sql(f"SELECT {cols} FROM {quote(view)} WHERE {quote(col)} = {lit}")
+    # the value is a bound parameter, never spliced into the SQL text
+    return df.sparkSession.sql(f"SELECT {cols} FROM {quote(view)} WHERE {quote(col)} = :value",
+                               args={"value": value})
 
 
 def pick_rows(df: DataFrame, col: str, keys, max_broadcast_rows: int | None = None) -> DataFrame:

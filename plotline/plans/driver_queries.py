@@ -74,8 +74,8 @@ def _orders_per_customer(spark, d) -> DataFrame:
 
 @query("dash_totals", """
 SELECT count(*)::BIGINT AS n_rows,
-       round(avg(o_totalprice) * 1000)::BIGINT AS avg_price_scaled,
-       format('{:,}', round(avg(o_totalprice) * 1000)::BIGINT) AS avg_price_text
+       round_even(avg(o_totalprice) * 1000, 0)::BIGINT AS avg_price_scaled,
+       format('{:,}', round_even(avg(o_totalprice) * 1000, 0)::BIGINT) AS avg_price_text
 FROM orders""")
 def dash_totals(spark, d):
     return PR.totals(_t(spark, d, "orders"), "o_totalprice", 1000.0)

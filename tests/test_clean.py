@@ -98,3 +98,12 @@ def test_drop_incomplete(spark):
 def test_empty_arrays_for_null(spark):
     df = spark.createDataFrame([(1, None), (2, ["a"])], "k int, arr array<string>")
     assert [r.arr for r in C.empty_arrays_for_null(df, ["arr"]).orderBy("k").collect()] == [[], ["a"]]
+
+
+def test_text_constants_skip_numeric_categoricals(spark):
+    df = spark.createDataFrame([("1", None, "2 tỷ", "x"), ("2", 3, "1 tỷ", None)],
+                               "MaTin string, PhongNgu int, TongGia string, LoaiBDS string")
+    cols = ListingColumns(post_date="MaTin")
+    out, _ = C.clean_raw(df, cols, is_train=False)
+    rows = {r.MaTin: r for r in out.collect()}                 # no cast error under ANSI
+    assert rows["1"].PhongNgu is None and rows["2"].LoaiBDS == "Unknowns"

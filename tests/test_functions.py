@@ -108,3 +108,34 @@ def test_money_text_and_clock(spark):
     row = spark.range(1).select(PF.current_time("Asia/Ho_Chi_Minh").alias("t")).collect()[0]
     assert row.t is not None
     assert one(spark, PF.exp_back, 0.0, "double") == pytest.approx(1.0)
+
+
+def test_html_unescape_all_references(spark):
+    text = "d&agrave;i &#7879; &#x1EC7; &amp;lt; &apos;x&apos; &bogus; 5&amp;&amp;"
+    assert one(spark, PF.html_unescape, text) == "dài ệ ệ &lt; 'x' &bogus; 5&&"
+    assert one(spark, PF.html_unescape, "no refs") == "no refs"
+
+
+def test_folding_decomposed_input_and_superscripts(spark):
+    import unicodedata
+    nfd = unicodedata.normalize("NFD", "Diện tích")
+    assert one(spark, PF.attribute_name, nfd) == "DienTich"
+    assert one(spark, PF.attribute_name, "50 m²") == "50M2"
+
+
+def test_clock_does_not_depend_on_session_zone(spark):
+    import datetime as dt
+    from zoneinfo import ZoneInfo
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = spark.range(1).select(PF.current_time("Asia/Ho_Chi_Minh").alias("t")).collect()[0].t
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    want = dt.datetime.now(ZoneInfo("Asia/Ho_Chi_Minh")).replace(tzinfo=None)
+    assert abs((got - want).total_seconds()) < 120
+
+
+def test_money_text_rounds_half_to_even(spark):
+    assert one(spark, PF.money_text, 2.5005, "double") == "2,500"       # 2500.5 -> 2500, as Python round
+    assert one(spark, PF.money_text, 2.5015, "double") == "2,502"

@@ -69,3 +69,9 @@ def test_irregular_listing_markup(spark):
     assert got["HuongBanCong"] == "Tây Bắc"
     groups = {x.group for x in PG.amenity_groups(pages(spark, page), "page_id").collect()}
     assert groups == {"TienIchToaNha", "AnNinh"}                                       # no trailing heading
+
+
+def test_seller_id_takes_first_user_segment(spark):
+    page = LISTING_PAGE.replace("https://nha.example.vn/user/ 4242", "https://nha.example.vn/user/a/user/b")
+    r = PG.listing_fields(pages(spark, page), "html").collect()[0]
+    assert r.Id_NguoiDangban == "a/user/b"

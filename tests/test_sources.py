@@ -77,3 +77,8 @@ def test_model_save_load(spark, tmp_dir):
     path = SRC.save_model(model, os.path.join(tmp_dir, "str_idx"))
     again = SRC.load_pipeline(path)
     assert [r.v_idx for r in again.transform(df).collect()] == [0.0, 1.0, 0.0]
+
+
+def test_sql_filter_value_is_bound_not_spliced(spark):
+    df = spark.createDataFrame([("a'b\\c",), ("x",)], "v string")
+    assert S.sql_where_equals(df, "quoted_demo", "v", "a'b\\c").count() == 1
