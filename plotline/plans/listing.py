@@ -52,6 +52,7 @@ class FittedFeatures:
     level_broadcast_rows: int | None = None
     adm_cols: tuple = ()
     scaler: object = None          # fitted StandardScalerModel (M11) or None
+    numeric_cols: tuple = ()       # continuous columns assembled as they are (none in the source's plan)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """M6 → M7 → M1 → M5 → M8 on any batch or stream of clean listings."""
@@ -71,6 +72,14 @@ class FittedFeatures:
         if self.fill_missing is not None:  # an unmatched ordinal becomes an explicit level
             out = out.fillna(float(self.fill_missing), subset=adm_inputs)
         parts = []
+        if self.numeric_cols:
+            num = out.select("*", *[F.col(quote(c)).cast("double").alias(f"__num_{i}")
+                                    for i, c in enumerate(self.numeric_cols)])
+            num_cols = [f"__num_{i}" for i in range(len(self.numeric_cols))]
+            if self.fill_missing is not None:
+                num = num.fillna(float(self.fill_missing), subset=num_cols)
+            out = E.assemble(num, num_cols, "features_num", self.handle_invalid).drop(*num_cols)
+            parts.append("features_num")
         if adm_inputs:
             out = E.assemble(out, adm_inputs, "features_adm", self.handle_invalid).drop(*adm_inputs)
             parts.append("features_adm")
@@ -86,7 +95,8 @@ class FittedFeatures:
 
     def slot_names(self) -> list[str]:
         """Name of every vector slot, in assembly order."""
-        names = [self.level_col] if self.levels is not None else []
+        names = list(self.numeric_cols)
+        names += [self.level_col] if self.levels is not None else []
         names += [f"{a}_idx" for a in self.adm_cols]
         names += [f"{x}_idx" for x in self.index_cols]
         for col, words in self.vocab.vocab.items():
@@ -97,10 +107,13 @@ class FittedFeatures:
 def fit_features(train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFrame | None = None,
                  handle_invalid: str = "keep", index_invalid: str = "skip",
                  output_col: str = "features", fill_missing: float | None = None,
-                 standardize: bool = False, standardized_col: str = "standardized") -> FittedFeatures:
+                 standardize: bool = False, standardized_col: str = "standardized",
+                 numeric_cols=()) -> FittedFeatures:
     """Fit M6 levels, M1 indices and M3 vocabularies on clean training rows;
     with ``standardize`` also an M11 scaler on the assembled vector (output
-    ``standardized_col``, divided by the sample standard deviation)."""
+    ``standardized_col``, divided by the sample standard deviation).
+    ``numeric_cols`` adds continuous columns to the vector as they are; the
+    source's plan assembles none (only level, ordinals, indices, amenities)."""
     present = set(train.columns)
     levels = level_col = None
     if cols.seller in present:
@@ -113,7 +126,7 @@ def fit_features(train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFr
                      if a in present and (a != cols.province or tiers is not None))
     fitted = FittedFeatures(cols, levels, level_col, tiers, indexer, index_cols, vocab, handle_invalid,
                             output_col, fill_missing, DEFAULT_BROADCAST_ROWS if levels is not None else None,
-                            adm_cols)
+                            adm_cols, None, tuple(c for c in numeric_cols if c in present))
     if standardize:
         fitted.scaler = E.fit_standard_scaler(fitted.transform(train), output_col, standardized_col)
     return fitted
