@@ -21,7 +21,9 @@ from tests.listing_fixtures import TIER_SCHEMA, TIERS, listing, listing_df
 def data(spark):
     li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").select(
         F.log("l_extendedprice").alias("label"), "l_quantity", "l_discount", "l_tax")
-    return E.assemble(li, ["l_quantity", "l_discount", "l_tax"], "features").cache()
+    cached = E.assemble(li, ["l_quantity", "l_discount", "l_tax"], "features").cache()
+    yield cached
+    cached.unpersist()
 
 
 def test_metrics_match_evaluator(spark, data):
