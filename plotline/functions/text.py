@@ -118,30 +118,55 @@ def _named_ref_map() -> Column:
     return F.create_map(*[x for k, v in sorted(_NAMED_REFS.items()) for x in (F.lit(k), F.lit(v))])
 
 
-def _code_unit_text(hex4: Column) -> Column:
-    """Four hex digits → the character with that UTF-16 code unit."""
-    return F.decode(F.unhex(F.lpad(hex4, 4, "0")), "UTF-16BE")
+def _c1_map() -> Column:
+    """Numeric references 0x80–0x9F name Windows-1252 characters (HTML rule);
+    the table is generated from Python's cp1252 codec."""
+    pairs = []
+    for n in range(0x80, 0xA0):
+        try:
+            ch = bytes([n]).decode("cp1252")
+        except UnicodeDecodeError:
+            ch = chr(n)
+        pairs += [F.lit(n), F.lit(ch)]
+    return F.create_map(*pairs)
+
+
+# one token per character reference, or per run of text between them
+_REF_TOKEN = r"&(?:#[0-9]{1,7};|#[xX][0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]*;)|[^&]+|&"
+
+
+def _char_for(n: Column) -> Column:
+    """Code point → character, with HTML's replacements for invalid ones."""
+    hi = F.lit(0xD800) + F.shiftright(n - F.lit(0x10000), 10)
+    lo = F.lit(0xDC00) + F.bitwise_not(F.bitwise_not(n - F.lit(0x10000)).bitwiseOR(F.lit(-1024)))
+    bmp = F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
+    astral = F.decode(F.unhex(F.concat(F.hex(hi), F.hex(lo))), "UTF-16BE")
+    return (F.when(n.isNull(), F.lit(None).cast("string"))
+            .when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
+            .when(n.between(0x80, 0x9F), F.try_element_at(_c1_map(), n.cast("int")))
+            .when(n <= 0xFFFF, bmp)
+            .otherwise(astral))
+
+
+def _decode_token(t: Column) -> Column:
+    dec = F.regexp_extract(t, r"^&#([0-9]+);$", 1)
+    hexa = F.regexp_extract(t, r"^&#[xX]([0-9a-fA-F]+);$", 1)
+    name = F.regexp_extract(t, r"^&([A-Za-z][A-Za-z0-9]*);$", 1)
+    num = F.when(dec != "", dec.cast("long")).when(hexa != "", F.conv(hexa, 16, 10).cast("long"))
+    return (F.when(num.isNotNull(), _char_for(num))
+            .when(name != "", F.coalesce(F.try_element_at(_named_ref_map(), name), t))
+            .otherwise(t))
 
 
 def html_unescape(c) -> Column:
-    """Decode HTML character references: decimal and hexadecimal numeric ones
-    (basic multilingual plane) and every named one, ``&amp;`` last so an
-    escaped reference is not decoded twice.  Only text containing ``&`` does
-    any work; the rest passes through unchanged."""
+    """Decode HTML character references in ONE pass: the text is cut into
+    reference tokens and the runs between them, each reference is decoded
+    exactly once (numeric ones by HTML's rules: NUL, surrogates and values
+    past U+10FFFF become U+FFFD, 0x80–0x9F are Windows-1252 characters;
+    named ones from the HTML table, unknown names kept), and the pieces are
+    joined again — decoded output is never decoded a second time.  Text
+    without ``&`` passes through untouched."""
     col = as_col(c)
-    dec = F.array_distinct(F.regexp_extract_all(col, F.lit(r"&#([0-9]{1,5});"), 1))
-    out = F.aggregate(dec, col, lambda acc, d: F.when(
-        d.cast("int") <= 0xFFFF,
-        F.replace(acc, F.concat(F.lit("&#"), d, F.lit(";")), _code_unit_text(F.hex(d.cast("int"))))
-    ).otherwise(acc))
-    hexes = F.array_distinct(F.regexp_extract_all(col, F.lit(r"&#[xX]([0-9a-fA-F]{1,4});"), 1))
-    out = F.aggregate(hexes, out, lambda acc, h: F.replace(
-        F.replace(acc, F.concat(F.lit("&#x"), h, F.lit(";")), _code_unit_text(h)),
-        F.concat(F.lit("&#X"), h, F.lit(";")), _code_unit_text(h)))
-    names = F.array_distinct(F.regexp_extract_all(col, F.lit(r"&([A-Za-z][A-Za-z0-9]*);"), 1))
-    ordered = F.concat(F.array_remove(names, F.lit("amp")),
-                       F.when(F.array_contains(names, "amp"), F.array(F.lit("amp")))
-                       .otherwise(F.array().cast("array<string>")))
-    out = F.aggregate(ordered, out, lambda acc, n: F.coalesce(
-        F.replace(acc, F.concat(F.lit("&"), n, F.lit(";")), F.try_element_at(_named_ref_map(), n)), acc))
-    return F.when(col.contains("&"), out).otherwise(col)
+    tokens = F.regexp_extract_all(col, F.lit(_REF_TOKEN), 0)
+    decoded = F.array_join(F.transform(tokens, _decode_token), "")
+    return F.when(col.contains("&"), decoded).otherwise(col)

@@ -139,3 +139,14 @@ def test_clock_does_not_depend_on_session_zone(spark):
 def test_money_text_rounds_half_to_even(spark):
     assert one(spark, PF.money_text, 2.5005, "double") == "2,500"       # 2500.5 -> 2500, as Python round
     assert one(spark, PF.money_text, 2.5015, "double") == "2,502"
+
+
+@pytest.mark.parametrize("text", [
+    "smile &#55357;&#56832; &#128512;",          # surrogate halves must not abort the job
+    "a &#38;lt; b &lt; c", "&#38;amp;",           # decoded output is never decoded again
+    "dash &#150; nul &#0; big &#1114112;",        # HTML's numeric rules
+    "d&agrave;i &#7879; &#x1EC7; &apos;x&apos; &bogus; 5&amp;&amp;", "lone & amp",
+])
+def test_html_unescape_matches_python(spark, text):
+    import html
+    assert one(spark, PF.html_unescape, text) == html.unescape(text)
