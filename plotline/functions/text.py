@@ -118,6 +118,7 @@ def _named_ref_map() -> Column:
     return F.create_map(*[x for k, v in sorted(_NAMED_REFS.items()) for x in (F.lit(k), F.lit(v))])
 
 
+@lru_cache(maxsize=1)
 def _c1_map() -> Column:
     """Numeric references 0x80–0x9F name Windows-1252 characters (HTML rule);
     the table is generated from Python's cp1252 codec."""
@@ -149,13 +150,15 @@ def _char_for(n: Column) -> Column:
 
 
 def _decode_token(t: Column) -> Column:
-    dec = F.regexp_extract(t, r"^&#([0-9]+);$", 1)
-    hexa = F.regexp_extract(t, r"^&#[xX]([0-9a-fA-F]+);$", 1)
-    name = F.regexp_extract(t, r"^&([A-Za-z][A-Za-z0-9]*);$", 1)
-    num = F.when(dec != "", dec.cast("long")).when(hexa != "", F.conv(hexa, 16, 10).cast("long"))
-    return (F.when(num.isNotNull(), _char_for(num))
-            .when(name != "", F.coalesce(F.try_element_at(_named_ref_map(), name), t))
-            .otherwise(t))
+    """One token: a reference (already validated by the tokenizer) is decoded
+    with plain string functions; any other token is returned as it is."""
+    body = F.left(F.substring(t, 2, 10 ** 6), F.length(t) - F.lit(2))    # between '&' and ';'
+    is_hex = body.startswith("#x") | body.startswith("#X")
+    num = (F.when(is_hex, F.conv(F.substring(body, 3, 10), 16, 10).cast("long"))
+           .when(body.startswith("#"), F.substring(body, 2, 10).cast("long")))
+    decoded = F.when(body.startswith("#"), _char_for(num)).otherwise(
+        F.coalesce(F.try_element_at(_named_ref_map(), body), t))
+    return F.when(t.startswith("&") & t.endswith(";") & (F.length(t) > 2), decoded).otherwise(t)
 
 
 def html_unescape(c) -> Column:

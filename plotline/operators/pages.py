@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import attribute_name, html_unescape, paragraphs_to_text, pre_clean, squash_whitespace
-from ..functions._util import as_col
+from ..functions._util import as_col, quote
 
 # --- fixed values: listing page layout --------------------------------------
 # post date:      <div class="text-gray text-100">…</div>
@@ -96,12 +96,20 @@ def extract_fields(df: DataFrame, html_col: str, fields: Mapping[str, str],
                    unescape: bool = True) -> DataFrame:
     """Generic H1: one column per (name → pattern, group 1); no match → null."""
     html = as_col(html_col)
-    cols = []
-    for name, pat in fields.items():
-        v = _extract(html, pat)
-        v = html_unescape(v) if unescape else v
-        cols.append(_nullif_empty(squash_whitespace(v)).alias(name))
-    return df.select("*", *cols)
+    names = list(fields)
+    raw = F.array(*[_extract(html, fields[n]) for n in names])
+    return _decoded_fields(df, raw, names, unescape)
+
+
+def _decoded_fields(df: DataFrame, raw: Column, names, unescape: bool = True) -> DataFrame:
+    """Clean every raw field of one row with ONE decoder expression: the
+    fields travel as an array that is decoded once, then split by position."""
+    def clean(x):
+        return _nullif_empty(squash_whitespace(html_unescape(x) if unescape else x))
+    tmp = "__fields"
+    out = df.select("*", F.transform(raw, clean).alias(tmp))
+    return out.select(*[F.col(quote(c)) for c in df.columns],
+                      *[F.element_at(F.col(tmp), i + 1).alias(n) for i, n in enumerate(names)])
 
 
 def paragraphs(html: Column, body: str = GENERIC_BODY, para: str = GENERIC_PARAGRAPH) -> Column:
@@ -135,22 +143,25 @@ def listing_fields(df: DataFrame, html_col: str = "html") -> DataFrame:
     seller = _extract(html, _SELLER_BLOCK)
 
     def at(arr: Column, i: int) -> Column:
-        return _nullif_empty(squash_whitespace(html_unescape(F.try_element_at(arr, F.lit(i)))))
+        return F.try_element_at(arr, F.lit(i))
 
-    fields = {
-        "NgayDangBan": _nullif_empty(squash_whitespace(_extract(html, _DATE))),
-        "Id_NguoiDangban": _nullif_empty(F.regexp_extract(seller, r'href="[^"]*?user/\s*([^"]*)"', 1)),
-        "NguoiDangban": _nullif_empty(squash_whitespace(F.regexp_extract(seller, r"<a[^>]*>\s*(.*)$", 1))),
+    raw = {
+        "NgayDangBan": _extract(html, _DATE),
+        "Id_NguoiDangban": F.regexp_extract(seller, r'href="[^"]*?user/\s*([^"]*)"', 1),
+        "NguoiDangban": F.regexp_extract(seller, r"<a[^>]*>\s*(.*)$", 1),
         "LoaiBDS": at(crumb, 2), "Tinh": at(crumb, 3), "Huyen": at(crumb, 4), "Xa": at(crumb, 5),
-        "DiaChi": _nullif_empty(squash_whitespace(_extract(html, _ADDRESS))),
-        "TongGia": at(prices, 1),
-        "Gia/m2": F.coalesce(at(prices, 2), F.lit(MISSING_PRICE_PER_M2)),
+        "DiaChi": _extract(html, _ADDRESS),
+        "TongGia": at(prices, 1), "Gia/m2": at(prices, 2),
         "MaTin": at(status, 2),
         "DienTich": at(info, 1), "ChieuDai": at(info, 2), "ChieuRong": at(info, 3),
         "Huong": at(info, 4), "PhongNgu": at(info, 5), "PhongTam": at(info, 6),
-        "MoTa": description_text(html, _DESC_BLOCK, _DESC_ITEM),
     }
-    return df.select("*", *[v.alias(k) for k, v in fields.items()])
+    names = list(raw)
+    out = _decoded_fields(df.select("*", description_text(html, _DESC_BLOCK, _DESC_ITEM).alias("MoTa")),
+                          F.array(*raw.values()), names)
+    ordered = [c for c in df.columns] + names + ["MoTa"]
+    out = out.select(*[F.col(quote(c)) for c in ordered])
+    return out.withColumn("Gia/m2", F.coalesce(F.col(quote("Gia/m2")), F.lit(MISSING_PRICE_PER_M2)))
 
 
 def outbound_links(df: DataFrame, id_col: str, html_col: str = "html", pattern: str = _LISTING_LINK,
