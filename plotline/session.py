@@ -24,7 +24,7 @@ ADAPTIVE_CONF = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "plotline") -> SparkSession:
+                  app_name: str = "plotline", driver_memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks (UI off, UTC clock)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -33,7 +33,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "8g")
+        .config("spark.driver.memory", driver_memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in ADAPTIVE_CONF.items():
