@@ -24,7 +24,8 @@ ADAPTIVE_CONF = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "plotline", driver_memory: str = "8g") -> SparkSession:
+                  app_name: str = "plotline", driver_memory: str = "8g",
+                  extra_conf: dict | None = None) -> SparkSession:
     """A local session for tests and benchmarks (UI off, UTC clock)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -36,7 +37,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for k, v in ADAPTIVE_CONF.items():
+    for k, v in {**ADAPTIVE_CONF, **(extra_conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
