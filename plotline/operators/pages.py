@@ -206,9 +206,10 @@ def detail_pairs(df: DataFrame, id_col: str, html_col: str = "html", block: str
     # (key, pos, value) per pair, sorted by key then page position: the last
     # value of a key is the element whose successor has another key.  Sort
     # twice instead of comparing every pair with every later one: O(n log n).
-    kv = pairs.select(id_col, F.array_sort(F.transform("pairs", lambda x, i: F.struct(
-        attribute_name(html_unescape(x["k"])).alias("key"), i.alias("pos"),
-        squash_whitespace(html_unescape(x["v"])).alias("value")))).alias("kv"))
+    # key and value of a pair go through ONE decoder expression (a two-element array)
+    decoded = F.transform("pairs", lambda x: F.transform(F.array(x["k"], x["v"]), html_unescape))
+    kv = pairs.select(id_col, decoded.alias("dec")).select(id_col, F.array_sort(F.transform("dec", lambda d, i: F.struct(
+        attribute_name(d[0]).alias("key"), i.alias("pos"), squash_whitespace(d[1]).alias("value")))).alias("kv"))
     last = kv.select(id_col, F.array_sort(F.transform(
         F.filter("kv", lambda x, i: (i == F.size("kv") - 1)
                  | ~F.try_element_at("kv", i + 2)["key"].eqNullSafe(x["key"])),
