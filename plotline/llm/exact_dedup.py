@@ -42,7 +42,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are not read.
     """
     keys = cut(_signature(docs, id_col, text_col, prefix_chars).drop("norm"))
-    lengths = keys.groupBy("norm_len").agg(F.count("*").alias("n")).where("n > 1").select("norm_len")
+    lengths = cut(keys.groupBy("norm_len").agg(F.count("*").alias("n")).where("n > 1").select("norm_len"))
     level1 = keys.join(lengths, "norm_len", "left_semi")
     level2 = cut(level1.groupBy("norm_len", "prefix").agg(F.count("*").alias("n"))
                  .where("n > 1").select("norm_len", "prefix"))

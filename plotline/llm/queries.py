@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ._common import table
 from .exact_dedup import exact_dedup, with_digest
+from .pii import find_pii, pii_digest
 from .simhash import simhash_dedup
 
 
@@ -34,8 +35,13 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(find_pii(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op9_pii": op9_pii,
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
