@@ -2,7 +2,8 @@
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``.  Its result is written as
 Parquet and read back as the next stage's ``docs``; all but the last return the
-columns of ``documents``.
+columns of ``documents``.  Null, empty and repeated rows are treated as the
+stage's operator defines them.
 """
 
 from __future__ import annotations
@@ -10,12 +11,23 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plotline.llm.exact_dedup import drop_exact_copies
+from plotline.llm.packing import pack_documents
+from plotline.llm.pii import find_pii
+from plotline.llm.quality import ACCEPT_AT, score_quality, train_quality
 from plotline.llm.simhash import drop_near_copies
 from plotline.session import ensure_checkpoint_dir
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores below its threshold go."""
+    model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = score_quality(docs, model, score_col="_quality_score")
+    return scored.where(F.col("_quality_score") >= ACCEPT_AT).select(*docs.columns)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts equal but for white space stays."""
     return drop_exact_copies(docs)
@@ -26,12 +38,28 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_copies(docs, shingle=3, max_bits=2)
 
 
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Identifiers become labels, terms that disclose them are generalised or removed; ``n_chars`` follows."""
+    new = {"text": F.col("pii.clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length("pii.clean").cast(docs.schema["n_chars"].dataType)
+    return find_pii(docs).withColumns(new).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document, with its place in a packed sequence."""
+    return pack_documents(docs).withColumnRenamed("id", "doc_id")
+
+
 STAGES = [
+    ("quality_classifier", quality_stage),
     ("exact_dedup", exact_stage),
-    ("simhash_dedup", near_stage),
+    ("simhash_near_dedup", near_stage),
+    ("pii", pii_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
-#: fingerprints and learned scores are beyond SQL; tests hold the stages against brute force
+#: learned scores, fingerprints and token ids are beyond SQL; tests hold the stages against brute force
 ORACLE_SQL = None
 
 

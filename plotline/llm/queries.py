@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import crc_remainder, table
 from .exact_dedup import exact_dedup, with_digest
+from .packing import pack_documents
 from .pii import find_pii, pii_digest
+from .quality import ACCEPT_AT, score_quality, train_quality
 from .simhash import simhash_dedup
+from .substring_dedup import substring_dedup
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,18 +33,57 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+OP4_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS lo FROM w GROUP BY s),
+hit AS (SELECT w.doc_id, w.i FROM w JOIN m USING (s) WHERE m.lo < w.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM hit),
+g AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+pos AS (SELECT doc_id, ws[k] AS word, k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM d)),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t
+  FROM pos ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return out.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_quality(docs, table(spark, sf_dir, "labels"))
+    scored = score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= ACCEPT_AT).cast("int").alias("predicted"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op8_quality": op8_quality,
     "op9_pii": op9_pii,
 }
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL}
