@@ -6,14 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import crc_remainder, table
+from .chat import link_tool_calls
+from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup, with_digest
+from .lm import score_texts
 from .packing import pack_documents
 from .pii import find_pii, pii_digest
 from .quality import ACCEPT_AT, score_quality, train_quality
+from .sentencepiece_codec import codec_digest
 from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.9).withColumnRenamed("id", "vec_id")
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = with_digest(docs, exact_dedup(docs))
@@ -57,6 +83,10 @@ FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return out.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
@@ -66,6 +96,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_quality(docs, table(spark, sf_dir, "labels"))
@@ -78,12 +112,77 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+TOOL_SCHEMAS = {
+    "lookup": {"limit": ("integer", True), "query": ("string", True)},
+    "search": {"limit": ("integer", False), "query": ("string", True)},
+}
+
+
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of ``conversations``, read as a protocol: a user turn is a call named by its
+    turn, waiting for the call two turns before; an assistant turn answers the call of the turn before."""
+    c = table(spark, sf_dir, "conversations")
+    user, bot = F.col("role") == "user", F.col("role") == "assistant"
+    tool = F.element_at(F.array(F.lit("lookup"), F.lit("search"), F.lit("write")), (F.col("turn") % 3 + 1).cast("int"))
+    args = F.to_json(F.struct(F.col("text").alias("query"), F.when(F.col("turn") % 5 != 4, F.col("turn")).alias("limit")))
+    return link_tool_calls(c.select(
+        "conv_id", "turn", F.when(user, "call").when(bot, "result").otherwise("message").alias("kind"), "role",
+        F.col("text").alias("content"),
+        F.when(user, F.concat(F.lit("c"), "turn")).when(bot, F.concat(F.lit("c"), F.col("turn") - 1)).alias("call_id"),
+        F.when(user, tool).alias("name"), F.when(user, args).alias("arguments"),
+        F.when(user & (F.col("turn") >= 2), F.concat(F.lit("c"), F.col("turn") - 2)).alias("after")), TOOL_SCHEMAS)
+
+
+OP10_SQL = """
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, text,
+         CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+         CASE role WHEN 'user' THEN 'c' || turn WHEN 'assistant' THEN 'c' || (turn - 1) END AS call_id,
+         CASE turn % 3 WHEN 0 THEN 'lookup' WHEN 1 THEN 'search' ELSE 'write' END AS name
+  FROM conversations),
+lv(conv_id, turn, level) AS (
+  SELECT conv_id, turn, 0 FROM m WHERE kind = 'call'
+    AND NOT EXISTS (SELECT 1 FROM m p WHERE p.conv_id = m.conv_id AND p.turn = m.turn - 2 AND p.kind = 'call')
+  UNION ALL
+  SELECT m.conv_id, m.turn, lv.level + 1 FROM lv JOIN m ON m.conv_id = lv.conv_id AND m.turn = lv.turn + 2
+    AND m.kind = 'call'),
+j AS (
+  SELECT m.*, c.level,
+         EXISTS (SELECT 1 FROM m r WHERE r.conv_id = m.conv_id AND r.kind = 'result' AND r.turn = m.turn + 1) AS answered
+  FROM m LEFT JOIN lv c ON c.conv_id = m.conv_id AND c.turn = CASE kind WHEN 'result' THEN m.turn - 1 ELSE m.turn END)
+SELECT conv_id, turn, kind, call_id,
+       CASE kind WHEN 'message' THEN 0 WHEN 'call' THEN 1 + 2 * level ELSE 2 + 2 * level END AS step,
+       CASE WHEN kind = 'message' THEN 'ok'
+            WHEN kind = 'result' THEN CASE WHEN level IS NULL THEN 'orphan' ELSE 'ok' END
+            WHEN name = 'write' THEN 'invalid: unknown tool'
+            WHEN name = 'lookup' AND turn % 5 = 4 THEN 'invalid: missing limit'
+            WHEN text IS NULL THEN 'invalid: missing query'
+            WHEN NOT answered THEN 'no result' ELSE 'ok' END AS status,
+       CASE kind
+         WHEN 'call' THEN '{"arguments":{' || CASE WHEN turn % 5 <> 4 THEN '"limit":' || turn ELSE '' END
+              || CASE WHEN turn % 5 <> 4 AND text IS NOT NULL THEN ',' ELSE '' END
+              || CASE WHEN text IS NOT NULL THEN '"query":' || CAST(to_json(text) AS VARCHAR) ELSE '' END
+              || '},"call_id":"' || call_id || '","name":"' || name || '","role":"call"}'
+         WHEN 'result' THEN '{"call_id":"' || call_id || '"'
+              || CASE WHEN text IS NOT NULL THEN ',"content":' || CAST(to_json(text) AS VARCHAR) ELSE '' END
+              || ',"role":"result"}'
+         ELSE '{' || CASE WHEN text IS NOT NULL THEN '"content":' || CAST(to_json(text) AS VARCHAR) || ',' ELSE '' END
+              || '"role":' || CAST(to_json(role) AS VARCHAR) || '}' END AS json
+FROM j
+"""
+
+
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
+    "op10_tool_calls": op10_tool_calls,
 }
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL}
+ORACLE_SQL = {"op1_embedding_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL,
+              "op10_tool_calls": OP10_SQL}
