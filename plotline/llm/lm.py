@@ -19,7 +19,7 @@ DIMENSIONS = 32
 NOISE = 10
 STEPS = 160
 #: most frequent tokens whose counts every task holds; the others are joined
-COMMON = 100_000
+COMMON = 50_000
 #: the end of a text, a token like any other; words are never empty
 END = b""
 _FLUSH = 400_000
@@ -137,13 +137,14 @@ def fit_language_model(texts: DataFrame, counts: DataFrame, classes: int = CLASS
     all training texts.
     """
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(common).collect()
-    frequent = {bytes(r.token): r.c for r in top}
+    top = counts.orderBy(F.desc("c"), "token").limit(common).toArrow()
+    frequent = dict(zip(top["token"].to_pylist(), top["c"].to_pylist(), strict=True))
     vocabulary = {t: i + 1 for i, t in enumerate(list(frequent)[:classes - 1])}
     k = len(vocabulary) + 1
     table = np.zeros(k * k)
-    pairs = pair_counts(texts, vocabulary).toPandas()
+    pairs = pair_counts(texts, vocabulary).toArrow()
     table[pairs["cell"].to_numpy()] = pairs["n"].to_numpy()
+    del pairs
     held = sum(frequent[t] for t in vocabulary)
     return LanguageModel(fit_log_bilinear(table.reshape(k, k)), vocabulary, frequent, total.n, total.v,
                          total.n - held, total.v - len(vocabulary))
