@@ -33,9 +33,6 @@ DISTRICT_RULES = (("tp", 3), ("quận", 3), ("thị xã", 2), ("huyện", 1))
 WARD_RULES = (("phường", 3), ("thị trấn", 2), ("xã", 1))
 # ---------------------------------------------------------------------------
 
-# Above this many distinct values a multi-hot column is kept as one sparse
-# count vector instead of one column per value.
-MAX_WIDE_VOCAB = 256
 # Hard bound on a fitted vocabulary collected to the driver.
 MAX_VOCAB = 1_000_000
 
@@ -77,22 +74,9 @@ def vector_columns(df: DataFrame, vec_col: str, names: Sequence[str]) -> DataFra
 
 # --- M3 / M4 / M5: multi-hot counts of array values ------------------------
 
-# Control characters that do not occur in listing text: one joins the
-# elements of an array while their dots are stripped, the other stands in
-# for null elements until they are removed.
-_SEP = "\u0001"
-_NULL_MARK = "\u0002"
-
-
 def normalise_values(arr: Column) -> Column:
-    """F8 on every element, null elements removed (a null is not a category).
-
-    Written without array lambdas (join → one ``regexp_replace`` → split), so
-    it compiles into whole-stage code instead of being interpreted per element.
-    """
-    joined = F.regexp_replace(F.array_join(arr, _SEP, _NULL_MARK), r"\.", "")
-    return F.when(F.size(arr) > 0, F.array_remove(F.split(joined, _SEP, -1), F.lit(_NULL_MARK))
-                  ).otherwise(F.array().cast("array<string>"))
+    """F8 on every element, null elements removed (a null is not a category)."""
+    return F.transform(F.filter(arr, lambda x: x.isNotNull()), lambda x: F.regexp_replace(x, r"\.", ""))
 
 
 def count_value(arr: Column, value: str) -> Column:
@@ -168,17 +152,15 @@ def fit_labels_and_vocab(df: DataFrame, index_cols: Sequence[str], array_cols: S
 
 
 def multi_hot_columns(df: DataFrame, col: str, vocab: Sequence[str], prefix: str | None = None,
-                      keep_input: bool = False, max_wide: int = MAX_WIDE_VOCAB) -> DataFrame:
+                      keep_input: bool = False) -> DataFrame:
     """M3/M4 transform, wide form: one BIGINT count column per vocabulary word.
 
     Values outside the vocabulary are ignored; a word absent from a row is 0;
     a repeated value counts 2+.  No row id and no join: one projection.
     Each column scans the row's array once, so the wide form is for small
-    vocabularies (``max_wide``); larger ones use ``multi_hot_vectors``, which
-    counts every value in one pass into a sparse vector.
+    vocabularies; ``multi_hot_vectors`` counts every value in one pass into a
+    sparse vector.
     """
-    if len(vocab) > max_wide:
-        raise ValueError(f"{len(vocab)} values exceed the wide form ({max_wide}); use multi_hot_vectors")
     prefix = f"{col}_" if prefix is None else prefix
     norm = normalise_values(F.coalesce(F.col(quote(col)), F.array().cast("array<string>")))
     outs = [count_value(norm, w).cast("bigint").alias(prefix + w) for w in vocab]

@@ -10,7 +10,6 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, Isotonic
                                    LinearRegression, RandomForestRegressor)
 from pyspark.sql import DataFrame
 
-from .partitioning import spread_for_iteration
 
 # --- fixed values: hyper-parameters of the saved models --------------------
 # random forest: 20 trees, depth 5, 32 bins
@@ -48,13 +47,13 @@ def make_regressor(kind: str, features_col: str = "features", label_col: str = "
 
 
 def fit_regressor(kind: str, df: DataFrame, features_col: str = "features", label_col: str = "label",
-                  prediction_col: str = "prediction", seed: int | None = 42, spread: bool = False, **params):
+                  prediction_col: str = "prediction", seed: int | None = 42, **params):
     """Fit a regressor; GBT checkpoints its lineage every 10 iterations in the
     session's checkpoint folder so a lost executor does not replay all rounds.
-    ``spread`` redistributes an under-partitioned scan-based input across the
-    cores first (see ``spread_for_iteration``)."""
+    Seeded sampling follows the input's partitions: the caller deals them out
+    (``by_key``) where the model must not depend on how files were split."""
     if kind == "gbt" and df.sparkSession.sparkContext.getCheckpointDir():
         params.setdefault("checkpointInterval", 10)
     est = make_regressor(kind, features_col, label_col, prediction_col, seed, **params)
     data = df.select(features_col, label_col)
-    return est.fit(spread_for_iteration(data) if spread else data)
+    return est.fit(data)

@@ -1,22 +1,14 @@
-"""Partitioning helpers."""
+"""Partition layout of inputs that are read many times."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 
-def spread_for_iteration(df: DataFrame) -> DataFrame:
-    """Give a many-pass consumer (a learner, a cached fit input) at least one
-    partition per core.
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by a hash of ``keys`` to ``spark.sql.shuffle.partitions`` partitions.
 
-    An input that arrives in fewer partitions than the cluster has cores (a
-    few large row groups) would leave cores idle on every pass.  Only then is
-    it redistributed, once; a large input is returned unchanged, so on a
-    cluster this is a no-op.
-
-    Reading the partition count plans the input's RDD; for a plan with
-    shuffles, adaptive execution runs those shuffle stages to do so.  Use it
-    on scan-and-project inputs (as the model queries do), not after joins.
+    For learners that pass over their input often: the layout depends on the
+    rows and the session's setting only, not on files or on the number of cores.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -30,6 +30,7 @@ from ..operators import profile as PR
 from ..operators import select as S
 from ..operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 from ..operators.models import fit_regressor
+from ..operators.partitioning import by_key
 from ..schema import ListingColumns
 from ..sources import read_table
 
@@ -624,7 +625,7 @@ def _crosstab_sql(words) -> str:
 
 @query("word_crosstab", _crosstab_sql(_PART_WORDS))
 def word_crosstab(spark, d):
-    return E.value_crosstab(_part_words(spark, d), "p_partkey", "w", list(_PART_WORDS))
+    return E.value_crosstab(_part_words(spark, d), "p_partkey", "w")
 
 
 @query("activity_level", """
@@ -747,8 +748,10 @@ _TREE_FEATURES = ("l_quantity", "l_discount", "l_tax", "line_no")
 
 
 def _scored(spark, d, kind: str, features=_TREE_FEATURES) -> DataFrame:
-    data = _log_price_frame(spark, d, features)              # scan + projections: cheap to inspect
-    model = fit_regressor(kind, data, "features", "label", spread=kind != "isotonic")
+    data = _log_price_frame(spark, d, features)
+    if kind != "isotonic":
+        data = by_key(data, "l_orderkey", "l_linenumber")
+    model = fit_regressor(kind, data, "features", "label")
     scored = V.predict_back_transformed(model, data, "label", "prediction")
     return scored.select("l_orderkey", "l_linenumber", F.col("label").alias("price"), "prediction")
 
@@ -777,5 +780,5 @@ def isotonic(spark, d):
 def importance_topk(spark, d):
     data = _log_price_frame(spark, d, _TREE_FEATURES)
     slicer, table = V.select_features(data, "forest", "top", n_features=2, features_col="features",
-                                      label_col="label", spread=True)
+                                      label_col="label")
     return table.withColumn("selected", F.col("idx").isin(list(slicer.getIndices())))

@@ -36,30 +36,17 @@ def write_csv(df: DataFrame, base_dir: str, stem: str = "url", overwrite: bool =
     return path
 
 
-def batch_size_for(df: DataFrame, order_col: str, batch_size: int, max_batches: int | None) -> int:
-    """Smallest batch size >= ``batch_size`` giving at most ``max_batches``
-    batches over the key range (one min/max aggregate)."""
-    if not max_batches:
-        return batch_size
-    hi = df.agg(F.max(order_col)).collect()[0][0]
-    if hi is None:
-        return batch_size
-    return max(batch_size, -(-(int(hi) + 1) // max_batches))
-
-
-def write_batches(df: DataFrame, path: str, order_col: str, batch_size: int = 1000,
-                  fmt: str = "json", max_batches: int | None = None) -> str:
+def write_batches(df: DataFrame, path: str, order_col: str, batch_size: int = 1000, fmt: str = "json") -> str:
     """Partial outputs of ``batch_size`` keys, one partition folder per batch.
 
     The batch number is ``floor(key / batch_size)`` of an ordered non-negative
-    numeric key, so it is computed per row with no global ordinal; re-running
-    a batch rewrites only its own folder (dynamic partition overwrite).  With
-    ``max_batches`` the batch size grows with the key range so a huge table
-    cannot produce an unbounded number of folders.
+    numeric key: it depends on the key alone, so writing a range of keys again
+    replaces only the folders of that range (dynamic partition overwrite).
+    Choose ``batch_size`` for the whole key range and keep it.  Rows are dealt
+    by batch first, so each folder gets few files.
     """
-    size = batch_size_for(df, order_col, batch_size, max_batches)
-    out = df.withColumn("batch", F.floor(F.col(order_col) / F.lit(size)).cast("bigint"))
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out = df.withColumn("batch", F.floor(F.col(order_col) / F.lit(batch_size)).cast("bigint"))
+    (out.repartition("batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch").format(fmt).save(path))
     return path
 

@@ -67,6 +67,14 @@ def start_scoring(spark: SparkSession, source: str, schema, to_raw: Callable[[Da
     return writer.start(sink)
 
 
+def table_source(spark: SparkSession, d: str, name: str) -> tuple[str, str | None]:
+    """Folder and file filter to stream a table from: its own folder, or the one file in ``d``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return f"{d}/{name}.parquet", None
+    return d, f"{name}.parquet"
+
+
 def scratch_paths(spark: SparkSession, name: str) -> tuple[str, str]:
     """(sink, checkpoint) folders under the session's shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
@@ -91,8 +99,8 @@ def stream_score(spark: SparkSession, d: str) -> DataFrame:
         return raw.where(F.col("o_orderstatus") != "F").drop("o_orderstatus")
 
     sink, ckpt = scratch_paths(spark, "stream_score")
-    q = start_scoring(spark, d, orders_schema, to_raw, stats, fitted, model, sink, ckpt,
-                      cols, glob="orders.parquet")
+    source, glob = table_source(spark, d, "orders")
+    q = start_scoring(spark, source, orders_schema, to_raw, stats, fitted, model, sink, ckpt, cols, glob=glob)
     q.awaitTermination()
     return spark.read.parquet(sink)
 

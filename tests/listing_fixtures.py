@@ -14,7 +14,7 @@ _BASE = {
     "TrangThaiSuDung": "Đang ở", "HuongBanCong": "--", "KetCau": "Bê tông",
     "TienIchToaNha": ["Thang máy", "Bảo vệ."], "TienIchLanCan": ["Chợ", "Trường học", "Chợ"],
     "NoiThat,TienNghi": None, "HangXom": [], "AnNinh": ["Camera"], "DuongVaoBds": ["Ô tô"],
-    "TienIchGanDat": None, "id": 1657527840,
+    "TienIchGanDat": None, "id": 1100000101,
 }
 
 

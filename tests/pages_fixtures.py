@@ -36,10 +36,10 @@ LISTING_PAGE = """<html><head><script>var t="</p>";</script></head><body>
 NO_PRICE_PER_M2_PAGE = LISTING_PAGE.replace("<span>104 triệu/m²</span>", "").replace("88123", "88124")
 
 INDEX_PAGE = """<html><body>
-<p class="name-product"><a href="https://nha.example.vn/ban-nha-a-1657527840">A</a></p>
-<p class="name-product"> <a href="https://nha.example.vn/ban-dat-b-1657527695">B</a></p>
+<p class="name-product"><a href="https://nha.example.vn/ban-nha-a-1100000101">A</a></p>
+<p class="name-product"> <a href="https://nha.example.vn/ban-dat-b-1100000102">B</a></p>
 <p class="other"><a href="https://nha.example.vn/quang-cao">ad</a></p>
-<p class="name-product"><a href="https://nha.example.vn/can-ho-c-1656748774">C</a></p>
+<p class="name-product"><a href="https://nha.example.vn/can-ho-c-1100000103">C</a></p>
 <ul class="pagination"><li class="page-item"><a>1</a></li><li class="page-item active"><a>2</a></li>
 <li class="page-item"><a>37</a></li><li class="page-item"><a>›</a></li></ul>
 </body></html>"""

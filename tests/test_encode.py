@@ -113,10 +113,10 @@ def test_one_hot_explicit_inputs(spark):
     assert "a_ohe" in out.columns and "Tinh_ohe" not in out.columns
 
 
-def test_wide_form_is_bounded(spark):
-    df = spark.createDataFrame([(1, ["a"])], "k int, arr array<string>")
-    with pytest.raises(ValueError):
-        E.multi_hot_columns(df, "arr", [f"w{i}" for i in range(300)])
+def test_wide_form_takes_any_named_vocabulary(spark):
+    df = spark.createDataFrame([(1, ["w7", "a\u0001b", "\u0002", None])], "k int, arr array<string>")
+    row = E.multi_hot_columns(df, "arr", [*[f"w{i}" for i in range(300)], "a\u0001b", "\u0002"]).first()
+    assert len(row) == 303 and row["arr_w7"] == row["arr_a\u0001b"] == row["arr_\u0002"] == 1 and row["arr_w8"] == 0
 
 
 def test_fused_labels_and_vocab_match_separate_fits(spark):

@@ -1,7 +1,7 @@
 """Join and partitioning helpers (J1, J2, size-checked broadcast)."""
 
 from plotline.operators import joins as J
-from plotline.operators.partitioning import spread_for_iteration
+from plotline.operators.partitioning import by_key
 
 
 def _plan(df) -> str:
@@ -27,13 +27,12 @@ def test_join_group_counts_drops_null_keys(spark):
     assert got == [("a", 2), ("a", 2), ("b", 1)]
 
 
-def test_spread_only_when_under_partitioned(spark):
-    one = spark.range(0, 100, 1, 1)
-    spread = spread_for_iteration(one)
-    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, 1, spark.sparkContext.defaultParallelism * 2)
-    assert spread_for_iteration(many) is many
-    assert sorted(r.id for r in spread.collect()) == list(range(100))
+def test_layout_follows_keys_only(spark):
+    rows = spark.range(0, 100, 1, 1)
+    dealt = by_key(rows, "id")
+    assert dealt.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    other = by_key(spark.range(0, 100, 1, 5), "id")
+    assert [sorted(p) for p in dealt.rdd.glom().collect()] == [sorted(p) for p in other.rdd.glom().collect()]
 
 
 def test_broadcast_bounded_in_bytes(spark):

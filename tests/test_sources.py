@@ -41,6 +41,14 @@ def test_batches(spark, tmp_dir):
     assert back.count() == 2500 and sorted(r.batch for r in back.select("batch").distinct().collect()) == [0, 1, 2]
 
 
+def test_batches_written_again_keep_the_others(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "again")
+    SRC.write_batches(spark.range(30_000), path, "id", 1000, fmt="parquet")
+    SRC.write_batches(spark.range(5_000, 6_000), path, "id", 1000, fmt="parquet")
+    back = spark.read.parquet(path)
+    assert back.count() == 30_000 and back.select("id").distinct().count() == 30_000
+
+
 def test_lookup_rows_json_and_views(spark, tmp_dir):
     p = os.path.join(tmp_dir, "tiers.csv")
     with open(p, "w", encoding="utf-8") as fh:
