@@ -15,7 +15,7 @@ from .components import connected_components
 
 #: different vectors in a block, on average: blocks grow in number, not in size
 BLOCK = 4096
-_STRIP = 256
+_STRIP = 64
 
 
 def projections(dim: int, seed: int = 11) -> np.ndarray:
@@ -33,7 +33,7 @@ def calibration(threshold: float) -> tuple[float, int]:
     many projections is no link.
     """
     d = 2 - 2 * threshold
-    return (d / 9) ** 0.5, 9
+    return (d / 5) ** 0.5, 5
 
 
 def codes(values: np.ndarray) -> np.ndarray:
@@ -54,27 +54,29 @@ def linked_pairs(xa: np.ndarray, ca: np.ndarray, xb: np.ndarray, cb: np.ndarray,
 
     Rows out of reach in the sorted first projection are not looked at.  For the
     others the collisions with the window around each row are counted projection
-    by projection; those still able to pass after the first 24 go on alone.
+    by projection; those still able to pass after the first 48 go on alone.
     Survivors are verified by their cosine.
     """
     width, misses = calibration(threshold)
     w = int(np.ceil(width * 127)) + 1               # codes of close values differ by one step more at most
     dim = ca.shape[1]
-    dense = min(dim, 24)
+    dense = min(dim, 48)
     cbt = np.ascontiguousarray(cb.T)
     left, right = [], []
     for at in range(0, len(ca), _STRIP):
         strip = ca[at:at + _STRIP]
         lo, hi = (at, len(cb)) if same else near_rows(strip[:, 0], cb[:, 0], threshold)
         missed = np.zeros((len(strip), hi - lo), dtype=np.uint8)
+        gap, far = np.empty_like(missed), np.empty(missed.shape, dtype=bool)
         for j in range(dense):
-            shifted = strip[:, j, None] + np.uint8(w)
-            missed += (shifted - cbt[j, None, lo:hi]) > 2 * w
+            np.subtract(strip[:, j, None] + np.uint8(w), cbt[j, None, lo:hi], out=gap)
+            np.greater(gap, np.uint8(2 * w), out=far)
+            np.add(missed, far.view(np.uint8), out=missed)
         i, k = np.nonzero(missed <= misses)
         count = missed[i, k].astype(np.int64)
         for j in range(dense, dim, 16):
-            gap = np.abs(strip[i, j:j + 16].astype(np.int16) - cb[k + lo, j:j + 16].astype(np.int16)) > w
-            count += gap.sum(1)
+            apart = np.abs(strip[i, j:j + 16].astype(np.int16) - cb[k + lo, j:j + 16].astype(np.int16)) > w
+            count += apart.sum(1)
             on = count <= misses
             i, k, count = i[on], k[on], count[on]
         i, k = i + at, k + lo
