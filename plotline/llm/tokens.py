@@ -68,15 +68,16 @@ class ByteBpe:
             rest = split_at_joints(t)
             first = rest.pop(0)
             last = " " + rest.pop() if rest and rest[-1][-1].isspace() else ""
-            found = list(map(get, rest))
+            found, missing = list(map(get, rest)), []
             if None in found:
-                new.update([p for p, v in zip(rest, found, strict=True) if v is None])
-            docs.append((first, rest, found, last))
+                missing = [i for i, v in enumerate(found) if v is None]
+                new.update([rest[i] for i in missing])
+            docs.append((first, rest, found, missing, last))
         self._learn(list(new))
         out = []
-        for first, rest, found, last in docs:
-            if None in found:
-                found = map(self.known.__getitem__, rest)
+        for first, rest, found, missing, last in docs:
+            for i in missing:
+                found[i] = self.known[rest[i]]
             out.append(b"".join((self._alone(first), *found, self._alone(last))))
         return out
 
