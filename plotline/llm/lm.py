@@ -18,6 +18,8 @@ CLASSES = 1024
 DIMENSIONS = 32
 NOISE = 10
 STEPS = 160
+#: pseudo-counts that each class row gets, spread by the class frequencies: rows with few pairs stay near them
+PRIOR = 50.0
 #: most frequent tokens whose counts every task holds; the others are joined
 COMMON = 50_000
 #: the end of a text, a token like any other; words are never empty
@@ -76,18 +78,20 @@ def pair_counts(texts: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
 
 
 def fit_log_bilinear(counts: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE, steps: int = STEPS,
-                     rate: float = 0.05, seed: int = 3) -> np.ndarray:
+                     rate: float = 0.05, prior: float = PRIOR, seed: int = 3) -> np.ndarray:
     """Normalised log10 p(next | previous), a K x K table, learned from pair counts.
 
     The prediction for a context w is C r_w, its score for v is (C r_w) . q_v + b_v.
     Noise-contrastive estimation tells the counted pairs from ``noise`` times as
     many drawn from the smoothed class frequencies; with pair counts its
     objective is a sum over the table, so each Adam step takes all training data.
+    ``prior`` pseudo-counts a row keep a small corpus from being learned by heart.
     One matrix product then gives all scores, which are normalised row by row.
     """
     k = len(counts)
     rng = np.random.default_rng(seed)
     share = (counts.sum(0) + 1.0) / (counts.sum() + k)
+    counts = counts + prior * share[None, :]
     row = counts.sum(1)
     data = (counts / max(1.0, counts.sum())).astype(np.float32)
     drawn = (noise * (row / max(1.0, counts.sum()))[:, None] * share[None, :]).astype(np.float32)

@@ -304,3 +304,16 @@ def test_pipeline_stages(spark, docs, none):
 def test_registry():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in Q.QUERIES} == set(range(1, 11))
     assert set(Q.ORACLE_SQL) <= set(Q.QUERIES)
+
+
+def test_log_bilinear_prior_keeps_sparse_rows_near_class_frequencies():
+    from plotline.llm.lm import fit_log_bilinear
+    counts = np.zeros((4, 4))
+    counts[0] = [0, 600, 300, 100]
+    counts[1, 2] = 1.0                              # one pair says little about its row
+    logs = fit_log_bilinear(counts).astype(np.float64)
+    assert np.allclose((10 ** logs).sum(1), 1, atol=1e-4)
+    share = (counts.sum(0) + 1) / (counts.sum() + 4)
+    free = fit_log_bilinear(counts, prior=0.0).astype(np.float64)
+    gap = lambda t: np.abs(10 ** t[1] - share).sum()            # noqa: E731
+    assert gap(logs) < gap(free)
