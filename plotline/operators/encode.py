@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordinal_by_keywords
 from ..functions._util import quote
-from .joins import broadcast_if_small, materialise_table
+from .joins import materialise_table
 
 # --- fixed values ----------------------------------------------------------
 # seller activity bins: [0,2) [2,5) [5,8) [8,16) [16,inf)
@@ -236,23 +236,18 @@ def fit_activity_levels(df: DataFrame, key: str, splits=ACTIVITY_SPLITS,
 
 
 def apply_activity_levels(df: DataFrame, levels: DataFrame, key: str, keep_input: bool = False,
-                          how: str = "inner", default_level: float | None = None,
-                          max_broadcast_rows: int | None = None) -> DataFrame:
+                          how: str = "inner", default_level: float | None = None) -> DataFrame:
     """M6 transform / J2: attach levels by key.
 
     Training uses ``how='inner'`` (rows with a null key drop out, as in the
     source); serving uses ``how='left'`` with ``default_level`` for unseen keys.
 
-    Without ``max_broadcast_rows`` no row count is taken and adaptive
-    execution decides: it turns the join into a broadcast when the measured
-    level table is small, or splits the hot key's partition (skew join) when
-    it is not.  ``fit_activity_levels`` materialises its table, so passing a
-    bound (a cheap count of the checkpoint) is safe for fitted levels; for an
-    unmaterialised table a count would run its aggregation twice.
+    Adaptive execution decides on the join: a broadcast when the measured
+    level table is small, or a split of the hot key's partition (skew join)
+    when it is not.
     """
     level_col = [c for c in levels.columns if c != key][0]
-    side = broadcast_if_small(levels, max_broadcast_rows) if max_broadcast_rows else levels
-    out = df.join(side, key, how)
+    out = df.join(levels, key, how)
     if default_level is not None:
         out = out.withColumn(level_col, F.coalesce(F.col(level_col), F.lit(float(default_level))))
     return out if keep_input else out.drop(key)
@@ -262,13 +257,12 @@ def apply_activity_levels(df: DataFrame, levels: DataFrame, key: str, keep_input
 
 def administrative_ordinals(df: DataFrame, tiers: DataFrame | None = None, province: str = "Tinh",
                             district: str = "Huyen", ward: str = "Xa", tier_col: str = "PhanLoaiTinh",
-                            keep_input: bool = False, max_broadcast_rows: int = 100_000) -> DataFrame:
+                            keep_input: bool = False) -> DataFrame:
     """M7: province tier (lookup join) and district / ward keyword ordinals."""
     out = df
     made = []
     if tiers is not None and province in df.columns:
-        out = out.join(broadcast_if_small(tiers.select(province, tier_col), max_broadcast_rows),
-                       province, "left")
+        out = out.join(tiers.select(province, tier_col), province, "left")
         out = out.withColumn(f"{province}_idx", ordinal_by_keywords(tier_col, TIER_RULES, lower=False))
         out = out.drop(tier_col)
         made.append(province)

@@ -1,36 +1,15 @@
-"""Join helpers with an explicit size check before any broadcast."""
+"""Join helpers.
+
+No side is hinted for a broadcast: Spark's own threshold takes file-backed
+dimensions whose scans are proven small, and adaptive execution decides from
+measured shuffle sizes for everything else.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions._util import quote
-
-# A side is broadcast only when it is proven to hold at most this many rows
-# and at most this many bytes (serialised row size, measured).
-DEFAULT_BROADCAST_ROWS = 1_000_000
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                       max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows and ``max_bytes``
-    bytes, else return it as is.
-
-    One bounded job over ``limit(max_rows + 1)`` counts the rows and sums the
-    JSON-serialised size of each row (a fair proxy for the broadcast payload,
-    wide text columns included); it stops reading once the row bound is
-    exceeded.  Above either bound the join is left to Spark (sort-merge, or
-    AQE's own runtime broadcast conversion when the shuffled side turns out
-    small).
-    """
-    row = F.struct(*[F.col(quote(c)) for c in df.columns])
-    stats = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
-                                       F.sum(F.octet_length(F.to_json(row))).alias("b")).collect()[0]
-    small = stats["n"] <= max_rows and (stats["b"] or 0) <= max_bytes
-    return F.broadcast(df) if small else df
-
 
 def materialise_table(df: DataFrame) -> DataFrame:
     """Compute a derived table once and cut its lineage (reliable checkpoint
@@ -40,10 +19,9 @@ def materialise_table(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup_join(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-                max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Fact ⟕ dimension, broadcasting the dimension when its size allows."""
-    return fact.join(broadcast_if_small(dim, max_rows), on, how)
+def lookup_join(fact: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
+    """Fact ⟕ dimension; the dimension's size decides the join strategy."""
+    return fact.join(dim, on, how)
 
 
 def join_group_counts(df: DataFrame, key: str, count_col: str = "count") -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions._util import quote
-from .joins import broadcast_if_small
 
 
 def prefixed(df: DataFrame, cols: Sequence[str], prefix: str) -> DataFrame:
@@ -32,19 +31,16 @@ def sql_where_equals(df: DataFrame, view: str, col: str, value, columns: Sequenc
                                args={"value": value})
 
 
-def pick_rows(df: DataFrame, col: str, keys, max_broadcast_rows: int | None = None) -> DataFrame:
+def pick_rows(df: DataFrame, col: str, keys) -> DataFrame:
     """Rows whose ``col`` is among ``keys``.
 
     A short Python list becomes an ``IN`` predicate (pushed to the scan).  A
-    DataFrame of keys becomes a left-semi join: with ``max_broadcast_rows``
-    it is broadcast after a bounded row count (for small key files);
-    otherwise adaptive execution decides from the measured shuffle size and
-    splits skewed keys.
+    DataFrame of keys becomes a left-semi join, whose strategy Spark chooses
+    from the measured sizes, splitting skewed keys.
     """
     if isinstance(keys, DataFrame):
         k = keys.select(F.col(keys.columns[0]).alias(col))
-        side = broadcast_if_small(k, max_broadcast_rows) if max_broadcast_rows else k
-        return df.join(side, col, "left_semi")
+        return df.join(k, col, "left_semi")
     return df.where(F.col(quote(col)).isin(list(keys)))
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import broadcast_if_small
 from ..schema import ListingColumns
 from ..sources import read_table
 from .driver_queries import _DISTRICT_TEXT, _PRICE_TEXT, _TIER_TEXT, _WARD_TEXT, _f1_sql, query
@@ -65,7 +64,7 @@ def raw_listings_from(orders: DataFrame, customers: DataFrame, nations: DataFram
     """As ``raw_listings`` over given frames; ``orders`` may be a stream
     (stream-static joins with the customer and nation tables)."""
     cust = customers.select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = broadcast_if_small(nations.select("n_nationkey", "n_name"), 10_000)
+    nation = nations.select("n_nationkey", "n_name")
     j = (orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
          .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
     return j.select("o_orderstatus", *[F.expr(e.replace("string_split(", "split(")).alias(k)
@@ -173,7 +172,7 @@ def tier_lookup(spark, d) -> DataFrame:
     """Province → tier text lookup derived from nation ⋈ region (region 4 left out)."""
     nation = read_table(spark, d, "nation")
     region = read_table(spark, d, "region").where(F.col("r_regionkey") != 4)
-    return nation.join(broadcast_if_small(region, 10_000), F.col("n_regionkey") == F.col("r_regionkey")).select(
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_name").alias("Tinh"), F.expr(_TIER_TEXT).alias("PhanLoaiTinh"))
 
 

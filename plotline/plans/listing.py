@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from ..functions._util import quote
 from ..operators import clean as C
 from ..operators import encode as E
-from ..operators.joins import DEFAULT_BROADCAST_ROWS
 from ..schema import DEFAULT, ListingColumns
 
 __all__ = ["FittedFeatures", "ListingFit", "clean_listings", "fit_features", "label_log"]
@@ -49,7 +48,6 @@ class FittedFeatures:
     handle_invalid: str = "keep"
     output_col: str = "features"
     fill_missing: float | None = None
-    level_broadcast_rows: int | None = None
     adm_cols: tuple = ()
     scaler: object = None          # fitted StandardScalerModel (M11) or None
     numeric_cols: tuple = ()       # continuous columns assembled as they are (none in the source's plan)
@@ -61,7 +59,7 @@ class FittedFeatures:
         adm_inputs = []
         if self.levels is not None:
             out = E.apply_activity_levels(out, self.levels, c.seller, keep_input=False, how="left",
-                                          default_level=0.0, max_broadcast_rows=self.level_broadcast_rows)
+                                          default_level=0.0)
             adm_inputs.append(self.level_col)
         out = E.administrative_ordinals(out, self.tiers, c.province, c.district, c.ward)
         adm_inputs += [f"{a}_idx" for a in (c.province, c.district, c.ward) if f"{a}_idx" in out.columns]
@@ -125,8 +123,7 @@ def fit_features(train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFr
     adm_cols = tuple(a for a in (cols.province, cols.district, cols.ward)
                      if a in present and (a != cols.province or tiers is not None))
     fitted = FittedFeatures(cols, levels, level_col, tiers, indexer, index_cols, vocab, handle_invalid,
-                            output_col, fill_missing, DEFAULT_BROADCAST_ROWS if levels is not None else None,
-                            adm_cols, None, tuple(c for c in numeric_cols if c in present))
+                            output_col, fill_missing, adm_cols, None, tuple(c for c in numeric_cols if c in present))
     if standardize:
         fitted.scaler = E.fit_standard_scaler(fitted.transform(train), output_col, standardized_col)
     return fitted

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.joins import broadcast_if_small
 from ..schema import DEFAULT, ListingColumns, raw_listing_schema
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -44,10 +43,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return reader.option("inferSchema", infer).csv(path)
 
 
-def read_lookup(spark: SparkSession, path: str, max_rows: int = 100_000,
+def read_lookup(spark: SparkSession, path: str,
                 schema: T.StructType | str | None = None) -> DataFrame:
-    """Small CSV dimension, broadcast when its row count is within ``max_rows``."""
-    return broadcast_if_small(read_csv(spark, path, schema, infer=schema is None), max_rows)
+    """CSV dimension; Spark broadcasts it when its files are within the session's threshold."""
+    return read_csv(spark, path, schema, infer=schema is None)
 
 
 def rows_to_df(spark: SparkSession, rows: Iterable, schema: T.StructType | str) -> DataFrame:
