@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, IsotonicRegression,
                                    LinearRegression, RandomForestRegressor)
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 # --- fixed values: hyper-parameters of the saved models --------------------
@@ -56,4 +59,19 @@ def fit_regressor(kind: str, df: DataFrame, features_col: str = "features", labe
         params.setdefault("checkpointInterval", 10)
     est = make_regressor(kind, features_col, label_col, prediction_col, seed, **params)
     data = df.select(features_col, label_col)
+    if kind == "isotonic":
+        data, est = _one_row_per_value(data, features_col, label_col, est), est.setWeightCol("weight")
     return est.fit(data)
+
+
+def _one_row_per_value(df: DataFrame, features_col: str, label_col: str, est) -> DataFrame:
+    """(feature value, mean label, number of rows): the isotonic fit of these
+    weighted rows is that of all rows, and a value holding a large share of the
+    rows never becomes one task's array."""
+    x = F.col(features_col)
+    if isinstance(df.schema[features_col].dataType, VectorUDT):
+        x = vector_to_array(x)[est.getFeatureIndex()]
+    return (df.select(x.cast("double").alias(features_col), F.col(label_col).cast("double").alias(label_col))
+            .groupBy(features_col).agg(F.avg(label_col).alias(label_col),
+                                       F.count(label_col).cast("double").alias("weight"))
+            .where(F.col("weight") > 0))

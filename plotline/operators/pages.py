@@ -36,28 +36,34 @@ from ..functions._util import as_col, quote
 MISSING_PRICE_PER_M2 = "--"
 REMOVED_DETAIL_KEYS = ("DienTichSuDung",)
 
-_DATE = r'(?s)class="text-gray text-100"[^>]*>\s*(.*?)\s*<'
-_SELLER_BLOCK = r'(?s)class="user-info-name"[^>]*>(.*?)</a>'
-_CRUMB_BLOCK = r'(?s)<ul class="crumb text-medium crumb-text"[^>]*>(.*?)</ul>'
+
+def _class(*names: str) -> str:
+    """Pattern of a class attribute holding all ``names``, among others and in any order."""
+    return 'class="' + "".join(rf'(?=(?:[^"]*\s)?{n}[\s"])' for n in names) + '[^"]*"'
+
+
+_DATE = rf'(?s){_class("text-gray", "text-100")}[^>]*>\s*(.*?)\s*<'
+_SELLER_BLOCK = rf'(?s){_class("user-info-name")}[^>]*>(.*?)</a>'
+_CRUMB_BLOCK = rf'(?s)<ul\s[^>]*?{_class("crumb", "text-medium", "crumb-text")}[^>]*>(.*?)</ul>'
 _LI = r'(?s)<li[^>]*>(.*?)</li>'
 _SPAN_TEXT_IN_ITEM = r'(?s)<span[^>]*>\s*(.*?)\s*</span>'
-_PRICE_BLOCK = r'(?s)class="price-box"[^>]*>(.*?)</div>'
+_PRICE_BLOCK = rf'(?s){_class("price-box")}[^>]*>(.*?)</div>'
 _SPAN_TEXT = r'(?s)<span[^>]*>\s*(.*?)\s*</span>'
-_STATUS_BLOCK = r'(?s)class="product-status"[^>]*>\s*<div[^>]*>(.*?)</div>'
-_ADDRESS = r'(?s)class="product-title-price"[^>]*>\s*<div[^>]*>\s*<div[^>]*>\s*<span[^>]*>\s*(.*?)\s*</span>'
-_INFO_BLOCK = r'(?s)class="product-infomation"[^>]*>(.*?)</ul>'
+_STATUS_BLOCK = rf'(?s){_class("product-status")}[^>]*>\s*<div[^>]*>(.*?)</div>'
+_ADDRESS = rf'(?s){_class("product-title-price")}[^>]*>\s*<div[^>]*>\s*<div[^>]*>\s*<span[^>]*>\s*(.*?)\s*</span>'
+_INFO_BLOCK = rf'(?s){_class("product-infomation")}[^>]*>(.*?)</ul>'
 _INFO_IN_ITEM = r'(?s)<span[^>]*>\s*<i[^>]*>\s*(?:</i>)?\s*(.*?)\s*</span>'
 _DESC_BLOCK = r'(?s)id="content-tab-custom"[^>]*>(.*?)</div>'
-_DESC_ITEM = r'(?s)<(?:p|li)[^>]*>(.*?)</(?:p|li)>'
+_DESC_ITEM = r'(?s)<(?:p|li)(?:\s[^>]*)?>(.*?)(?=</(?:p|li)>|<(?:p|li)[\s>]|\z)'
 _DETAIL_BLOCK = r'(?s)id="content-tab-info"[^>]*>(.*?)</ul>'
 _DETAIL_KEY = r'(?s)^\s*<span[^>]*>\s*<span[^>]*>\s*(.*?)\s*</span>'
 _DETAIL_VALUE = r'(?s)</span>\s*</span>\s*<span[^>]*>\s*(.*?)\s*</span>'
-_UTIL_AREA = r'(?s)class="tabs-product"[^>]*>(.*)$'
+_UTIL_AREA = rf'(?s){_class("tabs-product")}[^>]*>(.*)$'
 # a heading names the amenity list that directly follows it; headings without
 # such a list (description, information, anything after the tabs) are no group
-_UTIL_GROUP = r'(?s)<h2[^>]*>\s*([^<]*?)\s*</h2>\s*<ul class="product-other-utilities"[^>]*>(.*?)</ul>'
-_LISTING_LINK = r'(?s)<p class="name-product"[^>]*>\s*<a href="([^"]*)"'
-_PAGE_ITEM = r'(?s)class="page-item[^"]*"[^>]*>\s*(?:<[^>]+>\s*)*([^<]*?)\s*<'
+_UTIL_GROUP = rf'(?s)<h2[^>]*>\s*([^<]*?)\s*</h2>\s*<ul\s[^>]*?{_class("product-other-utilities")}[^>]*>(.*?)</ul>'
+_LISTING_LINK = rf'(?s)<p\s[^>]*?{_class("name-product")}[^>]*>\s*<a\s[^>]*?href="([^"]*)"'
+_PAGE_ITEM = rf'(?s){_class("page-item")}[^>]*>\s*(?:<[^>]+>\s*)*([^<]*?)\s*<'
 
 # Generic page layout of the driver's `pages` table.
 GENERIC_FIELDS = {
@@ -67,8 +73,8 @@ GENERIC_FIELDS = {
     "ad": r'(?s)<div class="ad">(.*?)</div>',
 }
 GENERIC_BODY = r"(?s)<article>(.*?)</article>"
-# paragraph text runs from <p> (an optional <b> skipped) to the next tag
-GENERIC_PARAGRAPH = r"<p>(?:<b>)?([^<]*)"
+# a paragraph runs to its end tag, the next paragraph, or the end; tags inside are dropped from its text
+GENERIC_PARAGRAPH = r"(?s)<p(?:\s[^>]*)?>(.*?)(?=</p>|<p[\s>]|\z)"
 GENERIC_NAV_LINK = r'<a href="([^"]*)">([^<]*)</a>'
 
 
@@ -120,8 +126,8 @@ def paragraphs(html: Column, body: str = GENERIC_BODY, para: str = GENERIC_PARAG
 def description_text(html: Column, body: str = GENERIC_BODY, para: str = GENERIC_PARAGRAPH) -> Column:
     """H6: paragraphs → '.'-terminated sentences joined by a space → F5 clean-up."""
     br = F.transform(_items(html, body, para),
-                     lambda p: html_unescape(F.regexp_replace(F.regexp_replace(p, r"(?i)<br\s*/?>", " "),
-                                                              r"<[^>]*>", "")))
+                     lambda p: html_unescape(F.rtrim(F.regexp_replace(
+                         F.regexp_replace(p, r"(?i)<br\s*/?>", " "), r"<[^>]*>", ""))))
     return pre_clean(paragraphs_to_text(br))
 
 

@@ -28,7 +28,6 @@ from ..operators import frontier as FR
 from ..operators import pages as PG
 from ..operators import profile as PR
 from ..operators import select as S
-from ..operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 from ..operators.models import fit_regressor
 from ..operators.partitioning import by_key
 from ..schema import ListingColumns
@@ -87,7 +86,7 @@ SELECT n_name, c_mktsegment, count(*)::BIGINT AS n
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 GROUP BY n_name, c_mktsegment""")
 def dash_grid(spark, d):
-    nation = broadcast_if_small(_t(spark, d, "nation").select("n_nationkey", "n_name"), 10_000)
+    nation = _t(spark, d, "nation").select("n_nationkey", "n_name")
     j = _orders_per_customer(spark, d).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name", "c_mktsegment").agg(F.sum("n").cast("bigint").alias("n"))
 
@@ -481,15 +480,23 @@ def page_links(spark, d):
     return PG.nav_links(_t(spark, d, "pages").select("page_id", "html"), "page_id", "html")
 
 
-@query("page_last", f"""
-SELECT page_id, len(regexp_extract_all(html, '{_NAV}', 2))::BIGINT AS n_items,
-       try_cast(regexp_extract_all(html, '{_NAV}', 2)[-2] AS INTEGER) AS last_page
+# pagination bars with plain, nested, highlighted, elided and missing entries, added to every page
+_PAGINATION = """concat(html, '<ul class="pagination">',
+  CASE WHEN page_id % 7 = 0 THEN '' WHEN page_id % 3 = 0
+       THEN concat('<li class="page-item"><a>1</a></li><li class="last page-item"><a> <b>', CAST(page_id % 90 + 2 AS STRING),
+                   '</b> </a></li>')
+       ELSE concat('<li class="page-item"><a>1</a></li><li class="page-item active"><a>', CAST(page_id % 90 + 2 AS STRING),
+                   '</a></li>') END,
+  CASE WHEN page_id % 5 = 0 THEN '<li class="page-item"><span>...</span></li>' ELSE '' END,
+  '<li class="page-item"><a>&rsaquo;</a></li></ul>')"""
+
+
+@query("page_last", """
+SELECT page_id, CASE WHEN page_id % 7 <> 0 AND page_id % 5 <> 0 THEN (page_id % 90 + 2)::INTEGER END AS last_page
 FROM pages""")
 def page_last(spark, d):
-    pages = _t(spark, d, "pages").select("page_id", "html")
-    items = F.regexp_extract_all("html", F.lit(_NAV), 2)
-    return pages.select("page_id", F.size(items).cast("bigint").alias("n_items"),
-                        PG.last_page("html", _NAV_TEXT).alias("last_page"))
+    pages = _t(spark, d, "pages").select("page_id", F.expr(_PAGINATION).alias("html"))
+    return pages.select("page_id", PG.last_page("html").alias("last_page"))
 
 
 @query("page_details", f"""
@@ -637,8 +644,7 @@ FROM orders o JOIN c ON o.o_custkey = c.o_custkey""")
 def activity_level(spark, d):
     orders = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
     levels = E.fit_activity_levels(orders, "o_custkey")          # materialised fitted table
-    return E.apply_activity_levels(orders, levels, "o_custkey", keep_input=True,
-                                   max_broadcast_rows=DEFAULT_BROADCAST_ROWS)
+    return E.apply_activity_levels(orders, levels, "o_custkey", keep_input=True)
 
 
 _TIER_TEXT = ("CASE r_regionkey WHEN 0 THEN 'Đặc biệt' WHEN 1 THEN 'loại I' WHEN 2 THEN 'loại II' "
@@ -666,10 +672,10 @@ FROM j""")
 def tier_ordinal(spark, d):
     nation = _t(spark, d, "nation")
     region = _t(spark, d, "region").where(F.col("r_regionkey") != 4)
-    tiers = nation.join(broadcast_if_small(region, 10_000), F.col("n_regionkey") == F.col("r_regionkey")).select(
+    tiers = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_name").alias("Tinh"), F.expr(_TIER_TEXT).alias("PhanLoaiTinh"))
     cust = _t(spark, d, "customer").join(
-        broadcast_if_small(nation.select("n_nationkey", "n_name"), 10_000),
+        nation.select("n_nationkey", "n_name"),
         F.col("c_nationkey") == F.col("n_nationkey"))
     fact = cust.select("c_custkey", F.col("n_name").alias("Tinh"), F.expr(_DISTRICT_TEXT).alias("Huyen"),
                        F.expr(_WARD_TEXT).alias("Xa"))
@@ -771,9 +777,19 @@ def tree(spark, d):
     return _scored(spark, d, "tree")
 
 
-@query("isotonic", None)
+# the isotonic fit at a value is the largest, over block starts up to it, of the smallest block mean from there on
+@query("isotonic", """
+WITH g AS (SELECT l_quantity AS x, count(*) AS w, sum(ln(l_extendedprice)) AS s FROM lineitem GROUP BY 1),
+r AS (SELECT x, w, s, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw,
+             sum(s) OVER (ORDER BY x) AS cs FROM g),
+m AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS mean FROM r a JOIN r b ON a.i <= b.i),
+lo AS (SELECT r.x, m.a, min(m.mean) AS mean FROM r JOIN m ON m.a <= r.i AND m.b >= r.i GROUP BY 1, 2),
+p AS (SELECT x, max(mean) AS y FROM lo GROUP BY 1)
+SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS price, round(exp(y), 2) AS prediction
+FROM lineitem JOIN p ON l_quantity = x""")
 def isotonic(spark, d):
-    return _scored(spark, d, "isotonic", ("l_quantity",))
+    scored = _scored(spark, d, "isotonic", ("l_quantity",))
+    return scored.withColumns({c: F.round(c, 2) for c in ("price", "prediction")})
 
 
 @query("importance_topk", None)

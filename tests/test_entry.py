@@ -17,7 +17,7 @@ def test_entry_runs(spark):
     assert sum(r.share for r in rows) == pytest.approx(1.0, abs=1e-5)
 
 
-ROWS_ONLY = {"forest", "gbt", "tree", "isotonic", "importance_topk", "stream_score", "batch_score"}
+ROWS_ONLY = {"forest", "gbt", "tree", "importance_topk", "stream_score", "batch_score"}
 
 
 def test_registry_consistent():

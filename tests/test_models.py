@@ -132,3 +132,17 @@ def test_metrics_skip_unscored_rows_and_constant_labels(spark):
     const = spark.createDataFrame([(2.0, 1.0), (2.0, 3.0)], "y double, p double")
     c = V.regression_metrics(const, "y", "p").collect()[0]
     assert c.n == 2 and c.r2 is None                                   # zero variance: undefined, no error
+
+
+def test_isotonic_on_many_rows_of_one_value(spark):
+    from pyspark.ml.regression import IsotonicRegression
+    from pyspark.sql import functions as F
+    from plotline.operators.encode import assemble
+    from plotline.operators.models import fit_regressor
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise((F.col("id") % 501).cast("double")).alias("x"),
+        ((F.col("id") * 37 % 101) + F.col("id") % 501 / 50).alias("label"))
+    rows = assemble(df, ["x"], "features")
+    got = fit_regressor("isotonic", rows).transform(rows).select("x", "prediction").distinct().collect()
+    want = IsotonicRegression(featuresCol="features").fit(rows).transform(rows).select("x", "prediction").distinct()
+    assert {r.x: round(r.prediction, 9) for r in got} == {r.x: round(r.prediction, 9) for r in want.collect()}

@@ -75,3 +75,23 @@ def test_seller_id_takes_first_user_segment(spark):
     page = LISTING_PAGE.replace("https://nha.example.vn/user/ 4242", "https://nha.example.vn/user/a/user/b")
     r = PG.listing_fields(pages(spark, page), "html").collect()[0]
     assert r.Id_NguoiDangban == "a/user/b"
+
+
+def test_classes_match_among_others(spark):
+    page = (LISTING_PAGE.replace('class="product-infomation"', 'class="row product-infomation"')
+            .replace('class="text-gray text-100"', 'class="text-100 small text-gray"')
+            .replace('class="price-box"', 'class="price-box big"')
+            .replace('class="product-other-utilities"', 'class="x product-other-utilities y"')
+            .replace("<ul class=\"crumb text-medium crumb-text\"", "<ul id=\"c\" class=\"crumb-text crumb text-medium\""))
+    one = PG.listing_fields(pages(spark, page), "html").collect()[0]
+    assert one[2:] == PG.listing_fields(pages(spark, LISTING_PAGE), "html").collect()[0][2:]   # all but id and html
+    assert {g.group for g in PG.amenity_groups(pages(spark, page), "page_id").collect()} == {"TienIchToaNha", "AnNinh"}
+    other = LISTING_PAGE.replace('class="product-infomation"', 'class="product-infomation-old"')
+    assert PG.listing_fields(pages(spark, other), "html").collect()[0].DienTich is None
+
+
+def test_paragraph_text_runs_through_inner_tags(spark):
+    html = ('<article><p class="a">Hello <a href="/x">link</a> tail.</p><pre>code</pre><p>Open <b>bold</b>'
+            '<p>Next</article>')
+    r = PG.page_fields(pages(spark, html), "html").collect()[0]
+    assert r.n_paragraphs == 3 and r.description == "Hello link tail. Open bold. Next."
