@@ -183,7 +183,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         start = m.vocabulary.get(END, 0)
         base_all, rare_all = np.log10(m.n + m.v + 1), np.log10(m.rare_n + m.rare_v + 1)
         log_of = {t: np.log10(c + 1) for t, c in m.common.items()}
-        for b in batches:
+        for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             cols: list[list] = [[] for _ in range(5)]
             for t in b.column(3):
                 tokens = tokens_of(t.as_py())
