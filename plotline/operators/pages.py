@@ -193,15 +193,9 @@ def _paired(df: DataFrame, id_col: str, a: Column, b: Column, na: str, nb: str)
             .select(id_col, F.arrays_zip(F.col(na), F.col(nb)).alias("pairs")))
 
 
-def detail_pairs(df: DataFrame, id_col: str, html_col: str = "html", block: str = _DETAIL_BLOCK,
-                 key_pattern: str = _DETAIL_KEY, value_pattern: str = _DETAIL_VALUE,
-                 removed=REMOVED_DETAIL_KEYS, per_item: bool = True) -> DataFrame:
-    """H4: (id, pos, key, value) with keys normalised by F6 and values squashed.
-
-    A key repeated on one page keeps its *last* value and ``removed`` keys are
-    dropped.  All pairs of a page live in one row, so de-duplication is an
-    array expression inside that row: no shuffle.
-    """
+def _last_details(df: DataFrame, id_col: str, html_col: str, block: str, key_pattern: str, value_pattern: str,
+                  removed, per_item: bool) -> DataFrame:
+    """(id, kv): per page its array of (pos, key, value), unique keys in page order."""
     area = _extract(as_col(html_col), block)
     if per_item:   # key and value read inside the same <li>, so they cannot drift apart
         keys, vals = _item_values(area, key_pattern), _item_values(area, value_pattern)
@@ -222,15 +216,28 @@ def detail_pairs(df: DataFrame, id_col: str, html_col: str = "html", block: str
         lambda x: F.struct(x["pos"].alias("pos"), x["key"].alias("key"), x["value"].alias("value")))).alias("kv"))
     if removed:
         last = last.select(id_col, F.filter("kv", lambda x: ~x["key"].isin(*removed)).alias("kv"))
+    return last
+
+
+def detail_pairs(df: DataFrame, id_col: str, html_col: str = "html", block: str = _DETAIL_BLOCK,
+                 key_pattern: str = _DETAIL_KEY, value_pattern: str = _DETAIL_VALUE,
+                 removed=REMOVED_DETAIL_KEYS, per_item: bool = True) -> DataFrame:
+    """H4: (id, pos, key, value) with keys normalised by F6 and values squashed.
+
+    A key repeated on one page keeps its *last* value and ``removed`` keys are
+    dropped.  All pairs of a page live in one row, so de-duplication is an
+    array expression inside that row: no shuffle.
+    """
+    last = _last_details(df, id_col, html_col, block, key_pattern, value_pattern, removed, per_item)
     return (last.select(id_col, F.posexplode("kv").alias("pos", "kv"))
             .select(id_col, F.col("pos").cast("bigint").alias("pos"), "kv.key", "kv.value"))
 
 
 def details_map(df: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
-    """H4 wide form: one ``map<string,string>`` per page (keys unique, last wins)."""
-    pairs = detail_pairs(df.select(id_col, html_col), id_col, html_col)
-    return pairs.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("details"))
+    """H4 wide form: one ``map<string,string>`` per row (keys unique, last wins; empty without details)."""
+    last = _last_details(df, id_col, html_col, _DETAIL_BLOCK, _DETAIL_KEY, _DETAIL_VALUE, REMOVED_DETAIL_KEYS, True)
+    return last.select(id_col, F.map_from_entries(
+        F.transform("kv", lambda x: F.struct(x["key"], x["value"]))).alias("details"))
 
 
 def amenity_groups(df: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:

@@ -95,3 +95,11 @@ def test_paragraph_text_runs_through_inner_tags(spark):
             '<p>Next</article>')
     r = PG.page_fields(pages(spark, html), "html").collect()[0]
     assert r.n_paragraphs == 3 and r.description == "Hello link tail. Open bold. Next."
+
+
+def test_details_map_keeps_repeated_page_ids_apart(spark):
+    twice = spark.createDataFrame([(1, LISTING_PAGE), (1, LISTING_PAGE.replace("2020", "2021")), (2, "")],
+                                  "page_id long, html string")
+    out = PG.details_map(twice, "page_id")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.page_id, r.details.get("NamXayDung")) for r in out.collect() if r.details) == [(1, "2020"), (1, "2021")]
