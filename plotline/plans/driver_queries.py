@@ -514,6 +514,43 @@ def page_details(spark, d):
                            value_pattern=_NAV_HREF, removed=("The",), per_item=False)
 
 
+# listing markup of every part: details with a repeated and a removed key, an amenity list
+# after headings without one, listing links beside an advert
+_LISTING_HTML = """concat('<div id="content-tab-info"><div><ul><li><span><span>Năm xây dựng</span></span><span> ',
+  CAST(p_size AS STRING), ' </span></li><li><span><span>Diện tích sử dụng</span></span><span>1 m²</span></li>',
+  '<li><span><span>Năm  xây dựng</span></span><span>', CAST(p_size + 1 AS STRING), '</span></li></ul></div></div>',
+  '<div class="row tabs-product"><h2>Mô tả</h2><h2> Tiện ích </h2><ul class="product-other-utilities wide"><li><span>',
+  split_part(p_name, ' ', 1), '</span></li><li><span class="s"> ', split_part(p_name, ' ', 2), '&nbsp;x </span></li></ul></div>',
+  '<p class="hot name-product"><a class="l" href="https://nha.example.vn/a-', CAST(p_partkey AS STRING), '">A</a></p>',
+  '<p class="other"><a href="https://nha.example.vn/ad">ad</a></p><p class="name-product">',
+  '<a href="https://nha.example.vn/b-', CAST(p_partkey AS STRING), '">B</a></p>')"""
+
+
+def _listing_pages(spark, d) -> DataFrame:
+    return _t(spark, d, "part").select("p_partkey", F.expr(_LISTING_HTML).alias("html"))
+
+
+@query("listing_details", """
+SELECT p_partkey, 0::BIGINT AS pos, 'NamXayDung' AS key, CAST(p_size + 1 AS VARCHAR) AS value FROM part""")
+def listing_details(spark, d):
+    return PG.detail_pairs(_listing_pages(spark, d), "p_partkey")
+
+
+@query("listing_amenities", """
+SELECT p_partkey, 'TienIch' AS heading, concat(split_part(p_name, ' ', 1), '|', split_part(p_name, ' ', 2), ' x') AS items
+FROM part""")
+def listing_amenities(spark, d):
+    groups = PG.amenity_groups(_listing_pages(spark, d), "p_partkey")
+    return groups.select("p_partkey", F.col("group").alias("heading"), F.array_join("items", "|").alias("items"))
+
+
+@query("listing_links", """
+SELECT p_partkey, 0::INTEGER AS pos, concat('https://nha.example.vn/a-', p_partkey) AS url FROM part
+UNION ALL SELECT p_partkey, 1::INTEGER, concat('https://nha.example.vn/b-', p_partkey) FROM part""")
+def listing_links(spark, d):
+    return PG.outbound_links(_listing_pages(spark, d), "p_partkey")
+
+
 # ---------------------------------------------------------------------------
 # Frontier (H7, H8, H9, J4, J5, P7)
 # ---------------------------------------------------------------------------
