@@ -8,13 +8,12 @@ one plan: slice → only-new filter → join outcomes → extract → merge.
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import page_url, url_id
+from ..session import ensure_checkpoint_dir
 from . import pages as P
 
 # --- fixed values: frontier defaults and statuses --------------------------
@@ -70,43 +69,65 @@ def only_uncrawled(frontier: DataFrame, recrawl: bool = False) -> DataFrame:
     return frontier if recrawl else frontier.where(F.col("crawled") == 0)
 
 
-def slice_rows(df: DataFrame, order_cols, from_idx: int = 0, to_idx: int | None = None) -> DataFrame:
-    """Rows ``from_idx <= i < to_idx`` of ``df`` ordered by ``order_cols``.
-
-    The default (0, None) is the whole table and costs nothing.  Otherwise the
-    ordinal is a distributed sequence attached in the JVM after a
-    range-partitioned sort (one small job counts rows per partition; rows
-    never pass through Python) — never a global window that would pull every
-    row into one partition.  ``order_cols`` should be unique so the order is
-    total.
+def row_range(df: DataFrame, order_cols, from_idx: int = 0, to_idx: int | None = None) -> Column | None:
+    """Condition that holds for rows ``from_idx <= i < to_idx`` of ``df`` ordered by ``order_cols``
+    (None for the whole table, which costs nothing).
+
+    Only the order columns are sorted, by range over all partitions, and
+    written to the shared checkpoint folder with each row's partition and
+    place in it.  One count per partition tells where the two bounds lie; the
+    keys found there are the condition's constants, so the wide table itself
+    is filtered and neither sorted nor cached.  ``order_cols`` should be
+    unique; rows that tie on all of them are in the range together.  Nulls
+    come first.
     """
     if from_idx <= 0 and to_idx is None:
-        return df
-    os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
-    indexed = df.orderBy(*order_cols).pandas_api().to_spark(index_col="__i")
-    cond = F.col("__i") >= F.lit(from_idx)
-    if to_idx is not None:
-        cond = cond & (F.col("__i") < F.lit(to_idx))
-    return indexed.where(cond).drop("__i")
+        return None
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    names = list(order_cols)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    keys = (df.select(*names).orderBy(*names)
+            .select("*", F.spark_partition_id().alias("__part"), place.alias("__place")).checkpoint())
+    counts = keys.groupBy("__part").count().orderBy("__part").collect()     # one row per partition
+
+    def key_at(idx: int):
+        before = 0
+        for part in counts:
+            if idx < before + part["count"]:
+                found = keys.where((F.col("__part") == part["__part"]) & (F.col("__place") == idx - before))
+                row = found.select(*names).first()
+                return F.struct(*[F.lit(row[n]).cast(df.schema[n].dataType).alias(n) for n in names])
+            before += part["count"]
+        return None
+
+    key = F.struct(*[F.col(n) for n in names])
+    low, high = key_at(max(from_idx, 0)), key_at(max(to_idx, 0)) if to_idx is not None else None
+    if low is None or (to_idx is not None and to_idx <= from_idx):
+        return F.lit(False)
+    return key >= low if high is None else (key >= low) & (key < high)
+
+
+def slice_rows(df: DataFrame, order_cols, from_idx: int = 0, to_idx: int | None = None) -> DataFrame:
+    """Rows ``from_idx <= i < to_idx`` of ``df`` ordered by ``order_cols`` (see ``row_range``)."""
+    within = row_range(df, order_cols, from_idx, to_idx)
+    return df if within is None else df.where(within)
 
 
 def latest_fetches(fetches: DataFrame, time_col: str = "fetched_at", status_col: str = "status_code",
-                   body_col: str = "html") -> DataFrame:
-    """The most recent attempt per URL (a fetch log may hold retries).
+                   id_col: str | None = None) -> DataFrame:
+    """The most recent attempt per URL (a fetch log may hold retries), without page bodies.
 
     One aggregation keyed by url (partial aggregation first, so a URL retried
-    many times costs one row per map task); its output is already
-    partitioned by url for the join that follows.  Each column is its own
-    ``max_by``, so columns a consumer does not read (the page body, for a
-    frontier update) are pruned before the shuffle.  The ordering key is
-    (time, status, every other non-body column), so attempts can only tie
-    when they agree on everything but the body; the body is then taken from
-    one of those equivalent attempts.
+    many times costs one row per map task); its output is already partitioned
+    by url for the join that follows.  The ordering key is (time, status,
+    ``id_col``, every other column given), so attempts only tie when they
+    agree on all columns.
     """
-    others = [c for c in fetches.columns if c != "url"]
-    order = F.struct(F.col(time_col), F.col(status_col),
-                     *[F.col(c) for c in others if c not in (time_col, status_col, body_col)])
-    return fetches.groupBy("url").agg(*[F.max_by(F.col(c), order).alias(c) for c in others])
+    first = [time_col, status_col] + ([id_col] if id_col else [])
+    others = first + [c for c in fetches.columns if c != "url" and c not in first]
+    best = F.max(F.struct(*[F.col(c) for c in others])).alias("best")
+    return fetches.groupBy("url").agg(best).select("url", *[F.col("best")[c].alias(c) for c in others])
 
 
 def apply_fetch_outcomes(batch: DataFrame, fetches: DataFrame, status_col: str = "status_code",
@@ -160,38 +181,39 @@ def crawl_pass(frontier: DataFrame, fetched: DataFrame, recrawl: bool = False, f
     """H9: one crawl pass → (listing records, updated frontier).
 
     ``fetched`` holds (url, status_code, fetched_at, html), possibly several
-    attempts per URL; the latest attempt decides.  The whole pass is ONE left
-    join of the frontier with the latest fetch per URL: a row is updated when
-    it is in the slice, not yet crawled (unless ``recrawl``) and was fetched
-    (the H8 rule, with the J4 never-overwrite-with-null merge); records are
-    the H1 fields of the rows so updated with status 200.  The frontier is
-    shuffled once instead of once per join.
+    attempts per URL; the latest attempt decides.  The frontier update is ONE
+    left join of the frontier with the latest fetch per URL and never reads a
+    page body: a row is updated when it is in the row range, not yet crawled
+    (unless ``recrawl``) and was fetched (the H8 rule, with the J4
+    never-overwrite-with-null merge).  Records are the H1 fields of the rows
+    so updated with status 200: the winning attempts are found first, on a
+    hash of the body, and bodies join those only.
     """
-    sliced = not (from_idx <= 0 and to_idx is None)
-    base = frontier
-    if sliced:
-        os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
-        base = frontier.orderBy(*order_cols).pandas_api().to_spark(index_col="__i")
-    latest = latest_fetches(fetched).select(
-        "url", F.lit(True).alias("__fetched"), F.col("status_code").alias("__code"),
-        F.col("fetched_at").alias("__at"), F.col("html").alias("__html"))
-    j = base.join(latest, "url", "left")
-    eligible = F.col("__fetched").isNotNull()          # any attempt counts, even one without a status
+    within = row_range(frontier, order_cols, from_idx, to_idx)
+    due = F.lit(True) if within is None else within
     if not recrawl:
-        eligible = eligible & (F.col("crawled") == 0)
-    if sliced:
-        in_slice = F.col("__i") >= F.lit(from_idx)
-        if to_idx is not None:
-            in_slice = in_slice & (F.col("__i") < F.lit(to_idx))
-        eligible = eligible & in_slice
+        due = due & (F.col("crawled") == 0)
+    attempts = fetched.drop("html")
+    latest = latest_fetches(attempts).select(
+        "url", F.lit(True).alias("__fetched"), F.col("status_code").alias("__code"), F.col("fetched_at").alias("__at"))
+    eligible = F.col("__fetched").isNotNull() & due    # any attempt counts, even one without a status
     ok = F.coalesce(F.col("__code") == F.lit(HTTP_OK), F.lit(False))
-    updated = j.select(*[
+    updated = frontier.join(latest, "url", "left").select(*[
         F.when(eligible, F.lit(1)).otherwise(F.col("crawled")).alias("crawled") if c == "crawled" else
         F.when(eligible & ~ok, F.lit(STATUS_UNAVAILABLE)).otherwise(F.col("status")).alias("status")
         if c == "status" else
         F.when(eligible & ok, F.coalesce(F.col("__at").cast(T.TimestampType()), F.col("crawlingDate")))
         .otherwise(F.col("crawlingDate")).alias("crawlingDate") if c == "crawlingDate" else F.col(c)
         for c in frontier.columns])
-    pages = j.where(eligible & ok).select("id", F.col("__html").alias("html"))
-    records = P.listing_fields(pages, "html").drop("html")
-    return records, updated
+
+    marked = fetched.withColumn("__body", F.xxhash64("html"))
+    marks = [c for c in marked.columns if c not in ("url", "html")]
+    winners = (latest_fetches(marked.drop("html")).where(F.col("status_code") == HTTP_OK)
+               .join(frontier.where(due).select("url", "id"), "url")
+               .select("id", F.col("url").alias("__url"), *[F.col(c).alias(f"__w_{c}") for c in marks]))
+    same = F.col("url") == F.col("__url")
+    for c in marks:
+        same = same & F.col(c).eqNullSafe(F.col(f"__w_{c}"))
+    bodies = marked.where(F.col("status_code") == HTTP_OK).join(winners, same)
+    pages = bodies.dropDuplicates(["id", "url"]).select("id", "html")      # equal attempts hold equal pages
+    return P.listing_fields(pages, "html").drop("html"), updated

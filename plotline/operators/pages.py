@@ -44,24 +44,20 @@ def _class(*names: str) -> str:
 
 _DATE = rf'(?s){_class("text-gray", "text-100")}[^>]*>\s*(.*?)\s*<'
 _SELLER_BLOCK = rf'(?s){_class("user-info-name")}[^>]*>(.*?)</a>'
-_CRUMB_BLOCK = rf'(?s)<ul\s[^>]*?{_class("crumb", "text-medium", "crumb-text")}[^>]*>(.*?)</ul>'
-_LI = r'(?s)<li[^>]*>(.*?)</li>'
+_CRUMB = _class("crumb", "text-medium", "crumb-text")
+_LI = r'(?s)<li(?:\s[^>]*)?>(.*?)(?=</li>|<li[\s>]|\z)'
 _SPAN_TEXT_IN_ITEM = r'(?s)<span[^>]*>\s*(.*?)\s*</span>'
-_PRICE_BLOCK = rf'(?s){_class("price-box")}[^>]*>(.*?)</div>'
 _SPAN_TEXT = r'(?s)<span[^>]*>\s*(.*?)\s*</span>'
-_STATUS_BLOCK = rf'(?s){_class("product-status")}[^>]*>\s*<div[^>]*>(.*?)</div>'
 _ADDRESS = rf'(?s){_class("product-title-price")}[^>]*>\s*<div[^>]*>\s*<div[^>]*>\s*<span[^>]*>\s*(.*?)\s*</span>'
-_INFO_BLOCK = rf'(?s){_class("product-infomation")}[^>]*>(.*?)</ul>'
 _INFO_IN_ITEM = r'(?s)<span[^>]*>\s*<i[^>]*>\s*(?:</i>)?\s*(.*?)\s*</span>'
-_DESC_BLOCK = r'(?s)id="content-tab-custom"[^>]*>(.*?)</div>'
+_DESC = 'id="content-tab-custom"'
 _DESC_ITEM = r'(?s)<(?:p|li)(?:\s[^>]*)?>(.*?)(?=</(?:p|li)>|<(?:p|li)[\s>]|\z)'
-_DETAIL_BLOCK = r'(?s)id="content-tab-info"[^>]*>(.*?)</ul>'
+_DETAIL = 'id="content-tab-info"'
 _DETAIL_KEY = r'(?s)^\s*<span[^>]*>\s*<span[^>]*>\s*(.*?)\s*</span>'
 _DETAIL_VALUE = r'(?s)</span>\s*</span>\s*<span[^>]*>\s*(.*?)\s*</span>'
-_UTIL_AREA = rf'(?s){_class("tabs-product")}[^>]*>(.*)$'
 # a heading names the amenity list that directly follows it; headings without
 # such a list (description, information, anything after the tabs) are no group
-_UTIL_GROUP = rf'(?s)<h2[^>]*>\s*([^<]*?)\s*</h2>\s*<ul\s[^>]*?{_class("product-other-utilities")}[^>]*>(.*?)</ul>'
+_UTIL_GROUP = rf'(?s)^<h2[^>]*>\s*([^<]*?)\s*</h2>\s*(<ul\s[^>]*?{_class("product-other-utilities")}[^>]*>.*)$'
 _LISTING_LINK = rf'(?s)<p\s[^>]*?{_class("name-product")}[^>]*>\s*<a\s[^>]*?href="([^"]*)"'
 _PAGE_ITEM = rf'(?s){_class("page-item")}[^>]*>\s*(?:<[^>]+>\s*)*([^<]*?)\s*<'
 
@@ -86,9 +82,31 @@ def _nullif_empty(c: Column) -> Column:
     return F.when(c == "", F.lit(None).cast("string")).otherwise(c)
 
 
-def _items(html: Column, block: str, item: str) -> Column:
-    """All ``item`` matches inside the first ``block`` match (empty array if none)."""
-    return F.regexp_extract_all(_extract(html, block), F.lit(item), 1)
+def _element(html: Column, attribute: str = "", tag: str = r"\w+") -> Column:
+    """Inner markup of the first ``tag`` element holding ``attribute`` (a pattern), up to its own
+    end tag: elements of the same tag may nest inside.  Without an end tag the element runs to
+    the end; no such element gives the empty string."""
+    start = rf"(?s)<({tag})\b[^>]*?{attribute}[^>]*>(.*)$"
+    opened = F.array(F.struct(_extract(html, start, 1).alias("tag"), _extract(html, start, 2).alias("rest")))
+    # pieces that each begin with a start or end tag of this element's kind; the first begins with a space
+    pieces = F.transform(opened, lambda o: F.split(
+        F.concat(F.lit(" "), o["rest"]), F.concat(F.lit("(?i)(?=</?"), o["tag"], F.lit(r"[\s>/])"))))
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"] + F.when(piece.rlike("^</"), -1).when(piece.rlike(r"^<\w"), 1).otherwise(0)
+        return (F.when(acc["depth"] == 0, acc)
+                .otherwise(F.struct(depth.alias("depth"), (acc["n"] + F.when(depth == 0, 0).otherwise(1)).alias("n"))))
+
+    def inner(parts: Column) -> Column:
+        taken = F.aggregate(parts, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), step)["n"]
+        return F.substr(F.array_join(F.slice(parts, F.lit(1), taken), ""), F.lit(2))
+
+    return F.transform(pieces, inner)[0]
+
+
+def _items(block: Column, item: str) -> Column:
+    """All ``item`` matches inside a block (empty array if none)."""
+    return F.regexp_extract_all(block, F.lit(item), 1)
 
 
 def _item_values(html_block: Column, item_pattern: str) -> Column:
@@ -118,14 +136,9 @@ def _decoded_fields(df: DataFrame, raw: Column, names, unescape: bool = True) ->
                       *[F.element_at(F.col(tmp), i + 1).alias(n) for i, n in enumerate(names)])
 
 
-def paragraphs(html: Column, body: str = GENERIC_BODY, para: str = GENERIC_PARAGRAPH) -> Column:
-    """Paragraph texts of the body block, entity-decoded and trimmed, in page order."""
-    return F.transform(_items(html, body, para), lambda p: squash_whitespace(html_unescape(p)))
-
-
-def description_text(html: Column, body: str = GENERIC_BODY, para: str = GENERIC_PARAGRAPH) -> Column:
-    """H6: paragraphs → '.'-terminated sentences joined by a space → F5 clean-up."""
-    br = F.transform(_items(html, body, para),
+def description_text(body: Column, para: str = GENERIC_PARAGRAPH) -> Column:
+    """H6: paragraphs of a body block → '.'-terminated sentences joined by a space → F5 clean-up."""
+    br = F.transform(_items(body, para),
                      lambda p: html_unescape(F.rtrim(F.regexp_replace(
                          F.regexp_replace(p, r"(?i)<br\s*/?>", " "), r"<[^>]*>", ""))))
     return pre_clean(paragraphs_to_text(br))
@@ -133,19 +146,19 @@ def description_text(html: Column, body: str = GENERIC_BODY, para: str = GENERIC
 
 def page_fields(df: DataFrame, html_col: str = "html") -> DataFrame:
     """H1/H6 on generic pages: lang, title, h1, ad text, paragraph count, description."""
-    html = as_col(html_col)
+    body = _extract(as_col(html_col), GENERIC_BODY)
     out = extract_fields(df, html_col, GENERIC_FIELDS)
-    return out.select("*", F.size(_items(html, GENERIC_BODY, GENERIC_PARAGRAPH)).alias("n_paragraphs"),
-                      description_text(html).alias("description"))
+    return out.select("*", F.size(_items(body, GENERIC_PARAGRAPH)).alias("n_paragraphs"),
+                      description_text(body).alias("description"))
 
 
 def listing_fields(df: DataFrame, html_col: str = "html") -> DataFrame:
     """H1: the listing record fields of a listing page (one row per page)."""
     html = as_col(html_col)
-    crumb = _item_values(_extract(html, _CRUMB_BLOCK), _SPAN_TEXT_IN_ITEM)
-    prices = _items(html, _PRICE_BLOCK, _SPAN_TEXT)
-    status = F.regexp_extract_all(_extract(html, _STATUS_BLOCK), F.lit(_SPAN_TEXT), 1)
-    info = _item_values(_extract(html, _INFO_BLOCK), _INFO_IN_ITEM)
+    crumb = _item_values(_element(html, _CRUMB, "ul"), _SPAN_TEXT_IN_ITEM)
+    prices = _items(_element(html, _class("price-box")), _SPAN_TEXT)
+    status = _items(_element(_element(html, _class("product-status")), tag="div"), _SPAN_TEXT)
+    info = _item_values(_element(html, _class("product-infomation")), _INFO_IN_ITEM)
     seller = _extract(html, _SELLER_BLOCK)
 
     def at(arr: Column, i: int) -> Column:
@@ -163,7 +176,7 @@ def listing_fields(df: DataFrame, html_col: str = "html") -> DataFrame:
         "Huong": at(info, 4), "PhongNgu": at(info, 5), "PhongTam": at(info, 6),
     }
     names = list(raw)
-    out = _decoded_fields(df.select("*", description_text(html, _DESC_BLOCK, _DESC_ITEM).alias("MoTa")),
+    out = _decoded_fields(df.select("*", description_text(_element(html, _DESC), _DESC_ITEM).alias("MoTa")),
                           F.array(*raw.values()), names)
     ordered = [c for c in df.columns] + names + ["MoTa"]
     out = out.select(*[F.col(quote(c)) for c in ordered])
@@ -193,10 +206,11 @@ def _paired(df: DataFrame, id_col: str, a: Column, b: Column, na: str, nb: str)
             .select(id_col, F.arrays_zip(F.col(na), F.col(nb)).alias("pairs")))
 
 
-def _last_details(df: DataFrame, id_col: str, html_col: str, block: str, key_pattern: str, value_pattern: str,
-                  removed, per_item: bool) -> DataFrame:
+def _last_details(df: DataFrame, id_col: str, html_col: str, block: str | None, key_pattern: str,
+                  value_pattern: str, removed, per_item: bool) -> DataFrame:
     """(id, kv): per page its array of (pos, key, value), unique keys in page order."""
-    area = _extract(as_col(html_col), block)
+    html = as_col(html_col)
+    area = _extract(html, block) if block else _element(_element(html, _DETAIL), tag="ul")
     if per_item:   # key and value read inside the same <li>, so they cannot drift apart
         keys, vals = _item_values(area, key_pattern), _item_values(area, value_pattern)
     else:          # flat patterns over the whole block (each match carries both parts)
@@ -219,11 +233,14 @@ def _last_details(df: DataFrame, id_col: str, html_col: str, block: str, key_pat
     return last
 
 
-def detail_pairs(df: DataFrame, id_col: str, html_col: str = "html", block: str = _DETAIL_BLOCK,
+def detail_pairs(df: DataFrame, id_col: str, html_col: str = "html", block: str | None = None,
                  key_pattern: str = _DETAIL_KEY, value_pattern: str = _DETAIL_VALUE,
                  removed=REMOVED_DETAIL_KEYS, per_item: bool = True) -> DataFrame:
     """H4: (id, pos, key, value) with keys normalised by F6 and values squashed.
 
+    ``block`` is the pattern of the markup that holds them; by default the
+    list of the details tab, with the lists nested in it.
+
     A key repeated on one page keeps its *last* value and ``removed`` keys are
     dropped.  All pairs of a page live in one row, so de-duplication is an
     array expression inside that row: no shuffle.
@@ -235,7 +252,7 @@ def detail_pairs(df: DataFrame, id_col: str, html_col: str = "html", block: str
 
 def details_map(df: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
     """H4 wide form: one ``map<string,string>`` per row (keys unique, last wins; empty without details)."""
-    last = _last_details(df, id_col, html_col, _DETAIL_BLOCK, _DETAIL_KEY, _DETAIL_VALUE, REMOVED_DETAIL_KEYS, True)
+    last = _last_details(df, id_col, html_col, None, _DETAIL_KEY, _DETAIL_VALUE, REMOVED_DETAIL_KEYS, True)
     return last.select(id_col, F.map_from_entries(
         F.transform("kv", lambda x: F.struct(x["key"], x["value"]))).alias("details"))
 
@@ -244,10 +261,10 @@ def amenity_groups(df: DataFrame, id_col: str, html_col: str = "html") -> DataFr
     """H5: (id, group, items) — every heading of the amenity tabs that is
     directly followed by an amenity list names that list; item texts are
     read per ``<li>``."""
-    area = _extract(as_col(html_col), _UTIL_AREA)
-    heads = F.regexp_extract_all(area, F.lit(_UTIL_GROUP), 1)
-    lists = F.regexp_extract_all(area, F.lit(_UTIL_GROUP), 2)
-    out = _paired(df, id_col, heads, lists, "h", "l").select(id_col, F.explode("pairs").alias("g"))
+    tabs = F.split(_element(as_col(html_col), _class("tabs-product"), "div"), r"(?=<h2[\s>])")
+    groups = F.transform(F.filter(tabs, lambda t: t.rlike(_UTIL_GROUP)), lambda t: F.struct(
+        _extract(t, _UTIL_GROUP, 1).alias("h"), _element(_extract(t, _UTIL_GROUP, 2), tag="ul").alias("l")))
+    out = df.select(id_col, F.explode(groups).alias("g"))
     items = F.transform(_item_values(F.col("g.l"), _SPAN_TEXT_IN_ITEM),
                         lambda x: squash_whitespace(html_unescape(x)))
     return out.select(id_col, attribute_name(html_unescape(F.col("g.h"))).alias("group"), items.alias("items"))

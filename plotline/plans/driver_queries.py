@@ -7,8 +7,9 @@ expression text on both sides of the oracle check, so the operator itself
 is what gets compared.
 
 Each entry is ``Q(spark_fn, oracle_sql)``; ``oracle_sql`` is DuckDB SQL over
-the pre-registered views, or ``None`` for operators that SQL cannot state
-(model fitting, streaming), which get a rows-only check plus pytest.
+the pre-registered views, or ``None`` where SQL cannot state the rows.
+Fitted trees and scores, which SQL cannot compute, are returned as their gap
+from a recomputation over every row, which SQL expects to be zero.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -517,10 +519,10 @@ def page_details(spark, d):
 # listing markup of every part: details with a repeated and a removed key, an amenity list
 # after headings without one, listing links beside an advert
 _LISTING_HTML = """concat('<div id="content-tab-info"><div><ul><li><span><span>Năm xây dựng</span></span><span> ',
-  CAST(p_size AS STRING), ' </span></li><li><span><span>Diện tích sử dụng</span></span><span>1 m²</span></li>',
+  CAST(p_size AS STRING), ' </span></li><li><span><span>Diện tích sử dụng</span></span><span>1 m²</span><ul><li>x</li></ul></li>',
   '<li><span><span>Năm  xây dựng</span></span><span>', CAST(p_size + 1 AS STRING), '</span></li></ul></div></div>',
   '<div class="row tabs-product"><h2>Mô tả</h2><h2> Tiện ích </h2><ul class="product-other-utilities wide"><li><span>',
-  split_part(p_name, ' ', 1), '</span></li><li><span class="s"> ', split_part(p_name, ' ', 2), '&nbsp;x </span></li></ul></div>',
+  split_part(p_name, ' ', 1), '</span><ul class="n"></ul></li><li><span class="s"> ', split_part(p_name, ' ', 2), '&nbsp;x </span></li></ul></div>',
   '<p class="hot name-product"><a class="l" href="https://nha.example.vn/a-', CAST(p_partkey AS STRING), '">A</a></p>',
   '<p class="other"><a href="https://nha.example.vn/ad">ad</a></p><p class="name-product">',
   '<a href="https://nha.example.vn/b-', CAST(p_partkey AS STRING), '">B</a></p>')"""
@@ -531,9 +533,9 @@ def _listing_pages(spark, d) -> DataFrame:
 
 
 @query("listing_details", """
-SELECT p_partkey, 0::BIGINT AS pos, 'NamXayDung' AS key, CAST(p_size + 1 AS VARCHAR) AS value FROM part""")
+SELECT p_partkey, 'NamXayDung' AS key, CAST(p_size + 1 AS VARCHAR) AS value FROM part""")
 def listing_details(spark, d):
-    return PG.detail_pairs(_listing_pages(spark, d), "p_partkey")
+    return PG.detail_pairs(_listing_pages(spark, d), "p_partkey").where("key <> ''").select("p_partkey", "key", "value")
 
 
 @query("listing_amenities", """
@@ -551,6 +553,37 @@ def listing_links(spark, d):
     return PG.outbound_links(_listing_pages(spark, d), "p_partkey")
 
 
+# the record part of a listing page: classes in any order, elements nested in elements of their kind,
+# a breadcrumb item without text, a missing price per square metre
+_RECORD_HTML = """concat('<div class="text-100 text-gray"> ', CAST(p_size % 28 + 1 AS STRING), '/07/2022 </div>',
+  '<div class="x user-info-name"><a href="https://nha.example.vn/user/ ', CAST(p_partkey % 97 AS STRING), '"> Anh  ',
+  split_part(p_name, ' ', 1), ' </a></div><ul class="crumb crumb-text text-medium"><li><i></i><ul></ul></li><li><a><span> ',
+  p_type, ' </span></a></li><li><span>Tỉnh ', CAST(p_size AS STRING), '</span></li><li><span>Quận &amp; 3</span></li><li>',
+  CASE WHEN p_partkey % 6 = 0 THEN '<b>x</b>' ELSE '<span>Phường 7</span>' END, '</li></ul>',
+  '<div class="product-title-price"><div><div><span> ', CAST(p_size AS STRING), ' Đường Số 5 </span></div><div>',
+  '<div class="price-box big"><div><div></div></div><span>', CAST(p_size AS STRING), '.5 tỷ</span>',
+  CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '<span>104 triệu/m²</span>' END, '</div>',
+  '<div class="product-status"><div><div></div><span>Mã tin</span><span>', CAST(p_partkey AS STRING),
+  '</span></div></div></div></div></div><div class="row product-infomation"><div></div><ul><li><span><i class="a"></i> ',
+  CAST(p_size AS STRING), ' m²</span></li><li><span><i></i>10 m</span></li><li><span><i></i> 5 m</span></li>',
+  '<li><span><i></i>Nam</span></li><li><span><i></i>3</span></li><li><span><i></i>2</span></li></ul></div>',
+  '<div id="content-tab-custom"><div class="note"><div></div></div><p>', split_part(p_name, ' ', 1),
+  ' nhà<br>mới</p><ul><li>Gần <b>', split_part(p_name, ' ', 2), '</b></li><li>Sổ.</li></ul></div>')"""
+_RECORD_SQL = """CAST(p_size % 28 + 1 AS VARCHAR) || '/07/2022' AS NgayDangBan, CAST(p_partkey % 97 AS VARCHAR) AS Id_NguoiDangban,
+       'Anh ' || split_part(p_name, ' ', 1) AS NguoiDangban, p_type AS LoaiBDS, concat('Tỉnh ', p_size) AS Tinh,
+       'Quận & 3' AS Huyen, CASE WHEN p_partkey % 6 <> 0 THEN 'Phường 7' END AS Xa, concat(p_size, ' Đường Số 5') AS DiaChi,
+       concat(p_size, '.5 tỷ') AS TongGia, CASE WHEN p_partkey % 4 = 0 THEN '--' ELSE '104 triệu/m²' END AS Gia_m2,
+       CAST(p_partkey AS VARCHAR) AS MaTin, concat(p_size, ' m²') AS DienTich, '10 m' AS ChieuDai, '5 m' AS ChieuRong,
+       'Nam' AS Huong, '3' AS PhongNgu, '2' AS PhongTam,
+       concat(split_part(p_name, ' ', 1), ' nhà mới. Gần ', split_part(p_name, ' ', 2), '. Sổ.') AS MoTa"""
+
+
+@query("listing_records", f"SELECT p_partkey AS id, {_RECORD_SQL} FROM part")
+def listing_records(spark, d):
+    pages = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(_RECORD_HTML).alias("html"))
+    return PG.listing_fields(pages, "html").drop("html").withColumnRenamed("Gia/m2", "Gia_m2")
+
+
 # ---------------------------------------------------------------------------
 # Frontier (H7, H8, H9, J4, J5, P7)
 # ---------------------------------------------------------------------------
@@ -588,6 +621,42 @@ def frontier_merge(spark, d):
                           F.unix_seconds("crawlingDate").alias("crawled_at"))
 
 
+# One crawl pass from row 100 on over the parts' pages: every third page was fetched once; the others twice,
+# first an empty page, later the page itself or (every fifth) a failure; every seventh was crawled before.
+_CRAWL_FROM = 100
+_CRAWL_SQL = f"""WITH f AS (SELECT *, p_partkey % 7 = 0 AS was, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part),
+o AS (SELECT *, NOT was AND i >= {_CRAWL_FROM} AS due, p_partkey % 3 = 0 OR p_partkey % 5 <> 0 AS ok FROM f)"""
+
+
+def _crawled_parts(spark, d):
+    part = _t(spark, d, "part").withColumn("url", F.concat(F.lit("https://nha.example.vn/tin-"), F.col("p_partkey")))
+    frontier = FR.urls_to_frontier(part, "url", id_col="p_partkey").withColumn(
+        "crawled", F.when(F.col("id") % 7 == 0, 1).otherwise(0))
+    key, page = F.col("p_partkey"), F.expr(_RECORD_HTML)
+    twice = key % 3 != 0
+    first = part.select("url", F.lit(200).alias("status_code"), F.timestamp_seconds(1657500000 + key).alias("fetched_at"),
+                        F.when(twice, F.lit("")).otherwise(page).alias("html"))
+    second = part.where(twice).select(
+        "url", F.when(key % 5 == 0, 404).otherwise(200).alias("status_code"),
+        F.timestamp_seconds(1657600000 + key).alias("fetched_at"), page.alias("html"))
+    return FR.crawl_pass(frontier, first.unionByName(second), from_idx=_CRAWL_FROM)
+
+
+@query("crawl_records", f"""{_CRAWL_SQL}
+SELECT p_partkey AS id, {_RECORD_SQL} FROM o WHERE due AND ok""")
+def crawl_records(spark, d):
+    return _crawled_parts(spark, d)[0].withColumnRenamed("Gia/m2", "Gia_m2")
+
+
+@query("crawl_frontier", f"""{_CRAWL_SQL}
+SELECT p_partkey AS id, concat('https://nha.example.vn/tin-', p_partkey) AS url, (due OR was)::INTEGER AS crawled,
+       CASE WHEN due AND NOT ok THEN 'unavailable' ELSE 'available' END AS status,
+       CASE WHEN due AND ok THEN p_partkey + CASE WHEN p_partkey % 3 = 0 THEN 1657500000 ELSE 1657600000 END END::BIGINT AS crawled_at
+FROM o""")
+def crawl_frontier(spark, d):
+    return _crawled_parts(spark, d)[1].select("id", "url", "crawled", "status", F.unix_seconds("crawlingDate").alias("crawled_at"))
+
+
 # ---------------------------------------------------------------------------
 # Encoders (M1, M2, M3, M4, M6, M7, M11)
 # ---------------------------------------------------------------------------
@@ -747,7 +816,7 @@ def preview(spark, d):
 
 
 # ---------------------------------------------------------------------------
-# Models and metrics (M12, M17, M18, A9, F15; M13–M16, M19, M20 rows-only)
+# Models and metrics
 # ---------------------------------------------------------------------------
 
 @query("linreg_one", """
@@ -790,28 +859,48 @@ def metrics(spark, d):
 _TREE_FEATURES = ("l_quantity", "l_discount", "l_tax", "line_no")
 
 
-def _scored(spark, d, kind: str, features=_TREE_FEATURES) -> DataFrame:
-    data = _log_price_frame(spark, d, features)
-    if kind != "isotonic":
-        data = by_key(data, "l_orderkey", "l_linenumber")
+def _tree_data(spark, d) -> DataFrame:
+    return by_key(_log_price_frame(spark, d, _TREE_FEATURES), "l_orderkey", "l_linenumber")
+
+
+def _ensemble_gap(spark, d, kind: str) -> DataFrame:
+    """Every line scored by the ensemble, and how far that is from the weighted sum of its trees' own scores."""
+    data = _tree_data(spark, d)
     model = fit_regressor(kind, data, "features", "label")
-    scored = V.predict_back_transformed(model, data, "label", "prediction")
-    return scored.select("l_orderkey", "l_linenumber", F.col("label").alias("price"), "prediction")
+    scored = model.transform(data)
+    weights = model.treeWeights if kind == "gbt" else [1.0 / model.getNumTrees] * model.getNumTrees
+    total = F.lit(0.0)
+    for i, (weight, one) in enumerate(zip(weights, model.trees)):
+        scored = one.setFeaturesCol("features").setPredictionCol(f"tree_{i}").transform(scored)
+        total = total + F.lit(float(weight)) * F.col(f"tree_{i}")
+    return scored.select("l_orderkey", "l_linenumber", F.round(F.exp("label"), 2).alias("price"),
+                         F.round(F.abs(F.col("prediction") - total), 6).alias("score_gap"))
+
 
+_GAP_SQL = """
+SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS price, 0.0::DOUBLE AS score_gap FROM lineitem"""
 
-@query("forest", None)
+
+@query("forest", _GAP_SQL)
 def forest(spark, d):
-    return _scored(spark, d, "forest")
+    return _ensemble_gap(spark, d, "forest")
 
 
-@query("gbt", None)
+@query("gbt", _GAP_SQL)
 def gbt(spark, d):
-    return _scored(spark, d, "gbt")
+    return _ensemble_gap(spark, d, "gbt")
 
 
-@query("tree", None)
+# a leaf predicts the mean of its rows, so each prediction is the mean label of the rows that share it
+@query("tree", """
+SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS price, 0.0::DOUBLE AS leaf_gap FROM lineitem""")
 def tree(spark, d):
-    return _scored(spark, d, "tree")
+    data = _tree_data(spark, d)
+    scored = fit_regressor("tree", data, "features", "label").transform(data)
+    leaves = scored.groupBy("prediction").agg(F.avg("label").alias("mean"))      # at most 32 rows
+    return scored.join(leaves, "prediction", "left").select(
+        "l_orderkey", "l_linenumber", F.round(F.exp("label"), 2).alias("price"),
+        F.round(F.abs(F.col("prediction") - F.col("mean")), 6).alias("leaf_gap"))
 
 
 # the isotonic fit at a value is the largest, over block starts up to it, of the smallest block mean from there on
@@ -825,13 +914,26 @@ p AS (SELECT x, max(mean) AS y FROM lo GROUP BY 1)
 SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS price, round(exp(y), 2) AS prediction
 FROM lineitem JOIN p ON l_quantity = x""")
 def isotonic(spark, d):
-    scored = _scored(spark, d, "isotonic", ("l_quantity",))
-    return scored.withColumns({c: F.round(c, 2) for c in ("price", "prediction")})
+    data = _log_price_frame(spark, d, ("l_quantity",))
+    model = fit_regressor("isotonic", data, "features", "label")
+    scored = V.predict_back_transformed(model, data, "label", "prediction")
+    return scored.select("l_orderkey", "l_linenumber", F.round("label", 2).alias("price"),
+                         F.round("prediction", 2).alias("prediction"))
 
 
-@query("importance_topk", None)
+# every line's vector cut to the two most important features, held against the columns they came from
+@query("importance_topk", """
+SELECT l_orderkey, l_linenumber, 2::INTEGER AS n_kept, 1.0::DOUBLE AS importance_total, true AS top_kept,
+       0.0::DOUBLE AS slice_gap FROM lineitem""")
 def importance_topk(spark, d):
-    data = _log_price_frame(spark, d, _TREE_FEATURES)
+    data = _tree_data(spark, d)
     slicer, table = V.select_features(data, "forest", "top", n_features=2, features_col="features",
                                       label_col="label")
-    return table.withColumn("selected", F.col("idx").isin(list(slicer.getIndices())))
+    scores = {r["idx"]: r["score"] for r in table.collect()}       # one row per feature
+    kept = list(slicer.getIndices())
+    top = min(scores[i] for i in kept) >= max(v for i, v in scores.items() if i not in kept)
+    out = slicer.transform(data).withColumn("kept", vector_to_array("features_slice"))
+    gap = sum((F.abs(F.col("kept")[n] - F.col(_TREE_FEATURES[i])) for n, i in enumerate(kept)), F.lit(0.0))
+    return out.select("l_orderkey", "l_linenumber", F.size("kept").alias("n_kept"),
+                      F.lit(round(sum(scores.values()), 6)).alias("importance_total"), F.lit(top).alias("top_kept"),
+                      F.round(gap, 6).alias("slice_gap"))

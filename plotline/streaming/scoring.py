@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,10 +22,13 @@ from ..functions._util import as_col, quote
 from ..operators import clean as C
 from ..operators.select import pick_rows
 from ..operators.evaluate import predict_back_transformed
+from ..operators.models import fit_regressor
 from ..plans.driver_queries import query
-from ..plans.listing import FittedFeatures
+from ..plans.feature_queries import _clean_sql, raw_listings, raw_listings_from, tier_lookup
+from ..plans.listing import FittedFeatures, ListingFit, label_log
 from ..schema import DEFAULT, ListingColumns
 from ..session import ensure_checkpoint_dir
+from ..sources import read_table
 
 
 def score_frame(raw: DataFrame, stats: C.ImputeStats, fitted: FittedFeatures, model,
@@ -44,9 +48,14 @@ def predicted_vs_actual(raw: DataFrame, stats: C.ImputeStats, fitted: FittedFeat
     if keys is not None:
         raw = pick_rows(raw, cols.identifier, keys)
     clean, _ = C.clean_raw(raw, cols, is_train=False, stats=stats)
-    scored = model.transform(fitted.transform(clean))
-    return scored.select(cols.identifier, F.col(quote(cols.label)).cast("double").alias("actual"),
-                         F.exp("prediction").alias("predicted"))
+    return predict_listings(fitted.transform(clean), model, cols)
+
+
+def predict_listings(features: DataFrame, model, cols: ListingColumns = DEFAULT, keep=()) -> DataFrame:
+    """(identifier, actual price, predicted price, ``keep`` columns) of encoded listings."""
+    return model.transform(features).select(
+        cols.identifier, F.col(quote(cols.label)).cast("double").alias("actual"),
+        F.exp("prediction").alias("predicted"), *keep)
 
 
 def start_scoring(spark: SparkSession, source: str, schema, to_raw: Callable[[DataFrame], DataFrame],
@@ -82,12 +91,15 @@ def scratch_paths(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{run}/out", f"{run}/checkpoint"
 
 
-@query("stream_score", None)
-def stream_score(spark: SparkSession, d: str) -> DataFrame:
-    """Fit on finished orders, then stream the open orders through the scorer."""
-    from ..plans.feature_queries import raw_listings_from
-    from ..sources import read_table
+def _served_sql() -> str:
+    """Every open order as cleaned for serving, with a gap of zero."""
+    return (f'SELECT "MaTin", "TongGia" AS actual, 0.0::DOUBLE AS score_gap FROM ({_clean_sql(train=False)})')
+
 
+@query("stream_score", _served_sql())
+def stream_score(spark: SparkSession, d: str) -> DataFrame:
+    """Fit on finished orders, stream the open orders through the scorer, and compare each
+    streamed score with the batch score (null gap: a listing only one of them has)."""
     cols, stats, fitted, model = _fit_listing_model(spark, d)
 
     orders_schema = read_table(spark, d, "orders").schema
@@ -102,15 +114,18 @@ def stream_score(spark: SparkSession, d: str) -> DataFrame:
     source, glob = table_source(spark, d, "orders")
     q = start_scoring(spark, source, orders_schema, to_raw, stats, fitted, model, sink, ckpt, cols, glob=glob)
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    streamed = spark.read.parquet(sink).withColumnRenamed("prediction", "streamed")
+    batch = predicted_vs_actual(to_raw(read_table(spark, d, "orders")), stats, fitted, model, cols)
+    return batch.join(streamed, cols.identifier, "full").select(
+        cols.identifier, "actual", _log_gap(F.col("predicted"), F.log("streamed")))
+
+
+def _log_gap(predicted, log_score):
+    return F.round(F.abs(F.log(predicted) - log_score), 6).alias("score_gap")
 
 
 def _fit_listing_model(spark: SparkSession, d: str):
     """Fit imputation, features and a log-price linear model on finished orders."""
-    from ..operators.models import fit_regressor
-    from ..plans.feature_queries import raw_listings, tier_lookup
-    from ..plans.listing import ListingFit, label_log
-
     cols = ListingColumns()
     raw = raw_listings(spark, d)
     train = raw.where(F.col("o_orderstatus") == "F").drop("o_orderstatus")
@@ -123,15 +138,19 @@ def _fit_listing_model(spark: SparkSession, d: str):
     return cols, fit.stats, fit.fitted, model
 
 
-@query("batch_score", None)
+@query("batch_score", _served_sql())
 def batch_score(spark: SparkSession, d: str) -> DataFrame:
-    """M21 over a whole table: every open order scored, actual vs predicted."""
-    from ..plans.feature_queries import raw_listings
-
+    """M21 over a whole table: every open order scored, the actual price, and how far the score is
+    from the model's coefficients applied to the feature vector."""
     cols, stats, fitted, model = _fit_listing_model(spark, d)
     raw = raw_listings(spark, d)
     serve = raw.where(F.col("o_orderstatus") != "F").drop("o_orderstatus")
-    return predicted_vs_actual(serve, stats, fitted, model, cols)
+    clean, _ = C.clean_raw(serve, cols, is_train=False, stats=stats)
+    scored = predict_listings(fitted.transform(clean), model, cols, keep=["features"])
+    terms = F.zip_with(vector_to_array("features"), F.array(*[F.lit(float(w)) for w in model.coefficients]),
+                       lambda x, w: x * w)
+    by_hand = F.aggregate(terms, F.lit(float(model.intercept)), lambda total, x: total + x)
+    return scored.select(cols.identifier, "actual", _log_gap(F.col("predicted"), by_hand))
 
 
 __all__ = ["batch_score", "predict_back_transformed", "predicted_vs_actual", "scratch_paths", "score_frame",

@@ -30,6 +30,30 @@ def test_only_uncrawled_and_slice(spark):
     assert FR.slice_rows(f, ["id"]) is f                      # default: whole table, no job
 
 
+def test_row_range_over_many_partitions(spark):
+    f = (spark.range(1000).repartition(7)
+         .select(F.when(F.col("id") > 2, F.col("id") % 10).alias("g"), F.col("id").alias("n"), F.lit("x").alias("wide")))
+    rows = sorted(((r.g is not None, r.g or 0, r.n) for r in f.collect()))
+    for a, b in ((1, 4), (0, 3), (250, 700), (998, None), (999, 5000), (1000, None), (5, 5), (7, 3)):
+        got = sorted(((r.g is not None, r.g or 0, r.n) for r in FR.slice_rows(f, ["g", "n"], a, b).collect()))
+        assert got == rows[a:b], (a, b)
+    assert FR.slice_rows(f.where("n < 0"), ["g", "n"], 0, 3).count() == 0
+
+
+def test_tied_attempts_give_one_record_and_no_body_in_the_update(spark, tmp_path):
+    at = dt.datetime(2022, 7, 11, 15, 0)
+    other = LISTING_PAGE.replace("88123", "88999")
+    log = [(URLS[0], 200, at, p) for p in (LISTING_PAGE, other, LISTING_PAGE, other)]
+    seen = set()
+    for parts in (1, 3):
+        fetched = spark.createDataFrame(log, "url string, status_code int, fetched_at timestamp, html string")
+        fetched.repartition(parts).write.parquet(str(tmp_path / str(parts)))
+        records, updated = FR.crawl_pass(frontier(spark), spark.read.parquet(str(tmp_path / str(parts))))
+        seen.add(tuple(r.MaTin for r in records.collect()))
+        assert "html" not in updated._jdf.queryExecution().executedPlan().toString()
+    assert len(seen) == 1 and len(next(iter(seen))) == 1
+
+
 def test_merge_never_overwrites_with_null(spark):
     old = spark.createDataFrame([("u1", "a", 1), ("u2", "b", 2)], "url string, status string, n int")
     new = spark.createDataFrame([("u1", None, 5), ("u3", "zz", 9)], "url string, status string, n int")

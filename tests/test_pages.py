@@ -103,3 +103,25 @@ def test_details_map_keeps_repeated_page_ids_apart(spark):
     out = PG.details_map(twice, "page_id")
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.page_id, r.details.get("NamXayDung")) for r in out.collect() if r.details) == [(1, "2020"), (1, "2021")]
+
+
+def test_blocks_run_to_their_own_end_tag(spark):
+    page = (LISTING_PAGE
+            .replace("<p>Nhà mới", "<div class='ad'><div>x</div></div><p>Nhà mới")
+            .replace("<li>Gần chợ</li>", "<li>Gần <b>chợ</b></li><li><div>Có sân</div></li>")
+            .replace('<div class="price-box"><span>', '<div class="price-box"><div><b></b></div><span>')
+            .replace('<div class="product-status"><div>', '<div class="product-status"><div><div></div>')
+            .replace("<span>120 m²</span></li>", "<span>120 m²</span><ul><li>a</li></ul></li>")
+            .replace("<li><span>Thang máy</span></li>", "<li><span>Thang máy</span><ul><li><span>Kính</span></li></ul></li>"))
+    one = PG.listing_fields(pages(spark, page), "html").collect()[0]
+    assert (one.TongGia, one["Gia/m2"], one.MaTin) == ("5.2 tỷ", "104 triệu/m²", "88123")
+    assert one.MoTa == "Nhà mới xây đẹp. Gần chợ. Có sân. Sổ 'đỏ'."
+    got = {r.key: r.value for r in PG.detail_pairs(pages(spark, page), "page_id").where("key <> ''").collect()}
+    assert got == {"NamXayDung": "2020", "HuongBanCong": "Tây Bắc"}
+    groups = {r.group: r["items"] for r in PG.amenity_groups(pages(spark, page), "page_id").collect()}
+    assert groups == {"TienIchToaNha": ["Thang máy", "Kính", "Hồ bơi"], "AnNinh": ["Camera"]}
+
+
+def test_unclosed_block_runs_to_the_end(spark):
+    page = '<div id="content-tab-custom"><div><p>Một</p></div><p>Hai'
+    assert PG.listing_fields(pages(spark, page), "html").collect()[0].MoTa == "Một. Hai."
