@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import ordinal_by_keywords
 from ..functions._util import quote
 from .joins import materialise_table
+from .partitioning import numbered
 
 # --- fixed values ----------------------------------------------------------
 # seller activity bins: [0,2) [2,5) [5,8) [8,16) [16,inf)
@@ -57,6 +58,23 @@ def index_labels(model: PipelineModel, col_position: int = 0) -> list[str]:
     return list(model.stages[0].labelsArray[col_position])
 
 
+def label_table(df: DataFrame, col: str) -> DataFrame:
+    """M1 as a table: one ``(label, idx)`` row per label of ``col``, most frequent first, ties by label.
+
+    For label sets of any size: labels never reach the driver or a single task.
+    """
+    counts = df.where(F.col(quote(col)).isNotNull()).groupBy(F.col(quote(col)).cast("string").alias("label")).count()
+    return numbered(counts, "idx", F.desc("count"), F.asc("label")).select("label", F.col("idx").cast("double").alias("idx"))
+
+
+def index_by_table(df: DataFrame, col: str, labels: DataFrame, output_col: str | None = None,
+                   how: str = "inner") -> DataFrame:
+    """``df`` with the index of ``col`` from a ``label_table``; rows with a null or unseen label go
+    (``how='left'``: they stay, with a null index)."""
+    found = labels.select(F.col("label").alias("__label"), F.col("idx").alias(output_col or f"{col}_idx"))
+    return df.join(found, F.col(quote(col)).cast("string") == F.col("__label"), how).drop("__label")
+
+
 def fit_one_hot(df: DataFrame, input_cols: Sequence[str], output_cols: Sequence[str] | None = None,
                 drop_last: bool = True, handle_invalid: str = "error"):
     """M2: one-hot of index columns (last level dropped by default)."""

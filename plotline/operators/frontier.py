@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import page_url, url_id
-from ..session import ensure_checkpoint_dir
 from . import pages as P
+from .partitioning import ordered_places
 
 # --- fixed values: frontier defaults and statuses --------------------------
 STATUS_AVAILABLE = "available"
@@ -83,22 +83,17 @@ def row_range(df: DataFrame, order_cols, from_idx: int = 0, to_idx: int | None =
     """
     if from_idx <= 0 and to_idx is None:
         return None
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     names = list(order_cols)
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    keys = (df.select(*names).orderBy(*names)
-            .select("*", F.spark_partition_id().alias("__part"), place.alias("__place")).checkpoint())
-    counts = keys.groupBy("__part").count().orderBy("__part").collect()     # one row per partition
+    keys, counts = ordered_places(df.select(*names), *names)
 
     def key_at(idx: int):
         before = 0
-        for part in counts:
-            if idx < before + part["count"]:
-                found = keys.where((F.col("__part") == part["__part"]) & (F.col("__place") == idx - before))
+        for part, n in counts:
+            if idx < before + n:
+                found = keys.where((F.col("__part") == part) & (F.col("__place") == idx - before))
                 row = found.select(*names).first()
                 return F.struct(*[F.lit(row[n]).cast(df.schema[n].dataType).alias(n) for n in names])
-            before += part["count"]
+            before += n
         return None
 
     key = F.struct(*[F.col(n) for n in names])

@@ -667,8 +667,8 @@ r AS (SELECT v, CAST(row_number() OVER (ORDER BY n DESC, v ASC) - 1 AS DOUBLE) A
 SELECT o_orderkey, idx AS o_orderpriority_idx FROM orders JOIN r ON o_orderpriority = v""")
 def label_index(spark, d):
     orders = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    model = E.fit_label_indexer(orders, ["o_orderpriority"])
-    return model.transform(orders).select("o_orderkey", "o_orderpriority_idx")
+    labels = E.label_table(orders, "o_orderpriority")
+    return E.index_by_table(orders, "o_orderpriority", labels).select("o_orderkey", "o_orderpriority_idx")
 
 
 @query("one_hot", """
@@ -681,11 +681,10 @@ SELECT p_partkey,
 FROM j""")
 def one_hot(spark, d):
     part = _t(spark, d, "part").select("p_partkey", "p_type")
-    indexer = E.fit_label_indexer(part, ["p_type"])
-    idx = indexer.transform(part)
-    ohe = E.fit_one_hot(idx, ["p_type_idx"], ["p_type_ohe"]).transform(idx)
-    width = len(E.index_labels(indexer)) - 1
-    return E.vector_columns(ohe.select("p_partkey", "p_type_ohe"), "p_type_ohe", [f"t_{i}" for i in range(width)])
+    idx = E.index_by_table(part, "p_type", E.label_table(part, "p_type"))
+    model = E.fit_one_hot(idx, ["p_type_idx"], ["p_type_ohe"])
+    ohe = model.transform(idx).select("p_partkey", "p_type_ohe")
+    return E.vector_columns(ohe, "p_type_ohe", [f"t_{i}" for i in range(model.categorySizes[0] - 1)])
 
 
 _WORDS_EXPR = ("CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE string_split(concat(p_name, CASE WHEN p_size > 40 "

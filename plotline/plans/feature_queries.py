@@ -8,6 +8,7 @@ encoders are fitted on; the other orders are the new listings to serve.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,12 +181,20 @@ def tier_lookup(spark, d) -> DataFrame:
 _FEATURE_WORDS = ("automobile", "building", "furniture", "gym", "household", "machinery", "pool")
 
 
-def _features_sql() -> str:
+# labels of each indexed categorical on the driver tables; one-hot encoding gives the rarest no slot
+_LABEL_COUNTS = {"LoaiBDS": 5, "Huong": 6, "PhongNgu": 5, "PhongTam": 3, "SoTang": 4}
+
+
+def _features_sql(one_hot: bool = False) -> str:
     clean = _clean_sql(train=False).replace(
         'SELECT "MaTin", "NgayDangBan"', 'SELECT "MaTin", "NgayDangBan", "TienIchToaNha"', 1)
     train_clean = _clean_sql(train=True).replace(
         'SELECT "MaTin", "NgayDangBan"', 'SELECT "MaTin", "NgayDangBan", "TienIchToaNha"', 1)
-    idx_cols = ["LoaiBDS", "Huong", "PhongNgu", "PhongTam", "SoTang"]
+    idx_cols = list(_LABEL_COUNTS)
+    slots = [f'r_{c}.idx AS "f_{c}_idx"' for c in idx_cols]
+    if one_hot:
+        slots = [f'(r_{c}.idx = {i})::INTEGER::DOUBLE AS "f_{c}_ohe_{i}"'
+                 for c, n in _LABEL_COUNTS.items() for i in range(n - 1)]
     ranks = ",\n".join(
         f"""r_{c} AS (SELECT v, CAST(row_number() OVER (ORDER BY n DESC, v ASC) - 1 AS DOUBLE) AS idx
           FROM (SELECT {_q(c)} AS v, count(*) AS n FROM tr GROUP BY 1))""" for c in idx_cols)
@@ -209,19 +218,27 @@ SELECT s."MaTin",
             0.0::DOUBLE) AS "f_Huyen_idx",
        coalesce(CASE WHEN contains(lower(s."Xa"), 'phường') THEN 3 WHEN contains(lower(s."Xa"), 'thị trấn') THEN 2
             WHEN contains(lower(s."Xa"), 'xã') THEN 1 END::DOUBLE, 0.0::DOUBLE) AS "f_Xa_idx",
-       {", ".join(f'r_{c}.idx AS "f_{c}_idx"' for c in idx_cols)},
+       {", ".join(slots)},
        {words}
 FROM sv s LEFT JOIN lv ON s."Id_NguoiDangban" = lv.k LEFT JOIN tiers ON s."Tinh" = tiers.t {joins}"""
 
 
 @query("feature_vectors", _features_sql())
 def feature_vectors(spark, d):
-    from pyspark.ml.functions import vector_to_array
+    return _feature_slots(spark, d)
+
+
+@query("feature_vectors_one_hot", _features_sql(one_hot=True))
+def feature_vectors_one_hot(spark, d):
+    return _feature_slots(spark, d, one_hot=True)
+
+
+def _feature_slots(spark, d, **options) -> DataFrame:
     raw = raw_listings(spark, d)
     train = raw.where(F.col("o_orderstatus") == "F").drop("o_orderstatus")
     serve = raw.where(F.col("o_orderstatus") != "F").drop("o_orderstatus")
     with ListingFit(train, ListingColumns(), tier_lookup(spark, d), handle_invalid="keep",
-                    index_invalid="skip", fill_missing=0.0) as fit:
+                    index_invalid="skip", fill_missing=0.0, **options) as fit:
         out = fit.fitted.transform(fit.clean(serve))
         names = fit.fitted.slot_names()
     arr = vector_to_array("features")

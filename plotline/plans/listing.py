@@ -51,9 +51,10 @@ class FittedFeatures:
     adm_cols: tuple = ()
     scaler: object = None          # fitted StandardScalerModel (M11) or None
     numeric_cols: tuple = ()       # continuous columns assembled as they are (none in the source's plan)
+    one_hot: object = None         # fitted OneHotEncoderModel (M2) or None: indices as they are
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """M6 → M7 → M1 → M5 → M8 on any batch or stream of clean listings."""
+        """M6 → M7 → M1 (→ M2) → M5 → M8 on any batch or stream of clean listings."""
         c = self.cols
         out = df
         adm_inputs = []
@@ -66,6 +67,9 @@ class FittedFeatures:
         if self.indexer is not None:
             out = self.indexer.transform(out).drop(*self.index_cols)
         idx_cols = [f"{x}_idx" for x in self.index_cols]
+        if self.one_hot is not None:
+            out = self.one_hot.transform(out).drop(*idx_cols)
+            idx_cols = [f"{x}_ohe" for x in self.index_cols]
         out = E.multi_hot_vectors(out, self.vocab, output_col="features_ohe")
         if self.fill_missing is not None:  # an unmatched ordinal becomes an explicit level
             out = out.fillna(float(self.fill_missing), subset=adm_inputs)
@@ -96,7 +100,10 @@ class FittedFeatures:
         names = list(self.numeric_cols)
         names += [self.level_col] if self.levels is not None else []
         names += [f"{a}_idx" for a in self.adm_cols]
-        names += [f"{x}_idx" for x in self.index_cols]
+        if self.one_hot is None:
+            names += [f"{x}_idx" for x in self.index_cols]
+        else:       # the last category (the unseen one, if those are kept) has no slot
+            names += [f"{x}_ohe_{i}" for x, n in zip(self.index_cols, self.one_hot.categorySizes) for i in range(n - 1)]
         for col, words in self.vocab.vocab.items():
             names += [f"{col}_{w}" for w in words]
         return names
@@ -106,12 +113,13 @@ def fit_features(train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFr
                  handle_invalid: str = "keep", index_invalid: str = "skip",
                  output_col: str = "features", fill_missing: float | None = None,
                  standardize: bool = False, standardized_col: str = "standardized",
-                 numeric_cols=()) -> FittedFeatures:
+                 numeric_cols=(), one_hot: bool = False) -> FittedFeatures:
     """Fit M6 levels, M1 indices and M3 vocabularies on clean training rows;
     with ``standardize`` also an M11 scaler on the assembled vector (output
     ``standardized_col``, divided by the sample standard deviation).
     ``numeric_cols`` adds continuous columns to the vector as they are; the
-    source's plan assembles none (only level, ordinals, indices, amenities)."""
+    source's plan assembles none (only level, ordinals, indices, amenities).
+    With ``one_hot`` the label indices enter the vector one-hot encoded (M2)."""
     present = set(train.columns)
     levels = level_col = None
     if cols.seller in present:
@@ -124,6 +132,9 @@ def fit_features(train: DataFrame, cols: ListingColumns = DEFAULT, tiers: DataFr
                      if a in present and (a != cols.province or tiers is not None))
     fitted = FittedFeatures(cols, levels, level_col, tiers, indexer, index_cols, vocab, handle_invalid,
                             output_col, fill_missing, adm_cols, None, tuple(c for c in numeric_cols if c in present))
+    if one_hot and indexer is not None:         # category sizes come from the index metadata: no pass
+        fitted.one_hot = E.fit_one_hot(indexer.transform(train), [f"{x}_idx" for x in index_cols],
+                                       [f"{x}_ohe" for x in index_cols])
     if standardize:
         fitted.scaler = E.fit_standard_scaler(fitted.transform(train), output_col, standardized_col)
     return fitted

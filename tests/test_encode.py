@@ -139,3 +139,15 @@ def test_feature_plan_with_standardization(spark):
     std = fitted.scaler.std.toArray()
     for r in out:
         assert all((s == pytest.approx(f / d) if d > 0 else s == 0.0) for f, s, d in zip(r.f, r.s, std))
+
+
+def test_label_table_matches_the_indexer_over_many_partitions(spark):
+    rows = [(f"v{i * i % 173}",) for i in range(2000)] + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "v string").repartition(5)
+    got = {r.label: r.idx for r in E.label_table(df, "v").collect()}
+    assert got == {v: float(i) for i, v in enumerate(E.index_labels(E.fit_label_indexer(df, ["v"])))}
+    fresh = spark.createDataFrame([("v1",), ("new",), (None,)], "v string")
+    assert [r.v for r in E.index_by_table(fresh, "v", E.label_table(df, "v")).collect()] == ["v1"]
+    kept = E.index_by_table(fresh, "v", E.label_table(df, "v"), how="left").collect()
+    assert {r.v: r.v_idx for r in kept} == {"v1": got["v1"], "new": None, None: None}
+    assert E.label_table(df.where("v = 'none'"), "v").count() == 0
