@@ -55,7 +55,7 @@ def fit_label_indexer(df: DataFrame, cols: Sequence[str], suffix: str = "_idx",
 
 def index_labels(model: PipelineModel, col_position: int = 0) -> list[str]:
     """Fitted labels of one indexed column, most frequent first."""
-    return list(model.stages[0].labelsArray[col_position])
+    return [list(labels) for stage in model.stages for labels in stage.labelsArray][col_position]
 
 
 def label_table(df: DataFrame, col: str) -> DataFrame:
@@ -161,10 +161,10 @@ def fit_labels_and_vocab(df: DataFrame, index_cols: Sequence[str], array_cols: S
     indexer = None
     if index_cols:
         labels = [[v for v, _ in sorted(by_col[c], key=lambda vn: (-vn[1], vn[0]))] for c in index_cols]
-        stage = StringIndexerModel.from_arrays_of_labels(labels, inputCols=index_cols,
-                                                         outputCols=[c + suffix for c in index_cols],
-                                                         handleInvalid=handle_invalid)
-        indexer = PipelineModel(stages=[stage])
+        # one stage per column: a model given several label lists pads the shorter ones with nulls
+        indexer = PipelineModel(stages=[
+            StringIndexerModel.from_labels(found, inputCol=c, outputCol=c + suffix, handleInvalid=handle_invalid)
+            for c, found in zip(index_cols, labels)])
     vocab = MultiHotVocab({a: sorted(v for v, _ in by_col[a]) for a in array_cols})
     return indexer, vocab
 

@@ -151,3 +151,14 @@ def test_label_table_matches_the_indexer_over_many_partitions(spark):
     kept = E.index_by_table(fresh, "v", E.label_table(df, "v"), how="left").collect()
     assert {r.v: r.v_idx for r in kept} == {"v1": got["v1"], "new": None, None: None}
     assert E.label_table(df.where("v = 'none'"), "v").count() == 0
+
+
+def test_label_lists_of_different_length_stay_apart(spark):
+    df = spark.createDataFrame([("a", "x", ["p"]), ("b", "x", ["q"]), ("c", "y", None), ("a", "x", [])],
+                               "u string, v string, arr array<string>")
+    indexer, _ = E.fit_labels_and_vocab(df, ["v", "u"], ["arr"], handle_invalid="keep")
+    assert E.index_labels(indexer, 0) == ["x", "y"] and E.index_labels(indexer, 1) == ["a", "b", "c"]
+    new = indexer.transform(spark.createDataFrame([("new", "new", None)], df.schema)).first()
+    assert (new.v_idx, new.u_idx) == (2.0, 3.0)               # an unseen label follows the column's own labels
+    ohe = E.fit_one_hot(indexer.transform(df), ["v_idx", "u_idx"])
+    assert list(ohe.categorySizes) == [3, 4]
