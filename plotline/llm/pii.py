@@ -129,7 +129,7 @@ def disclosing_terms(found: DataFrame, ctx: DataFrame, min_contexts: int, genera
     """
     n_docs = found.count()
     near = ctx.groupBy("kind", "value", "term").agg(
-        F.count_distinct("context").alias("contexts"), F.count_distinct("id", "th").alias("co"))
+        F.count_distinct("context").alias("contexts"), F.count_distinct(F.struct("id", "th")).alias("co"))    # a struct: never null
     near = cut(near.where(F.col("contexts") >= min_contexts))
     ids = cut(found.where(F.size("base") > 0)
               .select(F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"),

@@ -317,3 +317,12 @@ def test_log_bilinear_prior_keeps_sparse_rows_near_class_frequencies():
     free = fit_log_bilinear(counts, prior=0.0).astype(np.float64)
     gap = lambda t: np.abs(10 ** t[1] - share).sum()            # noqa: E731
     assert gap(logs) < gap(free)
+
+
+def test_pii_null_ids(spark):
+    rows = [(None, "alpha secretword bob@corp.example one"), (None, "beta secretword bob@corp.example two")]
+    df = spark.createDataFrame(rows + [(i, f"other words {i}") for i in range(20)], "doc_id long, text string")
+    clean = [r.pii.clean for r in find_pii(df).collect() if r.doc_id is None]
+    assert len(clean) == 2 and all("[EMAIL]" in c and "secretword" not in c for c in clean)
+    part = df.where("doc_id is null").unionByName(df.where("doc_id is not null").replace("other words 3", rows[0][1].replace("one", "six"), "text"))
+    assert not any("secretword" in r.pii.clean for r in find_pii(part).collect())
