@@ -5,6 +5,8 @@ DataFrame and SQL functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,9 @@ _GUARDS = {
 }
 TERM = r"[\p{L}\p{N}]++"
 
-#: code points on either side of an identifier whose words count as its context
+#: code points on either side of an identifier that tell its contexts apart
 CONTEXT_CHARS = 80
-#: different contexts in which a term must stand beside an identifier to count as evidence
+#: different contexts of an identifier whose documents must hold a term for it to count as evidence
 MIN_CONTEXTS = 2
 #: share of an identifier's information a term must give away to be generalised, or removed
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
@@ -41,8 +43,8 @@ GENERALISE_AT, REMOVE_AT = 0.8, 0.95
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def matches(text: Column, pattern: str, kind: str) -> Column:
-    """Non-overlapping matches from the left, as ``kind, start, end, value`` in code points."""
+def matches(text: Column, pattern: str, kind: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Non-overlapping matches from the left that pass ``keep``, as ``kind, start, end, value`` in code points."""
     cuts = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
                         F.split(text, pattern, -1).alias("g"))
 
@@ -50,7 +52,10 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
         start = acc["pos"] + F.char_length(x["g"])
         end = start + F.char_length(x["m"])
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+        more = F.concat(acc["out"], F.array(span))
+        if keep is not None:
+            more = F.when(keep(span), more).otherwise(acc["out"])
+        return F.struct(end.alias("pos"), more.alias("out"))
 
     begin = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out"))
     return F.aggregate(F.filter(cuts, lambda x: x["m"].isNotNull()), begin, step, lambda acc: acc["out"])
@@ -101,48 +106,91 @@ def span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _contexts(found: DataFrame, context_chars: int) -> DataFrame:
-    """A row per word beside an identifier: the document's key, the identifier, the word and its place."""
-    m = found.where(F.size("base") > 0).select("id", "th", "t", "base", F.explode("base").alias("e"))
+def _words(text: Column) -> Column:
+    """The different words of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _outside(text: Column, base: Column) -> Column:
+    """The text with a blank for every identifier and the letters and digits joined to it."""
+    joined = r"[\p{L}\p{N}]"
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] > acc["pos"]
+        gap = text.substr(acc["pos"] + 1, s["start"] - acc["pos"])
+        gap = F.when(acc["tied"], F.regexp_replace(gap, f"^{joined}++", "")).otherwise(gap)
+        gap = F.when(s["value"].rlike(f"^{joined}"), F.regexp_replace(gap, f"(?<!{joined}){joined}++$", "")).otherwise(gap)
+        tied = F.when(s["end"] > acc["pos"], s["value"].rlike(f"{joined}$")).otherwise(acc["tied"])
+        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), tied.alias("tied"),
+                        F.when(fresh, F.concat(acc["out"], gap, F.lit(" "))).otherwise(acc["out"]).alias("out"))
+
+    spans = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
+                                                              s["value"].alias("value"))))
+    begin = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("tied"), F.lit("").alias("out"))
+
+    def end(acc: Column) -> Column:
+        rest = text.substr(acc["pos"] + 1, F.char_length(text))
+        return F.concat(acc["out"], F.when(acc["tied"], F.regexp_replace(rest, f"^{joined}++", "")).otherwise(rest))
+
+    return F.aggregate(spans, begin, step, end)
+
+
+def _places(marked: DataFrame, context_chars: int) -> DataFrame:
+    """A row per place of an identifier: ``row, kind, value``, its context's hash and the words inside it."""
+    m = marked.select("row", "t", "base", F.explode("base").alias("e"))
     a = F.greatest(F.lit(0), F.col("e.start") - context_chars)
     b = F.least(F.char_length("t"), F.col("e.end") + context_chars)
-    m = m.select("id", "th", "base", "e", a.alias("a"), (b < F.char_length("t")).alias("more"),
+    m = m.select("row", "base", "e", a.alias("a"), (b < F.char_length("t")).alias("more"),
                  F.col("t").substr(a + 1, b - a).alias("snippet"))
-    w = m.select("id", "th", "base", "e", "a", "more", F.char_length("snippet").alias("width"),
-                 F.xxhash64("snippet").alias("context"),
-                 F.explode(matches(F.col("snippet"), TERM, "term")).alias("w"))
-    start, end = F.col("a") + F.col("w.start"), F.col("a") + F.col("w.end")
-    whole = ((F.col("w.start") > 0) | (F.col("a") == 0)) & ((F.col("w.end") < F.col("width")) | ~F.col("more"))
-    clear = ~F.exists("base", lambda s: (s["start"] < end) & (s["end"] > start))
-    return w.where(whole & clear).select(
-        "id", "th", "context", F.col("e.kind").alias("kind"), F.col("e.value").alias("value"),
-        F.lower("w.value").alias("term"), start.alias("start"), end.alias("end"))
-
-
-def disclosing_terms(found: DataFrame, ctx: DataFrame, min_contexts: int, generalise_at: float) -> DataFrame:
+    width = F.char_length("snippet")
+
+    def inside(w: Column) -> Column:
+        whole = ((w["start"] > 0) | (F.col("a") == 0)) & ((w["end"] < width) | ~F.col("more"))
+        return whole & ~F.exists("base", lambda s: (s["start"] < F.col("a") + w["end"]) & (s["end"] > F.col("a") + w["start"]))
+
+    near = F.transform(F.filter(matches(F.col("snippet"), TERM, "term"), inside), lambda w: F.lower(w["value"]))
+    return m.select("row", F.col("e.kind").alias("kind"), F.col("e.value").alias("value"),
+                    F.xxhash64("snippet").alias("context"), near.alias("near"))
+
+
+def disclosing_terms(found: DataFrame, context_chars: int, min_contexts: int, generalise_at: float) -> DataFrame:
     """``(kind, value, term, share)``: terms giving away at least ``generalise_at`` of an identifier.
 
     Over all documents, the information a term t carries on an identifier e is
     PMI(t, e) = log2(N * co / (df_t * df_e)), out of IC(e) = log2(N / df_e); the
-    share is their ratio (1: whoever reads t knows e).  Document frequencies of
-    the candidate terms are taken over every word of every document.
+    share is their ratio (1: whoever reads t knows e).  All four count rows of
+    ``found``, whole documents: co those that hold e, and t anywhere outside
+    identifiers; df_t those with the word t.
+
+    A context of e is the text around one of its places.  A document brings t the
+    contexts in which t stands itself, or, when t stands further away only, one
+    of the document's contexts of e; terms with fewer than ``min_contexts``
+    different ones are no evidence, so copies count once.  Identifiers with fewer
+    contexts can have no such term, and their documents' words are not counted.
     """
     n_docs = found.count()
-    near = ctx.groupBy("kind", "value", "term").agg(
-        F.count_distinct("context").alias("contexts"), F.count_distinct(F.struct("id", "th")).alias("co"))    # a struct: never null
-    near = cut(near.where(F.col("contexts") >= min_contexts))
-    ids = cut(found.where(F.size("base") > 0)
-              .select(F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"),
-                                                                                       s["value"].alias("value"))))))
-              .groupBy("col.kind", "col.value").agg(F.count("*").alias("df_e")))
-    terms = cut(near.select("term").distinct())
-    words = found.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0))))
-                         .alias("term"))
-    df_t = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
-    risk = near.join(ids, ["kind", "value"]).join(df_t, "term")
+    # written before it is read, so that the row numbers stay
+    marked = cut(found.where(F.size("base") > 0).select(F.monotonically_increasing_id().alias("row"), "t", "base"))
+    places = cut(_places(marked, context_chars))
+    ids = cut(places.groupBy("kind", "value").agg(F.count_distinct("row").alias("df_e"),
+                                                  F.count_distinct("context").alias("contexts"))
+              .where(F.col("contexts") >= min_contexts).select("kind", "value", "df_e"))
+    held = places.join(ids, ["kind", "value"], "left_semi").groupBy("row", "kind", "value").agg(
+        F.min("context").alias("home"), F.collect_list(F.struct("context", "near")).alias("places"))
+    words = marked.select("row", _words(_outside(F.col("t"), F.col("base"))).alias("terms"))
+    pairs = held.join(words, "row").select("kind", "value", "home", "places", F.explode("terms").alias("term"))
+    beside = F.array_distinct(F.transform(F.filter("places", lambda p: F.array_contains(p["near"], F.col("term"))),
+                                          lambda p: p["context"]))
+    pairs = pairs.select("kind", "value", "term", F.posexplode(
+        F.when(F.size(beside) > 0, beside).otherwise(F.array("home"))).alias("k", "context"))
+    both = cut(pairs.groupBy("kind", "value", "term").agg(
+        F.count_distinct("context").alias("contexts"), F.sum((F.col("k") == 0).cast("long")).alias("co"))
+        .where(F.col("contexts") >= min_contexts))
+    # counted in the tasks before anything is sent, so what is moved follows the input at any number of terms
+    df_t = found.select(F.explode(_words(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    risk = both.join(ids, ["kind", "value"]).join(df_t, "term")
     total = F.log2(F.lit(float(max(n_docs, 1))) / F.col("df_e"))
-    # the document frequency counts lower-cased texts; it is never below the co-occurrence
-    lost = F.log2(F.greatest("df_t", "co") / F.col("co"))
+    lost = F.log2(F.col("df_t") / F.col("co"))
     risk = risk.where(total > 0).withColumn("share", 1 - lost / total)
     return risk.where(F.col("share") >= generalise_at).select("kind", "value", "term", "share")
 
@@ -153,11 +201,14 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     """All columns of ``docs`` plus ``pii`` (struct: ``base``, ``terms``, ``clean``), one row per input row.
 
     ``base`` are the identifiers (email, IPv4, payment card with Luhn, phone)
-    with code point spans.  ``terms`` are words within ``context_chars`` of an
-    identifier that disclose it by corpus co-occurrence (``disclosing_terms``),
-    seen beside it in at least ``min_contexts`` different contexts (copies of one
-    context count once), with the action "generalise" or, from ``remove_at`` on,
-    "remove".  ``clean`` is the text with identifiers and generalised terms
+    with code point spans.  ``terms`` are the words that disclose any identifier
+    by corpus co-occurrence over whole documents (``disclosing_terms``), seen in
+    documents of at least ``min_contexts`` different contexts of it
+    (``context_chars`` on either side; copies count once), at every place outside
+    identifiers where they stand, in every document, whether or not it holds the
+    identifier.  The action is "generalise" or, from ``remove_at`` on, "remove",
+    by the identifier that the word gives away most of.
+    ``clean`` is the text with identifiers and generalised terms
     replaced by labels and removed terms taken out; null text stays null and
     has no spans.  Base spans never depend on the terms.
 
@@ -166,20 +217,27 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     """
     found = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
     found = found.select("id", F.xxhash64("t").alias("th"), "t", base_spans(F.col("t")).alias("base"))
-    ctx = cut(_contexts(found, context_chars))
-    risky = cut(disclosing_terms(found, ctx, min_contexts, generalise_at))
-    hits = ctx.join(risky, ["kind", "value", "term"]).groupBy("id", "th", "start", "end").agg(
-        F.max("share").alias("share"), F.max("term").alias("value"))
-    action = F.when(F.col("share") >= remove_at, "remove").otherwise("generalise")
-    terms = cut(hits.groupBy("id", "th").agg(F.array_sort(F.collect_list(
-        F.struct("start", "end", "value", action.alias("action")))).alias("_terms"))
-        .select(F.col("id").alias("_term_id"), F.col("th").alias("_term_th"), "_terms"))
+    action = F.when(F.max("share") >= remove_at, "remove").otherwise("generalise")
+    risky = cut(disclosing_terms(found, context_chars, min_contexts, generalise_at)
+                .groupBy("term").agg(action.alias("action")))
+    hits = found.select("id", "th", F.explode(_words(F.col("t"))).alias("term")).join(risky, "term")
+    terms = cut(hits.groupBy("id", "th").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("_risky"))
+                .select(F.col("id").alias("_term_id"), F.col("th").alias("_term_th"), "_risky"))
 
     rows = docs.withColumn("_th", F.xxhash64(text_of(text_col)))
-    rows = rows.join(terms, rows[id_col].eqNullSafe(F.col("_term_id")) & (F.col("_th") == F.col("_term_th")), "left")
+    # merged at any size: the table of risky words grows with the documents
+    rows = rows.join(terms.hint("merge"), rows[id_col].eqNullSafe(F.col("_term_id")) & (F.col("_th") == F.col("_term_th")), "left")
     rows = rows.withColumn("_base", base_spans(text_of(text_col)))
+
+    def risky_word(s: Column) -> Column:
+        return (F.map_contains_key("_risky", F.lower(s["value"]))
+                & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+
+    spans = F.transform(matches(text_of(text_col), TERM, "term", risky_word), lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"),
+        F.element_at("_risky", F.lower(s["value"])).alias("action")))
     none = F.array().cast("array<struct<start:int,end:int,value:string,action:string>>")
-    rows = rows.withColumn("_terms", F.coalesce("_terms", none))
+    rows = rows.withColumn("_terms", F.when(F.col("_risky").isNotNull(), spans).otherwise(none))
     clean = F.when(F.col(text_col).isNotNull(), _replaced(text_of(text_col)))
     return rows.select(*docs.columns, F.struct(F.col("_base").alias("base"), F.col("_terms").alias("terms"),
                                                clean.alias("clean")).alias("pii"))

@@ -326,3 +326,57 @@ def test_pii_null_ids(spark):
     assert len(clean) == 2 and all("[EMAIL]" in c and "secretword" not in c for c in clean)
     part = df.where("doc_id is null").unionByName(df.where("doc_id is not null").replace("other words 3", rows[0][1].replace("one", "six"), "text"))
     assert not any("secretword" in r.pii.clean for r in find_pii(part).collect())
+
+
+def test_pii_null_ids(spark):
+    rows = [(None, "alpha secretword bob@corp.example one"), (None, "beta secretword bob@corp.example two")]
+    df = spark.createDataFrame(rows + [(i, f"other words {i}") for i in range(20)], "doc_id long, text string")
+    clean = [r.pii.clean for r in find_pii(df).collect() if r.doc_id is None]
+    assert len(clean) == 2 and all("[EMAIL]" in c and "secretword" not in c for c in clean)
+    part = df.where("doc_id is null").unionByName(df.where("doc_id is not null").replace("other words 3", rows[0][1].replace("one", "six"), "text"))
+    assert not any("secretword" in r.pii.clean for r in find_pii(part).collect())
+
+
+def whole_document_terms(rows):
+    """Spans of disclosing terms of every row, by brute force."""
+    word = re.compile(r"[^\W_]+")
+    base = [[(k, m.start(), m.end(), m[0]) for k, p in IDENTIFIERS for m in re.finditer(p, t or "") if passes(k, m[0])] for _, t in rows]
+    clear = [[(m[0].lower(), m.start(), m.end()) for m in word.finditer(t or "") if not any(s < m.end() and e > m.start() for _, s, e, _ in b)]
+             for (_, t), b in zip(rows, base, strict=True)]
+    df_t = Counter(w for _, t in rows for w in {m[0].lower() for m in word.finditer(t or "")})
+    df_e = Counter(e for b in base for e in {(s[0], s[3]) for s in b})
+    co, contexts = Counter(), {}
+    for (_, t), b, c in zip(rows, base, clear, strict=True):
+        for e in {(s[0], s[3]) for s in b}:
+            spans = [(max(0, s[1] - 80), min(len(t), s[2] + 80)) for s in b if (s[0], s[3]) == e]
+            for w in {x[0] for x in c}:
+                beside = {t[lo:hi] for lo, hi in spans if any(x[0] == w and lo <= x[1] and x[2] <= hi for x in c)}
+                co[e, w] += 1
+                contexts.setdefault((e, w), []).append((beside, {t[lo:hi] for lo, hi in spans}))
+    share = {}
+    for (e, w), n in co.items():
+        # a document with the word further away is one context, the same for copies of the identifier's surroundings
+        seen = set().union(*[x[0] for x in contexts[e, w]]) | {max(x[1]) for x in contexts[e, w] if not x[0]}
+        if len(seen) >= 2 and len(rows) > df_e[e]:
+            share[w] = max(share.get(w, 0), 1 - math.log(df_t[w] / n) / math.log(len(rows) / df_e[e]))
+    return [(i, t, tuple((s, e, w, "remove" if share[w] >= 0.95 else "generalise") for w, s, e in c if share.get(w, 0) >= 0.8))
+            for (i, t), c in zip(rows, clear, strict=True)]
+
+
+def test_pii_terms_of_whole_documents(spark):
+    def fill(n):
+        return " ".join(f"u{RNG.integers(10**9)}" for _ in range(n))
+    far = [f"amy@corp.example {fill(40)} Falcon", f"ferry falcon {fill(40)} amy@corp.example", f"Falcon, {fill(30)} falcon",
+           f"{fill(30)} heron {fill(30)} +1 (988) 555-2485", f"heron {fill(60)} +1 (988) 555-2485 {fill(3)}",
+           f"{fill(5)} crane {fill(40)} 10.2.3.4", f"{fill(5)} crane {fill(40)} 10.2.3.4", "crane crane x10.2.3.4", "stork " * 50 + "crane"]
+    copy = f"lark {fill(40)} zed@corp.example"
+    twice = f"{fill(30)} cy@corp.example {fill(30)} cy@corp.example wren {fill(20)}"
+    rows = [(i, t) for i, t in enumerate(far)] + [(None, far[0]), (3, far[3]), (60, copy), (61, copy), (62, twice), (63, None), (64, "")]
+    rows += [(100 + k, f"plain the {fill(4)}") for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = find_pii(df).collect()
+    want = whole_document_terms(rows)
+    assert Counter((r.doc_id, r.text, tuple((s.start, s.end, s.value, s.action) for s in r.pii.terms)) for r in out) == Counter(want)
+    clean = {r.doc_id: (r.pii.clean or "").lower() for r in out}
+    assert "falcon" not in clean[0] + clean[1] + clean[2] and "heron" not in clean[3] + clean[4]
+    assert "crane" not in clean[7] + clean[8] and "stork" in clean[8] and "lark" in clean[60] and "wren" in clean[62]
