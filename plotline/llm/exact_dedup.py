@@ -41,6 +41,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is the one that stays).  An empty table gives an empty result; other columns
     are not read.
     """
+    return _marked(docs, id_col, text_col, prefix_chars).drop("n_cp")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
+    """``exact_dedup`` with the code points of each original text as ``n_cp``."""
     keys = cut(_signature(docs, id_col, text_col, prefix_chars).drop("norm"))
     lengths = cut(keys.groupBy("norm_len").agg(F.count("*").alias("n")).where("n > 1").select("norm_len"))
     level1 = keys.join(lengths, "norm_len", "left_semi")
@@ -48,7 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  .where("n > 1").select("norm_len", "prefix"))
 
     single = keys.join(level2, ["norm_len", "prefix"], "left_anti").select(
-        "id", "norm_len", "prefix", F.lit(None).cast("string").alias("full_hash"),
+        "id", "n_cp", "norm_len", "prefix", F.lit(None).cast("string").alias("full_hash"),
         F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
 
     full = _signature(docs, id_col, text_col, prefix_chars).join(level2, ["norm_len", "prefix"], "left_semi")
@@ -59,7 +64,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = cut(rows.groupBy("full_hash").agg(F.min(order).alias("best"), F.sum("m").alias("group_size")))
     won = (F.col("best.o") == -F.col("n_cp")) & F.col("best.id").eqNullSafe(F.col("id"))
     copies = rows.join(best, "full_hash").select(
-        "id", "norm_len", "prefix", "full_hash", F.col("best.id").alias("keep_id"), "group_size",
+        "id", "n_cp", "norm_len", "prefix", "full_hash", F.col("best.id").alias("keep_id"), "group_size",
         won.alias("won"), F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("k"))
     copies = copies.withColumn("kept", F.col("won") & (F.col("k") == 1)).drop("won", "k")
     return single.unionByName(copies)
@@ -80,17 +85,20 @@ def with_digest(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with the columns of ``docs``.
 
-    Copies are found by the operator; the rows that stay are fetched by id.  One
-    row is taken per kept (id, text); repeated rows alike in id and text count once.
+    Copies are found by the operator; the rows that stay are fetched by id, code
+    points and full hash, or, where the operator needed no full hash, by the length
+    and prefix that no other text has.  One row is taken per kept (id, text):
+    rows alike in id, length and text count once.
     """
-    kept = cut(exact_dedup(docs, id_col, text_col).where("kept")
-               .select(F.col("id").alias("_keep_id"), F.col("norm_len").alias("_keep_len"),
-                       F.col("prefix").alias("_keep_prefix")))
+    kept = cut(_marked(docs, id_col, text_col, PREFIX_CHARS).where("kept")
+               .select(F.col("id").alias("_keep_id"), F.col("n_cp").alias("_keep_cp"), F.col("norm_len").alias("_keep_len"),
+                       F.col("prefix").alias("_keep_prefix"), F.col("full_hash").alias("_keep_hash")))
     n = normalised(text_of(text_col))
     tagged = docs.select("*", F.char_length(n).alias("_len"),
                          F.xxhash64(F.substring(n, 1, PREFIX_CHARS)).alias("_prefix"),
-                         F.xxhash64(n).alias("_text_hash"), F.char_length(text_of(text_col)).alias("_cp"))
+                         F.sha2(n, 256).alias("_text_hash"), F.char_length(text_of(text_col)).alias("_cp"))
     match = (F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_len") == F.col("_keep_len"))
-             & (F.col("_prefix") == F.col("_keep_prefix")))
+             & (F.col("_prefix") == F.col("_keep_prefix")) & (F.col("_cp") == F.col("_keep_cp"))
+             & (F.coalesce("_keep_hash", "_text_hash") == F.col("_text_hash")))
     found = tagged.join(kept, match, "left_semi")
     return found.dropDuplicates([id_col, "_text_hash"]).select(*docs.columns)

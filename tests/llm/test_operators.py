@@ -380,3 +380,14 @@ def test_pii_terms_of_whole_documents(spark):
     clean = {r.doc_id: (r.pii.clean or "").lower() for r in out}
     assert "falcon" not in clean[0] + clean[1] + clean[2] and "heron" not in clean[3] + clean[4]
     assert "crane" not in clean[7] + clean[8] and "stork" in clean[8] and "lark" in clean[60] and "wren" in clean[62]
+
+
+def test_exact_copies_with_null_and_repeated_ids(spark):
+    p = "p" * 70
+    rows = [(5, p + " a"), (None, p + "a"), (None, p + "b"), (None, p + " a")]
+    for k in range(20):     # null and repeated ids, equal but for white space: the longest stays
+        rows += [(i, f"k{k} " + x) for i in (None, 7) for x in ("r s", "rs", "r  s  ", " rs")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in drop_exact_copies(df).collect())
+    assert got == Counter([(5, p + " a"), (None, p + "b")] + [(7, f"k{k} r  s  ") for k in range(20)])
+    assert drop_exact_copies(df).columns == df.columns
