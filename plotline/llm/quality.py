@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._common import crc_remainder, map_arrow, text_of
+from ._common import crc_remainder, cut, map_arrow, text_of
 
 PASSAGE_WORDS = 64
-#: bound of the labelled sample that the model is fitted on (documents)
+#: bound of the labelled sample that the model is fitted on (different id and text)
 TRAIN_DOCS = 6000
-#: bound of the passages a training document brings, spread evenly over its whole text
-TRAIN_PASSAGES = 48
+#: passages that are held at a time while the model is fitted; longer documents take several turns
+CHUNK_PASSAGES = 4096
 HIDDEN, ATTENTION = 24, 12
 #: a document is kept when its score reaches this
 ACCEPT_AT = 0.3
@@ -114,42 +115,120 @@ class QualityModel:
         return self.forward(np.clip(x, -8, 8), starts)["y"]
 
 
-def _gradients(m: QualityModel, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    f, p = m.forward(x, starts), m.p
-    doc, h, a = f["doc"], f["h"], f["a"]
-    dl = (f["y"] - y) / len(y)
+class Bags:
+    """Passages of documents in a local temporary file, read in chunks: no document is cut or held whole."""
+
+    def __init__(self) -> None:
+        self.file = tempfile.TemporaryFile(buffering=0)
+        self.parts: dict[tuple, list[tuple[int, int, int]]] = {}
+        self.labels: dict[tuple, int] = {}
+        self.order: list[tuple] = []
+        self.end = 0
+
+    def add(self, key: tuple, part: int, y: int, x: bytes) -> None:
+        self.file.seek(self.end)
+        view = memoryview(x)
+        while view:
+            view = view[self.file.write(view):]
+        self.parts.setdefault(key, []).append((part, self.end, len(x) // (4 * N_FEATURES)))
+        self.labels[key] = y
+        self.end += len(x)
+
+    def sort(self) -> Bags:
+        self.order = sorted(self.parts)
+        for parts in self.parts.values():
+            parts.sort()
+        return self
+
+    @property
+    def y(self) -> np.ndarray:
+        return np.array([self.labels[k] for k in self.order], dtype=np.float64)
+
+    def chunks(self, pick: np.ndarray, size: int = CHUNK_PASSAGES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Passages of the picked documents, in order, and each passage's place in ``pick``."""
+        held, of, n = [], [], 0
+        for i, bag in enumerate(pick):
+            for _, at, count in self.parts[self.order[bag]]:
+                for begin in range(0, count, size):
+                    take = min(size, count - begin)
+                    if n + take > size:
+                        yield np.concatenate(held), np.concatenate(of)
+                        held, of, n = [], [], 0
+                    self.file.seek(at + begin * 4 * N_FEATURES)
+                    held.append(np.fromfile(self.file, "<f4", take * N_FEATURES).reshape(take, N_FEATURES).astype(np.float64))
+                    of.append(np.full(take, i))
+                    n += take
+        if held:
+            yield np.concatenate(held), np.concatenate(of)
+
+
+def _gradients(m: QualityModel, bags: Bags, pick: np.ndarray, y: np.ndarray, size: int = CHUNK_PASSAGES) -> dict[str, np.ndarray]:
+    """Gradients of the picked documents' mean log loss, in two passes over chunks of their passages.
+
+    The first pass sums the attention of each document, the second one needs
+    only those sums: the attention-weighted mean of da is dz . z.
+    """
+    p, n = m.p, len(pick)
+
+    def passages() -> Iterator[tuple]:
+        for raw, doc in bags.chunks(pick, size):
+            x = np.clip((raw - m.mean) / m.scale, -8, 8)
+            h = np.tanh(x @ p["W"] + p["b"])
+            tv, su = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
+            yield doc, x, h, tv, su, (tv * su) @ p["w"]
+
+    top, total, z = np.full(n, -np.inf), np.zeros(n), np.zeros((n, HIDDEN))
+    for doc, _, h, _, _, e in passages():
+        starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        at = doc[starts]
+        new = np.maximum(top[at], np.maximum.reduceat(e, starts))
+        old, top[at] = np.exp(top[at] - new), new
+        e = np.exp(e - top[doc])
+        total[at] = total[at] * old + np.add.reduceat(e, starts)
+        z[at] = z[at] * old[:, None] + np.add.reduceat(e[:, None] * h, starts)
+    z /= total[:, None]
+    out = 1 / (1 + np.exp(-np.clip(z @ p["o"] + p["c"][0], -30, 30)))
+    dl = (out - y) / n
     dz = dl[:, None] * p["o"][None, :]
-    da = np.einsum("ij,ij->i", dz[doc], h)
-    de = a * (da - np.add.reduceat(a * da, starts)[doc])
-    dg = de[:, None] * p["w"][None, :]
-    dv, du = dg * f["su"] * (1 - f["tv"] ** 2), dg * f["tv"] * f["su"] * (1 - f["su"])
-    dh = a[:, None] * dz[doc] + dv @ p["V"].T + du @ p["U"].T
-    dx = dh * (1 - h ** 2)
-    return {"W": x.T @ dx, "b": dx.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (f["tv"] * f["su"]).T @ de,
-            "o": f["z"].T @ dl, "c": np.array([dl.sum()])}
+    mean_da = np.einsum("ij,ij->i", dz, z)
+    g = {k: np.zeros_like(v) for k, v in p.items()}
+    g["o"], g["c"] = z.T @ dl, np.array([dl.sum()])
+    for doc, x, h, tv, su, e in passages():
+        a = np.exp(e - top[doc]) / total[doc]
+        de = a * (np.einsum("ij,ij->i", dz[doc], h) - mean_da[doc])
+        dg = de[:, None] * p["w"][None, :]
+        dv, du = dg * su * (1 - tv ** 2), dg * tv * su * (1 - su)
+        dh = a[:, None] * dz[doc] + dv @ p["V"].T + du @ p["U"].T
+        dx = dh * (1 - h ** 2)
+        for k, v in {"W": x.T @ dx, "b": dx.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (tv * su).T @ de}.items():
+            g[k] += v
+    return g
 
 
-def fit_mil(bags: list[np.ndarray], y: np.ndarray, epochs: int = 14, batch: int = 64, rate: float = 4e-3,
+def fit_mil(bags: Bags, epochs: int = 14, batch: int = 64, rate: float = 4e-3,
             decay: float = 1e-3, seed: int = 5) -> QualityModel:
     """Adam on the log loss of the documents; without rows, or with one class, a constant model."""
-    rng = np.random.default_rng(seed)
+    rng, y = np.random.default_rng(seed), bags.y
     base = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
     p = {"W": rng.normal(0, 0.1, (N_FEATURES, HIDDEN)), "b": np.zeros(HIDDEN),
          "V": rng.normal(0, 0.3, (HIDDEN, ATTENTION)), "U": rng.normal(0, 0.3, (HIDDEN, ATTENTION)),
          "w": rng.normal(0, 0.3, ATTENTION), "o": np.zeros(HIDDEN), "c": np.array([np.log(base / (1 - base))])}
     if len(y) == 0 or y.min() == y.max():
         return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), p)
-    every = np.concatenate(bags)
-    m = QualityModel(every.mean(0), every.std(0) + 1e-3, p)
-    bags = [np.clip((b - m.mean) / m.scale, -8, 8) for b in bags]
-    first, second, step = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2)), None, 0
-    first, second = first
+    count, total = 0, np.zeros(N_FEATURES)
+    for x, _ in bags.chunks(np.arange(len(y))):
+        count, total = count + len(x), total + x.sum(0)
+    mean, spread = total / count, np.zeros(N_FEATURES)
+    for x, _ in bags.chunks(np.arange(len(y))):
+        spread += ((x - mean) ** 2).sum(0)
+    m = QualityModel(mean, np.sqrt(spread / count) + 1e-3, p)
+    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    step = 0
     for _ in range(epochs):
-        order = rng.permutation(len(bags))
+        order = rng.permutation(len(y))
         for at in range(0, len(order), batch):
             pick = order[at:at + batch]
-            starts = np.cumsum([0] + [len(bags[i]) for i in pick[:-1]])
-            g = _gradients(m, np.concatenate([bags[i] for i in pick]), starts, y[pick])
+            g = _gradients(m, bags, pick, y[pick])
             step += 1
             for k in p:
                 gk = g[k] + (decay * p[k] if k in ("W", "V", "U", "o") else 0)
@@ -163,9 +242,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                   label_col: str = "quality", held_out_modulus: int = 5, max_docs: int = TRAIN_DOCS) -> QualityModel:
     """Fit on labelled documents whose crc32(id as text) modulo ``held_out_modulus`` is not 0.
 
-    The fit uses a bounded sample: ``max_docs`` labelled ids, those of smallest
-    hash (the same at every run), so the ids broadcast and the passages
-    collected are bounded.  Rows with a null id or label do not count; of
+    The fit uses a bounded sample of rows: ``max_docs`` labelled ids, those of
+    smallest hash (the same at every run), and of their rows, one per id and text,
+    again ``max_docs`` of smallest hash.  Every passage of those rows is trained
+    on; passages wait in a table and then in a temporary file on the driver, not
+    in its memory.  Rows with a null id or label do not count; of
     several labels of an id the mean, rounded up from one half, counts.  Without
     usable labels the model is constant.
     """
@@ -173,25 +254,30 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
               .where(crc_remainder(id_col, held_out_modulus) != 0)
               .groupBy(F.col(id_col).alias("_label_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_y"))
               .orderBy(F.xxhash64("_label_id"), "_label_id").limit(max_docs))
-    picked = (docs.select(F.col(id_col).alias("_doc"), F.encode(text_of(text_col), "UTF-8").alias("_t"))
-              .join(F.broadcast(sample), F.col("_doc") == F.col("_label_id")).select("_doc", "_y", "_t"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.xxhash64(text_of(text_col)).alias("_th"), text_of(text_col).alias("_t"))
+    keys = cut(texts.select("_doc", "_th").join(F.broadcast(sample), F.col("_doc") == F.col("_label_id"))
+               .select("_doc", "_th", "_y").distinct()
+               .orderBy(F.xxhash64("_doc", "_th"), "_doc", "_th").limit(max_docs))
+    keys = keys.select(F.col("_doc").alias("_label_id"), F.col("_th").alias("_label_th"), "_y")
+    picked = (texts.join(F.broadcast(keys), (F.col("_doc") == F.col("_label_id")) & (F.col("_th") == F.col("_label_th")))
+              .dropDuplicates(["_doc", "_th"]).select("_doc", "_th", "_y", F.encode("_t", "UTF-8").alias("_t")))
+    id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ys, xs = b.column(1), []
-            for t in b.column(2):
-                x = encode_passages(t.as_py())
-                if len(x) > TRAIN_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)]
-                xs.append(x.astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), ys, pa.array(xs, pa.binary())], names=["id", "y", "x"])
+            for i in range(b.num_rows):
+                x = encode_passages(b.column(3)[i].as_py()).astype("<f4")
+                row = b.slice(i, 1)
+                for part, at in enumerate(range(0, len(x), CHUNK_PASSAGES)):
+                    yield pa.RecordBatch.from_arrays(
+                        [row.column(0), row.column(1), row.column(2), pa.array([part], pa.int32()),
+                         pa.array([x[at:at + CHUNK_PASSAGES].tobytes()], pa.binary())], names=["id", "th", "y", "part", "x"])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    rows = map_arrow(picked, run, f"id {id_type}, y int, x binary").toPandas()
-    rows["x"] = [bytes(x) for x in rows["x"]]
-    rows = rows.sort_values(["id", "x"])
-    bags = [np.frombuffer(x, "<f4").reshape(-1, N_FEATURES).astype(np.float64) for x in rows["x"]]
-    return fit_mil(bags, rows["y"].to_numpy(dtype=np.float64))
+    passages = cut(map_arrow(picked, run, f"id {id_type}, th long, y int, part int, x binary"))
+    bags = Bags()
+    for r in passages.toLocalIterator():
+        bags.add((r.id, r.th), r.part, r.y, bytes(r.x))
+    return fit_mil(bags.sort())
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -328,15 +328,6 @@ def test_pii_null_ids(spark):
     assert not any("secretword" in r.pii.clean for r in find_pii(part).collect())
 
 
-def test_pii_null_ids(spark):
-    rows = [(None, "alpha secretword bob@corp.example one"), (None, "beta secretword bob@corp.example two")]
-    df = spark.createDataFrame(rows + [(i, f"other words {i}") for i in range(20)], "doc_id long, text string")
-    clean = [r.pii.clean for r in find_pii(df).collect() if r.doc_id is None]
-    assert len(clean) == 2 and all("[EMAIL]" in c and "secretword" not in c for c in clean)
-    part = df.where("doc_id is null").unionByName(df.where("doc_id is not null").replace("other words 3", rows[0][1].replace("one", "six"), "text"))
-    assert not any("secretword" in r.pii.clean for r in find_pii(part).collect())
-
-
 def whole_document_terms(rows):
     """Spans of disclosing terms of every row, by brute force."""
     word = re.compile(r"[^\W_]+")
@@ -391,3 +382,35 @@ def test_exact_copies_with_null_and_repeated_ids(spark):
     got = Counter((r.doc_id, r.text) for r in drop_exact_copies(df).collect())
     assert got == Counter([(5, p + " a"), (None, p + "b")] + [(7, f"k{k} r  s  ") for k in range(20)])
     assert drop_exact_copies(df).columns == df.columns
+
+
+def test_quality_trains_on_every_passage(spark):
+    from plotline.llm.quality import encode_passages
+    texts = [" ".join(RNG.choice(WORDS, n)) + " 12 !!" * (n % 7) for n in (9000, 70, 0, 4000, 13, 64)]
+    rows = [(i, t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5]
+    df = spark.createDataFrame([*rows, rows[0], *rows], "doc_id long, text string").repartition(3)
+    model = train_quality(df, spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int"))
+    every = np.concatenate([encode_passages(t.encode()) for _, t in rows])
+    assert len({i % 2 for i, _ in rows}) == 2 and len(every) > 100
+    assert np.allclose(model.mean, every.mean(0), atol=1e-6) and np.allclose(model.scale, every.std(0) + 1e-3, atol=1e-5)
+
+
+def test_quality_gradients_by_chunk():
+    from plotline.llm.quality import N_FEATURES, Bags, QualityModel, _gradients, fit_mil
+    bags = Bags()
+    for i, n in enumerate((5, 1, 9)):
+        bags.add((i, 0), 0, i % 2, RNG.random((n, N_FEATURES)).astype("<f4").tobytes())
+    bags.sort()
+    m, pick, y = fit_mil(bags, epochs=1), np.arange(3), bags.y
+    whole, parts = _gradients(m, bags, pick, y), _gradients(m, bags, pick, y, size=2)
+    assert all(np.allclose(whole[k], parts[k], atol=1e-12) for k in whole)
+
+    def loss(p):
+        x, doc = next(bags.chunks(pick))
+        out = QualityModel(m.mean, m.scale, p).forward(np.clip((x - m.mean) / m.scale, -8, 8), np.searchsorted(doc, pick))["y"]
+        return -np.mean(y * np.log(out) + (1 - y) * np.log(1 - out))
+    for k, at in (("W", (7, 3)), ("V", (2, 5)), ("U", (4, 1)), ("w", (3,)), ("b", (2,)), ("o", (6,)), ("c", (0,))):
+        up, down = ({n: v.copy() for n, v in m.p.items()} for _ in range(2))
+        up[k][at] += 1e-5
+        down[k][at] -= 1e-5
+        assert np.isclose((loss(up) - loss(down)) / 2e-5, whole[k][at], rtol=1e-4, atol=1e-9), k
