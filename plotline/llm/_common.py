@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -54,12 +54,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` after sending this package to the executors once per context.
-
-    Batches are bounded in bytes by ``spark.sql.execution.arrow.maxBytesPerBatch``.
-    """
-    sc = df.sparkSession.sparkContext
+def _send_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context."""
+    sc = spark.sparkContext
     if not getattr(sc, "_plotline_sent", False):
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         name = os.path.join(tempfile.mkdtemp(prefix="plotline-"), "plotline_package.zip")
@@ -71,4 +68,18 @@ def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
                         z.write(path, os.path.relpath(path, os.path.dirname(package)))
         sc.addPyFile(name)
         sc._plotline_sent = True
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package on the executors.
+
+    Batches are bounded in bytes by ``spark.sql.execution.arrow.maxBytesPerBatch``.
+    """
+    _send_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def map_groups(groups: GroupedData, fn: Callable, schema) -> DataFrame:
+    """``groups.applyInPandas`` with this package on the executors, for groups of bounded size."""
+    _send_package(groups.session)
+    return groups.applyInPandas(fn, schema)

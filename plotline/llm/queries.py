@@ -9,6 +9,9 @@ from ._common import crc_remainder, table
 from .chat import link_tool_calls
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup, with_digest
+from .fill_in_middle import fill_in_middle, output_digest
+from .hard_negatives import hard_negatives
+from .language import identify_language, train_language
 from .lm import score_texts
 from .packing import pack_documents
 from .pii import find_pii, pii_digest
@@ -172,6 +175,70 @@ FROM j
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(v.withColumn("label", moved), anchor=F.col("id") % 100 == 0, positives=5, negatives=10,
+                          low=30, high=90, scale=256)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+         CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score
+  FROM v a JOIN v r ON a.vec_id <> r.vec_id AND len(a.q) = len(r.q) WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_remainder("doc_id", 4) == 2
+    model = train_language(docs.where(~held_out))
+    out = identify_language(docs, model, carry={"held_out": held_out})
+    return out.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return output_digest(fill_in_middle(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+OP13_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+  SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y,
+         CAST('0x' || h[17:24] AS BIGINT) % 100 AS u3, CAST('0x' || h[25:32] AS BIGINT) % 100 AS u4 FROM d),
+f AS (
+  SELECT doc_id, t, n, least(x, y) AS a, greatest(x, y) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR u3 >= 90 THEN 'plain'
+              WHEN u4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (
+  SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c
+"""
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -183,6 +250,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_tool_calls": op10_tool_calls,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_language": op12_language,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLE_SQL = {"op1_embedding_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL,
-              "op10_tool_calls": OP10_SQL}
+              "op10_tool_calls": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_fill_in_middle": OP13_SQL}

@@ -302,7 +302,7 @@ def test_pipeline_stages(spark, docs, none):
 
 
 def test_registry():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in Q.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in Q.QUERIES} == set(range(1, 14))
     assert set(Q.ORACLE_SQL) <= set(Q.QUERIES)
 
 
