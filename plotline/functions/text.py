@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,32 +108,33 @@ def split_lines(c) -> Column:
     return F.split(as_col(c), "\n")
 
 
-# Named character references: the HTML 4 table of Python's standard library
-# (generated, not written out) plus ``apos``.
-_NAMED_REFS = {**{k: chr(v) for k, v in name2codepoint.items()}, "apos": "'"}
+# Named character references: the HTML 5 table of Python's standard library (generated, not written
+# out).  Names end in ";", but for the legacy ones that browsers also take without it.
+_SEP, _IS = "\u0001", "\u0002"
+_LEGACY_LENGTHS = sorted({len(k) for k in html5 if not k.endswith(";")}, reverse=True)
+_LONGEST_NAME = max(map(len, html5))
 
 
 @lru_cache(maxsize=1)
 def _named_ref_map() -> Column:
-    return F.create_map(*[x for k, v in sorted(_NAMED_REFS.items()) for x in (F.lit(k), F.lit(v))])
+    """One foldable expression instead of thousands of literals: planning time does not grow with the table."""
+    return F.str_to_map(F.lit(_SEP.join(f"{k}{_IS}{v}" for k, v in sorted(html5.items()))), F.lit(_SEP), F.lit(_IS))
 
 
 @lru_cache(maxsize=1)
-def _c1_map() -> Column:
+def _c1_chars() -> str:
     """Numeric references 0x80–0x9F name Windows-1252 characters (HTML rule);
     the table is generated from Python's cp1252 codec."""
-    pairs = []
-    for n in range(0x80, 0xA0):
+    def char(n: int) -> str:
         try:
-            ch = bytes([n]).decode("cp1252")
+            return bytes([n]).decode("cp1252")
         except UnicodeDecodeError:
-            ch = chr(n)
-        pairs += [F.lit(n), F.lit(ch)]
-    return F.create_map(*pairs)
+            return chr(n)
+    return "".join(map(char, range(0x80, 0xA0)))
 
 
-# one token per character reference, or per run of text between them
-_REF_TOKEN = r"&(?:#[0-9]{1,7};|#[xX][0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]*;)|[^&]+|&"
+# one token per possible character reference, or per run of text between them
+_REF_TOKEN = r"&(?:#[0-9]++;?+|#[xX][0-9a-fA-F]++;?+|[^\t\n\f <&#;]{1,32}+;?+)|[^&]++|&"
 
 
 def _char_for(n: Column) -> Column:
@@ -142,34 +143,50 @@ def _char_for(n: Column) -> Column:
     lo = F.lit(0xDC00) + F.bitwise_not(F.bitwise_not(n - F.lit(0x10000)).bitwiseOR(F.lit(-1024)))
     bmp = F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
     astral = F.decode(F.unhex(F.concat(F.hex(hi), F.hex(lo))), "UTF-16BE")
+    control = n.between(1, 8) | n.between(0x0E, 0x1F) | n.between(0x7F, 0x9F) | (n == 0x0B)
+    no_character = n.between(0xFDD0, 0xFDEF) | ((n % 0x10000) >= 0xFFFE)
     return (F.when(n.isNull(), F.lit(None).cast("string"))
             .when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
-            .when(n.between(0x80, 0x9F), F.try_element_at(_c1_map(), n.cast("int")))
+            .when(n.between(0x80, 0x9F), F.substr(F.lit(_c1_chars()), n.cast("int") - 0x7F, F.lit(1)))
+            .when(control | no_character, F.lit(""))
             .when(n <= 0xFFFF, bmp)
             .otherwise(astral))
 
 
-def _decode_token(t: Column) -> Column:
-    """One token: a reference (already validated by the tokenizer) is decoded
-    with plain string functions; any other token is returned as it is."""
-    body = F.left(F.substring(t, 2, 10 ** 6), F.length(t) - F.lit(2))    # between '&' and ';'
-    is_hex = body.startswith("#x") | body.startswith("#X")
-    num = (F.when(is_hex, F.conv(F.substring(body, 3, 10), 16, 10).cast("long"))
-           .when(body.startswith("#"), F.substring(body, 2, 10).cast("long")))
-    decoded = F.when(body.startswith("#"), _char_for(num)).otherwise(
-        F.coalesce(F.try_element_at(_named_ref_map(), body), t))
-    return F.when(t.startswith("&") & t.endswith(";") & (F.length(t) > 2), decoded).otherwise(t)
+def _number(digits: Column, base: int) -> Column:
+    """Value of any number of digits; everything past the last code point is one value past it."""
+    short = F.regexp_replace(digits, "^0+", "")
+    value = F.when(F.length(short) > 7, F.lit(0x110000).cast("long")).otherwise(F.conv(short, base, 10).cast("long"))
+    return F.when(short == "", F.lit(0).cast("long")).otherwise(value)
+
+
+def _decode_token(t: Column, names: Column) -> Column:
+    """One token: a numeric reference, a name of the table, a legacy name at its beginning (the longest), or plain text."""
+    hexa = F.regexp_extract(t, "^&#[xX]([0-9a-fA-F]+)", 1)
+    number = F.when(hexa != "", _number(hexa, 16)).otherwise(_number(F.regexp_extract(t, "^&#([0-9]+)", 1), 10))
+    name = F.substring(t, 2, _LONGEST_NAME + 1)
+    # a name of the table with its ";", else the longest legacy name it begins with
+    legacy = F.coalesce(*[F.when(F.length(name) >= n, F.concat(F.try_element_at(names, F.left(name, F.lit(n))),
+                                                               F.substr(t, F.lit(n + 2)))) for n in _LEGACY_LENGTHS])
+    named = F.coalesce(F.when(name.endswith(";"), F.try_element_at(names, name)), legacy, t)
+    return (F.when(~t.startswith("&") | (F.length(t) < 2), t)
+            .when(t.rlike("^&#[0-9xX]"), _char_for(number))
+            .otherwise(named))
 
 
 def html_unescape(c) -> Column:
     """Decode HTML character references in ONE pass: the text is cut into
     reference tokens and the runs between them, each reference is decoded
-    exactly once (numeric ones by HTML's rules: NUL, surrogates and values
-    past U+10FFFF become U+FFFD, 0x80–0x9F are Windows-1252 characters;
-    named ones from the HTML table, unknown names kept), and the pieces are
-    joined again — decoded output is never decoded a second time.  Text
-    without ``&`` passes through untouched."""
+    exactly once, and the pieces are joined again — decoded output is never
+    decoded a second time.  Numeric references follow HTML's rules (any number
+    of digits, ``;`` optional; NUL, surrogates and values past U+10FFFF become
+    U+FFFD, 0x80–0x9F are Windows-1252 characters, other controls and
+    non-characters vanish); named ones come from the HTML 5 table, legacy names
+    also without ``;`` and as the longest beginning of a longer word; unknown
+    names are kept.  Text without ``&`` passes through untouched."""
     col = as_col(c)
     tokens = F.regexp_extract_all(col, F.lit(_REF_TOKEN), 0)
-    decoded = F.array_join(F.transform(tokens, _decode_token), "")
+    # the table enters the expression once, as a lambda variable
+    decoded = F.transform(F.array(_named_ref_map()), lambda names: F.array_join(
+        F.transform(tokens, lambda t: _decode_token(t, names)), ""))[0]
     return F.when(col.contains("&"), decoded).otherwise(col)

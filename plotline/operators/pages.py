@@ -1,9 +1,9 @@
 """Field, link and text extraction from a table of fetched HTML pages (H1–H6).
 
-Each page is one row; extraction is a set of native regular-expression
-column expressions, so it runs inside codegen on every executor with no
-per-row Python.  Patterns are non-greedy and tag-tolerant because real pages
-carry unclosed ``<p>``/``<b>`` tags and ``</p>`` inside scripts.
+Each page is one row.  Listing pages are cut once into a token array (see
+``markup``) and every field is a look-up over it; links, pagination and the
+generic page layout are single regular expressions over the page.  All of it is
+native column expressions with no per-row Python.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import attribute_name, html_unescape, paragraphs_to_text, pre_clean, squash_whitespace
 from ..functions._util import as_col, quote
+from . import markup as M
 
 # --- fixed values: listing page layout --------------------------------------
 # post date:      <div class="text-gray text-100">…</div>
@@ -33,6 +34,7 @@ from ..functions._util import as_col, quote
 # listing links:  <p class="name-product"><a href="…">
 # pagination:     class "pagination" page-item entries; last page = second-to-last entry
 # ---------------------------------------------------------------------------
+_DESC, _DETAIL = "content-tab-custom", "content-tab-info"
 MISSING_PRICE_PER_M2 = "--"
 REMOVED_DETAIL_KEYS = ("DienTichSuDung",)
 
@@ -42,22 +44,6 @@ def _class(*names: str) -> str:
     return 'class="' + "".join(rf'(?=(?:[^"]*\s)?{n}[\s"])' for n in names) + '[^"]*"'
 
 
-_DATE = rf'(?s){_class("text-gray", "text-100")}[^>]*>\s*(.*?)\s*<'
-_SELLER_BLOCK = rf'(?s){_class("user-info-name")}[^>]*>(.*?)</a>'
-_CRUMB = _class("crumb", "text-medium", "crumb-text")
-_LI = r'(?s)<li(?:\s[^>]*)?>(.*?)(?=</li>|<li[\s>]|\z)'
-_SPAN_TEXT_IN_ITEM = r'(?s)<span[^>]*>\s*(.*?)\s*</span>'
-_SPAN_TEXT = r'(?s)<span[^>]*>\s*(.*?)\s*</span>'
-_ADDRESS = rf'(?s){_class("product-title-price")}[^>]*>\s*<div[^>]*>\s*<div[^>]*>\s*<span[^>]*>\s*(.*?)\s*</span>'
-_INFO_IN_ITEM = r'(?s)<span[^>]*>\s*<i[^>]*>\s*(?:</i>)?\s*(.*?)\s*</span>'
-_DESC = 'id="content-tab-custom"'
-_DESC_ITEM = r'(?s)<(?:p|li)(?:\s[^>]*)?>(.*?)(?=</(?:p|li)>|<(?:p|li)[\s>]|\z)'
-_DETAIL = 'id="content-tab-info"'
-_DETAIL_KEY = r'(?s)^\s*<span[^>]*>\s*<span[^>]*>\s*(.*?)\s*</span>'
-_DETAIL_VALUE = r'(?s)</span>\s*</span>\s*<span[^>]*>\s*(.*?)\s*</span>'
-# a heading names the amenity list that directly follows it; headings without
-# such a list (description, information, anything after the tabs) are no group
-_UTIL_GROUP = rf'(?s)^<h2[^>]*>\s*([^<]*?)\s*</h2>\s*(<ul\s[^>]*?{_class("product-other-utilities")}[^>]*>.*)$'
 _LISTING_LINK = rf'(?s)<p\s[^>]*?{_class("name-product")}[^>]*>\s*<a\s[^>]*?href="([^"]*)"'
 _PAGE_ITEM = rf'(?s){_class("page-item")}[^>]*>\s*(?:<[^>]+>\s*)*([^<]*?)\s*<'
 
@@ -82,40 +68,11 @@ def _nullif_empty(c: Column) -> Column:
     return F.when(c == "", F.lit(None).cast("string")).otherwise(c)
 
 
-def _element(html: Column, attribute: str = "", tag: str = r"\w+") -> Column:
-    """Inner markup of the first ``tag`` element holding ``attribute`` (a pattern), up to its own
-    end tag: elements of the same tag may nest inside.  Without an end tag the element runs to
-    the end; no such element gives the empty string."""
-    start = rf"(?s)<({tag})\b[^>]*?{attribute}[^>]*>(.*)$"
-    opened = F.array(F.struct(_extract(html, start, 1).alias("tag"), _extract(html, start, 2).alias("rest")))
-    # pieces that each begin with a start or end tag of this element's kind; the first begins with a space
-    pieces = F.transform(opened, lambda o: F.split(
-        F.concat(F.lit(" "), o["rest"]), F.concat(F.lit("(?i)(?=</?"), o["tag"], F.lit(r"[\s>/])"))))
-
-    def step(acc: Column, piece: Column) -> Column:
-        depth = acc["depth"] + F.when(piece.rlike("^</"), -1).when(piece.rlike(r"^<\w"), 1).otherwise(0)
-        return (F.when(acc["depth"] == 0, acc)
-                .otherwise(F.struct(depth.alias("depth"), (acc["n"] + F.when(depth == 0, 0).otherwise(1)).alias("n"))))
-
-    def inner(parts: Column) -> Column:
-        taken = F.aggregate(parts, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), step)["n"]
-        return F.substr(F.array_join(F.slice(parts, F.lit(1), taken), ""), F.lit(2))
-
-    return F.transform(pieces, inner)[0]
-
-
 def _items(block: Column, item: str) -> Column:
     """All ``item`` matches inside a block (empty array if none)."""
     return F.regexp_extract_all(block, F.lit(item), 1)
 
 
-def _item_values(html_block: Column, item_pattern: str) -> Column:
-    """Per ``<li>`` of a block, the first group of ``item_pattern`` inside that
-    item (``''`` when absent), so one irregular item never shifts the others."""
-    return F.transform(F.regexp_extract_all(html_block, F.lit(_LI), 1),
-                       lambda li: F.regexp_extract(li, item_pattern, 1))
-
-
 def extract_fields(df: DataFrame, html_col: str, fields: Mapping[str, str],
                    unescape: bool = True) -> DataFrame:
     """Generic H1: one column per (name → pattern, group 1); no match → null."""
@@ -131,7 +88,7 @@ def _decoded_fields(df: DataFrame, raw: Column, names, unescape: bool = True) ->
     def clean(x):
         return _nullif_empty(squash_whitespace(html_unescape(x) if unescape else x))
     tmp = "__fields"
-    out = df.select("*", F.transform(raw, clean).alias(tmp))
+    out = df.select("*", F.inline(F.array(F.struct(F.transform(raw, clean).alias(tmp)))))    # computed once, see markup.once
     return out.select(*[F.col(quote(c)) for c in df.columns],
                       *[F.element_at(F.col(tmp), i + 1).alias(n) for i, n in enumerate(names)])
 
@@ -152,34 +109,46 @@ def page_fields(df: DataFrame, html_col: str = "html") -> DataFrame:
                       description_text(body).alias("description"))
 
 
-def listing_fields(df: DataFrame, html_col: str = "html") -> DataFrame:
-    """H1: the listing record fields of a listing page (one row per page)."""
-    html = as_col(html_col)
-    crumb = _item_values(_element(html, _CRUMB, "ul"), _SPAN_TEXT_IN_ITEM)
-    prices = _items(_element(html, _class("price-box")), _SPAN_TEXT)
-    status = _items(_element(_element(html, _class("product-status")), tag="div"), _SPAN_TEXT)
-    info = _item_values(_element(html, _class("product-infomation")), _INFO_IN_ITEM)
-    seller = _extract(html, _SELLER_BLOCK)
+def _after_icon(item: str) -> str:
+    """Text after the icon in the first span of a list item."""
+    return M.let(M.inside(item, M.by_tag("span")), lambda span: M.let(
+        M.select_one(span, M.by_tag("i")), lambda i: M.text_at(span, f"coalesce({i}.end, {i}.pos)")))
 
-    def at(arr: Column, i: int) -> Column:
-        return F.try_element_at(arr, F.lit(i))
 
+def listing_fields(df: DataFrame, html_col: str = "html") -> DataFrame:
+    """H1: the listing record fields of a listing page (one row per page).
+
+    The description holds every paragraph and list item as a sentence, a nested
+    item in its parent's text and once more by itself.
+    """
+    t, div, span = "__tokens", M.by_tag("div"), M.by_tag("span")
+    # each block of the page once, then the values inside it
+    found = M.once(M.with_tokens(df, html_col, t),
+                   __date=M.first_text(t, M.by_class("text-gray", "text-100", tag="div")),
+                   __seller=M.inside(t, M.by_class("user-info-name")),
+                   __crumb=M.inside(t, M.by_class("crumb", "text-medium", "crumb-text", tag="ul")),
+                   __title=M.inside(t, M.by_class("product-title-price")),
+                   __price=M.inside(t, M.by_class("price-box")),
+                   __status=M.inside(t, M.by_class("product-status")),
+                   __info=M.inside(t, M.by_class("product-infomation")),
+                   __desc=M.inside(t, M.by_id(_DESC))).drop(t)
     raw = {
-        "NgayDangBan": _extract(html, _DATE),
-        "Id_NguoiDangban": F.regexp_extract(seller, r'href="[^"]*?user/\s*([^"]*)"', 1),
-        "NguoiDangban": F.regexp_extract(seller, r"<a[^>]*>\s*(.*)$", 1),
-        "LoaiBDS": at(crumb, 2), "Tinh": at(crumb, 3), "Huyen": at(crumb, 4), "Xa": at(crumb, 5),
-        "DiaChi": _extract(html, _ADDRESS),
-        "TongGia": at(prices, 1), "Gia/m2": at(prices, 2),
-        "MaTin": at(status, 2),
-        "DienTich": at(info, 1), "ChieuDai": at(info, 2), "ChieuRong": at(info, 3),
-        "Huong": at(info, 4), "PhongNgu": at(info, 5), "PhongTam": at(info, 6),
+        ("NgayDangBan",): "array(__date)",
+        ("Id_NguoiDangban", "NguoiDangban"): M.let(M.select_one("__seller", M.by_tag("a")), lambda a: (
+            f"array(regexp_extract({M.attribute(f'{a}.markup', 'href')}, 'user/\\\\s*(.*)', 1), {M.content('__seller', a)})")),
+        ("LoaiBDS", "Tinh", "Huyen", "Xa"): M.picked(M.per_item("__crumb", lambda li: M.first_text(li, span)), 1, 2, 3, 4),
+        ("DiaChi",): f"array({M.first_text(M.inside(M.inside('__title', div), div), span)})",
+        ("TongGia", "Gia/m2"): M.picked(M.texts("__price", span), 0, 1),
+        ("MaTin",): M.picked(M.texts(M.inside("__status", div), span), 1),
+        ("DienTich", "ChieuDai", "ChieuRong", "Huong", "PhongNgu", "PhongTam"): M.picked(
+            M.per_item("__info", _after_icon), 0, 1, 2, 3, 4, 5),
     }
-    names = list(raw)
-    out = _decoded_fields(df.select("*", description_text(_element(html, _DESC), _DESC_ITEM).alias("MoTa")),
-                          F.array(*raw.values()), names)
-    ordered = [c for c in df.columns] + names + ["MoTa"]
-    out = out.select(*[F.col(quote(c)) for c in ordered])
+    names = [n for group in raw for n in group]
+    found = M.once(found, __raw=f"concat({', '.join(raw.values())})", __paras=M.texts("__desc", M.by_tag("p", "li"), " "))
+    sentences = F.transform("__paras", lambda p: html_unescape(F.rtrim(p)))
+    found = found.select(*[F.col(quote(c)) for c in df.columns], "__raw", pre_clean(paragraphs_to_text(sentences)).alias("MoTa"))
+    out = _decoded_fields(found, F.col("__raw"), names)
+    out = out.select(*[F.col(quote(c)) for c in [*df.columns, *names, "MoTa"]])
     return out.withColumn("Gia/m2", F.coalesce(F.col(quote("Gia/m2")), F.lit(MISSING_PRICE_PER_M2)))
 
 
@@ -206,54 +175,66 @@ def _paired(df: DataFrame, id_col: str, a: Column, b: Column, na: str, nb: str)
             .select(id_col, F.arrays_zip(F.col(na), F.col(nb)).alias("pairs")))
 
 
-def _last_details(df: DataFrame, id_col: str, html_col: str, block: str | None, key_pattern: str,
-                  value_pattern: str, removed, per_item: bool) -> DataFrame:
+def _detail_items(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(id, pairs): key and value of every list item of the details tab, read inside the item, so they cannot drift apart."""
+    def pair(li: str) -> str:
+        def both(span: str) -> str:
+            key = M.first_text(M.inner(li, span), M.by_tag("span"))
+            value = M.content(li, M.select_one(li, lambda x: f"{x}.tag = 'span' AND {x}.pos > {span}.end"))
+            return f"named_struct('k', coalesce({key}, ''), 'v', coalesce({value}, ''))"
+        return M.let(M.select_one(li, M.by_tag("span")), both)
+
+    page = M.with_tokens(df.select(id_col, html_col), html_col, "__tokens")
+    tab = M.once(page, __list=M.inside(M.inside("__tokens", M.by_id(_DETAIL)), M.by_tag("ul")))
+    return M.once(tab, pairs=M.per_item("__list", pair)).select(id_col, "pairs")
+
+
+def _last_values(pairs: DataFrame, id_col: str, removed) -> DataFrame:
     """(id, kv): per page its array of (pos, key, value), unique keys in page order."""
-    html = as_col(html_col)
-    area = _extract(html, block) if block else _element(_element(html, _DETAIL), tag="ul")
-    if per_item:   # key and value read inside the same <li>, so they cannot drift apart
-        keys, vals = _item_values(area, key_pattern), _item_values(area, value_pattern)
-    else:          # flat patterns over the whole block (each match carries both parts)
-        keys = F.regexp_extract_all(area, F.lit(key_pattern), 1)
-        vals = F.regexp_extract_all(area, F.lit(value_pattern), 1)
-    pairs = _paired(df, id_col, keys, vals, "k", "v")
     # (key, pos, value) per pair, sorted by key then page position: the last
     # value of a key is the element whose successor has another key.  Sort
     # twice instead of comparing every pair with every later one: O(n log n).
     # key and value of a pair go through ONE decoder expression (a two-element array)
     decoded = F.transform("pairs", lambda x: F.transform(F.array(x["k"], x["v"]), html_unescape))
-    kv = pairs.select(id_col, decoded.alias("dec")).select(id_col, F.array_sort(F.transform("dec", lambda d, i: F.struct(
-        attribute_name(d[0]).alias("key"), i.alias("pos"), squash_whitespace(d[1]).alias("value")))).alias("kv"))
-    last = kv.select(id_col, F.array_sort(F.transform(
-        F.filter("kv", lambda x, i: (i == F.size("kv") - 1)
-                 | ~F.try_element_at("kv", i + 2)["key"].eqNullSafe(x["key"])),
-        lambda x: F.struct(x["pos"].alias("pos"), x["key"].alias("key"), x["value"].alias("value")))).alias("kv"))
+    by_key = F.sort_array(F.transform(decoded, lambda d, i: F.struct(
+        attribute_name(d[0]).alias("key"), i.alias("pos"), squash_whitespace(d[1]).alias("value"))))
+
+    kept = "filter(kv, (x, i) -> NOT get(kv, i + 1).key <=> x.key)"
     if removed:
-        last = last.select(id_col, F.filter("kv", lambda x: ~x["key"].isin(*removed)).alias("kv"))
-    return last
+        kept = f"filter({kept}, x -> x.key NOT IN ({', '.join(map(M.literal, removed))}))"
+    keyed = pairs.select(id_col, F.inline(F.array(F.struct(by_key.alias("kv")))))
+    return keyed.select(id_col, F.expr(f"sort_array(transform({kept}, x -> named_struct('pos', x.pos, 'key', x.key, 'value', x.value)))").alias("kv"))
 
 
 def detail_pairs(df: DataFrame, id_col: str, html_col: str = "html", block: str | None = None,
-                 key_pattern: str = _DETAIL_KEY, value_pattern: str = _DETAIL_VALUE,
-                 removed=REMOVED_DETAIL_KEYS, per_item: bool = True) -> DataFrame:
+                 key_pattern: str | None = None, value_pattern: str | None = None,
+                 removed=REMOVED_DETAIL_KEYS) -> DataFrame:
     """H4: (id, pos, key, value) with keys normalised by F6 and values squashed.
 
-    ``block`` is the pattern of the markup that holds them; by default the
-    list of the details tab, with the lists nested in it.
+    By default the pairs are the list items of the details tab, with the lists
+    nested in it.  On other layouts ``block`` is the pattern of the markup that
+    holds them, and each match of the key and value patterns is a pair.
 
     A key repeated on one page keeps its *last* value and ``removed`` keys are
     dropped.  All pairs of a page live in one row, so de-duplication is an
     array expression inside that row: no shuffle.
     """
-    last = _last_details(df, id_col, html_col, block, key_pattern, value_pattern, removed, per_item)
-    return (last.select(id_col, F.posexplode("kv").alias("pos", "kv"))
+    if block is None:
+        pairs = _detail_items(df, id_col, html_col)
+    else:
+        area = _extract(as_col(html_col), block)
+        pairs = _paired(df, id_col, F.regexp_extract_all(area, F.lit(key_pattern), 1),
+                        F.regexp_extract_all(area, F.lit(value_pattern), 1), "k", "v")
+    last = _last_values(pairs, id_col, removed)
+    # the outer form: a generator over an array column makes the optimiser infer a filter on the array and
+    # repeat the whole extraction inside it
+    return (last.select(id_col, F.posexplode_outer("kv").alias("pos", "kv")).where(F.col("pos").isNotNull())
             .select(id_col, F.col("pos").cast("bigint").alias("pos"), "kv.key", "kv.value"))
 
 
 def details_map(df: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
     """H4 wide form: one ``map<string,string>`` per row (keys unique, last wins; empty without details)."""
-    last = _last_details(df, id_col, html_col, None, _DETAIL_KEY, _DETAIL_VALUE, REMOVED_DETAIL_KEYS, True)
-    return last.select(id_col, F.map_from_entries(
+    return _last_values(_detail_items(df, id_col, html_col), id_col, REMOVED_DETAIL_KEYS).select(id_col, F.map_from_entries(
         F.transform("kv", lambda x: F.struct(x["key"], x["value"]))).alias("details"))
 
 
@@ -261,13 +242,22 @@ def amenity_groups(df: DataFrame, id_col: str, html_col: str = "html") -> DataFr
     """H5: (id, group, items) — every heading of the amenity tabs that is
     directly followed by an amenity list names that list; item texts are
     read per ``<li>``."""
-    tabs = F.split(_element(as_col(html_col), _class("tabs-product"), "div"), r"(?=<h2[\s>])")
-    groups = F.transform(F.filter(tabs, lambda t: t.rlike(_UTIL_GROUP)), lambda t: F.struct(
-        _extract(t, _UTIL_GROUP, 1).alias("h"), _element(_extract(t, _UTIL_GROUP, 2), tag="ul").alias("l")))
-    out = df.select(id_col, F.explode(groups).alias("g"))
-    items = F.transform(_item_values(F.col("g.l"), _SPAN_TEXT_IN_ITEM),
-                        lambda x: squash_whitespace(html_unescape(x)))
-    return out.select(id_col, attribute_name(html_unescape(F.col("g.h"))).alias("group"), items.alias("items"))
+    is_list = M.by_class("product-other-utilities", tag="ul")
+
+    def group(h: str) -> str:
+        follows = M.select_one("__tab", lambda x: f"{x}.pos = {h}.end + 1 AND {is_list(x)}")
+        between = f"regexp_replace({M.text_at('__tab', f'{h}.end')}, '\\\\s+', '')"
+        return M.let(follows, lambda ul: f"named_struct('h', {M.content('__tab', h)}, 'l', if({between} = '', {M.inner('__tab', ul)}, NULL), "
+                                         f"'found', {ul} IS NOT NULL)")
+
+    page = M.with_tokens(df.select(id_col, html_col), html_col, "__tokens")
+    tab = M.once(page, __tab=M.inside("__tokens", M.by_class("tabs-product", tag="div"))).drop("__tokens")
+    named = M.once(tab, __groups=M.keep(M.each(M.select("__tab", M.by_tag("h2")), group), lambda g: f"{g}.found AND {g}.l IS NOT NULL"))
+    texts = M.per_item("g.l", lambda li: f"coalesce({M.first_text(li, M.by_tag('span'))}, '')")
+    out = (named.select(id_col, F.explode_outer("__groups").alias("g")).where(F.col("g").isNotNull())
+           .select(id_col, "g.h", F.expr(texts).alias("texts")))
+    items = F.transform("texts", lambda x: squash_whitespace(html_unescape(x)))
+    return out.select(id_col, attribute_name(html_unescape("h")).alias("group"), items.alias("items"))
 
 
 def nav_links(df: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
@@ -275,6 +265,7 @@ def nav_links(df: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
     html = as_col(html_col)
     hrefs = F.regexp_extract_all(html, F.lit(GENERIC_NAV_LINK), 1)
     texts = F.regexp_extract_all(html, F.lit(GENERIC_NAV_LINK), 2)
-    return (_paired(df, id_col, hrefs, texts, "href", "text").select(id_col, F.posexplode("pairs").alias("pos", "a"))
+    return (_paired(df, id_col, hrefs, texts, "href", "text")
+            .select(id_col, F.posexplode_outer("pairs").alias("pos", "a")).where(F.col("pos").isNotNull())
             .select(id_col, F.col("pos").cast("bigint").alias("pos"), F.col("a.href").alias("href"),
                     html_unescape(F.col("a.text")).alias("text")))

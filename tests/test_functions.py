@@ -150,3 +150,19 @@ def test_money_text_rounds_half_to_even(spark):
 def test_html_unescape_matches_python(spark, text):
     import html
     assert one(spark, PF.html_unescape, text) == html.unescape(text)
+
+
+def test_html_unescape_equals_the_standard_library(spark):
+    import html
+    import random
+    from html.entities import html5
+    rng = random.Random(3)
+    texts = ["&copy 2024", "&amp nbsp", "&#00000065;", "&check;", "&#65 x", "a &lt b", "&#x0000041;", "&notit;", "&notin;", "&amp;amp;", "&#",
+             "&#xg", "&;", "&#55555555555555555555;", "&#x80;", "&#129;", "&#1;", "&#xFFFE;", "&#xD800;", "&#128512;", "&ampx", "&fjlig;",
+             "&CounterClockwiseContourIntegralx;", "&" + "a" * 50 + ";", "&" + "amp" * 20, None]
+    texts += [f"x&{n}" for n in html5] + ["&" + n.rstrip(";") + "y" for n in html5]
+    texts += ["".join(rng.choice(["&", "#", "x", "X", "a", "m", "p", ";", "1", "0", "6", " ", "lt", "not", "copy", "é", "f"])
+                      for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8)
+    got = df.select("t", PF.html_unescape("t").alias("u")).collect()
+    assert [(r.t, r.u) for r in got if r.u != (html.unescape(r.t) if r.t is not None else None)] == []

@@ -125,3 +125,45 @@ def test_blocks_run_to_their_own_end_tag(spark):
 def test_unclosed_block_runs_to_the_end(spark):
     page = '<div id="content-tab-custom"><div><p>Một</p></div><p>Hai'
     assert PG.listing_fields(pages(spark, page), "html").collect()[0].MoTa == "Một. Hai."
+
+
+def test_token_table(spark):
+    from plotline.operators import markup as M
+    html = '<!-- <p> --><p>a<br>b</p>\n<DIV class="x  y"><div id=q>t</div>u<p>z</DIV> tail<script>var t="</div>";</script>1 < 2<img alt="a>b"/>'
+    toks = M.with_tokens(pages(spark, html)).selectExpr("inline(tokens)").collect()
+    got = [(t.tag, t.kind, t.end, t.classes.split(), t.id, t.text) for t in toks]
+    assert got == [("", 0, None, [], "", ""), ("p", 1, 3, [], "", "a"), ("br", 0, None, [], "", "b"), ("p", -1, None, [], "", "\n"),
+                   ("div", 1, 8, ["x", "y"], "", ""), ("div", 1, 6, [], "q", "t"), ("div", -1, None, [], "", "u"), ("p", 1, None, [], "", "z"),
+                   ("div", -1, None, [], "", " tail"), ("script", 0, None, [], "", "1 < 2"), ("img", 0, None, [], "", "")]
+    assert [t.depth for t in toks if t.tag == "div"] == [1, 2, 2, 1]
+
+
+def test_end_tags_match_over_many_chunks(spark):
+    import random
+    from plotline.operators import markup as M
+    rng = random.Random(1)
+    parts, open_, want = [], [], {}
+    for i in range(700):
+        if open_ and rng.random() < 0.5:
+            tag, start = open_.pop()
+            want[start] = i
+            parts.append(f"</{tag}>")
+        else:
+            tag = rng.choice(["div", "ul", "span"])
+            open_.append((tag, i))
+            want[i] = None
+            parts.append(f"<{tag}>")
+    toks = M.with_tokens(pages(spark, "".join(parts), "", None)).selectExpr("page_id", "inline_outer(tokens)").collect()
+    assert {t.pos: t.end for t in toks if t.page_id == 0 and t.kind == 1} == want
+
+
+def test_nested_items_belong_to_their_parent(spark):
+    page = '<div id="content-tab-custom"><ul><li>Có <ul><li>sân</li><li>ao.</li></ul></li><li>Gần chợ</li></ul></div>'
+    assert PG.listing_fields(pages(spark, page), "html").collect()[0].MoTa == "Có sânao. sân. ao. Gần chợ."
+
+
+def test_extraction_stands_once_in_the_plan(spark):
+    for df in (PG.listing_fields(pages(spark, LISTING_PAGE), "html"), PG.detail_pairs(pages(spark, LISTING_PAGE), "page_id"),
+               PG.amenity_groups(pages(spark, LISTING_PAGE), "page_id")):
+        plan = df.where("page_id >= 0")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("<!--.*?") == 2                  # the two groups of the one tokeniser
