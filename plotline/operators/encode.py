@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (Binarizer, Bucketizer, CountVectorizerModel, OneHotEncoder,
-                                StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler)
+                                StandardScaler, StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +34,6 @@ DISTRICT_RULES = (("tp", 3), ("quận", 3), ("thị xã", 2), ("huyện", 1))
 WARD_RULES = (("phường", 3), ("thị trấn", 2), ("xã", 1))
 # ---------------------------------------------------------------------------
 
-# Hard bound on a fitted vocabulary collected to the driver.
-MAX_VOCAB = 1_000_000
-
 
 # --- M1 / M2: label index and one-hot --------------------------------------
 
@@ -111,64 +108,25 @@ class MultiHotVocab:
         return sum(len(v) for v in self.vocab.values())
 
 
-def fit_multi_hot(df: DataFrame, cols: Sequence[str], max_vocab: int = MAX_VOCAB) -> MultiHotVocab:
-    """M3 fit: distinct normalised values of every array column in ONE job.
+def fit_multi_hot(df: DataFrame, cols: Sequence[str]) -> MultiHotVocab:
+    """M3 fit for the wide form: distinct normalised values of every array column in ONE job.
 
     Each row contributes (column, value) pairs; ``distinct`` shuffles only
-    the de-duplicated pairs (map-side partial aggregation), and the result is
-    checked against ``max_vocab`` before it reaches the driver.
+    the de-duplicated pairs (map-side partial aggregation).  The wide form makes a
+    column of every value, so its values are names on the driver; the feature
+    plan keeps them in a table instead (``slots.fit_value_table``).
     """
     per_col = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("c"),
                  normalise_values(F.coalesce(F.col(quote(c)), F.array().cast("array<string>"))).alias("vs"))
         for c in cols])))
     distinct = per_col.select("c", F.explode("vs").alias("v")).distinct()
-    rows = distinct.limit(max_vocab + 1).collect()
-    if len(rows) > max_vocab:
-        raise ValueError(f"vocabulary larger than {max_vocab}; raise max_vocab or hash values")
     vocab = {c: [] for c in cols}
-    for r in rows:
+    for r in distinct.collect():
         vocab[r["c"]].append(r["v"])
     return MultiHotVocab({c: sorted(v) for c, v in vocab.items()})
 
 
-def fit_labels_and_vocab(df: DataFrame, index_cols: Sequence[str], array_cols: Sequence[str],
-                         suffix: str = "_idx", handle_invalid: str = "skip",
-                         max_values: int = MAX_VOCAB) -> tuple[PipelineModel | None, MultiHotVocab]:
-    """M1 + M3 fit in ONE pass: count every (column, value) pair of the
-    categorical columns and of the normalised array columns together.
-
-    The grouped counts are partially aggregated before the shuffle and
-    checked against ``max_values`` before they reach the driver.  Labels are
-    ordered like ``StringIndexer``'s frequencyDesc (count descending, then
-    value); vocabularies are sorted values.
-    """
-    index_cols, array_cols = list(index_cols), list(array_cols)
-    empty = F.array().cast("array<string>")
-    parts = [F.struct(F.lit(c).alias("c"), F.array(F.col(quote(c)).cast("string")).alias("vs")) for c in index_cols]
-    parts += [F.struct(F.lit(a).alias("c"), normalise_values(F.coalesce(F.col(quote(a)), empty)).alias("vs"))
-              for a in array_cols]
-    if not parts:
-        return None, MultiHotVocab({})
-    counts = (df.select(F.inline(F.array(*parts))).select("c", F.explode("vs").alias("v"))
-              .where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
-    rows = counts.limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        raise ValueError(f"more than {max_values} distinct values; raise max_values")
-    by_col: dict = {c: [] for c in index_cols + array_cols}
-    for r in rows:
-        by_col[r["c"]].append((r["v"], r["n"]))
-    indexer = None
-    if index_cols:
-        labels = [[v for v, _ in sorted(by_col[c], key=lambda vn: (-vn[1], vn[0]))] for c in index_cols]
-        # one stage per column: a model given several label lists pads the shorter ones with nulls
-        indexer = PipelineModel(stages=[
-            StringIndexerModel.from_labels(found, inputCol=c, outputCol=c + suffix, handleInvalid=handle_invalid)
-            for c, found in zip(index_cols, labels)])
-    vocab = MultiHotVocab({a: sorted(v for v, _ in by_col[a]) for a in array_cols})
-    return indexer, vocab
-
-
 def multi_hot_columns(df: DataFrame, col: str, vocab: Sequence[str], prefix: str | None = None,
                       keep_input: bool = False) -> DataFrame:
     """M3/M4 transform, wide form: one BIGINT count column per vocabulary word.

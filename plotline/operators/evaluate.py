@@ -42,9 +42,8 @@ def feature_attributes(df: DataFrame, features_col: str) -> list[tuple[int, str]
     out = []
     for group in meta.get("attrs", {}).values():
         out += [(a["idx"], a.get("name", f"f{a['idx']}")) for a in group]
-    if not out and "num_attrs" in meta:
-        out = [(i, f"f{i}") for i in range(meta["num_attrs"])]
-    return sorted(out)
+    named = {i for i, _ in out}
+    return sorted(out + [(i, f"f{i}") for i in range(meta.get("num_attrs", 0)) if i not in named])
 
 
 def feature_importances(model, df: DataFrame, features_col: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .. import functions as PF
 from ..functions.urls import URL_PATTERN
 from ..operators import clean as C
+from ..operators import counted as N
 from ..operators import encode as E
 from ..operators import evaluate as V
 from ..operators import frontier as FR
@@ -676,6 +677,26 @@ def label_index(spark, d):
     return E.index_by_table(orders, "o_orderpriority", labels).select("o_orderkey", "o_orderpriority_idx")
 
 
+@query("dropped_rows", """
+WITH s AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F'),
+l AS (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT'),
+j AS (SELECT o.*, s.o_custkey IS NOT NULL AS known FROM orders o LEFT JOIN s ON o.o_custkey = s.o_custkey)
+SELECT 'levels' AS step, count(*)::BIGINT AS n_rows, (count(*) FILTER (WHERE NOT known))::BIGINT AS n_dropped FROM j
+UNION ALL
+SELECT 'labels', count(*)::BIGINT, (count(*) FILTER (WHERE l.o_orderpriority IS NULL))::BIGINT
+FROM j LEFT JOIN l ON j.o_orderpriority = l.o_orderpriority WHERE known""")
+def dropped_rows(spark, d):
+    """What the seller join and the label index of a fitted plan lose, counted while the result is written."""
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    done = orders.where(F.col("o_orderstatus") == "F")
+    with_level, levels = N.join_levels_counted(orders, E.fit_activity_levels(done, "o_custkey"), "o_custkey", "levels")
+    labels = E.label_table(done.where(F.col("o_orderpriority") != "1-URGENT"), "o_orderpriority")
+    indexed, lost = N.index_counted(with_level, "o_orderpriority", labels, name="labels")
+    indexed.write.format("noop").mode("overwrite").save()
+    rows = [(name, seen.get["rows"], seen.get["dropped"]) for name, seen in (("levels", levels), ("labels", lost))]
+    return spark.createDataFrame(rows, "step string, n_rows long, n_dropped long")
+
+
 @query("one_hot", """
 WITH c AS (SELECT p_type AS v, count(*) AS n FROM part GROUP BY 1),
 r AS (SELECT v, row_number() OVER (ORDER BY n DESC, v ASC) - 1 AS idx FROM c),

@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions._util import quote
 from ..schema import ListingColumns
 from ..sources import read_table
 from .driver_queries import _DISTRICT_TEXT, _PRICE_TEXT, _TIER_TEXT, _WARD_TEXT, _f1_sql, query
@@ -42,13 +43,27 @@ RAW_LISTING = {
     "PhongTam": "CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE CAST(o_orderkey % 3 AS STRING) END",
     "SoTang": "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_orderkey % 4 + 1 AS STRING) END",
     "Huong": "CASE WHEN o_orderkey % 3 = 0 THEN '--' ELSE c_mktsegment END",
+    "GiayToPhapLy": "CASE WHEN o_orderkey % 6 = 0 THEN '--' ELSE concat('Sổ ', CAST(o_custkey % 4 AS STRING)) END",
+    "ViTri": "CASE WHEN o_orderkey % 2 = 0 THEN 'Ngõ' ELSE 'Mặt tiền' END",
+    "HienTrangNha": "CASE WHEN o_orderkey % 14 = 0 THEN NULL ELSE n_name END",
+    "TrangThaiSuDung": "CASE WHEN o_orderkey % 15 = 0 THEN '' ELSE concat('t', CAST(o_orderkey % 3 AS STRING)) END",
+    "HuongBanCong": "c_mktsegment",
+    "KetCau": "CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE 'Bê tông' END",
     "TienIchToaNha": """CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE string_split(concat(lower(c_mktsegment), ' gym.',
         CASE WHEN o_orderkey % 2 = 0 THEN ' pool' ELSE '' END, CASE WHEN o_orderkey % 4 = 0 THEN ' pool.' ELSE '' END), ' ') END""",
+    "TienIchLanCan": "string_split(concat('park ', CASE WHEN o_orderkey % 3 = 0 THEN 'park.' ELSE 'school' END), ' ')",
+    "NoiThat,TienNghi": "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE string_split(concat('bed', CAST(o_orderkey % 4 AS STRING), ' sofa'), ' ') END",
+    "HangXom": "string_split(concat('n', CAST(c_custkey % 3 AS STRING)), ' ')",
+    "AnNinh": "CASE WHEN o_custkey % 2 = 0 THEN string_split('camera guard', ' ') ELSE string_split('camera.', ' ') END",
+    "DuongVaoBds": "string_split(CASE WHEN o_orderkey % 8 = 0 THEN 'car car' ELSE 'foot' END, ' ')",
+    "TienIchGanDat": "CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE string_split('river', ' ') END",
 }
-_STRING_FIELDS = [k for k in RAW_LISTING if k != "TienIchToaNha"]
+_ARRAYS = [*ListingColumns().arrays]
+_STRING_FIELDS = [k for k in RAW_LISTING if k not in _ARRAYS]
 _FLOATS = ["TongGia", "Gia/m2", "DienTich", "ChieuDai", "ChieuRong", "DuongVao"]
 _CATEGORICAL_FILL = {"PhongNgu": "0", "PhongTam": "0", "SoTang": "1"}
-_CATEGORICALS = ["Id_NguoiDangban", "LoaiBDS", "Tinh", "Xa", "Huyen", "Huong", "PhongNgu", "PhongTam", "SoTang"]
+_CATEGORICALS = ["Id_NguoiDangban", "LoaiBDS", "Tinh", "Xa", "Huyen", "Huong", "PhongNgu", "PhongTam", "GiayToPhapLy", "SoTang",
+                 "ViTri", "HienTrangNha", "TrangThaiSuDung", "HuongBanCong", "KetCau"]
 
 
 def _q(name: str) -> str:
@@ -108,7 +123,7 @@ def _prepared_sql() -> str:
         else:
             e = _blank(_q(k))
         sel.append(f"{e} AS {_q(k)}")
-    sel.append('"TienIchToaNha"')
+    sel += [_q(a) for a in _ARRAYS]
     return "SELECT " + ",\n       ".join(sel) + " FROM raw"
 
 
@@ -123,11 +138,11 @@ def _clean_sql(train: bool) -> str:
     filled.append('coalesce("NamXayDung", (SELECT y FROM md)) AS "NamXayDung"')
     for k in _CATEGORICALS:
         filled.append(f"coalesce({_q(k)}, '{_CATEGORICAL_FILL.get(k, 'Unknowns')}') AS {_q(k)}")
-    filled.append('coalesce("TienIchToaNha", []) AS "TienIchToaNha"')
+    filled += [f"coalesce({_q(a)}, []) AS {_q(a)}" for a in _ARRAYS]
     out = ['"MaTin"', '"NgayDangBan"']
     out += [f"CAST(CAST({_q(f)} AS FLOAT) AS DOUBLE) AS {_q(f.replace('/', '_'))}" for f in _FLOATS]
     out += ['"NamXayDung"'] + [_q(k) for k in _CATEGORICALS]
-    out.append('len("TienIchToaNha")::BIGINT AS n_amenities')
+    out.append("(" + " + ".join(f"len({_q(a)})" for a in _ARRAYS) + ")::BIGINT AS n_amenities")
     where = '"MaTin" IS NOT NULL AND "NgayDangBan" IS NOT NULL'
     if train:
         where += ' AND CAST("TongGia" AS FLOAT) IS NOT NULL'
@@ -146,7 +161,7 @@ def _clean_output(df: DataFrame) -> DataFrame:
     cols = [F.col("MaTin"), F.col("NgayDangBan")]
     cols += [F.col(f"`{f}`").cast("double").alias(f.replace("/", "_")) for f in _FLOATS]
     cols += [F.col("NamXayDung")] + [F.col(k) for k in _CATEGORICALS]
-    cols.append(F.size("TienIchToaNha").cast("bigint").alias("n_amenities"))
+    cols.append(sum((F.size(F.col(quote(a))) for a in _ARRAYS), F.lit(0)).cast("bigint").alias("n_amenities"))
     return df.select(*cols)
 
 
@@ -178,18 +193,18 @@ def tier_lookup(spark, d) -> DataFrame:
 
 
 # vector slots of the fitted plan on the driver tables (checked against slot_names())
-_FEATURE_WORDS = ("automobile", "building", "furniture", "gym", "household", "machinery", "pool")
-
-
+_FEATURE_WORDS = {
+    "TienIchToaNha": ("automobile", "building", "furniture", "gym", "household", "machinery", "pool"),
+    "TienIchLanCan": ("park", "school"), "NoiThat,TienNghi": ("bed0", "bed1", "bed2", "bed3", "sofa"),
+    "HangXom": ("n0", "n1", "n2"), "AnNinh": ("camera", "guard"), "DuongVaoBds": ("car", "foot"), "TienIchGanDat": ("river",)}
 # labels of each indexed categorical on the driver tables; one-hot encoding gives the rarest no slot
-_LABEL_COUNTS = {"LoaiBDS": 5, "Huong": 6, "PhongNgu": 5, "PhongTam": 3, "SoTang": 4}
+_LABEL_COUNTS = {"LoaiBDS": 5, "Huong": 6, "PhongNgu": 5, "PhongTam": 3, "GiayToPhapLy": 5, "SoTang": 4, "ViTri": 2,
+                 "HienTrangNha": 26, "TrangThaiSuDung": 4, "HuongBanCong": 5, "KetCau": 2}
 
 
 def _features_sql(one_hot: bool = False) -> str:
-    clean = _clean_sql(train=False).replace(
-        'SELECT "MaTin", "NgayDangBan"', 'SELECT "MaTin", "NgayDangBan", "TienIchToaNha"', 1)
-    train_clean = _clean_sql(train=True).replace(
-        'SELECT "MaTin", "NgayDangBan"', 'SELECT "MaTin", "NgayDangBan", "TienIchToaNha"', 1)
+    clean, train_clean = (_clean_sql(train=t).replace(
+        'SELECT "MaTin", "NgayDangBan"', 'SELECT "MaTin", "NgayDangBan", ' + ", ".join(map(_q, _ARRAYS)), 1) for t in (False, True))
     idx_cols = list(_LABEL_COUNTS)
     slots = [f'r_{c}.idx AS "f_{c}_idx"' for c in idx_cols]
     if one_hot:
@@ -200,8 +215,8 @@ def _features_sql(one_hot: bool = False) -> str:
           FROM (SELECT {_q(c)} AS v, count(*) AS n FROM tr GROUP BY 1))""" for c in idx_cols)
     joins = " ".join(f"JOIN r_{c} ON s.{_q(c)} = r_{c}.v" for c in idx_cols)
     words = ",\n       ".join(
-        f"len(list_filter(list_transform(s.\"TienIchToaNha\", lambda x: replace(x, '.', '')), lambda x: x = '{w}'))"
-        f"::DOUBLE AS \"f_TienIchToaNha_{w}\"" for w in _FEATURE_WORDS)
+        f"len(list_filter(list_transform(s.{_q(a)}, lambda x: replace(x, '.', '')), lambda x: x = '{w}'))"
+        f"::DOUBLE AS \"f_{a.replace(',', '_')}_{w}\"" for a, own in _FEATURE_WORDS.items() for w in own)
     return f"""WITH tr AS ({train_clean}),
 sv AS ({clean}),
 lv AS (SELECT "Id_NguoiDangban" AS k, count(*) AS n FROM tr GROUP BY 1),
@@ -242,4 +257,5 @@ def _feature_slots(spark, d, **options) -> DataFrame:
         out = fit.fitted.transform(fit.clean(serve))
         names = fit.fitted.slot_names()
     arr = vector_to_array("features")
-    return out.select("MaTin", *[arr[i].alias(f"f_{n}") for i, n in enumerate(names)])
+    wide = out.select("MaTin", arr.alias("__f"))
+    return wide.select("MaTin", *[F.col("__f")[i].alias(f"f_{n.replace(',', '_')}") for i, n in enumerate(names)])

@@ -1,11 +1,11 @@
 """Score listings as they arrive, with Structured Streaming.
 
 The stream is stateless: each micro-batch is cleaned with *training*
-statistics, encoded with the *fitted* feature plan (stream-static joins
-against the fitted lookup tables) and scored by a fitted model.  There is
-no watermark and no state, because the operator has none.  The sink is a
-file sink with a checkpoint, so a restarted or failed query resumes from
-its last committed batch and never writes a batch twice.
+statistics, encoded with the *fitted* feature plan (joins against the fitted
+tables) and scored by a fitted model.  There is no watermark and no state,
+because the operator has none.  The query has a checkpoint and every batch
+writes the folder of its own number, so a restarted or failed query resumes
+from its last committed batch and a repeated batch replaces itself.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,15 +26,15 @@ from ..operators.evaluate import predict_back_transformed
 from ..operators.models import fit_regressor
 from ..plans.driver_queries import query
 from ..plans.feature_queries import _clean_sql, raw_listings, raw_listings_from, tier_lookup
-from ..plans.listing import FittedFeatures, ListingFit, label_log
+from ..plans.listing import FittedFeatures, ListingCleaner, ListingFit, label_log
 from ..schema import DEFAULT, ListingColumns
 from ..session import ensure_checkpoint_dir
-from ..sources import read_table
+from ..sources import load_pipeline, read_table, save_model
 
 
 def score_frame(raw: DataFrame, stats: C.ImputeStats, fitted: FittedFeatures, model,
                 cols: ListingColumns = DEFAULT, keep=None) -> DataFrame:
-    """Clean → encode → score one DataFrame (batch or streaming); keeps the
+    """Clean → encode → score one batch; keeps the
     identifier (or the ``keep`` columns) and the price back-transformed from log space."""
     clean, _ = C.clean_raw(raw, cols, is_train=False, stats=stats)
     scored = model.transform(fitted.transform(clean))
@@ -62,18 +63,25 @@ def start_scoring(spark: SparkSession, source: str, schema, to_raw: Callable[[Da
                   stats: C.ImputeStats, fitted: FittedFeatures, model, sink: str, checkpoint: str,
                   cols: ListingColumns = DEFAULT, fmt: str = "parquet", glob: str | None = None,
                   max_files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
-    """Start the scoring stream over files arriving under ``source``."""
+    """Start the scoring stream over files arriving under ``source``.
+
+    Every micro-batch is scored as a batch and replaces its own folder
+    ``batch=<number>`` of the sink, so a batch that is run again after a failure
+    leaves each of its rows once.
+    """
+    def score_batch(batch: DataFrame, number: int) -> None:
+        scored = score_frame(to_raw(batch), stats, fitted, model, cols)
+        scored.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch={number}")
+
     reader = spark.readStream.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.format(fmt).load(source)
-    scored = score_frame(to_raw(stream), stats, fitted, model, cols)
-    writer = (scored.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-              .outputMode("append"))
+    writer = stream.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
-    return writer.start(sink)
+    return writer.start()
 
 
 def table_source(spark: SparkSession, d: str, name: str) -> tuple[str, str | None]:
@@ -153,5 +161,22 @@ def batch_score(spark: SparkSession, d: str) -> DataFrame:
     return scored.select(cols.identifier, "actual", _log_gap(F.col("predicted"), by_hand))
 
 
+@query("saved_score", _served_sql())
+def saved_score(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaning, features and model saved as one pipeline, loaded, and every open order scored
+    with what was loaded; the gap is to the score of the pipeline in memory."""
+    cols, stats, fitted, model = _fit_listing_model(spark, d)
+    path = f"{scratch_paths(spark, 'saved_score')[0]}/pipeline"
+    kept = PipelineModel(stages=[ListingCleaner(stats, cols), fitted, model])
+    save_model(kept, path)
+    loaded = load_pipeline(path)
+    raw = raw_listings(spark, d)
+    serve = raw.where(F.col("o_orderstatus") != "F").drop("o_orderstatus")
+    now = loaded.transform(serve).select(cols.identifier, F.col(quote(cols.label)).cast("double").alias("actual"), "prediction")
+    before = kept.transform(serve).select(F.col(cols.identifier).alias("__id"), F.col("prediction").alias("__before"))
+    return now.join(before, F.col(cols.identifier) == F.col("__id"), "left").select(
+        cols.identifier, "actual", F.round(F.abs(F.col("prediction") - F.col("__before")), 6).alias("score_gap"))
+
+
 __all__ = ["batch_score", "predict_back_transformed", "predicted_vs_actual", "scratch_paths", "score_frame",
            "start_scoring"]

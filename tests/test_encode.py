@@ -1,11 +1,14 @@
 """Encoders (M1–M11) and the feature plan (M9); traps G8, G10, G12, G16, G20."""
 
+from collections import Counter
+
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from plotline.operators import clean as C
 from plotline.operators import encode as E
+from plotline.operators import slots as S
 from plotline.plans.listing import fit_features
 from plotline.schema import ListingColumns
 from tests.listing_fixtures import TIER_SCHEMA, TIERS, listing, listing_df
@@ -119,14 +122,62 @@ def test_wide_form_takes_any_named_vocabulary(spark):
     assert len(row) == 303 and row["arr_w7"] == row["arr_a\u0001b"] == row["arr_\u0002"] == 1 and row["arr_w8"] == 0
 
 
-def test_fused_labels_and_vocab_match_separate_fits(spark):
-    df = spark.createDataFrame([("b", ["x.", "y"]), ("a", None), ("b", ["y", None]), ("c", []), (None, ["z"])],
-                               "v string, arr array<string>")
-    indexer, vocab = E.fit_labels_and_vocab(df, ["v"], ["arr"], handle_invalid="keep")
-    assert E.index_labels(indexer) == E.index_labels(E.fit_label_indexer(df, ["v"]))
-    assert vocab.vocab == E.fit_multi_hot(df, ["arr"]).vocab
-    out = {r.v: r.v_idx for r in indexer.transform(df).collect()}
-    assert out == {"b": 0.0, "a": 1.0, "c": 2.0, None: 3.0}
+def test_value_table_matches_the_indexer_and_vocabulary(spark):
+    df = spark.createDataFrame([("b", ["x.", "y"], "u"), ("a", None, "u"), ("b", ["y", None], "v"), ("c", [], "u"), (None, ["z"], None)],
+                               "v string, arr array<string>, `w,1` string")
+    values, sizes = S.fit_value_table(df, ["v", "w,1"], ["arr"])
+    got = {(r["column"], r.value): r.place for r in values.collect()}
+    want = {("v", x): i for i, x in enumerate(E.index_labels(E.fit_label_indexer(df, ["v"])))}
+    want |= {("arr", x): i for i, x in enumerate(E.fit_multi_hot(df, ["arr"]).vocab["arr"])} | {("w,1", "u"): 0, ("w,1", "v"): 1}
+    assert got == want and sizes == {"v": 3, "w,1": 2, "arr": 3}
+    assert S.fit_value_table(df.limit(0), ["v"], ["arr"])[1] == {"v": 0, "arr": 0}
+
+
+@pytest.mark.parametrize("invalid", ["keep", "skip"])
+@pytest.mark.parametrize("one_hot", [False, True])
+def test_sparse_features_equal_brute_force(spark, invalid, one_hot):
+    train = [("b", ["x.", "y", "y"], 1.0), ("a", None, 2.0), ("b", ["y", None], None), ("c", [], 0.0)]
+    # more words than fit a plan, a hot row, nulls and unseen values
+    train += [("b", [f"w{i}" for i in range(k, k + 40)], float(k)) for k in range(0, 3000, 40)]
+    serve = train + [("new", ["zz", "x"], 5.0), (None, ["y"], None)] + [("a", ["y"], 1.0)] * 300
+    schema = "v string, arr array<string>, n double"
+    df = spark.createDataFrame(train, schema).repartition(3)
+    values, sizes = S.fit_value_table(df, ["v"], ["arr"])
+    out = S.sparse_features(spark.createDataFrame(serve, schema).repartition(4), values, sizes, ["n"], ["v"], ["arr"], "f",
+                            index_invalid=invalid, one_hot=one_hot)
+    words = sorted({w.replace(".", "") for _, ws, _ in train for w in ws or [] if w})
+    labels = ["b", "a", "c"]
+    want = Counter()
+    for v, ws, n in serve:
+        if invalid == "skip" and v not in labels:
+            continue
+        i = labels.index(v) if v in labels else len(labels)
+        own = Counter(w.replace(".", "") for w in ws or [] if w)
+        last = len(labels) - (invalid == "skip")
+        idx = [float(i == k) for k in range(last)] if one_hot else [float(i)]
+        full = [n if n is not None else "nan", *idx, *[float(own[w]) for w in words]]
+        want[(v, tuple(full))] += 1
+    got = Counter((r.v, tuple("nan" if x != x else float(x) for x in r.f.toArray())) for r in out.select("v", "f").collect())
+    assert got == want
+    names = [r.name for r in S.slot_names(values, sizes, ["n"], ["v"], ["arr"], invalid, one_hot).orderBy("slot").collect()]
+    assert len(names) == len(next(iter(want))[1]) and names[-len(words):] == [f"arr_{w}" for w in words]
+    with pytest.raises(Exception, match="unseen or null label"):
+        S.sparse_features(spark.createDataFrame(serve, schema), values, sizes, ["n"], ["v"], ["arr"], "f", index_invalid="error")
+
+
+def test_pipeline_saves_loads_and_scores(spark, tmp_dir):
+    from pyspark.ml import PipelineModel
+    from plotline.operators.models import fit_regressor
+    from plotline.plans.listing import ListingFit, label_log
+    cols, tiers = ListingColumns(), spark.createDataFrame(TIERS, TIER_SCHEMA)
+    with ListingFit(listing_df(spark), cols, tiers, index_invalid="keep", fill_missing=0.0, standardize=True) as fit:
+        model = fit_regressor("linear", label_log(fit.fitted.transform(fit.clean_train), cols.label), "standardized", "label")
+        pipe = fit.pipeline(model)
+    pipe.write().overwrite().save(f"{tmp_dir}/p")
+    back = PipelineModel.load(f"{tmp_dir}/p")
+    new = listing_df(spark, [listing(MaTin=str(i), PhongNgu=str(i % 4), KetCau=f"k{i}") for i in range(8)])
+    a, b = ({r.MaTin: r.prediction for r in p.transform(new).collect()} for p in (pipe, back))
+    assert a == b and len(a) == 8 and back.stages[1].slot_names() == pipe.stages[1].slot_names()
 
 
 def test_feature_plan_with_standardization(spark):
@@ -151,14 +202,3 @@ def test_label_table_matches_the_indexer_over_many_partitions(spark):
     kept = E.index_by_table(fresh, "v", E.label_table(df, "v"), how="left").collect()
     assert {r.v: r.v_idx for r in kept} == {"v1": got["v1"], "new": None, None: None}
     assert E.label_table(df.where("v = 'none'"), "v").count() == 0
-
-
-def test_label_lists_of_different_length_stay_apart(spark):
-    df = spark.createDataFrame([("a", "x", ["p"]), ("b", "x", ["q"]), ("c", "y", None), ("a", "x", [])],
-                               "u string, v string, arr array<string>")
-    indexer, _ = E.fit_labels_and_vocab(df, ["v", "u"], ["arr"], handle_invalid="keep")
-    assert E.index_labels(indexer, 0) == ["x", "y"] and E.index_labels(indexer, 1) == ["a", "b", "c"]
-    new = indexer.transform(spark.createDataFrame([("new", "new", None)], df.schema)).first()
-    assert (new.v_idx, new.u_idx) == (2.0, 3.0)               # an unseen label follows the column's own labels
-    ohe = E.fit_one_hot(indexer.transform(df), ["v_idx", "u_idx"])
-    assert list(ohe.categorySizes) == [3, 4]
