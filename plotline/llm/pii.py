@@ -37,14 +37,30 @@ TERM = r"[\p{L}\p{N}]++"
 CONTEXT_CHARS = 80
 #: different contexts of an identifier whose documents must hold a term for it to count as evidence
 MIN_CONTEXTS = 2
+#: standard deviations of the bound below which the share of a term's documents that hold the identifier is not trusted
+CONFIDENCE = 1.96
 #: share of an identifier's information a term must give away to be generalised, or removed
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
 
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def matches(text: Column, pattern: str, kind: str, keep: Callable[[Column], Column] | None = None) -> Column:
-    """Non-overlapping matches from the left that pass ``keep``, as ``kind, start, end, value`` in code points."""
+#: spans folded together: longer lists are cut into parts, so no list or text is copied once per span
+_PART = 512
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _parts(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(_PART)),
+                       lambda s: F.slice(items, s, F.lit(_PART)))
+
+
+def matches(text: Column, pattern: str, kind: str) -> Column:
+    """Non-overlapping matches from the left, as ``kind, start, end, value`` in code points."""
     cuts = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
                         F.split(text, pattern, -1).alias("g"))
 
@@ -52,13 +68,59 @@ def matches(text: Column, pattern: str, kind: str, keep: Callable[[Column], Colu
         start = acc["pos"] + F.char_length(x["g"])
         end = start + F.char_length(x["m"])
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"))
-        more = F.concat(acc["out"], F.array(span))
-        if keep is not None:
-            more = F.when(keep(span), more).otherwise(acc["out"])
-        return F.struct(end.alias("pos"), more.alias("out"))
+        return F.struct(end.alias("pos"), F.array_append(acc["out"], span).alias("out"))
+
+    def of_part(part: Column) -> Column:        # places from the beginning of the part
+        begin = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out"))
+        return F.aggregate(part, begin, step)
+
+    def joined(parts: Column) -> Column:
+        def moved(lengths: Column) -> Column:
+            def one(p: Column, i: Column) -> Column:
+                before = F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x)
+                return _let(before, lambda at: F.transform(p["out"], lambda s: F.struct(
+                    s["kind"].alias("kind"), (s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["value"].alias("value"))))
+            return F.flatten(F.transform(parts, one))
+        return F.when(F.size(parts) == 1, parts[0]["out"]).otherwise(_let(F.transform(parts, lambda p: p["pos"]), moved))
+
+    own = F.filter(cuts, lambda x: x["m"].isNotNull())
+    return _let(_let(own, lambda x: F.transform(_parts(x), of_part)), joined)
+
+
+def _stitched(text: Column, spans: Column, tied: Callable[[Column], Column], step: Callable, rest: Callable) -> Column:
+    """A text put together from the gaps between spans, sorted by start.
+
+    ``step(state, span, gap)`` gives what stands for the gap and a span that begins
+    at or after ``state.pos``, the end of all spans before; ``rest(state, gap)`` closes
+    the text.  ``state.tied`` is ``tied`` of the span that reached furthest.
+    """
+    def state(pos: Column, flag: Column) -> Column:
+        return F.struct(pos.alias("pos"), flag.alias("tied"))
+
+    nowhere = state(F.lit(0), F.lit(False))
+
+    def furthest(done: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(done, lambda s: state(s["end"], tied(s)))), nowhere)
 
-    begin = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out"))
-    return F.aggregate(F.filter(cuts, lambda x: x["m"].isNotNull()), begin, step, lambda acc: acc["out"])
+    def of_part(part: Column, before: Column, own: Column) -> Column:
+        def add(acc: Column, s: Column) -> Column:
+            gap = own.substr(acc["pos"] - before["pos"] + 1, s["start"] - acc["pos"])
+            return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"),
+                            F.when(s["end"] > acc["pos"], tied(s)).otherwise(acc["tied"]).alias("tied"),
+                            F.concat(acc["out"], F.coalesce(step(acc, s, gap), F.lit(""))).alias("out"))
+        begin = F.struct(before["pos"].alias("pos"), before["tied"].alias("tied"), F.lit("").alias("out"))
+        return F.aggregate(part, begin, add, lambda acc: acc["out"])
+
+    def whole(parts: Column, ends: Column) -> Column:
+        def one(part: Column, i: Column) -> Column:
+            before = F.coalesce(F.array_max(F.slice(ends, F.lit(1), i)), nowhere)
+            return _let(before, lambda b: _let(text.substr(b["pos"] + 1, F.greatest(ends[i]["pos"] - b["pos"], F.lit(0))),
+                                               lambda own: of_part(part, b, own)))
+
+        tail = _let(F.array_max(ends), lambda end: rest(end, text.substr(end["pos"] + 1, F.char_length(text))))
+        return F.concat(F.array_join(F.transform(parts, one), ""), tail)
+
+    return _let(_parts(spans), lambda parts: _let(F.transform(parts, furthest), lambda ends: whole(parts, ends)))
 
 
 def _digits(value: Column) -> Column:
@@ -111,54 +173,76 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _outside(text: Column, base: Column) -> Column:
-    """The text with a blank for every identifier and the letters and digits joined to it."""
+#: stands for a character that belongs to an identifier; neither a letter nor a digit
+_MASK = "\ue000"
+
+
+def _masked(text: Column, base: Column) -> Column:
+    """The text with every identifier, and the letters and digits joined to it, masked character by character."""
     joined = r"[\p{L}\p{N}]"
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] > acc["pos"]
-        gap = text.substr(acc["pos"] + 1, s["start"] - acc["pos"])
-        gap = F.when(acc["tied"], F.regexp_replace(gap, f"^{joined}++", "")).otherwise(gap)
-        gap = F.when(s["value"].rlike(f"^{joined}"), F.regexp_replace(gap, f"(?<!{joined}){joined}++$", "")).otherwise(gap)
-        tied = F.when(s["end"] > acc["pos"], s["value"].rlike(f"{joined}$")).otherwise(acc["tied"])
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), tied.alias("tied"),
-                        F.when(fresh, F.concat(acc["out"], gap, F.lit(" "))).otherwise(acc["out"]).alias("out"))
+    def untied(state: Column, gap: Column) -> Column:
+        return F.when(state["tied"], F.regexp_replace(gap, rf"\G{joined}", _MASK)).otherwise(gap)
+
+    def step(state: Column, s: Column, gap: Column) -> Column:
+        gap = untied(state, gap)
+        gap = F.when(s["value"].rlike(f"^{joined}"), F.regexp_replace(gap, rf"{joined}(?={joined}*+$)", _MASK)).otherwise(gap)
+        fresh = s["end"] - F.greatest(s["start"], state["pos"])
+        return F.when(fresh > 0, F.concat(F.when(s["start"] > state["pos"], gap).otherwise(""), F.repeat(F.lit(_MASK), fresh)))
 
-    spans = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
+    spans = F.sort_array(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
                                                               s["value"].alias("value"))))
-    begin = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("tied"), F.lit("").alias("out"))
+    return _stitched(text, spans, lambda s: s["value"].rlike(f"{joined}$"), step, untied)
 
-    def end(acc: Column) -> Column:
-        rest = text.substr(acc["pos"] + 1, F.char_length(text))
-        return F.concat(acc["out"], F.when(acc["tied"], F.regexp_replace(rest, f"^{joined}++", "")).otherwise(rest))
 
-    return F.aggregate(spans, begin, step, end)
+def _places(marked: DataFrame, context_chars: int) -> DataFrame:
+    """A row per place of an identifier: ``row, kind, value``, its context's hash and the words inside it.
 
+    Texts are cut part by part, so a long one is not read from its beginning for each place.
+    """
+    width = F.char_length("t")
+    joined = r"[\p{L}\p{N}]"
 
-def _places(marked: DataFrame, context_chars: int) -> DataFrame:
-    """A row per place of an identifier: ``row, kind, value``, its context's hash and the words inside it."""
-    m = marked.select("row", "t", "base", F.explode("base").alias("e"))
-    a = F.greatest(F.lit(0), F.col("e.start") - context_chars)
-    b = F.least(F.char_length("t"), F.col("e.end") + context_chars)
-    m = m.select("row", "base", "e", a.alias("a"), (b < F.char_length("t")).alias("more"),
-                 F.col("t").substr(a + 1, b - a).alias("snippet"))
-    width = F.char_length("snippet")
+    def of_part(part: Column) -> Column:
+        lo = F.greatest(F.lit(0), F.array_min(F.transform(part, lambda s: s["start"])) - context_chars)
+        hi = F.least(width, F.array_max(F.transform(part, lambda s: s["end"])) + context_chars)
+
+        def cut_out(own: Column) -> Column:
+            def place(s: Column) -> Column:
+                a, b = F.greatest(F.lit(0), s["start"] - context_chars), F.least(width, s["end"] + context_chars)
+                clear = own["masked"].substr(a - own["lo"] + 1, b - a)
+                # a word cut by either end of the context is not inside it
+                clear = F.when(a > 0, F.regexp_replace(clear, f"^{joined}++", "")).otherwise(clear)
+                clear = F.when(b < width, F.regexp_replace(clear, f"(?<!{joined}){joined}++$", "")).otherwise(clear)
+                near = F.transform(F.regexp_extract_all(clear, F.lit(TERM), F.lit(0)), F.lower)
+                return F.struct(s["kind"].alias("kind"), s["value"].alias("value"),
+                                F.xxhash64(own["t"].substr(a - own["lo"] + 1, b - a)).alias("context"), near.alias("near"))
+            return F.transform(part, place)
+
+        return _let(F.struct(lo.alias("lo"), hi.alias("hi")), lambda x: _let(F.struct(
+            x["lo"].alias("lo"), F.col("t").substr(x["lo"] + 1, x["hi"] - x["lo"]).alias("t"),
+            F.col("masked").substr(x["lo"] + 1, x["hi"] - x["lo"]).alias("masked")), cut_out))
 
-    def inside(w: Column) -> Column:
-        whole = ((w["start"] > 0) | (F.col("a") == 0)) & ((w["end"] < width) | ~F.col("more"))
-        return whole & ~F.exists("base", lambda s: (s["start"] < F.col("a") + w["end"]) & (s["end"] > F.col("a") + w["start"]))
+    by_start = F.sort_array(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
+                                                                   s["kind"].alias("kind"), s["value"].alias("value"))))
+    return marked.select("row", F.explode(F.flatten(F.transform(_parts(by_start), of_part))).alias("p")).select("row", "p.*")
 
-    near = F.transform(F.filter(matches(F.col("snippet"), TERM, "term"), inside), lambda w: F.lower(w["value"]))
-    return m.select("row", F.col("e.kind").alias("kind"), F.col("e.value").alias("value"),
-                    F.xxhash64("snippet").alias("context"), near.alias("near"))
 
+def wilson_low(hits: Column, n: Column, z: float) -> Column:
+    """Lower bound of a share ``hits / n`` (Wilson score); the share itself for ``z`` 0."""
+    p = hits / n
+    return (p + z * z / (2 * n) - z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
-def disclosing_terms(found: DataFrame, context_chars: int, min_contexts: int, generalise_at: float) -> DataFrame:
+
+def disclosing_terms(found: DataFrame, context_chars: int, min_contexts: int, generalise_at: float,
+                     confidence: float = CONFIDENCE) -> DataFrame:
     """``(kind, value, term, share)``: terms giving away at least ``generalise_at`` of an identifier.
 
     Over all documents, the information a term t carries on an identifier e is
     PMI(t, e) = log2(N * co / (df_t * df_e)), out of IC(e) = log2(N / df_e); the
-    share is their ratio (1: whoever reads t knows e).  All four count rows of
+    share is their ratio (1: whoever reads t knows e).  Few documents prove little,
+    and chance pairs grow with the corpus, so co / df_t enters as its lower bound at
+    ``confidence`` standard deviations.  All four count rows of
     ``found``, whole documents: co those that hold e, and t anywhere outside
     identifiers; df_t those with the word t.
 
@@ -170,14 +254,15 @@ def disclosing_terms(found: DataFrame, context_chars: int, min_contexts: int, ge
     """
     n_docs = found.count()
     # written before it is read, so that the row numbers stay
-    marked = cut(found.where(F.size("base") > 0).select(F.monotonically_increasing_id().alias("row"), "t", "base"))
+    marked = cut(found.where(F.size("base") > 0).select(F.monotonically_increasing_id().alias("row"), "t", "base",
+                                                        _masked(F.col("t"), F.col("base")).alias("masked")))
     places = cut(_places(marked, context_chars))
     ids = cut(places.groupBy("kind", "value").agg(F.count_distinct("row").alias("df_e"),
                                                   F.count_distinct("context").alias("contexts"))
               .where(F.col("contexts") >= min_contexts).select("kind", "value", "df_e"))
     held = places.join(ids, ["kind", "value"], "left_semi").groupBy("row", "kind", "value").agg(
         F.min("context").alias("home"), F.collect_list(F.struct("context", "near")).alias("places"))
-    words = marked.select("row", _words(_outside(F.col("t"), F.col("base"))).alias("terms"))
+    words = marked.select("row", _words(F.col("masked")).alias("terms"))
     pairs = held.join(words, "row").select("kind", "value", "home", "places", F.explode("terms").alias("term"))
     beside = F.array_distinct(F.transform(F.filter("places", lambda p: F.array_contains(p["near"], F.col("term"))),
                                           lambda p: p["context"]))
@@ -190,16 +275,19 @@ def disclosing_terms(found: DataFrame, context_chars: int, min_contexts: int, ge
     df_t = found.select(F.explode(_words(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     risk = both.join(ids, ["kind", "value"]).join(df_t, "term")
     total = F.log2(F.lit(float(max(n_docs, 1))) / F.col("df_e"))
-    lost = F.log2(F.col("df_t") / F.col("co"))
+    lost = -F.log2(wilson_low(F.col("co"), F.col("df_t"), confidence))
     risk = risk.where(total > 0).withColumn("share", 1 - lost / total)
     return risk.where(F.col("share") >= generalise_at).select("kind", "value", "term", "share")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context_chars: int = CONTEXT_CHARS,
              min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT,
-             remove_at: float = REMOVE_AT) -> DataFrame:
+             remove_at: float = REMOVE_AT, confidence: float = CONFIDENCE) -> DataFrame:
     """All columns of ``docs`` plus ``pii`` (struct: ``base``, ``terms``, ``clean``), one row per input row.
 
+    A column of that name is replaced; any other column, whatever its name, is
+    passed on.  An empty table gives an empty result.
+
     ``base`` are the identifiers (email, IPv4, payment card with Luhn, phone)
     with code point spans.  ``terms`` are the words that disclose any identifier
     by corpus co-occurrence over whole documents (``disclosing_terms``), seen in
@@ -218,29 +306,31 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     found = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
     found = found.select("id", F.xxhash64("t").alias("th"), "t", base_spans(F.col("t")).alias("base"))
     action = F.when(F.max("share") >= remove_at, "remove").otherwise("generalise")
-    risky = cut(disclosing_terms(found, context_chars, min_contexts, generalise_at)
+    risky = cut(disclosing_terms(found, context_chars, min_contexts, generalise_at, confidence)
                 .groupBy("term").agg(action.alias("action")))
     hits = found.select("id", "th", F.explode(_words(F.col("t"))).alias("term")).join(risky, "term")
     terms = cut(hits.groupBy("id", "th").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("_risky"))
                 .select(F.col("id").alias("_term_id"), F.col("th").alias("_term_th"), "_risky"))
 
-    rows = docs.withColumn("_th", F.xxhash64(text_of(text_col)))
+    # the work happens beside the caller's columns, which travel in one struct
+    taken = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = taken.withColumn("_th", F.xxhash64(text_of("_text")))
     # merged at any size: the table of risky words grows with the documents
-    rows = rows.join(terms.hint("merge"), rows[id_col].eqNullSafe(F.col("_term_id")) & (F.col("_th") == F.col("_term_th")), "left")
-    rows = rows.withColumn("_base", base_spans(text_of(text_col)))
-
-    def risky_word(s: Column) -> Column:
-        return (F.map_contains_key("_risky", F.lower(s["value"]))
-                & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    rows = rows.join(terms.hint("merge"), F.col("_id").eqNullSafe(F.col("_term_id")) & (F.col("_th") == F.col("_term_th")), "left")
+    rows = rows.withColumn("_base", base_spans(text_of("_text")))
 
-    spans = F.transform(matches(text_of(text_col), TERM, "term", risky_word), lambda s: F.struct(
+    # words of identifiers are masked, so every word met is outside of them
+    clear = F.filter(matches(_masked(text_of("_text"), F.col("_base")), TERM, "term"),
+                     lambda s: F.map_contains_key("_risky", F.lower(s["value"])))
+    spans = F.transform(clear, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"),
         F.element_at("_risky", F.lower(s["value"])).alias("action")))
     none = F.array().cast("array<struct<start:int,end:int,value:string,action:string>>")
     rows = rows.withColumn("_terms", F.when(F.col("_risky").isNotNull(), spans).otherwise(none))
-    clean = F.when(F.col(text_col).isNotNull(), _replaced(text_of(text_col)))
-    return rows.select(*docs.columns, F.struct(F.col("_base").alias("base"), F.col("_terms").alias("terms"),
-                                               clean.alias("clean")).alias("pii"))
+    clean = F.when(F.col("_text").isNotNull(), _replaced(text_of("_text")))
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c != "pii"]
+    done = rows.select("_row", F.struct(F.col("_base").alias("base"), F.col("_terms").alias("terms"), clean.alias("clean")).alias("_pii"))
+    return done.select(*kept, F.col("_pii").alias("pii"))
 
 
 def _replaced(text: Column) -> Column:
@@ -253,16 +343,12 @@ def _replaced(text: Column) -> Column:
         return F.struct(s["start"].alias("start"), s["end"].alias("end"),
                         F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["pos"]        # a span inside the one before only widens it
-        put = F.when(fresh, F.concat(text.substr(acc["pos"] + 1, s["start"] - acc["pos"]), s["label"])).otherwise("")
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], put).alias("out"))
+    def step(state: Column, s: Column, gap: Column) -> Column:
+        return F.when(s["start"] >= state["pos"], F.concat(gap, s["label"]))        # a span inside the one before only widens it
 
-    spans = F.array_sort(F.concat(F.transform("_base", of_base), F.transform("_terms", of_term)))
-    begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    rest = F.aggregate(spans, begin, step, lambda a: F.concat(
-        a["out"], text.substr(a["pos"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(rest)
+    spans = F.sort_array(F.concat(F.transform("_base", of_base), F.transform("_terms", of_term)))
+    whole = _stitched(text, spans, lambda s: F.lit(False), step, lambda state, gap: gap)
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
 def pii_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -238,12 +238,12 @@ def test_pii(spark):
              None, "", "secretword near bob@corp.example zebra", "another secretword then bob@corp.example here", "other words only",
              "x" * 3000 + "@", "4111-1111-1111-1111 then +12345678"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, texts[2], "x")], "doc_id long, text string, id string")
-    for r in find_pii(df).collect():
+    for r in find_pii(df, confidence=0).collect():
         t = r.text or ""
         want = [(k, m.start(), m.end()) for k, p in IDENTIFIERS for m in re.finditer(p, t) if passes(k, m[0])]
         assert [(s.kind, s.start, s.end) for s in r.pii.base] == want
         assert (r.pii.clean is None) == (r.text is None)
-    clean = {r.doc_id: r.pii.clean for r in find_pii(df).collect()}
+    clean = {r.doc_id: r.pii.clean for r in find_pii(df, confidence=0).collect()}
     assert "secretword" not in clean[5] and "[EMAIL]" in clean[5] and clean[7] == texts[7]
     assert find_pii(df.limit(0)).count() == 0
 
@@ -322,10 +322,10 @@ def test_log_bilinear_prior_keeps_sparse_rows_near_class_frequencies():
 def test_pii_null_ids(spark):
     rows = [(None, "alpha secretword bob@corp.example one"), (None, "beta secretword bob@corp.example two")]
     df = spark.createDataFrame(rows + [(i, f"other words {i}") for i in range(20)], "doc_id long, text string")
-    clean = [r.pii.clean for r in find_pii(df).collect() if r.doc_id is None]
+    clean = [r.pii.clean for r in find_pii(df, confidence=0).collect() if r.doc_id is None]
     assert len(clean) == 2 and all("[EMAIL]" in c and "secretword" not in c for c in clean)
     part = df.where("doc_id is null").unionByName(df.where("doc_id is not null").replace("other words 3", rows[0][1].replace("one", "six"), "text"))
-    assert not any("secretword" in r.pii.clean for r in find_pii(part).collect())
+    assert not any("secretword" in r.pii.clean for r in find_pii(part, confidence=0).collect())
 
 
 def whole_document_terms(rows):
@@ -365,7 +365,7 @@ def test_pii_terms_of_whole_documents(spark):
     rows = [(i, t) for i, t in enumerate(far)] + [(None, far[0]), (3, far[3]), (60, copy), (61, copy), (62, twice), (63, None), (64, "")]
     rows += [(100 + k, f"plain the {fill(4)}") for k in range(500)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = find_pii(df).collect()
+    out = find_pii(df, confidence=0).collect()
     want = whole_document_terms(rows)
     assert Counter((r.doc_id, r.text, tuple((s.start, s.end, s.value, s.action) for s in r.pii.terms)) for r in out) == Counter(want)
     clean = {r.doc_id: (r.pii.clean or "").lower() for r in out}
