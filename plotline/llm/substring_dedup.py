@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ FILTER_BITS = 1 << 27
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _LAST_ID = (1 << 63) - 1
+#: windows that a task gathers before it passes them on
+_EMIT = 1 << 18
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -28,20 +30,82 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(text: bytes) -> tuple[list[bytes], np.ndarray]:
-    words = text.split()                        # bytes: ASCII white space only
-    return words, np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+class _Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, made once per process and grown on demand."""
+
+    def __init__(self, base: np.uint64):
+        self.factors = base, np.uint64(pow(int(base), -1, 1 << 64))
+        self.tables = [np.ones(1, dtype=np.uint64)] * 2
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers 0 to ``n`` of base and inverse."""
+        if len(self.tables[0]) <= n:
+            size = max(n + 1, 1 << 12)
+            self.tables = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, f))), dtype=np.uint64) for f in self.factors]
+        return self.tables[0][:n + 1], self.tables[1][:n + 1]
+
+
+_POWERS = {int(b): _Powers(b) for b in (_BASE, _BASE2)}
+#: a fixed random number for each byte; white space counts nothing
+_BYTES = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACES = np.zeros(256, dtype=bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: bytes of text hashed at a time
+_PART = 1 << 20
+
+
+def _part_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of a piece of text that is cut at white space."""
+    b = np.frombuffer(text, np.uint8)
+    space = _SPACES[b]
+    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    start, stop = edge[::2], edge[1::2]
+    power, back = _POWERS[int(_BASE)].upto(len(b))
+    sums = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[b] * power[:-1], dtype=np.uint64, out=sums[1:])
+    return _mixed((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
+
+
+def _long_word_hash(word: bytes) -> np.ndarray:
+    """The hash ``_part_hashes`` gives a word, without arrays of the word's length."""
+    total, scale, base = 0, 1, int(_BASE)
+    for at in range(0, len(word), _PART):
+        piece = np.frombuffer(word[at:at + _PART], np.uint8)
+        power, _ = _POWERS[base].upto(len(piece))
+        total += scale * int((_BYTES[piece] * power[:-1]).sum(dtype=np.uint64))
+        scale = scale * pow(base, len(piece), 1 << 64) % (1 << 64)
+    return _mixed(np.array([(total + len(word)) % (1 << 64)], dtype=np.uint64))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, piece by piece whatever its length."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + _PART
+        if end < len(text):
+            found = _SPACE.search(text, end)
+            end = found.end() if found else len(text)
+        piece = text[at:end]
+        # a piece far over its size ends in one very long word
+        if len(piece) > 4 * _PART:
+            first = max((piece.rfind(bytes([c]), 0, _PART) for c in (9, 10, 11, 12, 13, 32))) + 1
+            head = piece[:first]
+            out += [_part_hashes(head)] if head else []
+            out += [_long_word_hash(w) for w in piece[first:].split()]
+        else:
+            out.append(_part_hashes(piece))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
 class Spans:
     """Hashes of word spans: any span in one step after a pass over the text."""
 
     def __init__(self, h: np.ndarray, base: np.uint64):
-        n = len(h)
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, base))), dtype=np.uint64)
-        self.back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, inverse))), dtype=np.uint64)
-        self.sums = np.concatenate(([np.uint64(0)], np.cumsum(h * power[:n], dtype=np.uint64)))
+        power, self.back = _POWERS[int(base)].upto(len(h))
+        self.sums = np.zeros(len(h) + 1, dtype=np.uint64)
+        np.cumsum(h * power[:-1], dtype=np.uint64, out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[stop] - self.sums[start]) * self.back[start])
@@ -73,7 +137,7 @@ def anchors(spans: Spans, n: int, window: int) -> tuple[np.ndarray, ...]:
 
 
 def _runs_of(text: bytes, window: int) -> tuple | None:
-    words, h = word_hashes(text)
+    h = word_hashes(text)
     if len(h) < window:
         return None
     spans = Spans(h, _BASE)
@@ -125,9 +189,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = map_arrow(src.select("key", "t"), emit_anchors, "a long, key long")
     shared = cut(met.groupBy("a").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("a"))
 
+    # each bucket of bits in one place before its bitmap is made: partial bitmaps would be 16 MB a task
     bit = F.pmod("a", F.lit(FILTER_BITS))
-    rows = (shared.groupBy((bit / 32768).cast("int").alias("bucket"))
-            .agg(F.bitmap_construct_agg(bit % 32768).alias("bits")).collect())     # 4096 rows at most
+    bucketed = shared.select((bit / 32768).cast("int").alias("bucket"), (bit % 32768).cast("int").alias("bit")).repartition("bucket")
+    rows = bucketed.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()      # 4096 rows at most
     bits = np.zeros((FILTER_BITS // 32768, 4096), dtype=np.uint8)
     for r in rows:
         bits[r.bucket] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
@@ -167,11 +232,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small = map_arrow(src, compress, f"id {id_type}, key long, th long, z binary")
 
     # level 2: runs of windows around surviving anchors
+    names = ["a", "c1", "c2", "key", "th", "q", "n", "windows"]
+
+    def run_batch(cols: list[list]) -> pa.RecordBatch:
+        sizes = np.concatenate([n for n, _ in cols[7]])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)),
+                                         pa.array(np.concatenate([v for _, v in cols[7]])))
+        return pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in cols[:7]], lists], names=names)
+
     def emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
-        names = ["a", "c1", "c2", "key", "th", "q", "n", "windows"]
         for b in batches:
             cols: list[list] = [[] for _ in names]
+            held = 0
             for key, th, packed, own in zip(*(b.column(i) for i in range(4)), strict=True):
                 h, spans, q, n, place, a = _runs_of(z.decompress(packed.as_py()), window)
                 pick = np.isin(place, np.array(own.as_py(), dtype=np.int64))
@@ -187,12 +260,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                        q.astype(np.int32), n.astype(np.int32)), strict=False):
                     c.append(v)
                 cols[7].append((n, whole))
+                held += len(whole)
+                if held > _EMIT:
+                    yield run_batch(cols)
+                    cols, held = [[] for _ in names], 0
             if cols[0]:
-                flat = [pa.array(np.concatenate(c)) for c in cols[:7]]
-                sizes = np.concatenate([n for n, _ in cols[7]])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)),
-                                                 pa.array(np.concatenate([v for _, v in cols[7]])))
-                yield pa.RecordBatch.from_arrays([*flat, lists], names=names)
+                yield run_batch(cols)
 
     near = small.select("key", "th", "z").join(per_doc, ["key", "th"])
     runs = cut(map_arrow(near.select("key", "th", "z", "places"), emit_runs,
