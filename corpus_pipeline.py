@@ -22,10 +22,16 @@ from plotline.session import ensure_checkpoint_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores below its threshold go."""
+    """Documents that the quality classifier scores below its threshold go.
+
+    Null and empty texts are scored as one empty passage; every other row stays as it is, repeated ones
+    too, with all its columns.  Without usable labels no document is told apart: all or none stay.
+    """
     model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score_quality(docs, model, score_col="_quality_score")
-    return scored.where(F.col("_quality_score") >= ACCEPT_AT).select(*docs.columns)
+    score = "_quality_score"
+    while score in docs.columns:
+        score += "_"
+    return score_quality(docs, model, score_col=score).where(F.col(score) >= ACCEPT_AT).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +53,11 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document, with its place in a packed sequence."""
+    """One row per piece of a document, with its place in a packed sequence.
+
+    Null and empty texts are the end id alone, repeated rows are packed one by one, an empty table gives no rows;
+    columns other than id and text are not read.
+    """
     return pack_documents(docs).withColumnRenamed("id", "doc_id")
 
 
@@ -64,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to ``documents``, each result written to the shared checkpoint folder."""
+    """All stages applied to ``documents``, each result written to the shared checkpoint folder.
+
+    An empty table gives no rows.  ``sf_dir`` holds ``documents.parquet`` and ``labels.parquet``.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
