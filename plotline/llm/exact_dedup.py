@@ -87,18 +87,19 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Copies are found by the operator; the rows that stay are fetched by id, code
     points and full hash, or, where the operator needed no full hash, by the length
-    and prefix that no other text has.  One row is taken per kept (id, text):
-    rows alike in id, length and text count once.
+    and prefix that no other text has; the full text is hashed for the former only.
+    One row is taken per kept (id, text): rows alike in id, length and text count
+    once.  Columns of any name are passed on.  An empty table gives an empty result.
     """
     kept = cut(_marked(docs, id_col, text_col, PREFIX_CHARS).where("kept")
                .select(F.col("id").alias("_keep_id"), F.col("n_cp").alias("_keep_cp"), F.col("norm_len").alias("_keep_len"),
                        F.col("prefix").alias("_keep_prefix"), F.col("full_hash").alias("_keep_hash")))
-    n = normalised(text_of(text_col))
-    tagged = docs.select("*", F.char_length(n).alias("_len"),
-                         F.xxhash64(F.substring(n, 1, PREFIX_CHARS)).alias("_prefix"),
-                         F.sha2(n, 256).alias("_text_hash"), F.char_length(text_of(text_col)).alias("_cp"))
-    match = (F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_len") == F.col("_keep_len"))
+    # the caller's columns travel in one struct, so none of their names can meet the ones used here
+    taken = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), normalised(text_of(text_col)).alias("_n"),
+                        F.char_length(text_of(text_col)).alias("_cp"))
+    tagged = taken.withColumns({"_len": F.char_length("_n"), "_prefix": F.xxhash64(F.substring("_n", 1, PREFIX_CHARS))})
+    match = (F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_len") == F.col("_keep_len"))
              & (F.col("_prefix") == F.col("_keep_prefix")) & (F.col("_cp") == F.col("_keep_cp"))
-             & (F.coalesce("_keep_hash", "_text_hash") == F.col("_text_hash")))
-    found = tagged.join(kept, match, "left_semi")
-    return found.dropDuplicates([id_col, "_text_hash"]).select(*docs.columns)
+             & (F.col("_keep_hash").isNull() | (F.sha2("_n", 256) == F.col("_keep_hash"))))
+    found = tagged.join(kept, match).dropDuplicates(["_keep_id", "_keep_cp", "_keep_len", "_keep_prefix", "_keep_hash"])
+    return found.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -184,9 +184,14 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                      max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay, one per component, with the columns of ``docs``."""
+    """The rows of ``docs`` that stay, one per component, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts are one component; of rows alike in id and text one is
+    taken.  An empty table gives an empty result.
+    """
     kept = cut(simhash_dedup(docs, id_col, text_col, shingle, max_bits).where("kept")
                .select(F.col("id").alias("_keep_id"), F.col("th").alias("_keep_th")).distinct())
-    tagged = docs.withColumn("_th", F.xxhash64(text_of(text_col)))
-    match = F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_th") == F.col("_keep_th"))
-    return tagged.join(kept, match, "left_semi").dropDuplicates([id_col, "_th"]).select(*docs.columns)
+    tagged = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_th"))
+    match = F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_th") == F.col("_keep_th"))
+    found = tagged.join(kept, match, "left_semi").dropDuplicates(["_id", "_th"])
+    return found.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
