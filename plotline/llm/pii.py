@@ -251,8 +251,13 @@ def disclosing_terms(found: DataFrame, context_chars: int, min_contexts: int, ge
     of the document's contexts of e; terms with fewer than ``min_contexts``
     different ones are no evidence, so copies count once.  Identifiers with fewer
     contexts can have no such term, and their documents' words are not counted.
+
+    Pairs that meet only at a distance are listed where they can still count: co is at
+    most the smaller of df_t and df_e, which bounds the share from above, and one
+    document alone is one context.  So a long log that alone holds its many
+    identifiers brings the words beside them, not all its words for each.
     """
-    n_docs = found.count()
+    n_docs = float(max(found.count(), 1))
     # written before it is read, so that the row numbers stay
     marked = cut(found.where(F.size("base") > 0).select(F.monotonically_increasing_id().alias("row"), "t", "base",
                                                         _masked(F.col("t"), F.col("base")).alias("masked")))
@@ -260,21 +265,29 @@ def disclosing_terms(found: DataFrame, context_chars: int, min_contexts: int, ge
     ids = cut(places.groupBy("kind", "value").agg(F.count_distinct("row").alias("df_e"),
                                                   F.count_distinct("context").alias("contexts"))
               .where(F.col("contexts") >= min_contexts).select("kind", "value", "df_e"))
-    held = places.join(ids, ["kind", "value"], "left_semi").groupBy("row", "kind", "value").agg(
-        F.min("context").alias("home"), F.collect_list(F.struct("context", "near")).alias("places"))
-    words = marked.select("row", _words(F.col("masked")).alias("terms"))
-    pairs = held.join(words, "row").select("kind", "value", "home", "places", F.explode("terms").alias("term"))
-    beside = F.array_distinct(F.transform(F.filter("places", lambda p: F.array_contains(p["near"], F.col("term"))),
-                                          lambda p: p["context"]))
-    pairs = pairs.select("kind", "value", "term", F.posexplode(
-        F.when(F.size(beside) > 0, beside).otherwise(F.array("home"))).alias("k", "context"))
-    both = cut(pairs.groupBy("kind", "value", "term").agg(
+    # counted in the tasks before anything is sent, so what is moved follows the input at any number of terms
+    df_t = cut(found.select(F.explode(_words(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")))
+    least = F.pow(F.col("df_e") / n_docs, 1 - generalise_at)
+    hopeful = wilson_low(F.least("df_e", "df_t"), F.col("df_t"), confidence) * (1 + 1e-9) >= least
+
+    at = places.join(ids, ["kind", "value"])
+    beside = at.select("row", "kind", "value", "context", F.explode("near").alias("term"))
+    held = at.where(F.col("df_e") >= min(2, min_contexts)).groupBy("row", "kind", "value", "df_e").agg(F.min("context").alias("home"))
+    words = (marked.join(held, "row", "left_semi").select("row", F.explode(_words(F.col("masked"))).alias("term"))
+             .join(df_t.where(F.col("df_t") >= min(2, min_contexts)), "term"))
+    apart = held.join(words, "row").where(hopeful).select("row", "kind", "value", F.col("home").alias("context"), "term")
+    # in each document: the contexts beside which the word stands, else the document's one
+    met = (beside.withColumn("near", F.lit(True)).unionByName(apart.withColumn("near", F.lit(False)))
+           .groupBy("kind", "value", "term", "row").agg(
+               F.collect_set(F.when(F.col("near"), F.col("context"))).alias("own"),
+               F.min(F.when(~F.col("near"), F.col("context"))).alias("home")))
+    met = met.select("kind", "value", "term", F.posexplode(
+        F.when(F.size("own") > 0, F.col("own")).otherwise(F.array("home"))).alias("k", "context"))
+    both = cut(met.groupBy("kind", "value", "term").agg(
         F.count_distinct("context").alias("contexts"), F.sum((F.col("k") == 0).cast("long")).alias("co"))
         .where(F.col("contexts") >= min_contexts))
-    # counted in the tasks before anything is sent, so what is moved follows the input at any number of terms
-    df_t = found.select(F.explode(_words(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     risk = both.join(ids, ["kind", "value"]).join(df_t, "term")
-    total = F.log2(F.lit(float(max(n_docs, 1))) / F.col("df_e"))
+    total = F.log2(F.lit(n_docs) / F.col("df_e"))
     lost = -F.log2(wilson_low(F.col("co"), F.col("df_t"), confidence))
     risk = risk.where(total > 0).withColumn("share", 1 - lost / total)
     return risk.where(F.col("share") >= generalise_at).select("kind", "value", "term", "share")
