@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import functions as PF
 from ..functions.urls import URL_PATTERN
-from ..sources import parse_json_column, read_csv, read_json_lines, read_table, write_batches, write_csv, write_json
+from ..sources import parse_json_column, read_csv, read_json_array, read_json_lines, read_table, write_batches, write_csv, write_json
 from ..streaming.scoring import scratch_paths
 from .driver_queries import _URL_VARIANT, query
 
@@ -57,6 +57,22 @@ def json_roundtrip(spark, d):
     return read_json_lines(spark, path, schema)
 
 
+@query("json_array", """
+SELECT o_orderkey, o_totalprice, o_orderpriority || ' "}{[\\' || o_orderstatus AS note, o_custkey AS nested_key FROM orders""")
+def json_array(spark, d):
+    """S1 in byte ranges: arrays of 1,000 nested objects, with braces and quotes inside their strings."""
+    note = F.concat("o_orderpriority", F.lit(' "}{[\\'), "o_orderstatus")
+    rows = read_table(spark, d, "orders").select(
+        F.expr("o_orderkey div 1000").alias("part"),
+        F.to_json(F.struct("o_orderkey", "o_totalprice", note.alias("note"), F.struct(F.col("o_custkey").alias("key")).alias("nested"))).alias("j"))
+    arrays = rows.groupBy("part").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("\n]")).alias("value"))
+    out_dir, _ = scratch_paths(spark, "json_array")
+    arrays.select("value").write.mode("overwrite").text(out_dir + "/orders")
+    schema = T.StructType.fromDDL("o_orderkey BIGINT, o_totalprice DOUBLE, note STRING, nested STRUCT<key: BIGINT>")
+    got = read_json_array(spark, out_dir + "/orders", schema)
+    return got.select("o_orderkey", "o_totalprice", "note", F.col("nested.key").alias("nested_key"))
+
+
 @query("batch_output", """
 SELECT o_orderkey, o_totalprice, o_orderkey // 10000 AS batch FROM orders""")
 def batch_output(spark, d):

@@ -5,6 +5,7 @@ import os
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StringIndexer
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,3 +91,30 @@ def test_model_save_load(spark, tmp_dir):
 def test_sql_filter_value_is_bound_not_spliced(spark):
     df = spark.createDataFrame([("a'b\\c",), ("x",)], "v string")
     assert S.sql_where_equals(df, "quoted_demo", "v", "a'b\\c").count() == 1
+
+
+def test_large_json_array_is_read_in_ranges(spark, tmp_dir):
+    """One array, many tasks: strings with braces, quotes and escapes, nested objects, any layout."""
+    rows = [{"k": i, "t": ["}{", '"}', "\\", '\\"{', "é}\n,{", "", None][i % 7], "o": {"a": "}" * (i % 5), "b": [{"c": i}, {"c": None}]}}
+            for i in range(3000)]
+    schema = T.StructType.fromDDL("k BIGINT, t STRING, o STRUCT<a: STRING, b: ARRAY<STRUCT<c: BIGINT>>>")
+    want = sorted(repr(r) for r in [Row(k=r["k"], t=r["t"], o=Row(a=r["o"]["a"], b=[Row(c=r["k"]), Row(c=None)])) for r in rows])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for indent, size in ((None, "7000"), (2, "20011"), (None, before)):
+            path = f"{tmp_dir}/a{indent}{size}.json"
+            with open(path, "w", encoding="utf-8") as f:
+                json.dump(rows, f, indent=indent, ensure_ascii=indent is None)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            if size != before:
+                assert spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions() > 5
+            assert sorted(repr(r) for r in SRC.read_json_array(spark, path, schema).collect()) == want
+        for text, n in (("[]", 0), ("", 0), (" [ ]\n", 0), ('{"k": 1}', 1), ('[{"k": 1}, {"k": "x', 2)):
+            path = f"{tmp_dir}/b{n}{len(text)}.json"
+            with open(path, "w", encoding="utf-8") as f:
+                f.write(text)
+            assert SRC.read_json_array(spark, path, schema).count() == n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
