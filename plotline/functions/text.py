@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ._util import as_col
+from .transliterate import transliterate
 
 # --- fixed values ----------------------------------------------------------
 NBSP = "\u00a0"
@@ -49,12 +50,13 @@ def accent_fold_map() -> tuple[str, str]:
 
 def fold_accents(c) -> Column:
     """Accented letters → ASCII base letters (multi-letter folds first);
-    combining marks of decomposed input are removed as well."""
+    combining marks of decomposed input are removed, and what is still not
+    ASCII (other scripts, dashes, quotes) is transliterated."""
     col = as_col(c)
     for k, v in MULTI_CHAR_FOLDS.items():
         col = F.replace(col, F.lit(k), F.lit(v))
     src, dst = accent_fold_map()
-    return F.regexp_replace(F.translate(col, src, dst), r"\p{M}+", "")
+    return transliterate(F.regexp_replace(F.translate(col, src, dst), r"\p{M}+", ""))
 
 
 def squash_whitespace(c) -> Column:

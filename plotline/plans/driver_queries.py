@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as PF
-from ..functions.urls import URL_PATTERN
 from ..operators import clean as C
 from ..operators import counted as N
 from ..operators import encode as E
@@ -383,6 +382,21 @@ def attr_names(spark, d):
     return n.select("doc_id", F.md5("name").alias("name_md5"), F.length("name").cast("bigint").alias("name_len"))
 
 
+# Latin letters and signs → look-alikes that transliterate back to them
+_LATIN = "abgdezklmnoprstufixjqABGDEZKLMNOPRSTUFIX-'"
+_OTHER_SCRIPTS = "абгдезклмнопрстуфιξјқАБГДЕЗКЛМНОПРСТУФΙΞ–’"
+
+
+@query("attr_names_scripts", f"""
+WITH n AS (SELECT doc_id, {_f6_sql("replace(replace(text, 'q', 'k'), 'Q', 'K')")} AS name FROM documents)
+SELECT doc_id, md5(name) AS name_md5, length(name)::BIGINT AS name_len FROM n""")
+def attr_names_scripts(spark, d):
+    """F6 outside Latin: every text is written in Cyrillic and Greek letters first; its names must be those of the Latin text."""
+    text = F.replace("text", F.lit("Q"), F.lit("K"))
+    n = _t(spark, d, "documents").select("doc_id", PF.attribute_name(F.translate(text, _LATIN, _OTHER_SCRIPTS)).alias("name"))
+    return n.select("doc_id", F.md5("name").alias("name_md5"), F.length("name").cast("bigint").alias("name_len"))
+
+
 @query("sentence_join", f"""
 WITH j AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)),
              lambda p: CASE WHEN suffix(p, '.') THEN p ELSE p || '.' END), ' ') AS joined FROM documents),
@@ -404,12 +418,27 @@ _URL_VARIANT = """CASE page_id % 4 WHEN 0 THEN url
     ELSE concat('http://10.0.0.', CAST(page_id % 256 AS STRING), ':8080/x?y=1') END"""
 
 
-@query("url_checks", f"""
-WITH u AS (SELECT page_id, {_URL_VARIANT} AS u FROM pages)
-SELECT page_id, u, coalesce(regexp_matches(u, '(?i){URL_PATTERN}'), false) AS valid,
-       right(u, 10) AS url_id,
-       regexp_extract(u, 'example\\.\\s*(.*)', 1) AS tail
-FROM u""")
+# the URL rule stated part by part, not with the engine's pattern: scheme, host, port, rest without blanks
+_URL_PARTS_SQL = f"""
+WITH u AS (SELECT page_id, {_URL_VARIANT} AS u FROM pages),
+p AS (SELECT *, split_part(lower(u), '://', 1) AS scheme, substr(lower(u), strpos(u, '://') + 3) AS after FROM u),
+h AS (SELECT *, split_part(split_part(after, '/', 1), '?', 1) AS host_port FROM p),
+a AS (SELECT *, split_part(host_port, ':', 1) AS host, string_split(split_part(host_port, ':', 1), '.') AS labels,
+             substr(after, length(host_port) + 1) AS rest FROM h),
+c AS (SELECT *, strpos(u, '://') > 0 AND scheme IN ('http', 'https', 'ftp', 'ftps')
+             AND (host = 'localhost'
+                  OR (len(labels) = 4 AND len(list_filter(labels, lambda x: length(x) BETWEEN 1 AND 3 AND try_cast(x AS INTEGER) >= 0)) = 4)
+                  OR (len(labels) > 1 AND len(list_filter(labels, lambda x:
+                  length(x) = 0 OR length(x) > 63 OR translate(x, 'abcdefghijklmnopqrstuvwxyz0123456789-', '') <> ''
+                  OR prefix(x, '-') OR suffix(x, '-'))) = 0 AND length(labels[-1]) > 1))
+             AND (host = host_port OR try_cast(split_part(host_port, ':', 2) AS BIGINT) >= 0)
+             AND strpos(rest, ' ') = 0 AS valid FROM a)"""
+
+
+@query("url_checks", f"""{_URL_PARTS_SQL}
+SELECT page_id, u, coalesce(valid, false) AS valid, right(u, 10) AS url_id,
+       CASE WHEN strpos(u, 'example.') > 0 THEN substr(u, strpos(u, 'example.') + 8) ELSE '' END AS tail
+FROM c""")
 def url_checks(spark, d):
     u = _t(spark, d, "pages").select("page_id", F.expr(_URL_VARIANT).alias("u"))
     return u.select("page_id", "u", PF.is_valid_url("u").alias("valid"), PF.url_id("u").alias("url_id"),

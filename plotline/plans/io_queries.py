@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import functions as PF
-from ..functions.urls import URL_PATTERN
-from ..sources import parse_json_column, read_csv, read_json_array, read_json_lines, read_table, write_batches, write_csv, write_json
+from ..operators import clean as C
+from ..operators import joins as J
+from ..operators import profile as PR
+from ..operators import select as S
+from ..sources import (parse_json_column, read_csv, read_json_array, read_json_lines, read_lookup, read_table, rows_to_df,
+                       write_batches, write_csv, write_json)
 from ..streaming.scoring import scratch_paths
-from .driver_queries import _URL_VARIANT, query
+from .driver_queries import _URL_PARTS_SQL, _URL_VARIANT, query
 
 _PROPS_SCHEMA = T.StructType([T.StructField("k", T.IntegerType())])
 
@@ -82,9 +86,8 @@ def batch_output(spark, d):
     return spark.read.parquet(path).select("o_orderkey", "o_totalprice", F.col("batch").cast("bigint"))
 
 
-@query("url_valid", f"""
-WITH u AS (SELECT page_id, {_URL_VARIANT} AS u FROM pages)
-SELECT page_id, u, coalesce(regexp_matches(u, '(?i){URL_PATTERN}'), false) AS valid FROM u""")
+@query("url_valid", f"""{_URL_PARTS_SQL}
+SELECT page_id, u, coalesce(valid, false) AS valid FROM c""")
 def url_valid(spark, d):
     u = read_table(spark, d, "pages").select("page_id", F.expr(_URL_VARIANT).alias("u"))
     return u.select("page_id", "u", PF.is_valid_url("u").alias("valid"))
@@ -94,3 +97,53 @@ def url_valid(spark, d):
 SELECT page_id, url, right(url, 10) AS url_id FROM pages""")
 def url_id(spark, d):
     return read_table(spark, d, "pages").select("page_id", "url", PF.url_id("url").alias("url_id"))
+
+
+@query("lookup_csv", """
+SELECT c_custkey, n_name, n_regionkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
+def lookup_csv(spark, d):
+    """A dimension written as CSV, read with inferred types and joined to the fact table."""
+    out_dir, _ = scratch_paths(spark, "lookup_csv")
+    nations = read_table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey")
+    dim = read_lookup(spark, write_csv(nations, out_dir, "nation", overwrite=True))
+    fact = read_table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    return J.lookup_join(fact, dim, "c_nationkey").select("c_custkey", "n_name", "n_regionkey")
+
+
+_STATUS_NAMES = (("F", "finished"), ("O", "open"), ("P", "partly"))
+
+
+@query("rows_lookup", """
+SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' WHEN 'P' THEN 'partly' END AS status_name
+FROM orders""")
+def rows_lookup(spark, d):
+    """Rows given in the program, with an explicit schema, look up every order."""
+    names = rows_to_df(spark, _STATUS_NAMES, "o_orderstatus string, status_name string")
+    return J.lookup_join(read_table(spark, d, "orders"), names, "o_orderstatus").select("o_orderkey", "status_name")
+
+
+@query("prefixed_columns", """
+SELECT l_extendedprice AS num_l_extendedprice, l_discount AS num_l_discount, l_tax AS num_l_tax FROM lineitem""")
+def prefixed_columns(spark, d):
+    """The columns that match a pattern, renamed with a prefix; only they are read from the scan."""
+    items = read_table(spark, d, "lineitem")
+    return S.prefixed(items, S.columns_matching(items, "l_(extendedprice|discount|tax)"), "num_")
+
+
+@query("zero_fill", """
+SELECT coalesce(nullif(p_size, 7), 0) AS p_size, coalesce(CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END, 0) AS price,
+       CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_name END AS name FROM part""")
+def zero_fill(spark, d):
+    """Nulls of numeric columns become 0, those of text columns stay."""
+    parts = read_table(spark, d, "part").select(
+        F.expr("nullif(p_size, 7)").alias("p_size"), F.expr("CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END").alias("price"),
+        F.expr("CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_name END").alias("name"))
+    return C.fill_numeric_zero(parts)
+
+
+@query("above_threshold", """
+SELECT o_custkey, round(avg(o_totalprice), 4) AS score FROM orders GROUP BY o_custkey HAVING round(avg(o_totalprice), 4) > 150000""")
+def above_threshold(spark, d):
+    """T5: customers whose mean order value passes a threshold."""
+    means = PR.group_mean(read_table(spark, d, "orders"), ["o_custkey"], "o_totalprice", "score")
+    return PR.above_threshold(means.select("o_custkey", F.round("score", 4).alias("score")), "score", 150_000)

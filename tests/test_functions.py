@@ -166,3 +166,32 @@ def test_html_unescape_equals_the_standard_library(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8)
     got = df.select("t", PF.html_unescape("t").alias("u")).collect()
     assert [(r.t, r.u) for r in got if r.u != (html.unescape(r.t) if r.t is not None else None)] == []
+
+
+def test_transliteration_of_known_words(spark):
+    expected = {"Москва": "Moskva", "Чайковский": "Chaikovskii", "Ελλάδα": "Ellada", "Θήβα": "Theba", "Щука": "Shchuka",
+                "한국": "hangug", "さくら": "sakura", "カメラ": "kamera", "שלום": "shlvm", "٤٢": "42", "“a” – ‘b’…": "\"a\" - 'b'...",
+                "№ 5 €": "No 5 EUR", "ﬁne": "fine", "Ａ１": "A1", "漢字": "漢字", "": "", "plain": "plain"}
+    df = spark.createDataFrame([(k,) for k in expected], "t string")
+    got = {r.t: r.f for r in df.select("t", PF.fold_accents("t").alias("f")).collect()}
+    assert got == expected
+    assert one(spark, PF.attribute_name, "площадь дома") == "Ploshchad'Doma"
+    assert one(spark, PF.fold_accents, None) is None
+
+
+def test_transliteration_equals_its_rule_on_every_character(spark):
+    """All characters up to U+FFFF but surrogates, each between two letters; the rule is applied in plain Python."""
+    from plotline.functions.transliterate import TABLE_RANGES, ascii_form, transliterate
+    chars = [chr(cp) for cp in range(1, 0x10000) if not 0xD800 <= cp <= 0xDFFF] + ["\U0001f600", "\U00020000"]
+
+    def rule(ch):
+        inside = any(lo <= ord(ch) <= hi for lo, hi in TABLE_RANGES)
+        form = ascii_form(ch) if inside else None
+        return ch if form is None else form
+    df = spark.createDataFrame([(c, f"x{c}y") for c in chars], "c string, t string")
+    bad = [(r.c, r.f) for r in df.select("c", transliterate(F.col("t")).alias("f")).collect() if r.f != f"x{rule(r.c)}y"]
+    assert not bad, bad[:10]
+    # every letter of the alphabets named gets a form in ASCII
+    letters = "".join(map(chr, [*range(0x3B1, 0x3CA), *range(0x410, 0x450), *range(0x561, 0x587), *range(0x10D0, 0x10F1),
+                                *range(0x5D0, 0x5EB), *range(0x628, 0x63B), *range(0x3042, 0x3094)]))
+    assert all(ascii_form(c) is not None and ascii_form(c).isascii() for c in letters)

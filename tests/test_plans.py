@@ -7,7 +7,7 @@ from tests.conftest import SF_SMALL
 
 # queries whose construction fits a model or writes files are checked elsewhere
 FITTING = {"forest", "gbt", "tree", "isotonic", "importance_topk", "stream_score", "batch_score",
-           "saved_score", "feature_vectors", "linreg_one", "metrics", "csv_roundtrip", "json_roundtrip", "batch_output"}
+           "saved_score", "feature_vectors", "linreg_one", "metrics", "csv_roundtrip", "json_roundtrip", "batch_output", "lookup_csv"}
 
 
 def plan(spark, name) -> str:
