@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ._util import as_col
-from .transliterate import transliterate
+from .transliterate import one_to_one, spell_out
 
 # --- fixed values ----------------------------------------------------------
 NBSP = "\u00a0"
@@ -48,6 +48,16 @@ def accent_fold_map() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
+@lru_cache(maxsize=1)
+def _ascii_map() -> tuple[str, str]:
+    """The accent map, then the characters of other scripts that one ASCII character (or nothing) stands for."""
+    src, dst = accent_fold_map()
+    other, forms = one_to_one()
+    pairs = [(ch, f) for ch, f in zip(other, forms) if ch not in src]
+    gone = [ch for ch in other[len(forms):] if ch not in src]
+    return src + "".join(ch for ch, _ in pairs) + "".join(gone), dst + "".join(f for _, f in pairs)
+
+
 def fold_accents(c) -> Column:
     """Accented letters → ASCII base letters (multi-letter folds first);
     combining marks of decomposed input are removed, and what is still not
@@ -55,8 +65,7 @@ def fold_accents(c) -> Column:
     col = as_col(c)
     for k, v in MULTI_CHAR_FOLDS.items():
         col = F.replace(col, F.lit(k), F.lit(v))
-    src, dst = accent_fold_map()
-    return transliterate(F.regexp_replace(F.translate(col, src, dst), r"\p{M}+", ""))
+    return spell_out(F.regexp_replace(F.translate(col, *_ascii_map()), r"\p{M}+", ""))
 
 
 def squash_whitespace(c) -> Column:

@@ -97,8 +97,21 @@ def _table(lo: int, hi: int) -> str:
     return _SEP.join(_NONE if f is None else f for f in forms)
 
 
+@lru_cache(maxsize=1)
+def one_to_one() -> tuple[str, str]:
+    """(from, to) strings for ``translate``: characters whose form is one character, then those whose form is empty."""
+    forms = [(chr(cp), ascii_form(chr(cp))) for lo, hi in TABLE_RANGES for cp in range(lo, hi + 1)]
+    single = [(ch, f) for ch, f in forms if f is not None and len(f) == 1]
+    return ("".join(ch for ch, _ in single) + "".join(ch for ch, f in forms if f == ""), "".join(f for _, f in single))
+
+
 def transliterate(c: Column) -> Column:
-    """Every character of the table → its ASCII form; text in ASCII passes through untouched.
+    """Every character of the table → its ASCII form; text in ASCII passes through untouched."""
+    return spell_out(F.translate(c, *one_to_one()))
+
+
+def spell_out(c: Column) -> Column:
+    """The characters of the table that ``translate`` cannot replace, those with longer forms.
 
     Each range is one foldable array that a character's code point indexes, so
     a look-up costs the same for any script.
