@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,10 @@ from ._common import crc_remainder, cut, map_arrow, text_of
 PASSAGE_WORDS = 64
 #: bound of the labelled sample that the model is fitted on (different id and text)
 TRAIN_DOCS = 6000
-#: passages that are held at a time while the model is fitted; longer documents take several turns
+#: passages of a row of the training table; longer documents have several rows
 CHUNK_PASSAGES = 4096
+#: a share of the sample that one task trains on in an epoch has about this many documents, at most TRAIN_SLOTS shares
+SLOT_DOCS, TRAIN_SLOTS = 750, 8
 HIDDEN, ATTENTION = 24, 12
 #: a document is kept when its score reaches this
 ACCEPT_AT = 0.3
@@ -115,127 +117,156 @@ class QualityModel:
         return self.forward(np.clip(x, -8, 8), starts)["y"]
 
 
-class Bags:
-    """Passages of documents in a local temporary file, read in chunks: no document is cut or held whole."""
-
-    def __init__(self) -> None:
-        self.file = tempfile.TemporaryFile(buffering=0)
-        self.parts: dict[tuple, list[tuple[int, int, int]]] = {}
-        self.labels: dict[tuple, int] = {}
-        self.order: list[tuple] = []
-        self.end = 0
-
-    def add(self, key: tuple, part: int, y: int, x: bytes) -> None:
-        self.file.seek(self.end)
-        view = memoryview(x)
-        while view:
-            view = view[self.file.write(view):]
-        self.parts.setdefault(key, []).append((part, self.end, len(x) // (4 * N_FEATURES)))
-        self.labels[key] = y
-        self.end += len(x)
-
-    def sort(self) -> Bags:
-        self.order = sorted(self.parts)
-        for parts in self.parts.values():
-            parts.sort()
-        return self
-
-    @property
-    def y(self) -> np.ndarray:
-        return np.array([self.labels[k] for k in self.order], dtype=np.float64)
-
-    def chunks(self, pick: np.ndarray, size: int = CHUNK_PASSAGES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Passages of the picked documents, in order, and each passage's place in ``pick``."""
-        held, of, n = [], [], 0
-        for i, bag in enumerate(pick):
-            for _, at, count in self.parts[self.order[bag]]:
-                for begin in range(0, count, size):
-                    take = min(size, count - begin)
-                    if n + take > size:
-                        yield np.concatenate(held), np.concatenate(of)
-                        held, of, n = [], [], 0
-                    self.file.seek(at + begin * 4 * N_FEATURES)
-                    held.append(np.fromfile(self.file, "<f4", take * N_FEATURES).reshape(take, N_FEATURES).astype(np.float64))
-                    of.append(np.full(take, i))
-                    n += take
+def _logit_gradients(m: QualityModel, parts: Iterable[np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
+    """Log odds of one document and their gradients, in one pass over blocks of its passages.
+
+    With attention a = u / sum(u), u = exp(e), and q = h . o, the gradient is the mean under a of
+    dq + (q - mean q) de: three sums weighted by u, which are scaled down whenever a block holds
+    a larger e.  So no document is held whole, however long it is.
+    """
+    p = m.p
+    top, total, q_sum = -np.inf, 0.0, 0.0
+    rise: dict[str, np.ndarray] | None = None        # sum of u dq + u q de
+    drift: dict[str, np.ndarray] | None = None       # sum of u de
+    for raw in parts:
+        x = np.clip((raw.astype(np.float64) - m.mean) / m.scale, -8, 8)
+        h = np.tanh(x @ p["W"] + p["b"])
+        tv, su = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
+        e, q = (tv * su) @ p["w"], h @ p["o"]
+        high = max(top, float(e.max()))
+        u, old = np.exp(e - high), np.exp(top - high)
+        top, total, q_sum = high, total * old + u.sum(), q_sum * old + u @ q
+        dv, du = p["w"] * su * (1 - tv ** 2), p["w"] * tv * su * (1 - su)
+        dh_e, slope = dv @ p["V"].T + du @ p["U"].T, 1 - h ** 2
+
+        def pulled(weight: np.ndarray, direct: np.ndarray | None) -> dict[str, np.ndarray]:
+            """Gradients of the sum of ``weight`` e, and of ``direct`` q where given."""
+            k = weight[:, None]
+            dh = k * dh_e + (direct[:, None] * p["o"] if direct is not None else 0)
+            dx = dh * slope
+            return {"W": x.T @ dx, "b": dx.sum(0), "V": h.T @ (k * dv), "U": h.T @ (k * du), "w": weight @ (tv * su),
+                    "o": direct @ h if direct is not None else np.zeros(HIDDEN)}
+
+        here, there = pulled(u * q, u), pulled(u, None)
+        rise = here if rise is None else {k: rise[k] * old + here[k] for k in here}
+        drift = there if drift is None else {k: drift[k] * old + there[k] for k in there}
+    mean_q = q_sum / total
+    g = {k: (rise[k] - mean_q * drift[k]) / total for k in rise}
+    g["c"] = np.ones(1)
+    return mean_q + p["c"][0], g
+
+
+@dataclass
+class Adam:
+    """Parameters under training with their running moments; ``step`` counts the updates."""
+    p: dict[str, np.ndarray]
+    first: dict[str, np.ndarray]
+    second: dict[str, np.ndarray]
+    step: int = 0
+
+    def update(self, g: dict[str, np.ndarray], rate: float, decay: float) -> None:
+        self.step += 1
+        for k in self.p:
+            gk = g[k] + (decay * self.p[k] if k in ("W", "V", "U", "o") else 0)
+            self.first[k] = self.first[k] + 0.1 * (gk - self.first[k])
+            self.second[k] = self.second[k] + 0.001 * (gk * gk - self.second[k])
+            grown = np.sqrt(self.second[k] / (1 - 0.999 ** self.step)) + 1e-8
+            self.p[k] = self.p[k] - rate * (self.first[k] / (1 - 0.9 ** self.step)) / grown
+
+    def pack(self) -> bytes:
+        return np.concatenate([np.ravel(d[k]) for d in (self.p, self.first, self.second) for k in sorted(d)]).astype("<f8").tobytes()
+
+    def unpacked(self, values: np.ndarray, step: int) -> Adam:
+        """The same shapes with other values."""
+        out, at = [], 0
+        for d in (self.p, self.first, self.second):
+            new = {}
+            for k in sorted(d):
+                new[k] = values[at:at + d[k].size].reshape(d[k].shape)
+                at += d[k].size
+            out.append(new)
+        return Adam(*out, step)
+
+
+def _documents(rows: Iterable[tuple]) -> Iterator[tuple[int, int, Iterator[np.ndarray]]]:
+    """Sorted (slot, id, hash, label, passages) rows as one (slot, label, blocks of passages) per document."""
+    for (slot, _, _, y), parts in groupby(rows, key=lambda r: r[:4]):
+        yield slot, y, (np.frombuffer(r[4], "<f4").reshape(-1, N_FEATURES) for r in parts)
+
+
+def _epoch(state: Adam, mean: np.ndarray, scale: np.ndarray, rows: Iterable[tuple], batch: int, rate: float,
+           decay: float) -> Iterator[tuple[int, int, int, bytes]]:
+    """One pass of each slot's documents from the same state on: slot, documents, steps, new state."""
+    for slot, docs in groupby(_documents(rows), key=lambda d: d[0]):
+        own, n = state.unpacked(np.frombuffer(state.pack(), "<f8"), state.step), 0
+        model, held = QualityModel(mean, scale, own.p), []
+        total: dict[str, np.ndarray] = {}
+
+        def close() -> None:
+            own.update({k: v / len(held) for k, v in total.items()}, rate, decay)
+            held.clear()
+            total.clear()
+        for _, y, parts in docs:
+            logit, g = _logit_gradients(model, parts)
+            miss = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y
+            for k, v in g.items():
+                total[k] = total[k] + miss * v if k in total else miss * v
+            held.append(y)
+            n += 1
+            if len(held) == batch:
+                close()
         if held:
-            yield np.concatenate(held), np.concatenate(of)
+            close()
+        yield slot, n, own.step, own.pack()
 
 
-def _gradients(m: QualityModel, bags: Bags, pick: np.ndarray, y: np.ndarray, size: int = CHUNK_PASSAGES) -> dict[str, np.ndarray]:
-    """Gradients of the picked documents' mean log loss, in two passes over chunks of their passages.
+def fit_mil(passages: DataFrame, epochs: int = 14, batch: int = 16, rate: float = 4e-3,
+            decay: float = 1e-3, seed: int = 5) -> QualityModel:
+    """Adam on the log loss of the documents; without rows, or with one class, a constant model.
 
-    The first pass sums the attention of each document, the second one needs
-    only those sums: the attention-weighted mean of da is dz . z.
+    ``passages`` has rows (slot, id, th, y, part, x).  In every epoch each slot's
+    documents are trained on by one task, in an order of that epoch, from the
+    common state on; the states are then averaged, weighted by documents.  The
+    driver sees ``TRAIN_SLOTS`` states an epoch, never a passage.  Slots and
+    orders come from hashes, so a task that runs again gives the same state.
     """
-    p, n = m.p, len(pick)
-
-    def passages() -> Iterator[tuple]:
-        for raw, doc in bags.chunks(pick, size):
-            x = np.clip((raw - m.mean) / m.scale, -8, 8)
-            h = np.tanh(x @ p["W"] + p["b"])
-            tv, su = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
-            yield doc, x, h, tv, su, (tv * su) @ p["w"]
-
-    top, total, z = np.full(n, -np.inf), np.zeros(n), np.zeros((n, HIDDEN))
-    for doc, _, h, _, _, e in passages():
-        starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        at = doc[starts]
-        new = np.maximum(top[at], np.maximum.reduceat(e, starts))
-        old, top[at] = np.exp(top[at] - new), new
-        e = np.exp(e - top[doc])
-        total[at] = total[at] * old + np.add.reduceat(e, starts)
-        z[at] = z[at] * old[:, None] + np.add.reduceat(e[:, None] * h, starts)
-    z /= total[:, None]
-    out = 1 / (1 + np.exp(-np.clip(z @ p["o"] + p["c"][0], -30, 30)))
-    dl = (out - y) / n
-    dz = dl[:, None] * p["o"][None, :]
-    mean_da = np.einsum("ij,ij->i", dz, z)
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    g["o"], g["c"] = z.T @ dl, np.array([dl.sum()])
-    for doc, x, h, tv, su, e in passages():
-        a = np.exp(e - top[doc]) / total[doc]
-        de = a * (np.einsum("ij,ij->i", dz[doc], h) - mean_da[doc])
-        dg = de[:, None] * p["w"][None, :]
-        dv, du = dg * su * (1 - tv ** 2), dg * tv * su * (1 - su)
-        dh = a[:, None] * dz[doc] + dv @ p["V"].T + du @ p["U"].T
-        dx = dh * (1 - h ** 2)
-        for k, v in {"W": x.T @ dx, "b": dx.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (tv * su).T @ de}.items():
-            g[k] += v
-    return g
-
-
-def fit_mil(bags: Bags, epochs: int = 14, batch: int = 64, rate: float = 4e-3,
-            decay: float = 1e-3, seed: int = 5) -> QualityModel:
-    """Adam on the log loss of the documents; without rows, or with one class, a constant model."""
-    rng, y = np.random.default_rng(seed), bags.y
-    base = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, square = 0, np.zeros(N_FEATURES), np.zeros(N_FEATURES)
+        for b in batches:
+            for v in b.column(0):
+                x = np.frombuffer(v.as_py(), "<f4").reshape(-1, N_FEATURES).astype(np.float64)
+                n, total, square = n + len(x), total + x.sum(0), square + (x * x).sum(0)
+        yield pa.RecordBatch.from_pydict({"n": [n], "s": [np.concatenate([total, square]).tobytes()]})
+
+    rng = np.random.default_rng(seed)
+    seen = passages.where("part = 0").agg(F.avg("y").cast("double").alias("share"), F.min("y").alias("lo"), F.max("y").alias("hi")).first()
+    base = float(np.clip(0.5 if seen.share is None else seen.share, 1e-3, 1 - 1e-3))
     p = {"W": rng.normal(0, 0.1, (N_FEATURES, HIDDEN)), "b": np.zeros(HIDDEN),
          "V": rng.normal(0, 0.3, (HIDDEN, ATTENTION)), "U": rng.normal(0, 0.3, (HIDDEN, ATTENTION)),
          "w": rng.normal(0, 0.3, ATTENTION), "o": np.zeros(HIDDEN), "c": np.array([np.log(base / (1 - base))])}
-    if len(y) == 0 or y.min() == y.max():
+    if seen.share is None or seen.lo == seen.hi:
         return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), p)
-    count, total = 0, np.zeros(N_FEATURES)
-    for x, _ in bags.chunks(np.arange(len(y))):
-        count, total = count + len(x), total + x.sum(0)
-    mean, spread = total / count, np.zeros(N_FEATURES)
-    for x, _ in bags.chunks(np.arange(len(y))):
-        spread += ((x - mean) ** 2).sum(0)
-    m = QualityModel(mean, np.sqrt(spread / count) + 1e-3, p)
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for at in range(0, len(order), batch):
-            pick = order[at:at + batch]
-            g = _gradients(m, bags, pick, y[pick])
-            step += 1
-            for k in p:
-                gk = g[k] + (decay * p[k] if k in ("W", "V", "U", "o") else 0)
-                first[k] += 0.1 * (gk - first[k])
-                second[k] += 0.001 * (gk * gk - second[k])
-                p[k] -= rate * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
-    return m
+    moments = map_arrow(passages.select("x").repartition(TRAIN_SLOTS, F.xxhash64("x")), sums, "n long, s binary").collect()
+    count = sum(r.n for r in moments)
+    total, square = np.sum([np.frombuffer(r.s) for r in moments], axis=0).reshape(2, N_FEATURES)
+    mean = total / count
+    scale = np.sqrt(np.maximum(square / count - mean ** 2, 0)) + 1e-3
+    state = Adam(p, *({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2)))
+    for epoch in range(epochs):
+        ordered = (passages.repartition(TRAIN_SLOTS, "slot")
+                   .sortWithinPartitions("slot", F.xxhash64("id", "th", F.lit(epoch)), "id", "th", "part")
+                   .select("slot", "id", "th", "y", "x"))
+
+        def run(batches: Iterator[pa.RecordBatch], now: Adam = state) -> Iterator[pa.RecordBatch]:
+            rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+            for slot, n, step, packed in _epoch(now, mean, scale, rows, batch, rate, decay):
+                yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([n], pa.int64()), pa.array([step], pa.int64()),
+                                                  pa.array([packed], pa.binary())], names=["slot", "n", "step", "state"])
+        new = sorted(map_arrow(ordered, run, "slot int, n long, step long, state binary").collect())
+        weights = np.array([r.n for r in new], dtype=np.float64)
+        values = np.average([np.frombuffer(r.state, "<f8") for r in new], axis=0, weights=weights)
+        state = state.unpacked(values, max(r.step for r in new))
+    return QualityModel(mean, scale, state.p)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -245,8 +276,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     The fit uses a bounded sample of rows: ``max_docs`` labelled ids, those of
     smallest hash (the same at every run), and of their rows, one per id and text,
     again ``max_docs`` of smallest hash.  Every passage of those rows is trained
-    on; passages wait in a table and then in a temporary file on the driver, not
-    in its memory.  Rows with a null id or label do not count; of
+    on, by tasks that read the passages from a table in the shared folder.  Rows with a null id or label do not count; of
     several labels of an id the mean, rounded up from one half, counts.  Without
     usable labels the model is constant.
     """
@@ -273,11 +303,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                         [row.column(0), row.column(1), row.column(2), pa.array([part], pa.int32()),
                          pa.array([x[at:at + CHUNK_PASSAGES].tobytes()], pa.binary())], names=["id", "th", "y", "part", "x"])
 
-    passages = cut(map_arrow(picked, run, f"id {id_type}, th long, y int, part int, x binary"))
-    bags = Bags()
-    for r in passages.toLocalIterator():
-        bags.add((r.id, r.th), r.part, r.y, bytes(r.x))
-    return fit_mil(bags.sort())
+    passages = map_arrow(picked, run, f"id {id_type}, th long, y int, part int, x binary")
+    slots = max(1, min(TRAIN_SLOTS, keys.count() // SLOT_DOCS))
+    slot = F.pmod(F.xxhash64("th", "id"), F.lit(slots)).cast("int").alias("slot")
+    return fit_mil(cut(passages.select(slot, "*")))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -396,21 +396,54 @@ def test_quality_trains_on_every_passage(spark):
 
 
 def test_quality_gradients_by_chunk():
-    from plotline.llm.quality import N_FEATURES, Bags, QualityModel, _gradients, fit_mil
-    bags = Bags()
-    for i, n in enumerate((5, 1, 9)):
-        bags.add((i, 0), 0, i % 2, RNG.random((n, N_FEATURES)).astype("<f4").tobytes())
-    bags.sort()
-    m, pick, y = fit_mil(bags, epochs=1), np.arange(3), bags.y
-    whole, parts = _gradients(m, bags, pick, y), _gradients(m, bags, pick, y, size=2)
-    assert all(np.allclose(whole[k], parts[k], atol=1e-12) for k in whole)
-
-    def loss(p):
-        x, doc = next(bags.chunks(pick))
-        out = QualityModel(m.mean, m.scale, p).forward(np.clip((x - m.mean) / m.scale, -8, 8), np.searchsorted(doc, pick))["y"]
-        return -np.mean(y * np.log(out) + (1 - y) * np.log(1 - out))
-    for k, at in (("W", (7, 3)), ("V", (2, 5)), ("U", (4, 1)), ("w", (3,)), ("b", (2,)), ("o", (6,)), ("c", (0,))):
-        up, down = ({n: v.copy() for n, v in m.p.items()} for _ in range(2))
-        up[k][at] += 1e-5
-        down[k][at] -= 1e-5
-        assert np.isclose((loss(up) - loss(down)) / 2e-5, whole[k][at], rtol=1e-4, atol=1e-9), k
+    """One pass over any blocks gives the gradients of the whole document, which are those of finite differences."""
+    from plotline.llm.quality import ATTENTION, HIDDEN, N_FEATURES, QualityModel, _logit_gradients
+    shapes = {"W": (N_FEATURES, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, ATTENTION), "U": (HIDDEN, ATTENTION), "w": (ATTENTION,),
+              "o": (HIDDEN,), "c": (1,)}
+    m = QualityModel(np.full(N_FEATURES, 0.5), np.full(N_FEATURES, 0.3), {k: RNG.normal(0, 0.3, v) for k, v in shapes.items()})
+    for n in (1, 5, 9):
+        x = RNG.random((n, N_FEATURES)).astype("<f4")
+
+        def logit(p):
+            y = QualityModel(m.mean, m.scale, p).forward(np.clip((x.astype(float) - m.mean) / m.scale, -8, 8), np.array([0]))["y"][0]
+            return np.log(y / (1 - y))
+        whole, g = _logit_gradients(m, [x])
+        assert np.isclose(whole, logit(m.p))
+        for size in (1, 2, 4):
+            value, parts = _logit_gradients(m, [x[at:at + size] for at in range(0, n, size)])
+            assert np.isclose(value, whole, atol=1e-12) and all(np.allclose(g[k], parts[k], atol=1e-12) for k in shapes)
+        for k, at in (("W", (7, 3)), ("V", (2, 5)), ("U", (4, 1)), ("w", (3,)), ("b", (2,)), ("o", (6,)), ("c", (0,))):
+            up, down = ({name: v.copy() for name, v in m.p.items()} for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert np.isclose((logit(up) - logit(down)) / 2e-5, g[k][at], rtol=1e-4, atol=1e-8), k
+
+
+def test_quality_epochs_average_the_slots(spark):
+    """The fit equals the same epochs written out on the driver, whatever the partitions."""
+    from plotline.llm.quality import N_FEATURES, TRAIN_SLOTS, Adam, QualityModel, _logit_gradients, fit_mil
+    rows = [(i % 3, i, 7 * i, i % 2, part, RNG.random((2 + i % 4, N_FEATURES)).astype("<f4").tobytes())
+            for i in range(12) for part in range(1 + i % 2)]
+    schema = "slot int, id long, th long, y int, part int, x binary"
+    df = spark.createDataFrame(rows, schema)
+    one, two = (fit_mil(spark.createDataFrame(r, schema).repartition(n), epochs=2, batch=3) for r, n in ((rows, 1), (rows[::-1], 5)))
+    assert all(np.allclose(one.p[k], two.p[k], atol=1e-9) for k in one.p) and TRAIN_SLOTS >= 3
+    start = fit_mil(df, epochs=0)
+    x = {i: [np.frombuffer(r[5], "<f4").reshape(-1, N_FEATURES) for r in rows if r[1] == i] for i in range(12)}
+    state = Adam(start.p, *({k: np.zeros_like(v) for k, v in start.p.items()} for _ in range(2)))
+    for epoch in range(2):
+        order = [r.id for r in df.where("part = 0").orderBy(F.xxhash64("id", "th", F.lit(epoch)), "id").collect()]
+        ends = []
+        for slot in range(3):
+            own = Adam(dict(state.p), dict(state.first), dict(state.second), state.step)
+            mine = [i for i in order if i % 3 == slot]
+            for at in range(0, len(mine), 3):
+                g = []
+                for i in mine[at:at + 3]:
+                    logit, d = _logit_gradients(QualityModel(start.mean, start.scale, own.p), x[i])
+                    g.append({k: (1 / (1 + np.exp(-logit)) - i % 2) * v for k, v in d.items()})
+                own.update({k: np.mean([d[k] for d in g], axis=0) for k in own.p}, 4e-3, 1e-3)
+            ends.append(own)
+        mean = [{k: np.mean([getattr(o, part)[k] for o in ends], axis=0) for k in state.p} for part in ("p", "first", "second")]
+        state = Adam(*mean, ends[0].step)
+    assert all(np.allclose(state.p[k], one.p[k], atol=1e-9) for k in one.p)
