@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, map_arrow
+from ._common import cut, discard, map_arrow
 from .components import connected_components
 
 #: different vectors in a block, on average: blocks grow in number, not in size
@@ -106,46 +106,62 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def unit_rows(raw: bytes, dim: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by the first projection's code, and so ordered the unit vectors and codes of a block."""
+    x = np.frombuffer(raw, kind).astype(np.float64).reshape(-1, dim)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    c = codes(x @ projections(dim))
+    order = np.argsort(c[:, 0], kind="stable")
+    return order, x[order], c[order]
+
+
+def _parts(blocks: int) -> int:
+    """Partitions of the table of blocks, whose square is the number of tasks that compare them."""
+    return max(1, min(blocks, 256, max(16, -(-blocks // 8))))
+
+
 def embedding_links(reps: DataFrame, threshold: float = 0.9, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Link counts ``(node, links)`` and connecting edges ``(a, b)`` of different valid vectors.
 
     ``reps`` has ``node`` (long), ``weight`` (rows holding the vector) and ``e``
-    (array of double).  Vectors are sorted by their first projection and cut at
-    its quantiles into blocks of about ``block`` rows; every pair of blocks of
-    one dimension whose vectors may link meets once, and the pairs are spread
-    over the tasks.  Counting, verification and weights stay inside the task,
-    which returns a count per vector and a spanning forest, never the pairs.
+    (array of float or double).  Vectors are cut at the quantiles of their first
+    projection into blocks of about ``block`` rows; every pair of blocks of one
+    dimension meets once.  The blocks are dealt once and the tasks, one per pair
+    of partitions, read the two they compare: a block is never written per pair,
+    so disk grows with the rows, not with their square.  Counting, verification
+    and weights stay inside the task, which returns a count per vector and a
+    spanning forest, never the pairs.
     """
+    kind = "<f4" if reps.schema["e"].dataType.elementType.typeName() == "float" else "<f8"
+
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(2)
             dims = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
             at = np.concatenate(([0], np.cumsum(dims)))
-            unit, code, lead = [], [], []
+            raw, lead = [], []
             for x, y in zip(at[:-1], at[1:]):
-                v = flat[x:y] / np.abs(flat[x:y]).max()
-                v = v / np.sqrt(v @ v)
-                unit.append(v.astype("<f8").tobytes())
-                p = v @ rotation(len(v))
-                lead.append(p[0])
-                code.append(codes(p).tobytes())
+                v = flat[x:y].astype(np.float64)
+                v = v / np.abs(v).max()
+                lead.append(v @ first(len(v)) / np.sqrt(v @ v))
+                raw.append(flat[x:y].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(dims.astype(np.int32)), pa.array(lead, pa.float64()),
-                 pa.array(unit, pa.binary()), pa.array(code, pa.binary())],
-                names=["node", "weight", "dim", "lead", "unit", "code"])
+                 pa.array(raw, pa.binary())], names=["node", "weight", "dim", "lead", "raw"])
 
     known: dict[int, np.ndarray] = {}
 
-    def rotation(dim: int) -> np.ndarray:
+    def first(dim: int) -> np.ndarray:
         if dim not in known:
-            known[dim] = projections(dim)
+            known[dim] = projections(dim)[:, 0].copy()
         return known[dim]
 
-    rows = cut(map_arrow(reps.select("node", "weight", "e"), project,
-                         "node long, weight long, dim int, lead double, unit binary, code binary"))
+    fields = "node long, weight long, dim int, lead double, raw binary"
+    rows = map_arrow(reps.select("node", "weight", "e"), project, fields)
     # cuts of the first projection: as many numbers as there are blocks
-    sizes = {r.dim: r["count"] for r in rows.groupBy("dim").count().collect()}
+    sizes = {r.dim: r["count"] for r in reps.groupBy(F.size("e").alias("dim")).count().collect()}
     edges: dict[int, np.ndarray] = {}
     for dim, n in sizes.items():
         parts = max(1, -(-n // block))
@@ -163,31 +179,29 @@ def embedding_links(reps: DataFrame, threshold: float = 0.9, block: int = BLOCK)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], names=[*b.schema.names, "block"])
 
     def build(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["lead", "node"], kind="stable")
         return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "nodes": [g["node"].to_numpy("<i8").tobytes()],
-                             "weights": [g["weight"].to_numpy("<i8").tobytes()],
-                             "units": [b"".join(g["unit"])], "codes": [b"".join(g["code"])]})
+                             "weights": [g["weight"].to_numpy("<i8").tobytes()], "raw": [b"".join(g["raw"])]})
 
-    dealt = map_arrow(rows, deal, "node long, weight long, dim int, lead double, unit binary, code binary, block int")
+    dealt = map_arrow(rows, deal, f"{fields}, block int").drop("lead")
     blocks = cut(dealt.groupBy("dim", "block").applyInPandas(
-        build, "dim int, block int, nodes binary, weights binary, units binary, codes binary"))
-    last = blocks.groupBy("dim").agg(F.max("block").alias("last"))
-    a = blocks.join(F.broadcast(last), "dim").withColumn("other", F.explode(F.sequence("block", "last")))
-    b = blocks.select(F.col("dim").alias("dim2"), F.col("block").alias("other2"), F.col("nodes").alias("nodes2"),
-                      F.col("weights").alias("weights2"), F.col("units").alias("units2"), F.col("codes").alias("codes2"))
-    met = (a.join(b, (F.col("dim") == F.col("dim2")) & (F.col("other") == F.col("other2")))
-           .select("dim", "block", "other", "nodes", "weights", "units", "codes", "nodes2", "weights2", "units2", "codes2"))
-    pairs = sum((len(e) + 1) * (len(e) + 2) // 2 for e in edges.values())
-    met = met.repartition(max(1, min(pairs, 4096)), "dim", "block", "other")
+        build, "dim int, block int, nodes binary, weights binary, raw binary"))
+    spread = blocks.repartition(_parts(sum(len(e) + 1 for e in edges.values())))
+    other = spread.select(F.col("dim").alias("dim2"), F.col("block").alias("other"), F.col("nodes").alias("nodes2"),
+                          F.col("weights").alias("weights2"), F.col("raw").alias("raw2"))
+    # each pair on one side of the diagonal, by turns, so that all tasks have work
+    once = (F.col("block") == F.col("other")) | (
+        (F.col("block") < F.col("other")) == ((F.col("block") + F.col("other")) % 2 == 0))
+    met = (spread.join(other.hint("shuffle_replicate_nl"), (F.col("dim") == F.col("dim2")) & once)
+           .select("dim", "block", "other", "nodes", "weights", "raw", "nodes2", "weights2", "raw2"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 dim, i, j = (b.column(c)[r].as_py() for c in range(3))
-                raw = [b.column(c)[r].as_py() for c in range(3, 11)]
-                na, wa, nb, wb = (np.frombuffer(raw[c], "<i8") for c in (0, 1, 4, 5))
-                xa, xb = (np.frombuffer(raw[c], "<f8").reshape(-1, dim) for c in (2, 6))
-                ca, cb = (np.frombuffer(raw[c], np.uint8).reshape(-1, dim) for c in (3, 7))
+                raw = [b.column(c)[r].as_py() for c in range(3, 9)]
+                oa, xa, ca = unit_rows(raw[2], dim, kind)
+                ob, xb, cb = (oa, xa, ca) if i == j else unit_rows(raw[5], dim, kind)
+                na, wa, nb, wb = (np.frombuffer(raw[c], "<i8")[o] for c, o in ((0, oa), (1, oa), (3, ob), (4, ob)))
                 x, y = linked_pairs(xa, ca, xb, cb, threshold, i == j)
                 links = np.bincount(x, weights=wb[y], minlength=len(na)).astype(np.int64)
                 back = np.bincount(y, weights=wa[x], minlength=len(nb)).astype(np.int64)
@@ -201,6 +215,7 @@ def embedding_links(reps: DataFrame, threshold: float = 0.9, block: int = BLOCK)
                                                  names=["a", "b", "n"])
 
     found = cut(map_arrow(met, count, "a long, b long, n long"))
+    discard(blocks)
     return (found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links")),
             found.select("a", "b").where("a <> b").distinct())
 
@@ -219,7 +234,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     table gives an empty result; other columns are not read.
     """
     good = (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    src = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("e"))
+    # floats stay floats on the way, they are half as wide
+    item = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    src = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{item}>").alias("e"))
     src = src.withColumn("ok", F.coalesce(good & F.exists("e", lambda x: x != 0), F.lit(False)))
     src = src.select("id", F.when(F.col("ok"), F.col("e")).alias("e"), F.when(F.col("ok"), F.xxhash64("e")).alias("node"))
     reps = cut(src.where("node is not null").groupBy("node").agg(F.count("*").alias("weight"), F.first("e").alias("e")))
