@@ -60,8 +60,12 @@ def keep(array: Sql, pred: Body) -> Sql:
 
 
 def let(value: Sql, body: Body) -> Sql:
-    """``body(value)`` with ``value`` computed once, however often the body uses it."""
-    return f"{each(f'array({value})', body)}[0]"
+    """``body(value)`` with ``value`` computed once, however often the body uses it.
+
+    The finish of an aggregate, which hands its result on: a ``transform`` would
+    copy it, for a token array every token with its texts."""
+    x = f"x{next(_names)}"
+    return f"aggregate(array(0), {value}, ({x}, n) -> {x}, {x} -> {body(x)})"
 
 
 def once(df: DataFrame, **cols: Sql) -> DataFrame:
@@ -168,10 +172,15 @@ def _end(toks: Sql, e: Sql) -> Sql:
     return f"coalesce({e}.end, array_min({around}), {2 ** 31 - 1})"
 
 
+def _between(toks: Sql, first: Sql, end: Sql) -> Sql:
+    """Tokens from place ``first`` of the page up to ``end``; ``toks`` is a page or a run of its tokens without gaps."""
+    return f"slice({toks}, {first} - get({toks}, 0).pos + 1, {end} - ({first}))"
+
+
 def inner(toks: Sql, element: Sql) -> Sql:
     """Tokens inside an element (empty without the element)."""
     return let(element, lambda e: let(_end(toks, e), lambda end: (
-        f"if({e} IS NULL, slice({toks}, 1, 0), " + keep(toks, lambda t: f"{t}.pos > {e}.pos AND {t}.pos < {end}") + ")")))
+        f"if({e} IS NULL, slice({toks}, 1, 0), {_between(toks, f'{e}.pos + 1', end)})")))
 
 
 def inside(toks: Sql, pred: Body) -> Sql:
@@ -184,8 +193,7 @@ def content(toks: Sql, element: Sql, line_break: str = "") -> Sql:
     def text(t: Sql) -> Sql:
         return f"if({t}.tag = 'br', concat({literal(line_break)}, {t}.text), {t}.text)" if line_break else f"{t}.text"
     return let(element, lambda e: let(_end(toks, e), lambda end: (
-        f"if({e} IS NULL, NULL, array_join("
-        + each(keep(toks, lambda t: f"{t}.pos >= {e}.pos AND {t}.pos < {end}"), text) + ", ''))")))
+        f"if({e} IS NULL, NULL, array_join({each(_between(toks, f'{e}.pos', end), text)}, ''))")))
 
 
 def first_text(toks: Sql, pred: Body) -> Sql:
@@ -198,7 +206,7 @@ def texts(toks: Sql, pred: Body, line_break: str = "") -> Sql:
 
 def text_at(toks: Sql, pos: Sql) -> Sql:
     """Text that follows the token at ``pos``."""
-    return f"get({keep(toks, lambda t: f'{t}.pos = {pos}')}, 0).text"
+    return f"get({toks}, {pos} - get({toks}, 0).pos).text"
 
 
 def per_item(toks: Sql, value: Body) -> Sql:
