@@ -116,22 +116,40 @@ def half_length(window: int) -> int:
     return -(-window // 2)
 
 
+def _least(spans: Spans, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the half-length spans, and the smallest of them in each window."""
+    half = half_length(window)
+    at = np.arange(n - half + 1)
+    a = spans.of(at, at + half)
+    n_win = n - window + 1
+    best = a[:n_win].copy()
+    for j in range(1, window - half + 1):
+        np.minimum(best, a[j:j + n_win], out=best)
+    return a, best
+
+
+def anchor_hashes(text: bytes, window: int) -> np.ndarray | None:
+    """The different anchors of a text, without their places."""
+    h = word_hashes(text)
+    if len(h) < window:
+        return None
+    _, best = _least(Spans(h, _BASE), len(h), window)
+    return np.unique(best[np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1])))])
+
+
 def anchors(spans: Spans, n: int, window: int) -> tuple[np.ndarray, ...]:
     """Runs of consecutive windows sharing an anchor: first window, number of windows, anchor's place and hash.
 
     A window's anchor is the half-length span in it with the smallest hash (the
     first of equals), so equal windows have equal anchors at the same place.
     """
-    half = half_length(window)
-    at = np.arange(n - half + 1)
-    a = spans.of(at, at + half)
-    n_win = n - window + 1
-    best, arg = a[:n_win].copy(), np.arange(n_win)
-    for j in range(1, window - half + 1):
-        here = a[j:j + n_win]
-        less = here < best
-        best[less] = here[less]
-        arg[less] = np.flatnonzero(less) + j
+    a, best = _least(spans, n, window)
+    n_win = len(best)
+    arg = np.zeros(n_win, dtype=np.int64)
+    for j in range(window - half_length(window), 0, -1):
+        np.copyto(arg, j, where=a[j:j + n_win] == best)
+    np.copyto(arg, 0, where=a[:n_win] == best)
+    arg += np.arange(n_win)
     q = np.flatnonzero(np.concatenate(([True], arg[1:] != arg[:-1])))
     return q, np.diff(np.append(q, n_win)), arg[q], a[arg[q]]
 
@@ -177,9 +195,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             keys, out, of = b.column(0).to_numpy(zero_copy_only=False), [], []
             for i, t in enumerate(b.column(1)):
-                r = _runs_of(t.as_py(), window)
-                if r is not None:
-                    own = np.unique(r[5])
+                own = anchor_hashes(t.as_py(), window)
+                if own is not None:
                     out.append(own)
                     of.append(np.full(len(own), keys[i]))
             if out:
