@@ -202,3 +202,23 @@ def test_label_table_matches_the_indexer_over_many_partitions(spark):
     kept = E.index_by_table(fresh, "v", E.label_table(df, "v"), how="left").collect()
     assert {r.v: r.v_idx for r in kept} == {"v1": got["v1"], "new": None, None: None}
     assert E.label_table(df.where("v = 'none'"), "v").count() == 0
+
+
+def test_rows_find_their_values_without_a_join(spark, monkeypatch):
+    train = [("b", ["x.", "y", "y"], 1.0, 1), ("a", None, 2.0, 2), ("b", ["y", None], None, 3), ("c", [], 0.0, 4)]
+    serve = train + [("new", ["zz", "x"], 5.0, 5), (None, ["y"], None, 6), ("a", ["x", "y", "x."], 0.0, 7), ("a", ["y"], 1.0, 7)]
+    schema = "v string, `w,1` array<string>, n double, id long"
+    values, sizes = S.fit_value_table(spark.createDataFrame(train, schema), ["v"], ["w,1"])
+    df, limit = spark.createDataFrame(serve, schema), spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    for invalid, missing, one_hot in (("keep", "keep", False), ("skip", "keep", True), ("keep", "skip", True), ("skip", "skip", False)):
+        def features():
+            return S.sparse_features(df, values, sizes, ["n"], ["v"], ["w,1"], "f", invalid, missing, one_hot, keep_inputs=False)
+        alone = features()
+        with monkeypatch.context() as m:
+            m.setattr(S, "FEW_VALUES", 0)                          # as if there were many values
+            joined = features()
+        plan = alone._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+        assert alone.columns == joined.columns == ["id", "f"] and alone.schema["f"].metadata == joined.schema["f"].metadata
+        assert sorted(map(str, alone.collect())) == sorted(map(str, joined.collect()))
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == limit
