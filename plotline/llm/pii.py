@@ -47,6 +47,8 @@ _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 #: spans folded together: longer lists are cut into parts, so no list or text is copied once per span
 _PART = 512
+#: matches folded together: each step of a fold copies all that the steps before it found
+_BLOCK = 16
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -54,37 +56,42 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _parts(items: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(_PART)),
-                       lambda s: F.slice(items, s, F.lit(_PART)))
+def _parts(items: Column, size: int = _PART) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(size)),
+                       lambda s: F.slice(items, s, F.lit(size)))
 
 
-def matches(text: Column, pattern: str, kind: str) -> Column:
-    """Non-overlapping matches from the left, as ``kind, start, end, value`` in code points."""
+def matches(text: Column, pattern: str, kind: str, keep: Callable[[Column], Column] = lambda value: F.lit(True)) -> Column:
+    """Non-overlapping matches from the left, as ``kind, start, end, value`` in code points; those stay whose value passes ``keep``."""
     cuts = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
                         F.split(text, pattern, -1).alias("g"))
 
+    def folded(pos: Column, out: Column) -> Column:
+        return F.struct(pos.alias("pos"), out.alias("out"))
+
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.char_length(x["g"])
         end = start + F.char_length(x["m"])
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("pos"), F.array_append(acc["out"], span).alias("out"))
+        return folded(end, F.when(keep(x["m"]), F.array_append(acc["out"], span)).otherwise(acc["out"]))
 
-    def of_part(part: Column) -> Column:        # places from the beginning of the part
-        begin = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out"))
-        return F.aggregate(part, begin, step)
+    def of_block(block: Column) -> Column:      # places from the beginning of the block
+        return F.aggregate(block, folded(F.lit(0), F.array().cast(_SPAN)), step)
 
-    def joined(parts: Column) -> Column:
+    def joined(pieces: Column) -> Column:       # places from the beginning of the first piece
         def moved(lengths: Column) -> Column:
             def one(p: Column, i: Column) -> Column:
                 before = F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x)
-                return _let(before, lambda at: F.transform(p["out"], lambda s: F.struct(
-                    s["kind"].alias("kind"), (s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["value"].alias("value"))))
-            return F.flatten(F.transform(parts, one))
-        return F.when(F.size(parts) == 1, parts[0]["out"]).otherwise(_let(F.transform(parts, lambda p: p["pos"]), moved))
+                return F.when(F.size(p["out"]) == 0, p["out"]).otherwise(_let(before, lambda at: F.transform(p["out"], lambda s: F.struct(
+                    s["kind"].alias("kind"), (s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["value"].alias("value")))))
+            return folded(F.aggregate(lengths, F.lit(0), lambda a, x: a + x), F.flatten(F.transform(pieces, one)))
+        return F.when(F.size(pieces) == 1, pieces[0]).otherwise(_let(F.transform(pieces, lambda p: p["pos"]), moved))
+
+    def of_part(part: Column) -> Column:
+        return _let(F.transform(_parts(part, _BLOCK), of_block), joined)
 
     own = F.filter(cuts, lambda x: x["m"].isNotNull())
-    return _let(_let(own, lambda x: F.transform(_parts(x), of_part)), joined)
+    return _let(_let(own, lambda x: F.transform(_parts(x), of_part)), joined)["out"]
 
 
 def _stitched(text: Column, spans: Column, tied: Callable[[Column], Column], step: Callable, rest: Callable) -> Column:
@@ -154,8 +161,7 @@ _VALID = {
 
 
 def _of_kind(text: Column, kind: str) -> Column:
-    found = F.filter(matches(text, PATTERNS[kind], kind), lambda s: _VALID[kind](s["value"]))
-    return F.when(_GUARDS[kind](text), found).otherwise(F.array().cast(_SPAN))
+    return F.when(_GUARDS[kind](text), matches(text, PATTERNS[kind], kind, _VALID[kind])).otherwise(F.array().cast(_SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -320,8 +326,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     rows = rows.withColumn("_base", base_spans(text_of("_text")))
 
     # words of identifiers are masked, so every word met is outside of them
-    clear = F.filter(matches(_masked(text_of("_text"), F.col("_base")), TERM, "term"),
-                     lambda s: F.map_contains_key("_risky", F.lower(s["value"])))
+    clear = _let(_masked(text_of("_text"), F.col("_base")), lambda t: matches(
+        t, TERM, "term", lambda word: F.map_contains_key("_risky", F.lower(word))))
     spans = F.transform(clear, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"),
         F.element_at("_risky", F.lower(s["value"])).alias("action")))
